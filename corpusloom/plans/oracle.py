@@ -220,6 +220,227 @@ SELECT k.doc_id FROM k LEFT JOIN reps ON k.tk = reps.tk WHERE k.tk IS NULL OR k.
 Q["split_random"] = f"SELECT doc_id, {split_('doc_id')} AS split FROM documents"
 
 
+# --------------------------------------------------------------------------- QA evaluation
+from .. import constants as K  # noqa: E402
+
+
+def lit(s: str) -> str:
+    """SQL string literal (raw newlines allowed inside)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^@WS@+|@WS@+$', '', 'g')"
+
+
+def nans(x: str) -> str:
+    return f"regexp_replace({strip(f'lower({x})')}, '[^a-z0-9.]+', ' ', 'g')"
+
+
+def letter(x: str) -> str:
+    inner = strip(f"coalesce({x}, '')")
+    return (f"CASE substr(lower({inner}), 1, 1) "
+            "WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 WHEN 'd' THEN 3 ELSE -1 END")
+
+
+def yn(x: str) -> str:
+    h = f"substr(lower(coalesce({x}, '')), 1, 10)"
+    return f"CASE WHEN contains({h}, 'yes') THEN 'yes' WHEN contains({h}, 'no') THEN 'no' ELSE 'unknown' END"
+
+
+def ctx(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND length({x}) > 0 THEN 'Context: ' || {x} || chr(10) ELSE '' END"
+
+
+QA = """
+t AS (
+  SELECT conv_id, turn, role, text,
+         CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w ELSE '' END AS pred
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+),
+qa AS (
+  SELECT conv_id * 100 + turn AS id, conv_id, turn, (['mcq','yn','short'])[conv_id % 3 + 1] AS type,
+         text AS question, pred, text AS gold
+  FROM t WHERE role = 'user'
+)
+"""
+
+F1 = """
+tok AS (
+  SELECT id, side, unnest(string_split(s, ' ')) AS tok FROM (
+    SELECT id, 0 AS side, @NP@ AS s FROM @SRC@ UNION ALL SELECT id, 1 AS side, @NG@ AS s FROM @SRC@)
+),
+tokf AS (SELECT * FROM tok WHERE length(tok) > 0),
+sz AS (SELECT id, count(*) FILTER (WHERE side = 0) AS np, count(*) FILTER (WHERE side = 1) AS ng FROM tokf GROUP BY id),
+cnt AS (SELECT id, tok, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS cp, sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS cg
+        FROM tokf GROUP BY id, tok),
+same AS (SELECT id, sum(least(cp, cg))::DOUBLE AS same FROM cnt GROUP BY id),
+f1 AS (
+  SELECT s.id,
+         CASE WHEN coalesce(np, 0) = 0 OR coalesce(ng, 0) = 0 THEN
+                CASE WHEN coalesce(np, 0) = 0 AND coalesce(ng, 0) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+              WHEN coalesce(same, 0) = 0 THEN 0.0::DOUBLE
+              ELSE 2 * (same / np) * (same / ng) / ((same / np) + (same / ng)) END AS f1
+  FROM @SRC@ s LEFT JOIN sz ON s.id = sz.id LEFT JOIN same ON s.id = same.id
+)
+"""
+
+
+def f1_cte(src: str, pred: str, gold: str) -> str:
+    return (F1.replace("@SRC@", src).replace("@NP@", nans(f"coalesce({pred}, '')"))
+              .replace("@NG@", nans(f"coalesce({gold}, '')")))
+
+
+Q["load_pubmedqa"] = f"""
+WITH raw AS (
+  SELECT conv_id * 100 + turn AS id,
+         CASE WHEN turn % 2 = 0 THEN text END AS question, text AS ques,
+         CASE WHEN role = 'assistant' THEN text ELSE '' END AS context, role AS abstract,
+         CASE WHEN turn % 3 = 0 THEN ' Yes ' END AS answer, upper(role) AS final_decision
+  FROM conversations
+)
+SELECT id, 'yn' AS type, coalesce(nullif(question, ''), nullif(ques, ''), '') AS question,
+       coalesce(nullif(context, ''), nullif(abstract, ''), '') AS context,
+       lower({strip("coalesce(nullif(answer, ''), nullif(final_decision, ''), '')")}) AS answer
+FROM raw
+"""
+
+_MCQ = f"""
+m AS (
+  SELECT o_orderkey AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS question,
+         coalesce(o_orderstatus, '') AS opa, coalesce(o_orderpriority, '') AS opb,
+         coalesce(CAST(o_custkey AS VARCHAR), '') AS opc, '' AS opd,
+         (['a', 'B', ' c ', 'd', 'x', ''])[o_orderkey % 6 + 1] AS cop
+  FROM orders
+)
+"""
+
+Q["load_mcq"] = f"""
+WITH {_MCQ}
+SELECT id, 'mcq' AS type, question, concat_ws('|', opa, opb, opc, opd) AS options, {letter('cop')} AS label FROM m
+"""
+
+Q["load_shortqa"] = """
+SELECT conv_id * 100 + turn AS id, 'short' AS type, text AS question, role AS context, '' AS answer FROM conversations
+"""
+
+Q["prompt_mcq"] = f"""
+WITH {_MCQ}
+SELECT id, {lit(K.MCQ_PROMPT_HEAD)} || 'Question: ' || question || chr(10)
+       || 'A) ' || opa || chr(10) || 'B) ' || opb || chr(10) || 'C) ' || opc || chr(10) || 'D) ' || opd
+       || chr(10) || 'Answer:' AS prompt
+FROM m
+"""
+
+Q["prompt_short"] = f"""
+WITH {QA}
+SELECT id, {lit(K.SHORT_PROMPT_HEAD)} || {ctx('pred')} || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM qa
+"""
+
+Q["prompt_yesno"] = f"""
+WITH {QA}
+SELECT id, {lit(K.YESNO_PROMPT_HEAD)} || {ctx('pred')} || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM qa
+"""
+
+Q["extract_letter"] = f"SELECT conv_id, turn, {letter('text')} AS letter FROM conversations"
+Q["extract_yesno"] = f"SELECT conv_id, turn, {yn('text')} AS yn FROM conversations"
+Q["normalize_answer"] = f"SELECT conv_id, turn, {nans('text')} AS norm FROM conversations"
+
+Q["exact_match"] = f"""
+WITH {QA}
+SELECT id, CASE WHEN {nans("coalesce(pred, '')")} = {nans("coalesce(gold, '')")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em
+FROM qa
+"""
+
+Q["token_f1"] = f"""
+WITH {QA}, {f1_cte('qa', 'pred', 'gold')}
+SELECT id, round(f1, 6) AS f1 FROM f1
+"""
+
+Q["mcq_accuracy"] = f"""
+WITH {QA}
+SELECT id, CASE WHEN {letter('pred')} = {letter('question')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc FROM qa
+"""
+
+_GOLD_YN = "CASE WHEN @G@ IN ('yes', 'no') THEN @G@ ELSE 'unknown' END"
+
+Q["yesno_accuracy"] = f"""
+WITH {QA}
+SELECT id, CASE WHEN {yn('pred')} = {_GOLD_YN.replace('@G@', 'lower(' + strip('question') + ')')}
+               THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS acc FROM qa
+"""
+
+_ITEMS = f"""
+{QA},
+items AS (
+  SELECT id, type, question, pred,
+         CASE WHEN type = 'yn' THEN lower({strip('gold')}) ELSE gold END AS answer,
+         {letter('question')} AS label, type AS dataset, 'rag' AS mode, 'clinician' AS role
+  FROM qa
+),
+shorts AS (SELECT * FROM items WHERE type = 'short'),
+{f1_cte('shorts', 'pred', 'answer')},
+scores AS (
+  SELECT id, dataset, mode, role, 'acc' AS metric,
+         CASE WHEN {letter('pred')} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score
+  FROM items WHERE type = 'mcq'
+  UNION ALL
+  SELECT id, dataset, mode, role, 'acc' AS metric,
+         CASE WHEN {yn('pred')} = {_GOLD_YN.replace('@G@', 'answer')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM items WHERE type = 'yn'
+  UNION ALL
+  SELECT i.id, dataset, mode, role, 'f1' AS metric, f1.f1 FROM shorts i JOIN f1 ON i.id = f1.id
+  UNION ALL
+  SELECT id, dataset, mode, role, 'em' AS metric,
+         CASE WHEN {nans("coalesce(pred, '')")} = {nans("coalesce(answer, '')")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END
+  FROM shorts
+),
+runs AS (
+  SELECT dataset, mode, role, count(DISTINCT id) AS n,
+         avg(score) FILTER (WHERE metric = 'acc') AS acc, avg(score) FILTER (WHERE metric = 'f1') AS f1,
+         avg(score) FILTER (WHERE metric = 'em') AS em, 1700000000::BIGINT AS timestamp
+  FROM scores GROUP BY ALL
+),
+board AS (
+  SELECT dataset AS "Dataset", mode AS "Mode", role AS "Role", n AS "N",
+         CASE WHEN acc IS NULL THEN '-' ELSE printf('%.3f', acc) END AS "Acc",
+         CASE WHEN f1 IS NULL THEN '-' ELSE printf('%.3f', f1) END AS "F1",
+         CASE WHEN em IS NULL THEN '-' ELSE printf('%.3f', em) END AS "EM",
+         strftime(make_timestamp(timestamp * 1000000), '%Y-%m-%d %H:%M') AS "Timestamp"
+  FROM runs
+)
+"""
+
+Q["score_items"] = f"WITH {_ITEMS} SELECT id, metric, round(score, 6) AS score FROM scores"
+Q["aggregate_metrics"] = f"""
+WITH {_ITEMS} SELECT dataset, mode, role, metric, round(avg(score), 6) AS mean FROM scores GROUP BY ALL
+"""
+Q["run_result"] = f"""
+WITH {_ITEMS}
+SELECT dataset, mode, role, n, round(acc, 6) AS acc, round(f1, 6) AS f1, round(em, 6) AS em, timestamp FROM runs
+"""
+Q["leaderboard"] = f"WITH {_ITEMS} SELECT * FROM board"
+_HEAD = ("# " + K.LEADERBOARD_TITLE + "\n\n| " + " | ".join(K.LEADERBOARD_HEADERS) + " |\n|"
+         + "|".join(["---"] * len(K.LEADERBOARD_HEADERS)) + "|\n")
+Q["leaderboard_markdown"] = f"""
+WITH {_ITEMS}
+SELECT {lit(_HEAD)} || coalesce(string_agg('| ' || concat_ws(' | ', "Dataset", "Mode", "Role", CAST("N" AS VARCHAR),
+       "Acc", "F1", "EM", "Timestamp") || ' |', chr(10)
+       ORDER BY "Dataset", "Mode", "Role", "N", "Acc", "F1", "EM", "Timestamp"), '') AS markdown
+FROM board
+"""
+
+Q["vision_accuracy"] = """
+WITH j AS (
+  SELECT CASE WHEN (CASE WHEN l.toxic = 1 THEN '1.0' ELSE '0.0' END) = '1.0' THEN 1 ELSE 0 END AS y,
+         CASE WHEN contains(lower(coalesce(d.text, '')), 'cardio') THEN 1 ELSE 0 END AS p
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+)
+SELECT count(*) AS n, round(coalesce(sum(CASE WHEN y = p THEN 1 ELSE 0 END), 0)::DOUBLE / greatest(1, count(*)), 6) AS acc
+FROM j
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -147,3 +147,159 @@ def q_dedup_exact(spark, sf):
 @register("split_random")
 def q_split_random(spark, sf):
     return split.split_random(_docs(spark, sf), key="doc_id").select("doc_id", "split")
+
+
+# --------------------------------------------------------------------------- QA evaluation
+from ..functions import normalize_answer, strip_ws  # noqa: E402
+from ..operators import evalqa  # noqa: E402
+from .fixtures import qa_turns  # noqa: E402
+
+RUN_TS = 1_700_000_000
+
+
+def qa_items(spark, sf):
+    """Scored items from conversation turns (dataset = item type, mode rag, role clinician)."""
+    t = qa_turns(spark, sf)
+    return t.select(
+        "id", "type", "question", "pred",
+        F.when(F.col("type") == "yn", F.lower(strip_ws(F.col("gold")))).otherwise(F.col("gold")).alias("answer"),
+        evalqa.extract_letter("question").alias("label"),
+        F.col("type").alias("dataset"), F.lit("rag").alias("mode"), F.lit("clinician").alias("role"),
+    )
+
+
+def mcq_rows(spark, sf):
+    o = load(spark, sf, "orders")
+    cop = F.element_at(F.array(*[F.lit(x) for x in ["a", "B", " c ", "d", "x", ""]]),
+                       (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("id"),
+                    F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("question"),
+                    F.col("o_orderstatus").alias("opa"), F.col("o_orderpriority").alias("opb"),
+                    F.col("o_custkey").cast("string").alias("opc"), F.lit("").alias("opd"), cop.alias("cop"))
+
+
+@register("load_pubmedqa")
+def q_load_pubmedqa(spark, sf):
+    c = load(spark, sf, "conversations")
+    raw = c.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.when(F.col("turn") % 2 == 0, F.col("text")).alias("question"),
+        F.col("text").alias("ques"),
+        F.when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit("")).alias("context"),
+        F.col("role").alias("abstract"),
+        F.when(F.col("turn") % 3 == 0, F.lit(" Yes ")).alias("answer"),
+        F.upper(F.col("role")).alias("final_decision"),
+    )
+    return evalqa.load_pubmedqa(raw)
+
+
+@register("load_mcq")
+def q_load_mcq(spark, sf):
+    m = evalqa.load_mcq(mcq_rows(spark, sf))
+    return m.select("id", "type", "question", F.array_join("options", "|").alias("options"), "label")
+
+
+@register("load_shortqa")
+def q_load_shortqa(spark, sf):
+    c = load(spark, sf, "conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("question"),
+        F.col("role").alias("context"))
+    return evalqa.load_shortqa(c)
+
+
+@register("prompt_mcq")
+def q_prompt_mcq(spark, sf):
+    m = evalqa.load_mcq(mcq_rows(spark, sf))
+    return m.select("id", evalqa.prompt_mcq("question", "options").alias("prompt"))
+
+
+@register("prompt_short")
+def q_prompt_short(spark, sf):
+    return qa_turns(spark, sf).select("id", evalqa.prompt_short("question", "pred").alias("prompt"))
+
+
+@register("prompt_yesno")
+def q_prompt_yesno(spark, sf):
+    return qa_turns(spark, sf).select("id", evalqa.prompt_yesno("question", "pred").alias("prompt"))
+
+
+@register("extract_letter")
+def q_extract_letter(spark, sf):
+    return load(spark, sf, "conversations").select("conv_id", "turn", evalqa.extract_letter("text").alias("letter"))
+
+
+@register("extract_yesno")
+def q_extract_yesno(spark, sf):
+    return load(spark, sf, "conversations").select("conv_id", "turn", evalqa.extract_yesno("text").alias("yn"))
+
+
+@register("normalize_answer")
+def q_normalize_answer(spark, sf):
+    return load(spark, sf, "conversations").select("conv_id", "turn", normalize_answer("text").alias("norm"))
+
+
+@register("exact_match")
+def q_exact_match(spark, sf):
+    return qa_turns(spark, sf).select("id", evalqa.exact_match("pred", "gold").alias("em"))
+
+
+@register("token_f1")
+def q_token_f1(spark, sf):
+    f = evalqa.token_f1(qa_turns(spark, sf), "id", "pred", "gold")
+    return f.select("id", F.round("f1", 6).alias("f1"))
+
+
+@register("mcq_accuracy")
+def q_mcq_accuracy(spark, sf):
+    t = qa_turns(spark, sf)
+    return t.select("id", evalqa.mcq_accuracy(evalqa.extract_letter("pred"), evalqa.extract_letter("question"))
+                    .alias("acc"))
+
+
+@register("yesno_accuracy")
+def q_yesno_accuracy(spark, sf):
+    t = qa_turns(spark, sf)
+    return t.select("id", evalqa.yesno_accuracy(evalqa.extract_yesno("pred"), F.lower(strip_ws("question")))
+                    .alias("acc"))
+
+
+@register("score_items")
+def q_score_items(spark, sf):
+    s = evalqa.score_items(qa_items(spark, sf))
+    return s.select("id", "metric", F.round("score", 6).alias("score"))
+
+
+@register("aggregate_metrics")
+def q_aggregate_metrics(spark, sf):
+    a = evalqa.aggregate_metrics(evalqa.score_items(qa_items(spark, sf)))
+    return a.select("dataset", "mode", "role", "metric", F.round("mean", 6).alias("mean"))
+
+
+def _run_results(spark, sf):
+    return evalqa.run_result(evalqa.score_items(qa_items(spark, sf)), RUN_TS)
+
+
+@register("run_result")
+def q_run_result(spark, sf):
+    r = _run_results(spark, sf)
+    m = lambda k: F.round(F.try_element_at("metrics", F.lit(k)), 6).alias(k)
+    return r.select("dataset", "mode", "role", "n", m("acc"), m("f1"), m("em"), "timestamp")
+
+
+@register("leaderboard")
+def q_leaderboard(spark, sf):
+    return evalqa.leaderboard(_run_results(spark, sf))
+
+
+@register("leaderboard_markdown")
+def q_leaderboard_markdown(spark, sf):
+    return evalqa.leaderboard_markdown(evalqa.leaderboard(_run_results(spark, sf)))
+
+
+@register("vision_accuracy")
+def q_vision_accuracy(spark, sf):
+    gold = load(spark, sf, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, F.lit("1.0")).otherwise(F.lit("0.0")).alias("cardiomegaly"))
+    preds = load(spark, sf, "documents").select("doc_id", F.col("text").alias("finding"))
+    r = evalqa.vision_accuracy(gold, preds, "doc_id", "cardiomegaly", "finding")
+    return r.select("n", F.round("acc", 6).alias("acc"))
