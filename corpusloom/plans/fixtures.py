@@ -80,3 +80,41 @@ def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_license_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in K.ALLOWED_LICENSES], "license string")
+
+
+# FIXED VALUES: interaction rules over the part-name vocabulary of the driver
+# tables (same shape as the shipped rule file), used by the basket queries.
+BASKET_RULES = {
+    "synonyms": {
+        "plate": ["red plate", "blue plate", "hot plate"],
+        "ring": ["hot ring", "small ring"],
+        "gizmo": ["red plate", "old gizmo"],
+    },
+    "pairs": [
+        {"a": "plate", "b": "ring", "note": "plates and rings ↑ wear — avoid"},
+        {"a": "old rod", "b": "new rod", "note": "mixed rod ages"},
+        {"a": "gizmo", "b": "plate", "note": "gizmo on plate"},
+    ],
+    "classes": [
+        {"classA": ["gearish"], "classB": ["boltish"], "note": "gear before bolt"},
+        {"classA": ["boltish", "hotstuff"], "classB": ["gearish"], "note": "bolt or hot item before gear"},
+    ],
+    "class_members": {
+        "gearish": ["Small Gear", "large gear", "cold gear"],
+        "boltish": ["new bolt", "old bolt", "hot bolt"],
+        "hotstuff": ["hot bolt", "hot gizmo", "plate", "Small Gear"],
+    },
+}
+
+
+def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baskets = orders; items = their line items' part names in line order.
+
+    Even lines carry the name upper-cased with a leading space, to exercise
+    the lower/strip step of the canonical-name lookup.
+    """
+    li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    j = li.join(p, li["l_partkey"] == p["p_partkey"])
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(F.col("p_name"))
+    return j.select(F.col("l_orderkey").alias("basket"), F.col("l_linenumber").alias("pos"), name.alias("name"))

@@ -18,6 +18,7 @@ SUBST = {
     "@EMAIL@": EMAIL_RE,
     "@IPV4@": IPV4_RE,
     "@PHONE@": PHONE_RE,
+    "@JSWS@": r"[\x{09}-\x{0d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]",
 }
 
 # Reusable SQL expressions (DuckDB)
@@ -441,6 +442,124 @@ FROM j
 """
 
 
+# --------------------------------------------------------------------------- interactions and roles
+from .fixtures import BASKET_RULES  # noqa: E402
+
+JS_WS = r"[\x{09}-\x{0d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _values(rows) -> str:
+    def v(x):
+        if isinstance(x, str):
+            return lit(x)
+        if isinstance(x, list):
+            return "[" + ", ".join(lit(e) for e in x) + "]"
+        return str(x)
+    return "VALUES " + ", ".join("(" + ", ".join(v(x) for x in r) + ")" for r in rows)
+
+
+def _rule_ctes(rules: dict) -> str:
+    syn = []
+    for prio, (canon, syns) in enumerate(rules["synonyms"].items()):
+        syn.append((canon, canon, prio))
+        syn.extend((x, canon, prio) for x in syns)
+    pairs = [(i, r["a"], r["b"], r["note"]) for i, r in enumerate(rules["pairs"])]
+    crs = [(i, r["classA"], r["classB"], r["note"]) for i, r in enumerate(rules["classes"])]
+    mem = [(m.lower(), c, cpos) for cpos, (c, ms) in enumerate(rules["class_members"].items()) for m in ms]
+    return f"""
+syn(name, canon, prio) AS ({_values(syn)}),
+pr(rule, ra, rb, note) AS ({_values(pairs)}),
+cr(rule, class_a, class_b, note) AS ({_values(crs)}),
+cm(drug, class, class_pos) AS ({_values(mem)}),
+items AS (
+  SELECT l_orderkey AS basket, l_linenumber AS pos,
+         CASE WHEN l_linenumber % 2 = 0 THEN ' ' || upper(p_name) ELSE p_name END AS name
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+),
+canon AS (
+  SELECT basket, pos, coalesce(s.canon, i.n) AS drug
+  FROM (SELECT basket, pos, lower({strip('name')}) AS n FROM items WHERE name IS NOT NULL AND name <> '') i
+  LEFT JOIN (SELECT name, arg_min(canon, prio) AS canon FROM syn GROUP BY name) s ON s.name = i.n
+),
+pm AS (
+  SELECT DISTINCT c1.basket, pr.ra || ' + ' || pr.rb || ': ' || pr.note AS msg
+  FROM canon c1 JOIN canon c2 ON c1.basket = c2.basket AND c1.pos < c2.pos
+  JOIN pr ON (c1.drug = pr.ra AND c2.drug = pr.rb) OR (c1.drug = pr.rb AND c2.drug = pr.ra)
+),
+dc AS (
+  SELECT drug, string_agg(class, ',' ORDER BY class_pos) AS classes, list(class) AS cls
+  FROM (SELECT DISTINCT drug, class, class_pos FROM cm) GROUP BY drug
+),
+cmsg AS (
+  SELECT DISTINCT c1.basket,
+         c1.drug || ' (class ' || d1.classes || ') + ' || c2.drug || ' (class ' || d2.classes || '): ' || cr.note AS msg
+  FROM canon c1 JOIN canon c2 ON c1.basket = c2.basket AND c1.pos < c2.pos
+  JOIN dc d1 ON d1.drug = c1.drug JOIN dc d2 ON d2.drug = c2.drug
+  JOIN cr ON list_has_any(d1.cls, cr.class_a) AND list_has_any(d2.cls, cr.class_b)
+),
+allm AS (SELECT basket, msg FROM pm UNION SELECT basket, msg FROM cmsg),
+checked AS (
+  SELECT o_orderkey AS basket, count(m.msg)::BIGINT AS n_msgs,
+         coalesce(string_agg(m.msg, chr(10) ORDER BY m.msg), '') AS messages,
+         string_agg(m.msg, chr(10) || '- ' ORDER BY m.msg) AS joined
+  FROM orders LEFT JOIN allm m ON m.basket = o_orderkey GROUP BY o_orderkey
+)
+"""
+
+
+_RULES = _rule_ctes(BASKET_RULES)
+
+Q["parse_med_list"] = f"""
+WITH o AS (SELECT o_orderkey, concat_ws(', ', o_orderstatus, ' ' || o_orderpriority, '') AS meds FROM orders),
+l AS (
+  SELECT o_orderkey, CASE WHEN meds IS NULL OR meds = '' THEN []::VARCHAR[]
+         ELSE list_transform(string_split(meds, ','), lambda x: regexp_replace(x, '^@JSWS@+|@JSWS@+$', '', 'g')) END AS l
+  FROM o
+)
+SELECT o_orderkey, array_to_string(l, '|') AS meds, len(l)::INTEGER AS n FROM l
+"""
+
+Q["canonical_name"] = f"WITH {_RULES} SELECT basket, pos, drug FROM canon"
+Q["drug_classes"] = f"""
+WITH {_RULES}
+SELECT d.drug, coalesce(dc.classes, '') AS classes FROM (SELECT DISTINCT drug FROM canon) d JOIN dc ON d.drug = dc.drug
+"""
+Q["pair_rules"] = f"WITH {_RULES} SELECT basket, msg FROM pm"
+Q["class_rules"] = f"WITH {_RULES} SELECT basket, msg FROM cmsg"
+Q["check_interactions"] = f"WITH {_RULES} SELECT basket, n_msgs, messages FROM checked"
+Q["append_findings"] = f"""
+WITH {_RULES}
+SELECT basket, 'Answer for order ' || CAST(basket AS VARCHAR)
+       || CASE WHEN n_msgs > 0 THEN {lit(K.DDI_HEADER)} || joined ELSE '' END AS answer
+FROM checked
+"""
+
+_ROLE = "(['patient', 'clinician', 'pharma', 'student', 'visitor'])[conv_id % 5 + 1]"
+Q["disclaimer"] = f"""
+SELECT conv_id, turn, {_ROLE} AS role,
+       CASE WHEN {_ROLE} = 'patient' THEN {lit(K.DISCLAIMER_PATIENT)} ELSE {lit(K.DISCLAIMER_OTHER)} END AS disclaimer
+FROM conversations
+"""
+Q["route"] = f"""
+WITH r(route_role, use_rag, use_ddi) AS ({_values([(a, str(b).upper(), str(c).upper()) for a, b, c in K.ROUTING]).replace("'TRUE'", "TRUE").replace("'FALSE'", "FALSE")}),
+c AS (SELECT conv_id, turn, {_ROLE} AS role FROM conversations)
+SELECT conv_id, turn, role, coalesce(use_rag, TRUE) AS use_rag, coalesce(use_ddi, FALSE) AS use_ddi
+FROM c LEFT JOIN r ON c.role = r.route_role
+"""
+Q["bmi"] = """
+SELECT p_partkey, round((p_retailprice / 10.0::DOUBLE) /
+       (nullif(p_size::DOUBLE / 20.0::DOUBLE, 0.0::DOUBLE) * nullif(p_size::DOUBLE / 20.0::DOUBLE, 0.0::DOUBLE)), 6) AS bmi
+FROM part
+"""
+_SRC_NAMES = "[" + ", ".join(lit(s) for _, s, _ in K.DATA_SOURCES) + "]"
+_SRC_ON = "(" + ", ".join(lit(s) for _, s, e in K.DATA_SOURCES if e) + ")"
+Q["enabled_sources"] = f"""
+SELECT doc_id, source FROM (
+  SELECT doc_id, ({_SRC_NAMES})[CAST(substr(source, 4, 10) AS INTEGER) % {len(K.DATA_SOURCES)} + 1] AS source FROM documents)
+WHERE source IN {_SRC_ON}
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -303,3 +303,98 @@ def q_vision_accuracy(spark, sf):
     preds = load(spark, sf, "documents").select("doc_id", F.col("text").alias("finding"))
     r = evalqa.vision_accuracy(gold, preds, "doc_id", "cardiomegaly", "finding")
     return r.select("n", F.round("acc", 6).alias("acc"))
+
+
+# --------------------------------------------------------------------------- interactions and roles
+from ..operators import interactions as ddi  # noqa: E402
+from ..operators import roles  # noqa: E402
+from .fixtures import BASKET_RULES, basket_items  # noqa: E402
+
+
+@register("parse_med_list")
+def q_parse_med_list(spark, sf):
+    o = load(spark, sf, "orders").select(
+        "o_orderkey", F.concat_ws(", ", "o_orderstatus", F.concat(F.lit(" "), "o_orderpriority"), F.lit("")).alias("meds"))
+    return o.select("o_orderkey", F.array_join(ddi.parse_med_list("meds"), "|").alias("meds"),
+                    F.size(ddi.parse_med_list("meds")).alias("n"))
+
+
+@register("canonical_name")
+def q_canonical_name(spark, sf):
+    rules = ddi.Rules(spark, BASKET_RULES)
+    return ddi.canonical_name(basket_items(spark, sf), rules).select("basket", "pos", "drug")
+
+
+@register("drug_classes")
+def q_drug_classes(spark, sf):
+    rules = ddi.Rules(spark, BASKET_RULES)
+    c = ddi.drug_classes(ddi.canonical_name(basket_items(spark, sf), rules), rules)
+    return c.select("drug", F.array_join("classes", ",").alias("classes"))
+
+
+@register("pair_rules")
+def q_pair_rules(spark, sf):
+    rules = ddi.Rules(spark, BASKET_RULES)
+    return ddi.pair_rules(ddi.canonical_name(basket_items(spark, sf), rules), rules)
+
+
+@register("class_rules")
+def q_class_rules(spark, sf):
+    rules = ddi.Rules(spark, BASKET_RULES)
+    return ddi.class_rules(ddi.canonical_name(basket_items(spark, sf), rules), rules)
+
+
+def _checked(spark, sf):
+    rules = ddi.Rules(spark, BASKET_RULES)
+    baskets = load(spark, sf, "orders").select(F.col("o_orderkey").alias("basket"))
+    return ddi.check_interactions(basket_items(spark, sf), rules, baskets)
+
+
+@register("check_interactions")
+def q_check_interactions(spark, sf):
+    c = _checked(spark, sf)
+    return c.select("basket", F.size("ddi").cast("long").alias("n_msgs"), F.array_join("ddi", "\n").alias("messages"))
+
+
+@register("append_findings")
+def q_append_findings(spark, sf):
+    c = _checked(spark, sf)
+    text = F.concat(F.lit("Answer for order "), F.col("basket").cast("string"))
+    return c.select("basket", ddi.append_findings(text, "ddi").alias("answer"))
+
+
+def _role_of(conv_id):
+    return F.element_at(F.array(*[F.lit(r) for r in ("patient", "clinician", "pharma", "student", "visitor")]),
+                        (conv_id % 5 + 1).cast("int"))
+
+
+@register("disclaimer")
+def q_disclaimer(spark, sf):
+    c = load(spark, sf, "conversations")
+    return c.select("conv_id", "turn", _role_of(F.col("conv_id")).alias("role")).select(
+        "conv_id", "turn", "role", roles.disclaimer("role").alias("disclaimer"))
+
+
+@register("route")
+def q_route(spark, sf):
+    c = load(spark, sf, "conversations").select("conv_id", "turn", _role_of(F.col("conv_id")).alias("role"))
+    return roles.route(c, spark).select("conv_id", "turn", "role", "use_rag", "use_ddi")
+
+
+@register("bmi")
+def q_bmi(spark, sf):
+    p = load(spark, sf, "part")
+    return p.select("p_partkey", F.round(roles.bmi(F.col("p_size") / 20.0, F.col("p_retailprice") / 10.0), 6)
+                    .alias("bmi"))
+
+
+def _named_sources(spark, sf):
+    names = [s for _, s, _ in K.DATA_SOURCES]
+    d = load(spark, sf, "documents")
+    idx = (F.substring("source", 4, 10).cast("int") % len(names) + 1).cast("int")
+    return d.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), idx).alias("source"))
+
+
+@register("enabled_sources")
+def q_enabled_sources(spark, sf):
+    return roles.enabled_sources(_named_sources(spark, sf), spark).select("doc_id", "source")
