@@ -560,6 +560,65 @@ WHERE source IN {_SRC_ON}
 """
 
 
+# --------------------------------------------------------------------------- retrieval
+_RET = f"""
+raw AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+idx AS (
+  SELECT vec_id AS id, label, CASE WHEN ss > 0 THEN list_transform(v, lambda x: x / sqrt(ss)) ELSE v END AS v
+  FROM (SELECT vec_id, label, v, list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: x * x)), lambda a, b: a + b) AS ss FROM raw)
+),
+comp AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM idx),
+cen AS (SELECT label, list(m ORDER BY pos) AS q FROM (SELECT label, pos, avg(x) AS m FROM comp GROUP BY label, pos) GROUP BY label),
+qs AS (
+  SELECT label::BIGINT AS query_id, CASE WHEN ss > 0 THEN list_transform(q, lambda x: x / sqrt(ss)) ELSE q END AS q
+  FROM (SELECT label, q, list_reduce(list_prepend(0.0::DOUBLE, list_transform(q, lambda x: x * x)), lambda a, b: a + b) AS ss FROM cen)
+),
+sc AS (SELECT query_id, id, list_dot_product(q, v) AS score FROM qs, idx),
+hits AS (
+  SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id ASC) AS rank FROM sc)
+  WHERE rank <= 5
+),
+store AS (
+  SELECT e.vec_id AS id, d.text, d.source, {license_('d.source')} AS license
+  FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+),
+hm AS (SELECT h.query_id, h.rank, h.id, h.score, s.text, s.source, s.license FROM hits h JOIN store s ON h.id = s.id),
+ev AS (
+  SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] (' || coalesce(source, 'unknown') || ') '
+                              || substr(coalesce(text, ''), 1, 800), chr(10) ORDER BY rank) AS evidence,
+         string_agg('[' || coalesce(source, 'unknown') || '] score=' || printf('%.3f', score), ' | ' ORDER BY rank) AS citations
+  FROM hm GROUP BY query_id
+),
+req AS (SELECT query_id, 'Which passages resemble group ' || CAST(query_id AS VARCHAR) || '? (100% sure)' AS query FROM qs)
+"""
+
+Q["l2_normalize"] = f"""
+WITH {_RET}
+SELECT id AS vec_id, len(v)::INTEGER AS dim,
+       round(list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: x * x)), lambda a, b: a + b), 6) AS sum_sq,
+       round(list_reduce(list_prepend(0.0::DOUBLE, v), lambda a, b: a + b), 6) AS sum_v
+FROM idx
+"""
+Q["knn_topk"] = f"WITH {_RET} SELECT query_id, rank, id, round(score, 6) AS score FROM hits"
+Q["hit_metadata"] = f"""
+WITH {_RET} SELECT query_id, rank, id, coalesce(source, 'unknown') AS source, license, length(text) AS text_len FROM hm
+"""
+Q["evidence_block"] = f"WITH {_RET} SELECT query_id, evidence FROM ev"
+Q["format_citations"] = f"WITH {_RET} SELECT query_id, citations FROM ev"
+Q["build_prompt"] = f"""
+WITH {_RET}
+SELECT r.query_id, {lit(K.PROMPT_TEMPLATE_HEAD)} || r.query || {lit(K.PROMPT_TEMPLATE_MID)}
+       || coalesce(ev.evidence, {lit(K.NO_HIT_EVIDENCE)}) || {lit(K.PROMPT_TEMPLATE_TAIL)} AS prompt
+FROM req r LEFT JOIN ev ON r.query_id = ev.query_id
+"""
+Q["answer_batch"] = f"""
+WITH {_RET}
+SELECT r.query_id, 'clinician' AS role, 'Answer to: ' || r.query AS answer, coalesce(ev.citations, '') AS citations,
+       0::BIGINT AS n_ddi, {lit(K.DISCLAIMER_OTHER)} AS disclaimer
+FROM req r LEFT JOIN ev ON r.query_id = ev.query_id
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -398,3 +398,89 @@ def _named_sources(spark, sf):
 @register("enabled_sources")
 def q_enabled_sources(spark, sf):
     return roles.enabled_sources(_named_sources(spark, sf), spark).select("doc_id", "source")
+
+
+# --------------------------------------------------------------------------- retrieval
+from ..operators import retrieve  # noqa: E402
+
+
+def _index(spark, sf):
+    e = load(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", retrieve.l2_normalize("embedding").alias("embedding"))
+
+
+def _queries(spark, sf):
+    """One query per label: the normalised mean of that label's index vectors."""
+    m = retrieve.mean_vector(_index(spark, sf), "label", "embedding")
+    return m.select(F.col("label").cast("long").alias("query_id"), retrieve.l2_normalize("embedding").alias("embedding"))
+
+
+def _store(spark, sf):
+    """Passage store keyed like the index: vector id -> document text/source/license."""
+    from .fixtures import license_of
+    e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return e.join(d, "id", "left").withColumn("license", license_of(F.col("source")))
+
+
+def _hits(spark, sf):
+    h = retrieve.knn_topk(_index(spark, sf), _queries(spark, sf))
+    return retrieve.hit_metadata(h, _store(spark, sf))
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf):
+    v = _index(spark, sf)
+    return v.select(F.col("id").alias("vec_id"), F.size("embedding").alias("dim"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_v"))
+
+
+@register("knn_topk")
+def q_knn_topk(spark, sf):
+    h = retrieve.knn_topk(_index(spark, sf), _queries(spark, sf))
+    return h.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("hit_metadata")
+def q_hit_metadata(spark, sf):
+    h = _hits(spark, sf)
+    return h.select("query_id", "rank", "id", F.coalesce("source", F.lit("unknown")).alias("source"), "license",
+                    F.length("text").alias("text_len"))
+
+
+@register("evidence_block")
+def q_evidence_block(spark, sf):
+    return retrieve.evidence_block(_hits(spark, sf))
+
+
+@register("format_citations")
+def q_format_citations(spark, sf):
+    return retrieve.format_citations(_hits(spark, sf))
+
+
+def _requests(spark, sf):
+    q = _queries(spark, sf).select("query_id")
+    return q.select("query_id", F.concat(F.lit("Which passages resemble group "), F.col("query_id").cast("string"),
+                                         F.lit("? (100% sure)")).alias("query"),
+                    F.lit("clinician").alias("role"))
+
+
+@register("build_prompt")
+def q_build_prompt(spark, sf):
+    r = retrieve.no_hit_fallback(_requests(spark, sf), retrieve.evidence_block(_hits(spark, sf)))
+    return r.select("query_id", retrieve.build_prompt("query", "evidence").alias("prompt"))
+
+
+@register("answer_batch")
+def q_answer_batch(spark, sf):
+    req = _requests(spark, sf).withColumn("generated", F.concat(F.lit("Answer to: "), F.col("query")))
+    a = retrieve.answer_batch(req, _hits(spark, sf))
+    return a.select("query_id", "role", "answer", "citations", F.size("ddi").cast("long").alias("n_ddi"), "disclaimer")
+
+
+@register("encode_text")
+def q_encode_text(spark, sf):
+    e = retrieve.encode_text(_docs(spark, sf), "text", "doc_id")
+    return e.select("doc_id", F.size("embedding").alias("dim"),
+                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).cast("long").alias("l1"))
