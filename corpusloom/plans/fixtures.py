@@ -118,3 +118,40 @@ def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = li.join(p, li["l_partkey"] == p["p_partkey"])
     name = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), F.upper("p_name"))).otherwise(F.col("p_name"))
     return j.select(F.col("l_orderkey").alias("basket"), F.col("l_linenumber").alias("pos"), name.alias("name"))
+
+
+# FIXED VALUES: test vocabularies.  FUZZY_VOCAB targets the part-name
+# vocabulary (near spellings, a one-letter term, two systems); PHRASE_VOCAB
+# holds words and phrases of the generated document prose.
+FUZZY_VOCAB = [
+    ("icd10", "small rings", ["R10", "R11"]),
+    ("icd10", "red widgets", ["W20"]),
+    ("icd10", "blue bolt", ["B30", "R10"]),
+    ("icd10", "hot gears", ["G40"]),
+    ("icd10", "cold anvils", ["A50"]),
+    ("icd10", "large plate", ["P60"]),
+    ("icd10", "old rods", ["D70"]),
+    ("icd10", "new gizmo", ["Z80"]),
+    ("icd10", "x", ["X90"]),
+    ("icd10", "blue bolts", ["B31"]),
+    ("snomed", "small ring", ["1001"]),
+    ("snomed", "hot gear", ["1002", "1003"]),
+    ("snomed", "hot gears", ["1004"]),
+    ("snomed", "Red Plate", ["1005"]),
+    ("snomed", "new widget", ["1006"]),
+    ("rxnorm", "old gizmos", ["RX1"]),
+    ("meddra", "cold plates", ["M1"]),
+]
+
+PHRASE_VOCAB = [
+    ("icd10", "of the", ["T001"]),
+    ("icd10", "de la", ["T002", "T003"]),
+    ("icd10", "In the", ["T004"]),
+    ("icd10", "orantion", ["T005"]),
+    ("icd10", "hehely hehely", ["T006"]),
+    ("icd10", "und", ["T007"]),
+    ("icd10", "der der die", ["T008"]),
+    ("icd10", "to the", ["T001", "T009"]),
+    ("icd10", "worthless", ["T010"]),
+    ("icd10", "the and of the", ["T011"]),
+]

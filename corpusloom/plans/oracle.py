@@ -619,6 +619,73 @@ FROM req r LEFT JOIN ev ON r.query_id = ev.query_id
 """
 
 
+# --------------------------------------------------------------------------- labelling
+from .fixtures import FUZZY_VOCAB, PHRASE_VOCAB  # noqa: E402
+
+
+def _vocab_values(rows) -> str:
+    pos: dict[str, int] = {}
+    out = []
+    for system, term, codes in rows:
+        out.append((system, pos.get(system, 0), term, codes))
+        pos[system] = pos.get(system, 0) + 1
+    return _values(out)
+
+
+_FUZZY = f"""
+v(system, pos, term, codes) AS ({_vocab_values(FUZZY_VOCAB)}),
+t AS (SELECT p_partkey AS id, p_name AS text FROM part),
+c AS (
+  SELECT t.id, v.system, v.pos, v.term, v.codes, greatest(length(t.text), length(v.term)) AS L,
+         levenshtein(t.text, v.term) AS d
+  FROM t, v WHERE t.text IS NOT NULL AND length(t.text) > 0 AND length(v.term) > 0
+),
+s AS (SELECT id, system, pos, term, codes, (L - d) * 100.0::DOUBLE / L AS score FROM c WHERE (L - d) * 100 >= L * 86),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, system ORDER BY score DESC, pos ASC) AS rank FROM s),
+top AS (SELECT * FROM r WHERE rank <= 3),
+codes AS (
+  SELECT id, system, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes FROM top GROUP BY id, system
+)
+"""
+
+Q["fuzzy_topk"] = f"WITH {_FUZZY} SELECT id, system, pos, term, round(score, 6) AS score, rank FROM top"
+for _sys in ("icd10", "snomed", "rxnorm", "meddra"):
+    Q[f"map_{_sys}"] = f"""
+WITH {_FUZZY}
+SELECT t.id, coalesce(c.codes, '') AS codes FROM t LEFT JOIN codes c ON c.id = t.id AND c.system = '{_sys}'
+"""
+
+Q["auto_label"] = f"""
+WITH {_FUZZY}
+SELECT 'part_' || CAST(p.p_partkey AS VARCHAR) AS id, p.p_name AS text,
+       CASE WHEN p.p_size % 4 = 0 THEN 'KEEP' WHEN p.p_name IS NOT NULL AND length(p.p_name) > 0 THEN coalesce(ci.codes, '') END AS labels_icd10,
+       CASE WHEN p.p_name IS NOT NULL AND length(p.p_name) > 0 THEN coalesce(cs.codes, '') END AS labels_snomed
+FROM part p
+LEFT JOIN codes ci ON ci.id = p.p_partkey AND ci.system = 'icd10'
+LEFT JOIN codes cs ON cs.id = p.p_partkey AND cs.system = 'snomed'
+"""
+
+_PHRASE = f"regexp_replace({dproc('@X@')}, ' +', ' ', 'g')"
+Q["link_phrases"] = f"""
+WITH v0(system, pos, term, codes) AS ({_vocab_values(PHRASE_VOCAB)}),
+v AS (SELECT {_PHRASE.replace('@X@', 'term')} AS phrase, codes FROM v0),
+w AS (
+  SELECT doc_id, list_filter(string_split({_PHRASE.replace('@X@', 'text')}, ' '), lambda x: length(x) > 0) AS w
+  FROM documents
+),
+g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) AS phrase FROM w
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) FROM w
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) FROM w
+  UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 2),
+                                  lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) FROM w
+),
+h AS (SELECT g.doc_id, v.codes FROM g JOIN v ON g.phrase = v.phrase)
+SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes, count(*) AS n_mentions
+FROM h GROUP BY doc_id
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -484,3 +484,51 @@ def q_encode_text(spark, sf):
     e = retrieve.encode_text(_docs(spark, sf), "text", "doc_id")
     return e.select("doc_id", F.size("embedding").alias("dim"),
                     F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).cast("long").alias("l1"))
+
+
+# --------------------------------------------------------------------------- labelling
+from ..operators import label  # noqa: E402
+from .fixtures import FUZZY_VOCAB, PHRASE_VOCAB  # noqa: E402
+
+
+def _part_texts(spark, sf):
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
+
+
+def _codes_query(system):
+    def q(spark, sf):
+        v = label.vocab_from_rows(spark, FUZZY_VOCAB)
+        c = label.map_codes(_part_texts(spark, sf), v, system)
+        return c.select("id", F.array_join("codes", ",").alias("codes"))
+    return q
+
+
+register("map_icd10")(_codes_query("icd10"))
+register("map_snomed")(_codes_query("snomed"))
+register("map_rxnorm")(_codes_query("rxnorm"))
+register("map_meddra")(_codes_query("meddra"))
+
+
+@register("fuzzy_topk")
+def q_fuzzy_topk(spark, sf):
+    v = label.vocab_from_rows(spark, FUZZY_VOCAB)
+    h = label.fuzzy_topk(_part_texts(spark, sf), v)
+    return h.select("id", "system", "pos", "term", F.round("score", 6).alias("score"), "rank")
+
+
+@register("auto_label")
+def q_auto_label(spark, sf):
+    v = label.vocab_from_rows(spark, FUZZY_VOCAB)
+    p = load(spark, sf, "part").select(
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("text"),
+        F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("icd10"), F.array(F.lit("KEEP"))))
+         .otherwise(F.create_map().cast("map<string,array<string>>")).alias("labels"))
+    r = clean.unify(label.auto_label(p, v))
+    return clean.flat_records(r).select("id", "text", "labels_icd10", "labels_snomed")
+
+
+@register("link_phrases")
+def q_link_phrases(spark, sf):
+    v = label.vocab_from_rows(spark, PHRASE_VOCAB)
+    r = label.link_phrases(_docs(spark, sf), v, id_col="doc_id")
+    return r.select("doc_id", F.array_join("codes", ",").alias("codes"), "n_mentions")
