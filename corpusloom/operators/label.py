@@ -95,7 +95,7 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     scored = cand.withColumn("d", F.levenshtein("_t", "term")).filter((L - F.col("d")) * 100 >= L * cutoff)
     scored = scored.withColumn("score", (L - F.col("d")) * 100.0 / L)
     w = Window.partitionBy("_id", "system").orderBy(F.col("score").desc(), F.col("pos").asc())
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
                   .select(F.col("_id").alias(id_col), "system", "pos", "term", "score", "rank"))
 
 

@@ -153,7 +153,7 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
 
     local = index.select(id_col, vec_col).mapInPandas(run, schema)
     w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
                  .select(qid_col, "rank", id_col, "score"))
 
 

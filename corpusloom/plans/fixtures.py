@@ -155,3 +155,84 @@ PHRASE_VOCAB = [
     ("icd10", "worthless", ["T010"]),
     ("icd10", "the and of the", ["T011"]),
 ]
+
+
+# --------------------------------------------------------------------------- raw payload fixtures
+def pubmed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """esummary-style pages built from orders: one page per (customer, block of 1000 order keys).
+
+    Every 7th order has an empty entry and every page lists one extra uid
+    without an entry (both must be skipped).  Page size is bounded by the key
+    block, so no customer becomes one unbounded payload.
+    """
+    o = load(spark, sf_dir, "orders")
+    uid = F.col("o_orderkey").cast("string")
+    rec = F.to_json(F.struct(
+        F.concat(F.lit("Order "), uid, F.lit(" status "), F.col("o_orderstatus")).alias("title"),
+        F.date_format("o_orderdate", "yyyy MMM dd").alias("pubdate"),
+        F.array(F.struct(F.col("o_orderpriority").alias("name")), F.struct(F.lit("clerk").alias("name"))).alias("authors"),
+        F.concat(F.lit("Journal of "), F.col("o_orderstatus")).alias("fulljournalname")))
+    entry = F.concat(F.to_json(F.array(uid)).substr(F.lit(2), F.length(F.to_json(F.array(uid))) - 2), F.lit(":"),
+                     F.when(F.col("o_orderkey") % 7 == 0, F.lit("{}")).otherwise(rec))
+    pages = (o.select("o_custkey", (F.col("o_orderkey") / 1000).cast("long").alias("blk"), "o_orderkey", entry.alias("e"))
+              .groupBy("o_custkey", "blk")
+              .agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "e"))).alias("es")))
+    missing = F.concat(F.lit("missing-"), F.col("o_custkey").cast("string"), F.lit("-"), F.col("blk").cast("string"))
+    uids = F.concat(F.transform("es", lambda s: s["o_orderkey"].cast("string")), F.array(missing))
+    payload = F.concat(F.lit('{"result":{"uids":'), F.to_json(uids), F.lit(","),
+                       F.array_join(F.transform("es", lambda s: s["e"]), ","), F.lit("}}"))
+    return pages.select(payload.alias("payload"))
+
+
+def trial_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ClinicalTrials-style studies from orders + their distinct line return flags; every 5th
+    order lacks the description module."""
+    o = load(spark, sf_dir, "orders")
+    flags = (load(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+             .agg(F.array_sort(F.collect_set("l_returnflag")).alias("conds")))
+    j = o.join(flags, o["o_orderkey"] == flags["l_orderkey"], "left")
+    k = F.col("o_orderkey").cast("string")
+    ident = F.struct(F.concat(F.lit("NCT"), k).alias("nctId"), F.concat(F.lit("Trial "), k).alias("briefTitle"))
+    conds = F.struct(F.coalesce("conds", F.array().cast("array<string>")).alias("conditions"))
+    status = F.struct(F.col("o_orderstatus").alias("overallStatus"))
+    desc = F.struct(F.col("o_orderpriority").alias("briefSummary"))
+    full = F.to_json(F.struct(F.struct(ident.alias("identificationModule"), conds.alias("conditionsModule"),
+                                       status.alias("statusModule"), desc.alias("descriptionModule"))
+                              .alias("protocolSection")))
+    short = F.to_json(F.struct(F.struct(ident.alias("identificationModule"), conds.alias("conditionsModule"),
+                                        status.alias("statusModule")).alias("protocolSection")))
+    return j.select(F.when(F.col("o_orderkey") % 5 == 0, short).otherwise(full).alias("payload"))
+
+
+def label_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """openFDA-label-style documents from part: empty brand lists, missing openfda, missing warnings."""
+    p = load(spark, sf_dir, "part")
+    of = F.struct(F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>"))
+                  .otherwise(F.array("p_brand")).alias("brand_name"),
+                  F.array("p_name").alias("generic_name"))
+    doc = F.struct(
+        F.when(F.col("p_size") % 7 != 0, of).alias("openfda"),
+        F.when(F.col("p_size") % 2 == 0, F.array("p_type", F.lit("second"))).alias("boxed_warning"),
+        F.array(F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("adverse_reactions"),
+        F.array(F.col("p_name")).alias("indications_and_usage"),
+        F.concat(F.lit("spl-"), F.col("p_partkey").cast("string")).alias("spl_set_id"))
+    return p.select("p_partkey", F.to_json(doc).alias("payload"))
+
+
+SPL_CODES = ["34067-9", "34067-9 Indications & Usage", "34073-7", "34073-7", "other"]
+
+
+def spl_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DailyMed-SPL-style documents: one per (order, block of 8 line numbers); section codes
+    cycle through both indication codes, a duplicated interaction code and an unrelated one."""
+    li = load(spark, sf_dir, "lineitem")
+    code = F.element_at(F.array(*[F.lit(c) for c in SPL_CODES]), (F.col("l_linenumber") % len(SPL_CODES) + 1).cast("int"))
+    q = F.col("l_quantity").cast("int")
+    text = F.repeat(F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" qty "), q.cast("string"),
+                             F.lit("; ")), q)
+    blk = (F.col("l_linenumber") / 8).cast("int")
+    g = (li.select("l_orderkey", blk.alias("blk"), "l_linenumber", F.struct(code.alias("code"), text.alias("text")).alias("s"))
+           .groupBy("l_orderkey", "blk").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "s"))).alias("ss")))
+    title = F.concat(F.lit("SPL "), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("blk").cast("string"))
+    doc = F.struct(F.struct(title.alias("title"), F.transform("ss", lambda x: x["s"]).alias("sections")).alias("data"))
+    return g.select("l_orderkey", "blk", F.to_json(doc).alias("payload"))

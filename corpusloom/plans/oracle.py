@@ -686,6 +686,129 @@ FROM h GROUP BY doc_id
 """
 
 
+# --------------------------------------------------------------------------- payload -> record
+def mint(prefix: str, *keys: str) -> str:
+    k = keys[0] if len(keys) == 1 else "concat_ws(chr(1), " + ", ".join(keys) + ")"
+    return f"'{prefix}_' || substr(md5({k}), 1, 16)"
+
+
+Q["flatten_pubmed"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS pmid, 'Order ' || CAST(o_orderkey AS VARCHAR) || ' status ' || o_orderstatus AS title,
+       strftime(o_orderdate, '%Y %b %d') AS pubdate, o_orderpriority || ',clerk' AS authors,
+       'Journal of ' || o_orderstatus AS journal, 'pubmed_esummary' AS source
+FROM orders WHERE o_orderkey % 7 <> 0
+"""
+
+Q["flatten_trials"] = f"""
+WITH f AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS conds FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o.*, 'NCT' || CAST(o_orderkey AS VARCHAR) AS nct, f.conds FROM orders o LEFT JOIN f ON f.l_orderkey = o.o_orderkey)
+SELECT {mint('ct', 'nct')} AS id,
+       'Trial ' || CAST(o_orderkey AS VARCHAR) || ' (' || nct || '). Conditions=' || coalesce(conds, '') || '. Status='
+       || o_orderstatus || '. Summary: ' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS text,
+       'summarize' AS task, NULL::VARCHAR AS image_path, NULL::VARCHAR AS answer,
+       'clinicaltrials' AS source, 'public-domain' AS license, nct
+FROM o
+"""
+
+Q["flatten_labels"] = f"""
+SELECT {mint('openfda', "'spl-' || CAST(p_partkey AS VARCHAR)")} AS id,
+       'Label for ' || CASE WHEN p_size % 7 = 0 THEN 'unknown' WHEN p_size % 3 = 0 THEN p_name ELSE p_brand END
+       || '. Indications: ' || p_name || '. Boxed warning: ' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END
+       || '. Adverse reactions: size ' || CAST(p_size AS VARCHAR) AS text,
+       'summarize' AS task, NULL::VARCHAR AS image_path, NULL::VARCHAR AS answer,
+       'openfda' AS source, 'public-domain' AS license, 'spl-' || CAST(p_partkey AS VARCHAR) AS spl_set_id
+FROM part
+"""
+
+Q["flatten_spl"] = f"""
+WITH s AS (
+  SELECT l_orderkey, l_linenumber // 8 AS blk, l_linenumber,
+         (['34067-9', '34067-9 Indications & Usage', '34073-7', '34073-7', 'other'])[l_linenumber % 5 + 1] AS code,
+         repeat('line ' || CAST(l_linenumber AS VARCHAR) || ' qty ' || CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR)
+                || '; ', CAST(trunc(l_quantity) AS INTEGER)) AS text
+  FROM lineitem
+),
+d AS (
+  SELECT l_orderkey, blk, 'SPL ' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(blk AS VARCHAR) AS title,
+         arg_max(text, struct_pack(ln := l_linenumber, t := text)) FILTER (WHERE code = '34067-9') AS i1,
+         arg_max(text, struct_pack(ln := l_linenumber, t := text)) FILTER (WHERE code = '34067-9 Indications & Usage') AS i2,
+         arg_max(text, struct_pack(ln := l_linenumber, t := text)) FILTER (WHERE code = '34073-7') AS x
+  FROM s GROUP BY l_orderkey, blk
+)
+SELECT {mint('dailymed', 'title')} AS id,
+       title || '. Indications: ' || substr(coalesce(nullif(i1, ''), nullif(i2, ''), ''), 1, 600)
+       || '. Interactions: ' || substr(coalesce(nullif(x, ''), ''), 1, 600) AS text,
+       'ddi' AS task, NULL::VARCHAR AS image_path, NULL::VARCHAR AS answer, 'dailymed' AS source, 'public-domain' AS license
+FROM d
+"""
+
+Q["flatten_chexpert"] = f"""
+WITH r AS (
+  SELECT 'patient' || CAST(doc_id AS VARCHAR) || '\\study1\\view1_frontal.jpg' AS path,
+         CASE WHEN toxic = 1 THEN '1.0' WHEN quality = 0 THEN '-1.0' ELSE '' END AS c
+  FROM labels
+)
+SELECT {mint('chexpert', 'path')} AS id, NULL::VARCHAR AS text, 'classification' AS task,
+       replace('/data/chexpert/' || path, '\\', '/') AS image_path,
+       CASE WHEN c = '1.0' THEN 'Cardiomegaly' ELSE 'No cardiomegaly' END AS answer,
+       'chexpert' AS source, 'custom' AS license
+FROM r
+"""
+
+Q["flatten_isic_csv"] = f"""
+WITH r AS (
+  SELECT 'ISIC_' || CAST(p_partkey AS VARCHAR) AS isic_id,
+         CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name || '.jpg' END AS file_name,
+         CASE WHEN p_size % 5 = 0 THEN 'img' || CAST(p_partkey AS VARCHAR) || '.png' END AS image,
+         CASE WHEN p_size % 4 = 0 THEN 'n' || CAST(p_partkey AS VARCHAR) END AS name,
+         CASE WHEN p_size % 2 = 0 THEN p_type END AS diagnosis_3, p_brand AS diagnosis
+  FROM part
+), f AS (
+  SELECT *, coalesce(nullif(file_name, ''), nullif(image, ''), nullif(name, '')) AS fn FROM r
+)
+SELECT {mint('isic', 'isic_id', 'fn')} AS id, NULL::VARCHAR AS text, 'classification' AS task,
+       'data/images/isic/' || fn AS image_path, coalesce(nullif(diagnosis_3, ''), nullif(diagnosis, '')) AS answer,
+       'isic_cli' AS source, 'CC-BY' AS license, isic_id
+FROM f WHERE fn IS NOT NULL
+"""
+
+Q["flatten_ham10000"] = f"""
+WITH inv AS (SELECT DISTINCT 'ISIC_' || CAST(l_partkey AS VARCHAR) || '.jpg' AS f FROM lineitem),
+m AS (SELECT *, 'ISIC_' || CAST(p_partkey AS VARCHAR) || '.jpg' AS f FROM part)
+SELECT {mint('isic', 'm.f')} AS id, NULL::VARCHAR AS text, 'classification' AS task,
+       'data/images/isic/' || m.f AS image_path, p_type AS answer, 'isic_ham10000' AS source, 'CC-BY' AS license,
+       CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(trunc(p_size * 1.5) AS INTEGER) END AS age,
+       p_brand AS sex, p_name AS site
+FROM m WHERE m.f IN (SELECT f FROM inv)
+"""
+
+Q["group_subject_modalities"] = f"""
+WITH f AS (
+  SELECT l_orderkey, (['flair', 't1ce', 't1', 't2', 'seg'])[l_linenumber % 5 + 1] AS mod FROM lineitem
+),
+g AS (
+  SELECT l_orderkey, 'cases/subj' || CAST(l_orderkey AS VARCHAR) AS folder, 'subj' || CAST(l_orderkey AS VARCHAR) AS subject,
+         bool_or(mod = 'flair') AS has_flair, bool_or(mod = 't1ce') AS has_t1ce, bool_or(mod = 't1') AS has_t1,
+         bool_or(mod = 't2') AS has_t2
+  FROM f GROUP BY l_orderkey
+), h AS (
+  SELECT *, list_filter(['flair', 't1ce', 't1', 't2'], lambda m: (m = 'flair' AND has_flair) OR (m = 't1ce' AND has_t1ce)
+                        OR (m = 't1' AND has_t1) OR (m = 't2' AND has_t2)) AS mods FROM g
+)
+SELECT {mint('brats', 'folder')} AS id,
+       CASE WHEN len(mods) >= 2 THEN '/out/png/' || subject || '_composite.png'
+            ELSE '/out/png/' || subject || '_' || mods[1] || '.png' END AS image_path,
+       array_to_string(mods, ',') AS modalities,
+       CASE WHEN has_flair THEN folder || '/' || subject || '_flair.nii.gz' END AS src_flair,
+       CASE WHEN has_t1ce THEN folder || '/' || subject || '_t1ce.nii.gz' END AS src_t1ce,
+       CASE WHEN has_t1 THEN folder || '/' || subject || '_t1.nii.gz' END AS src_t1,
+       CASE WHEN has_t2 THEN folder || '/' || subject || '_t2.nii.gz' END AS src_t2
+FROM h WHERE len(mods) > 0
+"""
+
+Q["mint_id"] = f"SELECT doc_id, {mint('doc', 'CAST(doc_id AS VARCHAR)')} AS id FROM documents"
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

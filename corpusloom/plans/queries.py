@@ -77,7 +77,7 @@ def q_language_allow(spark, sf):
 @register("min_text_len")
 def q_min_text_len(spark, sf):
     d = _docs(spark, sf).select("doc_id", normalize_text("text").alias("text"))
-    return clean.min_text_len(d).select("doc_id", F.length("text").alias("n"))
+    return clean.min_text_len(d).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @register("license_allow")
@@ -106,7 +106,8 @@ def q_concat_fields(spark, sf):
 
 @register("redact_pii")
 def q_redact_pii(spark, sf):
-    return clean.redact_pii(_docs(spark, sf)).select("doc_id", "text", "n_email", "n_ip", "n_phone")
+    r = clean.redact_pii(_docs(spark, sf))
+    return r.select("doc_id", "text", *[F.col(c).cast("long").alias(c) for c in ("n_email", "n_ip", "n_phone")])
 
 
 # --------------------------------------------------------------------------- dedup
@@ -446,7 +447,7 @@ def q_knn_topk(spark, sf):
 def q_hit_metadata(spark, sf):
     h = _hits(spark, sf)
     return h.select("query_id", "rank", "id", F.coalesce("source", F.lit("unknown")).alias("source"), "license",
-                    F.length("text").alias("text_len"))
+                    F.length("text").cast("long").alias("text_len"))
 
 
 @register("evidence_block")
@@ -532,3 +533,94 @@ def q_link_phrases(spark, sf):
     v = label.vocab_from_rows(spark, PHRASE_VOCAB)
     r = label.link_phrases(_docs(spark, sf), v, id_col="doc_id")
     return r.select("doc_id", F.array_join("codes", ",").alias("codes"), "n_mentions")
+
+
+# --------------------------------------------------------------------------- payload -> record
+from ..functions import mint_id  # noqa: E402
+from ..operators import flatten  # noqa: E402
+from .fixtures import label_payloads, pubmed_pages, spl_payloads, trial_payloads  # noqa: E402
+
+REC_COLS = ["id", "text", "task", "source", "license", "image_path", "answer"]
+
+
+def _rec(df, *extra):
+    return df.select(*[c for c in ("id", "text", "task", "image_path", "answer") if c in df.columns],
+                     F.col("meta.source").alias("source"), F.col("meta.license").alias("license"), *extra)
+
+
+@register("flatten_pubmed")
+def q_flatten_pubmed(spark, sf):
+    r = flatten.flatten_pubmed(pubmed_pages(spark, sf))
+    return r.select("pmid", "title", "pubdate", F.array_join("authors", ",").alias("authors"), "journal", "source")
+
+
+@register("flatten_trials")
+def q_flatten_trials(spark, sf):
+    return _rec(flatten.flatten_trials(trial_payloads(spark, sf)), F.col("meta.nct").alias("nct"))
+
+
+@register("flatten_labels")
+def q_flatten_labels(spark, sf):
+    return _rec(flatten.flatten_labels(label_payloads(spark, sf)), F.col("meta.spl_set_id").alias("spl_set_id"))
+
+
+@register("flatten_spl")
+def q_flatten_spl(spark, sf):
+    return _rec(flatten.flatten_spl(spl_payloads(spark, sf)))
+
+
+@register("flatten_chexpert")
+def q_flatten_chexpert(spark, sf):
+    lab = load(spark, sf, "labels")
+    rows = lab.select(
+        F.concat(F.lit("patient"), F.col("doc_id").cast("string"), F.lit("\\study1\\view1_frontal.jpg")).alias("Path"),
+        F.when(F.col("toxic") == 1, F.lit("1.0")).when(F.col("quality") == 0, F.lit("-1.0")).otherwise(F.lit(""))
+         .alias("Cardiomegaly"))
+    return _rec(flatten.flatten_chexpert(rows, "/data/chexpert"))
+
+
+def _isic_rows(spark, sf):
+    p = load(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    return p.select(
+        F.concat(F.lit("ISIC_"), k).alias("isic_id"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(".jpg"))).alias("file_name"),
+        F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("img"), k, F.lit(".png"))).alias("image"),
+        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("n"), k)).alias("name"),
+        F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("diagnosis_3"),
+        F.col("p_brand").alias("diagnosis"))
+
+
+@register("flatten_isic_csv")
+def q_flatten_isic_csv(spark, sf):
+    return _rec(flatten.flatten_isic_csv(_isic_rows(spark, sf), "data/images/isic"), F.col("meta.isic_id").alias("isic_id"))
+
+
+@register("flatten_ham10000")
+def q_flatten_ham10000(spark, sf):
+    p = load(spark, sf, "part")
+    meta = p.select(F.concat(F.lit("ISIC_"), F.col("p_partkey").cast("string")).alias("image_id"),
+                    F.col("p_type").alias("dx"),
+                    F.when(F.col("p_size") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("p_size") * 1.5).alias("age"),
+                    F.col("p_brand").alias("sex"), F.col("p_name").alias("localization"))
+    inv = load(spark, sf, "lineitem").select(
+        F.concat(F.lit("ISIC_"), F.col("l_partkey").cast("string"), F.lit(".jpg")).alias("name"))
+    r = flatten.flatten_ham10000(meta, inv, "data/images/isic")
+    return _rec(r, F.col("meta.age").alias("age"), F.col("meta.sex").alias("sex"), F.col("meta.site").alias("site"))
+
+
+@register("group_subject_modalities")
+def q_group_subject_modalities(spark, sf):
+    li = load(spark, sf, "lineitem")
+    mod = F.element_at(F.array(*[F.lit(m) for m in ("flair", "t1ce", "t1", "t2", "seg")]),
+                       (F.col("l_linenumber") % 5 + 1).cast("int"))
+    k = F.col("l_orderkey").cast("string")
+    files = li.select(F.concat(F.lit("cases/subj"), k, F.lit("/subj"), k, F.lit("_"), mod, F.lit(".nii.gz")).alias("path"))
+    r = flatten.group_subject_modalities(files, "/out/png")
+    return r.select("id", "image_path", F.array_join("meta.modalities", ",").alias("modalities"),
+                    "src_flair", "src_t1ce", "src_t1", "src_t2")
+
+
+@register("mint_id")
+def q_mint_id(spark, sf):
+    return _docs(spark, sf).select("doc_id", mint_id("doc", "doc_id").alias("id"))
