@@ -236,3 +236,37 @@ def spl_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("SPL "), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("blk").cast("string"))
     doc = F.struct(F.struct(title.alias("title"), F.transform("ss", lambda x: x["s"]).alias("sections")).alias("data"))
     return g.select("l_orderkey", "blk", F.to_json(doc).alias("payload"))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for fixture files under the reliable checkpoint location."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex}"
+
+
+def props_with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events.props with a control character injected between tokens on every 5th event and
+    the closing brace cut on every 11th (those fail both parses)."""
+    e = load(spark, sf_dir, "events")
+    raw = (F.when(F.col("event_id") % 11 == 0, F.regexp_replace("props", "}$", ""))
+            .when(F.col("event_id") % 5 == 0, F.regexp_replace("props", '"k":', '"k":\u0001'))
+            .otherwise(F.col("props")))
+    return e.select("event_id", raw.alias("raw"))
+
+
+def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP responses from pages: status, content type and body cycle through the cases."""
+    p = load(spark, sf_dir, "pages")
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 404, 503, 200, 429, 301, 500)]),
+                          (F.col("page_id") % 7 + 1).cast("int"))
+    ctype = F.element_at(F.array(*[F.lit(x) for x in ("application/json", "text/html; charset=utf-8",
+                                                        "application/json; charset=utf-8", "text/plain",
+                                                        "application/xml", "APPLICATION/JSON")]),
+                         (F.col("page_id") % 6 + 1).cast("int"))
+    body = (F.when(F.col("page_id") % 4 == 0, F.col("html"))
+             .when(F.col("page_id") % 4 == 1, F.to_json(F.struct("page_id", "url")))
+             .when(F.col("page_id") % 4 == 2, F.concat(F.lit(" \n"), F.col("html")))
+             .otherwise(F.concat(F.lit('{"url": "'), F.col("page_id").cast("string"), F.lit('"'))))
+    return p.select("page_id", status.alias("status"), ctype.alias("content_type"), body.alias("body"))

@@ -809,6 +809,72 @@ FROM h WHERE len(mods) > 0
 Q["mint_id"] = f"SELECT doc_id, {mint('doc', 'CAST(doc_id AS VARCHAR)')} AS id FROM documents"
 
 
+# --------------------------------------------------------------------------- sources and sinks
+_CTL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}]"
+
+Q["read_jsonl"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+Q["read_jsonl_dirs"] = """
+SELECT doc_id, text, source FROM documents
+UNION ALL SELECT item_id AS doc_id, text, 'benchmark' AS source FROM benchmark
+"""
+Q["read_csv_records"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || ', "quoted"' || chr(10) || 'second line' AS p_name, p_brand,
+       CAST(p_size AS VARCHAR) AS p_size
+FROM part
+"""
+Q["parse_json_tolerant"] = f"""
+WITH e AS (
+  SELECT event_id, CASE WHEN event_id % 11 = 0 THEN regexp_replace(props, '}}$', '')
+                        WHEN event_id % 5 = 0 THEN replace(props, '"k":', '"k":' || chr(1)) ELSE props END AS raw
+  FROM events
+), c AS (SELECT event_id, raw, regexp_replace(raw, '{_CTL}', '', 'g') AS cl FROM e)
+SELECT event_id,
+       CASE WHEN json_valid(raw) THEN json_extract(raw, '$.k')::BIGINT WHEN json_valid(cl) THEN json_extract(cl, '$.k')::BIGINT END AS k,
+       CASE WHEN json_valid(raw) THEN 'ok' WHEN json_valid(cl) THEN 'cleaned' ELSE 'failed' END AS status
+FROM c
+"""
+Q["triage_responses"] = f"""
+WITH p AS (
+  SELECT page_id, ([200, 404, 503, 200, 429, 301, 500])[page_id % 7 + 1] AS status,
+         (['application/json', 'text/html; charset=utf-8', 'application/json; charset=utf-8', 'text/plain',
+           'application/xml', 'APPLICATION/JSON'])[page_id % 6 + 1] AS content_type,
+         CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN json_object('page_id', page_id, 'url', url)::VARCHAR
+              WHEN 2 THEN ' ' || chr(10) || html ELSE '{{"url": "' || CAST(page_id AS VARCHAR) || '"' END AS body
+  FROM pages
+), f AS (
+  SELECT page_id, status, lower(content_type) AS ct, json_valid(body) AS strict_ok,
+         json_valid(body) OR json_valid(regexp_replace(body, '{_CTL}', '', 'g')) AS tol,
+         starts_with(regexp_replace(body, '^@WS@+', ''), '<') AS lt
+  FROM p
+), r AS (
+  SELECT page_id, status,
+         CASE WHEN status IN (429, 500, 502, 503, 504) THEN 'server_status'
+              WHEN contains(ct, 'text/html') OR contains(ct, 'xml') THEN 'non_json_type'
+              WHEN contains(ct, 'application/json') THEN
+                   CASE WHEN strict_ok THEN 'ok' WHEN lt THEN 'html_as_json' WHEN tol THEN 'ok' ELSE 'unparseable' END
+              WHEN status >= 400 THEN 'http_error'
+              WHEN tol THEN 'ok' ELSE 'unparseable' END AS reason
+  FROM f
+)
+SELECT page_id, status, reason, CASE WHEN reason = 'ok' THEN 'ok' ELSE 'retry' END AS action FROM r
+"""
+Q["ingest_cap"] = "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100"
+_HTML_PRE = ('<!doctype html>\n<html><head><meta charset="utf-8"><title>Orph Leaderboard</title>\n'
+             '<style>body{font-family:system-ui;margin:24px} table{border-collapse:collapse} '
+             'td,th{border:1px solid #ddd;padding:8px}</style>\n</head><body>\n'
+             f'<h1>{K.LEADERBOARD_TITLE}</h1>\n<table><thead><tr>'
+             + "".join(f"<th>{h}</th>" for h in K.LEADERBOARD_HEADERS) + '</tr></thead>\n<tbody>\n')
+_HTML_POST = "\n</tbody></table>\n</body></html>"
+Q["leaderboard_html"] = f"""
+WITH {_ITEMS}
+SELECT {lit(_HTML_PRE)} || coalesce(string_agg('<tr>' || '<td>' || "Dataset" || '</td><td>' || "Mode" || '</td><td>' || "Role"
+       || '</td><td>' || CAST("N" AS VARCHAR) || '</td><td>' || "Acc" || '</td><td>' || "F1" || '</td><td>' || "EM"
+       || '</td><td>' || "Timestamp" || '</td>' || '</tr>', chr(10)
+       ORDER BY "Dataset", "Mode", "Role", "N", "Acc", "F1", "EM", "Timestamp"), '') || {lit(_HTML_POST)} AS html
+FROM board
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import default_process, normalize_text
@@ -624,3 +625,67 @@ def q_group_subject_modalities(spark, sf):
 @register("mint_id")
 def q_mint_id(spark, sf):
     return _docs(spark, sf).select("doc_id", mint_id("doc", "doc_id").alias("id"))
+
+
+# --------------------------------------------------------------------------- sources and sinks
+from .. import sources as S  # noqa: E402
+from .fixtures import landed_responses, props_with_controls, scratch_dir  # noqa: E402
+
+DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@register("read_jsonl")
+def q_read_jsonl(spark, sf):
+    """Documents written as JSON Lines (half plain, half gzip) and read back with a schema."""
+    d = _docs(spark, sf)
+    path = scratch_dir(spark, "jsonl")
+    S.write_jsonl(d.filter(F.col("doc_id") % 2 == 0), f"{path}/plain")
+    S.write_jsonl(d.filter(F.col("doc_id") % 2 == 1), f"{path}/gz", compression="gzip")
+    return S.read_jsonl(spark, [f"{path}/plain", f"{path}/gz"], DOC_SCHEMA)
+
+
+@register("read_jsonl_dirs")
+def q_read_jsonl_dirs(spark, sf):
+    """Three source folders; only plain JSON files match the glob, gzip files are skipped."""
+    path = scratch_dir(spark, "dirs")
+    S.write_jsonl(_docs(spark, sf).select("doc_id", "text", "source"), f"{path}/a")
+    S.write_jsonl(load(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text",
+                                                       F.lit("benchmark").alias("source")), f"{path}/b")
+    S.write_jsonl(load(spark, sf, "labels").select("doc_id", F.lit("x").alias("text"), F.lit("gz").alias("source")),
+                  f"{path}/c", compression="gzip")
+    r = S.read_jsonl_dirs(spark, [f"{path}/a", f"{path}/b", f"{path}/c"],
+                          "doc_id bigint, text string, source string", glob="*.json")
+    return r.select("doc_id", "text", "source")
+
+
+@register("read_csv_records")
+def q_read_csv_records(spark, sf):
+    """part written as header CSV (with quotes and a multi-line field) and read back as strings."""
+    p = load(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("p_partkey"),
+        F.concat(F.col("p_name"), F.lit(', "quoted"\nsecond line')).alias("p_name"), "p_brand",
+        F.col("p_size").cast("string").alias("p_size"))
+    path = scratch_dir(spark, "csv")
+    p.write.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    return S.read_csv_records(spark, path)
+
+
+@register("parse_json_tolerant")
+def q_parse_json_tolerant(spark, sf):
+    r = S.parse_json_tolerant(props_with_controls(spark, sf), "raw", T.StructType([T.StructField("k", T.LongType())]))
+    return r.select("event_id", F.col("parsed.k").alias("k"), F.col("parse_status").alias("status"))
+
+
+@register("triage_responses")
+def q_triage_responses(spark, sf):
+    return S.triage_responses(landed_responses(spark, sf)).select("page_id", "status", "reason", "action")
+
+
+@register("ingest_cap")
+def q_ingest_cap(spark, sf):
+    return S.ingest_cap(_docs(spark, sf), 100, "doc_id").select("doc_id", "source")
+
+
+@register("leaderboard_html")
+def q_leaderboard_html(spark, sf):
+    return evalqa.leaderboard_html(evalqa.leaderboard(_run_results(spark, sf)))
