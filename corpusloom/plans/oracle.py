@@ -875,6 +875,77 @@ FROM board
 """
 
 
+# --------------------------------------------------------------------------- tokenizer, splits, numerics
+_LINES = "l AS (SELECT doc_id, replace(text, chr(10), ' ') AS line FROM documents WHERE text IS NOT NULL AND length(text) > 0)"
+_WF = f"""{_LINES},
+wf AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split({norm('line')}, ' ')) AS word FROM l)
+       WHERE length(word) > 0 GROUP BY word)"""
+
+Q["tokenizer_lines"] = f"WITH {_LINES} SELECT doc_id, line FROM l"
+Q["word_frequency"] = f"WITH {_WF} SELECT word, n FROM wf"
+Q["char_coverage"] = f"""
+WITH {_LINES},
+c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(line, '')) AS ch FROM l) WHERE length(ch) > 0 GROUP BY ch),
+r AS (
+  SELECT ch, n, sum(n) OVER () AS total,
+         coalesce(sum(n) OVER (ORDER BY n DESC, ch ASC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER (ORDER BY n DESC, ch ASC) AS rank
+  FROM c
+)
+SELECT ch, n, rank FROM r WHERE before * 1000000 < total * 999500
+"""
+Q["bpe_pair_counts"] = f"""
+WITH {_WF},
+sy AS (SELECT string_split(word, '') AS s, n FROM wf),
+p AS (SELECT unnest(list_transform(range(1, len(s)), lambda i: s[i])) AS a,
+             unnest(list_transform(range(1, len(s)), lambda i: s[i+1])) AS b, n FROM sy)
+SELECT a, b, sum(n)::BIGINT AS c FROM p GROUP BY a, b
+"""
+Q["sample_shuffled"] = f"""
+WITH {_LINES} SELECT doc_id FROM l ORDER BY md5('1337:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 300
+"""
+Q["limit_rows"] = f"WITH {_LINES} SELECT doc_id, line FROM l ORDER BY doc_id LIMIT 50"
+Q["split_stratified"] = f"""
+WITH d AS (
+  SELECT d.doc_id, d.source, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY source, quality ORDER BY {UNIFORM.replace('@X@', 'doc_id')}, doc_id) AS rn,
+         count(*) OVER (PARTITION BY source, quality) AS n
+  FROM d
+)
+SELECT doc_id, source, quality,
+       CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train'
+            WHEN rn <= floor(n * (0.8::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+FROM r
+"""
+Q["center_slice"] = """
+WITH v AS (
+  SELECT l_orderkey AS subject, l_partkey % 7 AS x, l_suppkey % 5 AS y, l_linenumber - 1 AS z, l_extendedprice AS v
+  FROM lineitem
+), nz AS (SELECT subject, max(z) + 1 AS nz FROM v GROUP BY subject)
+SELECT v.subject, x, y, z, v FROM v JOIN nz ON v.subject = nz.subject WHERE z = floor(nz / 2)
+"""
+Q["robust_scale"] = """
+WITH p AS (
+  SELECT event_type, quantile_cont(value, 0.01) AS p1, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type
+)
+SELECT event_id,
+       CAST(trunc(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (value - p1) / (p99 - p1 + 0.000001::DOUBLE))) * 255) AS INTEGER) AS u8
+FROM events e JOIN p ON e.event_type = p.event_type
+"""
+Q["composite_offsets"] = """
+WITH s AS (
+  SELECT l_orderkey AS subject, l_linenumber AS modality_pos, min(CAST(trunc(l_quantity) AS BIGINT)) AS width,
+         min(CAST(trunc(l_extendedprice / 100) AS BIGINT)) AS height
+  FROM lineitem GROUP BY ALL
+)
+SELECT subject, modality_pos, width,
+       coalesce(sum(width) OVER (PARTITION BY subject ORDER BY modality_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x_offset,
+       min(height) OVER (PARTITION BY subject) AS crop_height
+FROM s
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

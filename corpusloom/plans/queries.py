@@ -689,3 +689,94 @@ def q_ingest_cap(spark, sf):
 @register("leaderboard_html")
 def q_leaderboard_html(spark, sf):
     return evalqa.leaderboard_html(evalqa.leaderboard(_run_results(spark, sf)))
+
+
+# --------------------------------------------------------------------------- tokenizer corpus and vocabulary
+from ..operators import numerics, vocab  # noqa: E402
+
+
+def _lines(spark, sf):
+    return vocab.tokenizer_lines(_docs(spark, sf), order_by="doc_id")
+
+
+@register("tokenizer_lines")
+def q_tokenizer_lines(spark, sf):
+    return _lines(spark, sf).select("doc_id", "line")
+
+
+@register("word_frequency")
+def q_word_frequency(spark, sf):
+    return vocab.word_frequency(_lines(spark, sf))
+
+
+@register("char_coverage")
+def q_char_coverage(spark, sf):
+    return vocab.char_coverage(_lines(spark, sf))
+
+
+@register("bpe_pair_counts")
+def q_bpe_pair_counts(spark, sf):
+    """Round-1 input of the merge learner: adjacent character pairs weighted by word count."""
+    wf = vocab.word_frequency(_lines(spark, sf))
+    sy = wf.select(vocab.chars("word").alias("sy"), "n")
+    k = F.greatest(F.size("sy") - 1, F.lit(0))
+    p = sy.select(F.explode(F.arrays_zip(F.slice("sy", 1, k), F.slice("sy", 2, k))).alias("p"), "n")
+    return p.groupBy(F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b")).agg(F.sum("n").alias("c"))
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, sf):
+    return vocab.bpe_merges(vocab.word_frequency(_lines(spark, sf)), 8)
+
+
+@register("vocab_table")
+def q_vocab_table(spark, sf):
+    lines = _lines(spark, sf)
+    return vocab.vocab_table(vocab.char_coverage(lines), vocab.bpe_merges(vocab.word_frequency(lines), 4))
+
+
+@register("sample_shuffled")
+def q_sample_shuffled(spark, sf):
+    return split.sample_shuffled(_lines(spark, sf), 300, key="doc_id").select("doc_id")
+
+
+@register("limit_rows")
+def q_limit_rows(spark, sf):
+    return split.limit_rows(_lines(spark, sf), 50, order_by="doc_id").select("doc_id", "line")
+
+
+@register("split_stratified")
+def q_split_stratified(spark, sf):
+    d = _docs(spark, sf).join(load(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = d.withColumn("quality", F.coalesce(F.col("quality"), F.lit(-1)))
+    return split.split_stratified(d, ["source", "quality"], key="doc_id").select("doc_id", "source", "quality", "split")
+
+
+# --------------------------------------------------------------------------- volume numerics
+def _voxels(spark, sf):
+    li = load(spark, sf, "lineitem")
+    return li.select(F.col("l_orderkey").alias("subject"), F.lit("t1").alias("modality"),
+                     (F.col("l_partkey") % 7).alias("x"), (F.col("l_suppkey") % 5).alias("y"),
+                     (F.col("l_linenumber") - 1).alias("z"), F.col("l_extendedprice").alias("v"))
+
+
+@register("center_slice")
+def q_center_slice(spark, sf):
+    return numerics.center_slice(_voxels(spark, sf)).select("subject", "x", "y", "z", "v")
+
+
+@register("robust_scale")
+def q_robust_scale(spark, sf):
+    e = load(spark, sf, "events").select("event_id", F.col("event_type").alias("subject"),
+                                         F.lit("t1").alias("modality"), F.col("value").alias("v"))
+    return numerics.robust_scale(e).select("event_id", "u8")
+
+
+@register("composite_offsets")
+def q_composite_offsets(spark, sf):
+    li = load(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("subject"), F.col("l_linenumber").alias("modality_pos"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_quantity").cast("long").alias("width"), (F.col("l_extendedprice") / 100).cast("long").alias("height"))
+    li = li.groupBy("subject", "modality_pos").agg(F.min("width").alias("width"), F.min("height").alias("height"))
+    return numerics.composite_offsets(li).select("subject", "modality_pos", "width", "x_offset", "crop_height")
