@@ -946,6 +946,22 @@ FROM s
 """
 
 
+# --------------------------------------------------------------------------- streaming
+Q["stream_ingest"] = f"""
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, 'text' AS modality, 'summarize' AS task,
+       CASE WHEN text IS NOT NULL AND length(text) > 0 THEN {norm('text')} ELSE text END AS text,
+       NULL::VARCHAR AS image_path, NULL::VARCHAR AS answer, NULL::VARCHAR AS rationale,
+       CASE WHEN text IS NOT NULL AND length(text) > 0 THEN '' END AS labels_icd10,
+       CASE WHEN text IS NOT NULL AND length(text) > 0 THEN '' END AS labels_snomed,
+       source, {license_('source')} AS license, 'train' AS split
+FROM documents
+"""
+Q["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+Q["stream_counts"] = """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -780,3 +780,64 @@ def q_composite_offsets(spark, sf):
         F.col("l_quantity").cast("long").alias("width"), (F.col("l_extendedprice") / 100).cast("long").alias("height"))
     li = li.groupBy("subject", "modality_pos").agg(F.min("width").alias("width"), F.min("height").alias("height"))
     return numerics.composite_offsets(li).select("subject", "modality_pos", "width", "x_offset", "crop_height")
+
+
+# --------------------------------------------------------------------------- streaming
+from .. import streaming as W  # noqa: E402
+
+
+def _events_stream(spark, sf):
+    schema = load(spark, sf, "events").schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+                 .option("maxFilesPerTrigger", 1).parquet(sf))
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    base = scratch_dir(spark, "ingest")
+    recs = documents_records(spark, sf).drop("doc_id", "lang")
+    S.write_jsonl(recs, f"{base}/landing")
+    q = W.stream_ingest(spark, f"{base}/landing", f"{base}/out", f"{base}/ckpt", f"{base}/quarantine")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return clean.flat_records(out)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    base = scratch_dir(spark, "dedup")
+    d = W.stream_dedup(_events_stream(spark, sf), ["user_id", "event_type"], "ts")
+    q = (d.writeStream.foreachBatch(W._batch_sink(f"{base}/out")).option("checkpointLocation", f"{base}/ckpt")
+          .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type")
+
+
+@register("stream_counts")
+def q_stream_counts(spark, sf):
+    base = scratch_dir(spark, "counts")
+    q = W.run_counts(spark, _events_stream(spark, sf), "ts", ["event_type"], f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    r = W.latest_counts(spark, f"{base}/out", ["window_start", "event_type"])
+    return r.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# FIXED VALUES: medication lists typed by users of the request stream fixture
+MED_LISTS = ["Advil, coumadin", "biaxin,zocor", "simvastatin, clarithromycin", "", "erythromycin, lovastatin, Motrin",
+             " warfarin ,ibuprofen, , azithromycin", "paracetamol", "zocor, biaxin, atorvastatin"]
+
+
+@register("stream_requests")
+def q_stream_requests(spark, sf):
+    base = scratch_dir(spark, "requests")
+    o = load(spark, sf, "orders")
+    req = o.select(F.col("o_orderkey").alias("query_id"), _role_of(F.col("o_orderkey")).alias("role"),
+                   F.element_at(F.array(*[F.lit(m) for m in MED_LISTS]),
+                                (F.col("o_orderkey") % len(MED_LISTS) + 1).cast("int")).alias("drugs"))
+    req.write.parquet(f"{base}/requests")
+    stream = spark.readStream.schema(req.schema).parquet(f"{base}/requests")
+    q = W.stream_requests(spark, stream, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    r = spark.read.parquet(f"{base}/out")
+    return r.select("query_id", "role", "use_rag", "use_ddi", F.size("ddi").cast("long").alias("n_ddi"),
+                    F.array_join("ddi", "\n").alias("ddi"), "disclaimer")
