@@ -17,7 +17,6 @@ Design for scale:
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,14 +26,13 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import default_process, nonempty
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, ship_code
 
 # FIXED VALUES (our own portable hash family)
 MERSENNE_P = 2147483647          # 2^31 - 1
 SHINGLE_BASE = 1000003           # polynomial base over code points
 
 
-@lru_cache(maxsize=None)
 def slot_params(num_perm: int = K.DEDUP_NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
     """a_k = md5('a'k)[:7 hex] + 1, b_k = md5('b'k)[:7 hex]: independent slots."""
     a = [int(hashlib.md5(f"a{k}".encode()).hexdigest()[:7], 16) + 1 for k in range(num_perm)]
@@ -66,23 +64,47 @@ def shingle_hashes(text: str, n: int = K.DEDUP_SHINGLE) -> np.ndarray:
     m = len(cp) - n + 1
     h = cp[:m].copy()
     for j in range(1, n):
-        h = (h * SHINGLE_BASE + cp[j:j + m]) % MERSENNE_P
+        h *= SHINGLE_BASE
+        h += cp[j:j + m]                      # < 2^32 * 2^20 + 2^21: fits int64
+        h = (h & MERSENNE_P) + (h >> 31)      # congruent mod p, < 2^32
+    h %= MERSENNE_P                           # canonical residue
     return np.unique(h)
 
 
-def signature(text: str, num_perm: int = K.DEDUP_NUM_PERM, n: int = K.DEDUP_SHINGLE) -> np.ndarray:
+def signature(text: str, num_perm: int = K.DEDUP_NUM_PERM, n: int = K.DEDUP_SHINGLE, params=None) -> np.ndarray:
     """128-slot MinHash; a text without shingles gets all slots = p (they all collide)."""
-    a, b = slot_params(num_perm)
+    a, b = params if params is not None else slot_params(num_perm)
     h = shingle_hashes(text, n)
     if h.size == 0:
         return np.full(num_perm, MERSENNE_P, dtype=np.int64)
-    out = np.empty(num_perm, dtype=np.int64)
-    step = max(1, 4_000_000 // num_perm)      # bound the (n x perm) working set
-    out[:] = MERSENNE_P
-    for s in range(0, h.size, step):
-        blk = h[s:s + step, None]
-        out = np.minimum(out, ((blk * a + b) % MERSENNE_P).min(axis=0))
-    return out
+    return _min_universal(h, a, b)
+
+
+def _min_universal(h: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """min over h of (h*a_k + b_k) mod p for every slot k, exactly.
+
+    Cache-sized blocks with in-place integer ops; the modulus uses Mersenne
+    folding (x mod p = (x & p) + (x >> 31), twice), then a third fold of y+1
+    maps the residue p (i.e. 0) to 1, so 'min(...) - 1' is the exact residue.
+    """
+    out = np.full(a.size, MERSENNE_P + 1, dtype=np.int64)
+    buf = np.empty((chunk, a.size), dtype=np.int64)
+    tmp = np.empty((chunk, a.size), dtype=np.int64)
+    for s in range(0, h.size, chunk):
+        blk = h[s:s + chunk]
+        x, y = buf[:blk.size], tmp[:blk.size]
+        np.multiply(blk[:, None], a, out=x)
+        np.add(x, b, out=x)                     # < 2^60
+        for _ in range(2):
+            np.right_shift(x, 31, out=y)
+            np.bitwise_and(x, MERSENNE_P, out=x)
+            np.add(x, y, out=x)                 # in [0, p]
+        np.add(x, 1, out=x)                     # in [1, p + 1]
+        np.right_shift(x, 31, out=y)
+        np.bitwise_and(x, MERSENNE_P, out=x)
+        np.add(x, y, out=x)                     # residue + 1, in [1, p]
+        np.minimum(out, x.min(axis=0), out=out)
+    return out - 1
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[bytes]:
@@ -106,29 +128,45 @@ def minhash_buckets(df: DataFrame, ord_col: str, proc_col: str, num_perm: int, b
     """D03+D04 map side: (ord, signature key, band bucket keys), row-local, Arrow batches."""
 
     def run(batches):
+        params = slot_params(num_perm)
         for pdf in batches:
             ords, sigkeys, bks = [], [], []
             for o, t in zip(pdf["ord"].tolist(), pdf["proc"].tolist()):
-                sig = signature(t, num_perm, n)
+                sig = signature(t, num_perm, n, params)
                 ords.append(o)
                 sigkeys.append(hashlib.md5(sig.tobytes()).digest())
                 bks.append(band_keys(sig, bands, rows))
             yield pd.DataFrame({"ord": ords, "sigkey": sigkeys, "buckets": bks})
 
-    src = df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc"))
+    ship_code()
+    src = _spread(df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc")))
     return src.mapInPandas(run, SIG_SCHEMA)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Hash-spread the (key, processed text) rows over at least 2x the cores.
+
+    MinHash costs about a microsecond of CPU per input character, far more than
+    moving the character once, so an even spread wins even when the input
+    files are few or unbalanced (a single row group is a single task).
+    """
+    sc = df.sparkSession.sparkContext
+    n = max(df.rdd.getNumPartitions(), 2 * sc.defaultParallelism)
+    return df.repartition(n, "ord")
+
+
 def signature_table(df: DataFrame, ord_col: str, proc_col: str, num_perm: int = K.DEDUP_NUM_PERM,
                     n: int = K.DEDUP_SHINGLE) -> DataFrame:
     """(ord, slot, value) long form of the MinHash signature (for inspection/checks)."""
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        params = slot_params(num_perm)
         for pdf in batches:
-            sigs = [signature(t, num_perm, n).tolist() for t in pdf["proc"].tolist()]
+            sigs = [signature(t, num_perm, n, params).tolist() for t in pdf["proc"].tolist()]
             yield pd.DataFrame({"ord": pdf["ord"].tolist(), "sig": sigs})
 
+    ship_code()
     src = df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc"))
     return src.mapInPandas(run, schema)
 
@@ -142,6 +180,7 @@ def shingle_count(df: DataFrame, ord_col: str, proc_col: str, n: int = K.DEDUP_S
             cnt = [len({t[i:i + n] for i in range(len(t) - n + 1)}) if t else 0 for t in pdf["proc"].tolist()]
             yield pd.DataFrame({"ord": pdf["ord"].tolist(), "n_shingles": cnt})
 
+    ship_code()
     src = df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc"))
     return src.mapInPandas(run, schema)
 
@@ -204,36 +243,62 @@ def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text") ->
 U, KEPT, DROPPED = 0, 1, 2
 
 
-def first_wins_status(mem: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
     """Lexicographically-first maximal independent set of the bucket-sharing graph.
 
     ``mem``: (ord, bucket) memberships.  A record is kept iff no kept record
     with a lower order key shares a bucket with it.  Each round: a still
     undecided record is dropped if some bucket has a kept record below it, or
     kept if no bucket has an undecided record below it.  Returns (ord, st).
+
+    State lives on the membership rows (ord, bucket, st) of non-singleton
+    buckets.  Dropped records leave the state (they never block anyone), and
+    buckets without undecided members stop mattering, so each round works on
+    the still-open part of the graph only.  Decided records are appended to
+    ``done``.  Lineage is cut with a reliable checkpoint every few rounds
+    (cached in between; a lost cache block is recomputed from that lineage).
     """
     sizes = mem.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    edges = cut_lineage(mem.join(sizes.filter("size >= 2"), "bucket").select("ord", "bucket"))
-    status = cut_lineage(edges.select("ord").distinct().withColumn("st", F.lit(U)))
-    for _ in range(max_rounds):
-        ms = edges.join(status, "ord")
-        agg = ms.groupBy("bucket").agg(
+    edges = mem.join(sizes.filter("size >= 2"), "bucket").select("ord", "bucket", F.lit(U).alias("st"))
+    state = cut_lineage(edges)
+    decided = []
+    for rnd in range(max_rounds):
+        agg = state.groupBy("bucket").agg(
             F.min(F.when(F.col("st") == U, F.col("ord"))).alias("min_u"),
             F.min(F.when(F.col("st") == KEPT, F.col("ord"))).alias("min_k"),
         )
-        per = (ms.filter(F.col("st") == U).join(agg, "bucket")
-                 .groupBy("ord")
-                 .agg(F.max(F.coalesce(F.col("min_k") < F.col("ord"), F.lit(False))).alias("any_k"),
-                      F.max(F.coalesce(F.col("min_u") < F.col("ord"), F.lit(False))).alias("any_u")))
-        nxt = (status.join(per, "ord", "left")
-                     .select("ord", F.when(F.col("st") != U, F.col("st"))
-                                     .when(F.col("any_k"), F.lit(DROPPED))
-                                     .when(~F.col("any_u"), F.lit(KEPT))
-                                     .otherwise(F.lit(U)).alias("st")))
-        status = cut_lineage(nxt)
-        if status.filter(F.col("st") == U).limit(1).count() == 0:
+        per = (state.filter(F.col("st") == U).join(agg, "bucket")
+                    .groupBy("ord")
+                    .agg(F.max(F.coalesce(F.col("min_k") < F.col("ord"), F.lit(False))).alias("any_k"),
+                         F.max(F.coalesce(F.col("min_u") < F.col("ord"), F.lit(False))).alias("any_u")))
+        new_st = (per.select("ord", F.when(F.col("any_k"), F.lit(DROPPED))
+                                    .when(~F.col("any_u"), F.lit(KEPT)).otherwise(F.lit(U)).alias("new")))
+        nxt = (state.join(new_st, "ord", "left")
+                    .select("ord", "bucket", F.coalesce("new", "st").alias("st"))
+                    .filter(F.col("st") != DROPPED))
+        # buckets with no undecided member are finished: their kept members are final
+        open_b = nxt.groupBy("bucket").agg(F.max(F.when(F.col("st") == U, 1).otherwise(0)).alias("open"))
+        nxt = nxt.join(open_b.filter("open = 1").select("bucket"), "bucket", "left_semi")
+        decided.append(new_st.filter(F.col("new") != U).select("ord", F.col("new").alias("st")))
+        if (rnd + 1) % checkpoint_every == 0:
+            state = cut_lineage(nxt)
+            decided = [cut_lineage(_union_all(decided))]
+        else:
+            state = nxt.cache()
+        if state.filter(F.col("st") == U).limit(1).count() == 0:
             break
-    return status
+    done = _union_all(decided)
+    nodes = edges.select("ord").distinct()
+    # every node is decided; nodes that never got a row stay kept by construction
+    return nodes.join(done.groupBy("ord").agg(F.max("st").alias("st")), "ord", "left") \
+        .select("ord", F.coalesce("st", F.lit(KEPT)).alias("st"))
+
+
+def _union_all(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def dedup_first_wins(df: DataFrame, order_col: str = "id", text_col: str = "text",

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fmt3, truncate
 from ..functions.text import col_
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, ship_code
 
 MAX_BROADCAST_QUERY_VALUES = 64_000_000   # ~512 MB of float64 per query block
 
@@ -64,6 +64,7 @@ def encode_text(df: DataFrame, text_col: str = "text", id_col: str = "id",
                 vecs = enc([t or "" for t in part["_t"].tolist()])
                 yield pd.DataFrame({id_col: part[id_col].tolist(), "embedding": [v.tolist() for v in vecs]})
 
+    ship_code()
     src = df.select(id_col, truncate(text_col, max_chars).alias("_t"))
     return src.mapInPandas(run, schema)
 
@@ -151,6 +152,7 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
         yield pd.DataFrame({qid_col: np.repeat(np.asarray(ids_q, dtype=object), kk).tolist(),
                             id_col: best_ids.reshape(-1).tolist(), "score": best_s.reshape(-1).tolist()})
 
+    ship_code()
     local = index.select(id_col, vec_col).mapInPandas(run, schema)
     w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col).asc())
     return (local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
@@ -222,6 +224,7 @@ def answer_batch(requests: DataFrame, hits: DataFrame, ddi: DataFrame | None = N
                 yield pdf
 
         r = r.drop("generated") if "generated" in r.columns else r
+        ship_code()
         r = r.mapInPandas(run, schema)
     if ddi is not None:
         r = r.join(ddi, qid_col, "left")

@@ -12,6 +12,25 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_code() -> None:
+    """Make Python tasks independent of where this package is installed.
+
+    Functions of this package used inside mapInPandas are pickled by value, so
+    executors (and local Python workers started from another folder) need no
+    copy of the package on their path.
+    """
+    import sys
+
+    from pyspark import cloudpickle
+
+    for name, mod in list(sys.modules.items()):
+        if mod is not None and (name == "corpusloom" or name.startswith("corpusloom.")):
+            try:
+                cloudpickle.register_pickle_by_value(mod)
+            except Exception:  # noqa: BLE001 - already registered or not a module object
+                pass
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "corpusloom") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
