@@ -230,14 +230,17 @@ def lsh_candidates(df: DataFrame, order_col: str = "id", text_col: str = "text",
 def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text") -> DataFrame:
     """Records whose processed text is identical collapse to the lowest order key.
 
-    Empty texts are not collapsed (they are always kept).  Returns the kept rows.
-    Only (key, md5) rows are shuffled; the text stays where it was read.
+    Empty texts are not collapsed (they are always kept).  One pass: group by
+    md5 of the processed text and keep the whole row with the minimum key
+    (``min_by``), which is partially aggregated before the shuffle, so a key
+    held by a third of all rows sends one row per map task.
     """
-    keyed = df.withColumn("_k", F.when(nonempty(text_col), F.md5(default_process(text_col))))
-    reps = keyed.filter(F.col("_k").isNotNull()).groupBy("_k").agg(F.min(order_col).alias("_rep"))
-    dup = (keyed.filter(F.col("_k").isNotNull()).select(order_col, "_k")
-                .join(reps, "_k").filter(F.col(order_col) != F.col("_rep")).select(order_col))
-    return df.join(broadcast_if_small(dup), order_col, "left_anti")
+    cols = df.columns
+    empties = df.filter(~nonempty(text_col))
+    ne = df.filter(nonempty(text_col)).withColumn("_k", F.md5(default_process(text_col)))
+    kept = (ne.groupBy("_k").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
+              .select("_r.*"))
+    return empties.unionByName(kept)
 
 
 U, KEPT, DROPPED = 0, 1, 2

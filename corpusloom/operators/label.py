@@ -139,26 +139,39 @@ def auto_label(records: DataFrame, vocab: DataFrame, id_col: str = "id") -> Data
 
 def phrase_key(c) -> Column:
     """Normalised phrase: non-word characters -> space, lower case, single spaces."""
-    return F.regexp_replace(default_process(c), " +", " ")
+    return F.array_join(F.filter(F.split(default_process(c), " "), lambda w: F.length(w) > 0), " ")
 
 
 def link_phrases(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_n: int | None = None) -> DataFrame:
-    """(id, codes, n_mentions) from exact n-gram matches (1..max_n words) of the whole text."""
+    """(id, codes, n_mentions) from exact n-gram matches (1..max_n words) of the whole text.
+
+    Every word position becomes one row holding the next max_n words
+    (``arrays_zip`` of shifted slices, no lambdas); positions whose first word
+    starts no vocabulary phrase are dropped by a broadcast semi join before
+    any n-gram string is built; the surviving n-grams meet the vocabulary in a
+    broadcast hash join.
+    """
     v = vocab.select(phrase_key("term").alias("phrase"), "codes").filter(F.length("phrase") > 0)
     v = v.withColumn("nw", F.size(F.split("phrase", " ")))
     if max_n is None:
         max_n = v.agg(F.max("nw")).collect()[0][0] or 0
     if max_n == 0:
         return docs.select(id_col).withColumn("codes", F.array().cast(T.ArrayType(T.StringType()))) \
-            .withColumn("n_mentions", F.lit(0).cast("long"))
-    words = docs.select(id_col, F.filter(F.split(phrase_key(text_col), " "), lambda w: F.length(w) > 0).alias("w"))
-
-    def grams(n: int) -> Column:
-        g = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))
-        return F.when(F.size("w") >= n, g).otherwise(F.array().cast(T.ArrayType(T.StringType())))
-
-    ng = words.select(id_col, F.explode(F.flatten(F.array(*[grams(n) for n in range(1, max_n + 1)]))).alias("phrase"))
+            .withColumn("n_mentions", F.lit(0).cast("long")).limit(0)
+    first = broadcast_if_small(v.select(F.split("phrase", " ")[0].alias("w1")).distinct())
+    words = docs.select(id_col, F.filter(F.split(default_process(text_col), " "), lambda w: F.length(w) > 0)
+                        .alias("w"))
+    n = F.size("w")
+    shifted = [F.slice("w", k, F.greatest(n - k + 1, F.lit(0))) for k in range(1, max_n + 1)]
+    pos = words.select(id_col, F.explode(F.arrays_zip(*shifted)).alias("z"))
+    cols = [F.col("z")[str(k)].alias(f"w{k + 1}") for k in range(max_n)]
+    pos = pos.select(id_col, *cols).join(first, "w1", "left_semi")
+    grams = [F.col("w1")]
+    for k in range(2, max_n + 1):
+        full = F.concat_ws(" ", *[F.col(f"w{j}") for j in range(1, k + 1)])
+        grams.append(F.when(F.col(f"w{k}").isNotNull(), full))
+    ng = pos.select(id_col, F.explode(F.array(*grams)).alias("phrase")).filter(F.col("phrase").isNotNull())
     hits = ng.join(broadcast_if_small(v.select("phrase", "codes")), "phrase")
     mentions = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_mentions"))
     codes = (hits.select(id_col, F.explode("codes").alias("code")).distinct()

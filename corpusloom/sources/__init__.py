@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions.text import WS_CLASS, col_
+from ..functions.text import WS_CLASS_JAVA, col_
 
 # FIXED VALUES: control characters removed before the second parse attempt
 # (everything below 0x20 except tab, line feed and carriage return).
@@ -137,7 +137,7 @@ def triage_responses(df: DataFrame, status: str = "status", content_type: str =
     b = F.coalesce(F.col(body), F.lit(""))
     strict_ok = json_parses(b)
     tolerant_ok = strict_ok | json_parses(F.regexp_replace(b, CTL_CLASS, ""))
-    starts_lt = F.regexp_replace(b, f"^{WS_CLASS}+", "").startswith("<")
+    starts_lt = F.regexp_replace(b, f"^{WS_CLASS_JAVA}+", "").startswith("<")
     reason = (F.when(st.isin(*K.RETRY_STATUS), F.lit("server_status"))
                .when(ct.contains("text/html") | ct.contains("xml"), F.lit("non_json_type"))
                .when(ct.contains("application/json"),
