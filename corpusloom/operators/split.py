@@ -42,17 +42,37 @@ def split_stratified(df: DataFrame, strata, key: str = "id", ratios=K.SPLIT_RATI
     ).drop("_rn", "_n")
 
 
+def first_n_by(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
+    """The n rows with the smallest (order_cols) tuple, without funnelling rows through one task.
+
+    Only the ordering keys go through the top-n (one small task); the cut-off
+    is then applied as a filter where the rows already are.  The key tuple is
+    assumed unique (ties at the cut-off would all pass).
+    """
+    top = df.select(F.struct(*order_cols).alias("k")).orderBy("k").limit(n)
+    row = top.agg(F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).collect()[0]
+    if row["n"] < n:
+        return df
+    last = row["last"]
+    # lexicographic (c1, c2, ...) <= last, built from the last column outwards
+    cond = F.col(order_cols[-1]) <= F.lit(last[-1])
+    for i in reversed(range(len(order_cols) - 1)):
+        c = F.col(order_cols[i])
+        cond = (c < F.lit(last[i])) | ((c == F.lit(last[i])) & cond)
+    return df.filter(cond)
+
+
 def sample_shuffled(df: DataFrame, n: int, key: str = "id", seed: int = K.SEED) -> DataFrame:
-    """At most n records in a seeded random order (top-k on the hash, no full sort)."""
-    return (df.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-              .orderBy("_draw", key).limit(n).drop("_draw"))
+    """At most n records in a seeded random order (hash draw; only keys are ranked)."""
+    d = df.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
+    return first_n_by(d, ["_draw", key], n).drop("_draw")
 
 
 def limit_rows(df: DataFrame, n: int | None, order_by: str = "id") -> DataFrame:
     """First n records in key order; 0/None keeps all."""
     if not n:
         return df
-    return df.orderBy(order_by).limit(n)
+    return first_n_by(df, [order_by], n)
 
 
 def write_splits(df: DataFrame, path: str, fmt: str = "json", split_col: str = "split") -> None:

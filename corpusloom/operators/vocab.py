@@ -36,10 +36,8 @@ def tokenizer_lines(df: DataFrame, text_col: str = "text", order_by: str = "id",
     Assumes the order key is unique.
     """
     lines = df.filter(nonempty(text_col)).select(order_by, F.translate(F.col(text_col), "\n", " ").alias("line"))
-    if not max_lines:
-        return lines
-    cut = lines.select(order_by).orderBy(order_by).limit(max_lines).agg(F.max(order_by)).collect()[0][0]
-    return lines if cut is None else lines.filter(F.col(order_by) <= F.lit(cut))
+    from .split import limit_rows
+    return limit_rows(lines, max_lines, order_by)
 
 
 def word_frequency(lines: DataFrame, col: str = "line") -> DataFrame:

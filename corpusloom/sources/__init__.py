@@ -166,6 +166,5 @@ def write_tokenizer_corpus(lines: DataFrame, path: str, col: str = "line") -> No
 
 def ingest_cap(df: DataFrame, max_docs: int | None, order_by: str = "id") -> DataFrame:
     """Stop after max_docs records in key order (0/None = all)."""
-    if not max_docs:
-        return df
-    return df.orderBy(order_by).limit(max_docs)
+    from ..operators.split import limit_rows
+    return limit_rows(df, max_docs, order_by)
