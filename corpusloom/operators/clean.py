@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import falsy_coalesce, nonempty, normalize_text, truncate
 from ..schema import LABELS_TYPE, META_TYPE
+from ..session import evaluate_once
 
 
 def _empty_codes() -> Column:
@@ -89,6 +90,7 @@ def unify(df: DataFrame, strict_presence: bool = False, raw_col: str = "raw",
             new[name] = F.coalesce(F.col(name), default)
     out = out.withColumns(new)
     out = out.withColumn("text", F.when(nonempty("text"), normalize_text("text")).otherwise(F.col("text")))
+    out = evaluate_once(out, "text")
     icd = icd10_codes if icd10_codes is not None else _empty_codes()
     sno = snomed_codes if snomed_codes is not None else _empty_codes()
     added = F.map_filter(

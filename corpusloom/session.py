@@ -71,6 +71,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def evaluate_once(df: DataFrame, col: str) -> DataFrame:
+    """Compute ``col`` once per row, even when later filters use it.
+
+    Catalyst pushes a filter below the projection that defines a column by
+    substituting the defining expression, so an expensive expression (a regex
+    over a whole text) would be evaluated again in every such filter.  A
+    one-element explode is a generator: filters on its output stay above it.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select(*[F.explode(F.array(F.col(c))).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast hint only behind a size check on the (dimension) side.
 
