@@ -119,14 +119,71 @@ def class_rules(items: DataFrame, rules: Rules) -> DataFrame:
     return hit.select("basket", msg.alias("msg")).distinct()
 
 
+def _endpoints(rules: Rules) -> DataFrame:
+    """One table for both rule kinds: (drug, kind, rule, side).
+
+    Pair rule (a, b): a on side A, b on side B (matched in either order).
+    Class rule: every member of a classA class on side A, of a classB class on side B.
+    """
+    pairs = rules.pairs.select(F.explode(F.array(
+        F.struct(F.col("ra").alias("drug"), F.lit("A").alias("side")),
+        F.struct(F.col("rb").alias("drug"), F.lit("B").alias("side")))).alias("e"), "rule")
+    pairs = pairs.select(F.col("e.drug").alias("drug"), F.lit("P").alias("kind"), "rule", F.col("e.side").alias("side"))
+    sides = rules.class_rules.select("rule", F.explode(F.array(
+        F.struct(F.lit("A").alias("side"), F.col("class_a").alias("cls")),
+        F.struct(F.lit("B").alias("side"), F.col("class_b").alias("cls")))).alias("s"))
+    sides = sides.select("rule", F.col("s.side").alias("side"), F.explode("s.cls").alias("class"))
+    cls = rules.members.join(sides, "class").select("drug", F.lit("C").alias("kind"), "rule", "side")
+    return pairs.unionByName(cls).distinct()
+
+
+def _messages(rules: Rules) -> tuple[DataFrame, DataFrame]:
+    """Message parts: pair rule text; class lists per drug and class-rule notes."""
+    pm = rules.pairs.select(F.lit("P").alias("kind"), "rule", F.concat_ws("", "ra", F.lit(" + "), "rb",
+                                                                        F.lit(": "), "note").alias("pair_msg"))
+    cm = rules.class_rules.select(F.lit("C").alias("kind"), "rule", "note")
+    return pm, cm
+
+
 def check_interactions(items: DataFrame, rules: Rules, baskets: DataFrame | None = None) -> DataFrame:
-    """Per basket the sorted distinct messages of both rule kinds; baskets without hits -> []."""
+    """Per basket the sorted distinct messages of both rule kinds; baskets without hits -> [].
+
+    One pass over the items: a broadcast join to the combined rule endpoints,
+    one aggregate per (basket, kind, rule, drug) keeping the first position on
+    side A and the last on side B, then the A/B join per (basket, rule).  A pair
+    rule fires when both drugs are present at different positions; a class
+    rule when the A drug comes before the B drug.  The join size per
+    (basket, rule) is bounded by the rule's member lists.
+    """
     canon = canonical_name(items, rules).select("basket", "pos", "drug")
-    msgs = pair_rules(canon, rules).unionByName(class_rules(canon, rules))
-    per = msgs.groupBy("basket").agg(F.array_sort(F.collect_set("msg")).alias("ddi"))
+    ends = broadcast_if_small(_endpoints(rules))
+    per = (canon.join(ends, "drug")
+                .groupBy("basket", "kind", "rule", "drug")
+                .agg(F.min(F.when(F.col("side") == "A", F.col("pos"))).alias("a_first"),
+                     F.max(F.when(F.col("side") == "A", F.col("pos"))).alias("a_last"),
+                     F.min(F.when(F.col("side") == "B", F.col("pos"))).alias("b_first"),
+                     F.max(F.when(F.col("side") == "B", F.col("pos"))).alias("b_last")))
+    a = per.filter(F.col("a_first").isNotNull()).select("basket", "kind", "rule", F.col("drug").alias("a"),
+                                                        "a_first", "a_last")
+    b = per.filter(F.col("b_first").isNotNull()).select("basket", "kind", "rule", F.col("drug").alias("b"),
+                                                        "b_first", "b_last")
+    hit = a.join(b, ["basket", "kind", "rule"])
+    ordered = F.col("a_first") < F.col("b_last")
+    either = ordered | (F.col("b_first") < F.col("a_last"))
+    hit = hit.filter(F.when(F.col("kind") == "P", either).otherwise(ordered))
+    pm, cm = _messages(rules)
+    cls = drug_classes(rules.members.select("drug"), rules).select("drug", F.array_join("classes", ",").alias("cl"))
+    hit = (hit.join(broadcast_if_small(pm), ["kind", "rule"], "left")
+              .join(broadcast_if_small(cm), ["kind", "rule"], "left")
+              .join(broadcast_if_small(cls.select(F.col("drug").alias("a"), F.col("cl").alias("ca"))), "a", "left")
+              .join(broadcast_if_small(cls.select(F.col("drug").alias("b"), F.col("cl").alias("cb"))), "b", "left"))
+    class_msg = F.concat_ws("", "a", F.lit(" (class "), "ca", F.lit(") + "), "b", F.lit(" (class "), "cb",
+                            F.lit("): "), "note")
+    msgs = hit.select("basket", F.when(F.col("kind") == "P", F.col("pair_msg")).otherwise(class_msg).alias("msg"))
+    per_basket = msgs.groupBy("basket").agg(F.array_sort(F.collect_set("msg")).alias("ddi"))
     if baskets is None:
         baskets = items.select("basket").distinct()
-    return baskets.join(per, "basket", "left").withColumn(
+    return baskets.join(per_basket, "basket", "left").withColumn(
         "ddi", F.coalesce("ddi", F.array().cast(T.ArrayType(T.StringType()))))
 
 

@@ -458,7 +458,14 @@ def _values(rows) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(v(x) for x in r) + ")" for r in rows)
 
 
-def _rule_ctes(rules: dict) -> str:
+_LINE_ITEMS = """
+  SELECT l_orderkey AS basket, l_linenumber AS pos,
+         CASE WHEN l_linenumber % 2 = 0 THEN ' ' || upper(p_name) ELSE p_name END AS name
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
+
+def _rule_ctes(rules: dict, items_sql: str = _LINE_ITEMS, baskets_sql: str = "SELECT o_orderkey AS basket FROM orders") -> str:
     syn = []
     for prio, (canon, syns) in enumerate(rules["synonyms"].items()):
         syn.append((canon, canon, prio))
@@ -471,11 +478,8 @@ syn(name, canon, prio) AS ({_values(syn)}),
 pr(rule, ra, rb, note) AS ({_values(pairs)}),
 cr(rule, class_a, class_b, note) AS ({_values(crs)}),
 cm(drug, class, class_pos) AS ({_values(mem)}),
-items AS (
-  SELECT l_orderkey AS basket, l_linenumber AS pos,
-         CASE WHEN l_linenumber % 2 = 0 THEN ' ' || upper(p_name) ELSE p_name END AS name
-  FROM lineitem JOIN part ON l_partkey = p_partkey
-),
+items AS ({items_sql}),
+allb AS ({baskets_sql}),
 canon AS (
   SELECT basket, pos, coalesce(s.canon, i.n) AS drug
   FROM (SELECT basket, pos, lower({strip('name')}) AS n FROM items WHERE name IS NOT NULL AND name <> '') i
@@ -499,10 +503,10 @@ cmsg AS (
 ),
 allm AS (SELECT basket, msg FROM pm UNION SELECT basket, msg FROM cmsg),
 checked AS (
-  SELECT o_orderkey AS basket, count(m.msg)::BIGINT AS n_msgs,
+  SELECT b.basket, count(m.msg)::BIGINT AS n_msgs,
          coalesce(string_agg(m.msg, chr(10) ORDER BY m.msg), '') AS messages,
          string_agg(m.msg, chr(10) || '- ' ORDER BY m.msg) AS joined
-  FROM orders LEFT JOIN allm m ON m.basket = o_orderkey GROUP BY o_orderkey
+  FROM allb b LEFT JOIN allm m ON m.basket = b.basket GROUP BY b.basket
 )
 """
 
@@ -546,6 +550,32 @@ c AS (SELECT conv_id, turn, {_ROLE} AS role FROM conversations)
 SELECT conv_id, turn, role, coalesce(use_rag, TRUE) AS use_rag, coalesce(use_ddi, FALSE) AS use_ddi
 FROM c LEFT JOIN r ON c.role = r.route_role
 """
+from .queries import MED_LISTS  # noqa: E402
+
+_MEDS = "[" + ", ".join(lit(m) for m in MED_LISTS) + "]"
+_REQ = f"""
+  SELECT o_orderkey AS query_id, (['patient', 'clinician', 'pharma', 'student', 'visitor'])[o_orderkey % 5 + 1] AS role,
+         ({_MEDS})[o_orderkey % {len(MED_LISTS)} + 1] AS drugs
+  FROM orders
+"""
+_REQ_ITEMS = f"""
+  SELECT query_id AS basket, generate_subscripts(l, 1) AS pos, unnest(l) AS name FROM (
+    SELECT query_id, CASE WHEN drugs IS NULL OR drugs = '' THEN []::VARCHAR[]
+           ELSE list_transform(string_split(drugs, ','), lambda x: regexp_replace(x, '^@JSWS@+|@JSWS@+$', '', 'g')) END AS l
+    FROM ({_REQ}))
+"""
+Q["stream_requests"] = f"""
+WITH {_rule_ctes(K.DDI_RULES, _REQ_ITEMS, "SELECT query_id AS basket FROM (" + _REQ + ")")},
+r(route_role, use_rag, use_ddi) AS ({_values([(a, str(b).upper(), str(c).upper()) for a, b, c in K.ROUTING]).replace("'TRUE'", "TRUE").replace("'FALSE'", "FALSE")}),
+req AS ({_REQ}),
+rr AS (SELECT req.*, coalesce(use_rag, TRUE) AS use_rag, coalesce(use_ddi, FALSE) AS use_ddi FROM req LEFT JOIN r ON req.role = r.route_role)
+SELECT rr.query_id, rr.role, rr.use_rag, rr.use_ddi,
+       CASE WHEN rr.use_ddi THEN c.n_msgs ELSE 0 END::BIGINT AS n_ddi,
+       CASE WHEN rr.use_ddi THEN c.messages ELSE '' END AS ddi,
+       CASE WHEN rr.role = 'patient' THEN {lit(K.DISCLAIMER_PATIENT)} ELSE {lit(K.DISCLAIMER_OTHER)} END AS disclaimer
+FROM rr JOIN checked c ON c.basket = rr.query_id
+"""
+
 Q["bmi"] = """
 SELECT p_partkey, round((p_retailprice / 10.0::DOUBLE) /
        (nullif(p_size::DOUBLE / 20.0::DOUBLE, 0.0::DOUBLE) * nullif(p_size::DOUBLE / 20.0::DOUBLE, 0.0::DOUBLE)), 6) AS bmi
@@ -962,6 +992,11 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*)
 """
 
 
+Q["join_image_path"] = """
+SELECT page_id, 'data/images/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1) AS image_path FROM pages
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

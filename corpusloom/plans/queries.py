@@ -841,3 +841,11 @@ def q_stream_requests(spark, sf):
     r = spark.read.parquet(f"{base}/out")
     return r.select("query_id", "role", "use_rag", "use_ddi", F.size("ddi").cast("long").alias("n_ddi"),
                     F.array_join("ddi", "\n").alias("ddi"), "disclaimer")
+
+
+@register("join_image_path")
+def q_join_image_path(spark, sf):
+    """Image paths from page URLs: the URL path (backslashes allowed) joined under an image root."""
+    p = load(spark, sf, "pages")
+    rel = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), "/", "\\\\")
+    return p.select("page_id", clean.join_image_path(F.lit("data/images"), rel).alias("image_path"))
