@@ -1,10 +1,11 @@
 """Near-duplicate removal: shingles -> MinHash -> LSH buckets -> first-wins.
 
 Design for scale:
-* MinHash is row-local (``mapInPandas`` + numpy): no text crosses a shuffle.
-  Shingle hashes are a polynomial hash of the 5 code points, then the 128
-  slots are the classic universal family ``(h*a_k + b_k) mod p``.  Both are
-  plain integer arithmetic, so the SQL oracle reproduces them exactly.
+* MinHash is row-local (``mapInPandas`` + numpy).  Shingle hashes are a
+  polynomial hash of the 5 code points mod p = 2^31-1; the 128 slots use the
+  multiply-shift family ``((a_k*h + b_k) mod 2^64) >> 32`` with odd 64-bit
+  a_k, which numpy computes with wrapping uint64 arithmetic (no division).
+  Both are plain integer arithmetic, so the SQL oracle reproduces them exactly.
 * Records with an identical signature are collapsed to the lowest order key
   before any bucket work (they share every neighbour, so first-wins keeps at
   most the lowest one); this also removes the hottest buckets.
@@ -31,13 +32,14 @@ from ..session import broadcast_if_small, cut_lineage, ship_code
 # FIXED VALUES (our own portable hash family)
 MERSENNE_P = 2147483647          # 2^31 - 1
 SHINGLE_BASE = 1000003           # polynomial base over code points
+EMPTY_SLOT = 1 << 32             # slot value of a text without shingles (above every real value)
 
 
 def slot_params(num_perm: int = K.DEDUP_NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
-    """a_k = md5('a'k)[:7 hex] + 1, b_k = md5('b'k)[:7 hex]: independent slots."""
-    a = [int(hashlib.md5(f"a{k}".encode()).hexdigest()[:7], 16) + 1 for k in range(num_perm)]
-    b = [int(hashlib.md5(f"b{k}".encode()).hexdigest()[:7], 16) for k in range(num_perm)]
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    """a_k = md5('a'k)[:16 hex] | 1 (odd), b_k = md5('b'k)[:16 hex]: independent 64-bit slots."""
+    a = [int(hashlib.md5(f"a{k}".encode()).hexdigest()[:16], 16) | 1 for k in range(num_perm)]
+    b = [int(hashlib.md5(f"b{k}".encode()).hexdigest()[:16], 16) for k in range(num_perm)]
+    return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
 
 
 def optimal_bands(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_weight: float = 0.5):
@@ -72,39 +74,28 @@ def shingle_hashes(text: str, n: int = K.DEDUP_SHINGLE) -> np.ndarray:
 
 
 def signature(text: str, num_perm: int = K.DEDUP_NUM_PERM, n: int = K.DEDUP_SHINGLE, params=None) -> np.ndarray:
-    """128-slot MinHash; a text without shingles gets all slots = p (they all collide)."""
+    """128-slot MinHash; a text without shingles gets every slot = 2^32 (they all collide)."""
     a, b = params if params is not None else slot_params(num_perm)
     h = shingle_hashes(text, n)
     if h.size == 0:
-        return np.full(num_perm, MERSENNE_P, dtype=np.int64)
-    return _min_universal(h, a, b)
-
-
-def _min_universal(h: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """min over h of (h*a_k + b_k) mod p for every slot k, exactly.
-
-    Cache-sized blocks with in-place integer ops; the modulus uses Mersenne
-    folding (x mod p = (x & p) + (x >> 31), twice), then a third fold of y+1
-    maps the residue p (i.e. 0) to 1, so 'min(...) - 1' is the exact residue.
-    """
-    out = np.full(a.size, MERSENNE_P + 1, dtype=np.int64)
-    buf = np.empty((chunk, a.size), dtype=np.int64)
-    tmp = np.empty((chunk, a.size), dtype=np.int64)
-    for s in range(0, h.size, chunk):
-        blk = h[s:s + chunk]
-        x, y = buf[:blk.size], tmp[:blk.size]
-        np.multiply(blk[:, None], a, out=x)
-        np.add(x, b, out=x)                     # < 2^60
-        for _ in range(2):
-            np.right_shift(x, 31, out=y)
-            np.bitwise_and(x, MERSENNE_P, out=x)
-            np.add(x, y, out=x)                 # in [0, p]
-        np.add(x, 1, out=x)                     # in [1, p + 1]
-        np.right_shift(x, 31, out=y)
-        np.bitwise_and(x, MERSENNE_P, out=x)
-        np.add(x, y, out=x)                     # residue + 1, in [1, p]
+        return np.full(num_perm, EMPTY_SLOT, dtype=np.int64)
+    return _min_multiply_shift(h, a, b)
+
+
+def _min_multiply_shift(h: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
+    """min over h of ((a_k*h + b_k) mod 2^64) >> 32 for every slot k (wrapping uint64 math,
+    cache-sized blocks, in-place ops)."""
+    hu = h.astype(np.uint64)
+    out = np.full(a.size, np.uint64(EMPTY_SLOT), dtype=np.uint64)
+    buf = np.empty((chunk, a.size), dtype=np.uint64)
+    shift = np.uint64(32)
+    for s in range(0, hu.size, chunk):
+        x = buf[:min(chunk, hu.size - s)]
+        np.multiply(hu[s:s + chunk, None], a, out=x)
+        np.add(x, b, out=x)
+        np.right_shift(x, shift, out=x)
         np.minimum(out, x.min(axis=0), out=out)
-    return out - 1
+    return out.astype(np.int64)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[bytes]:

@@ -148,7 +148,7 @@ SELECT cp.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles
 FROM cp LEFT JOIN (SELECT doc_id, count(DISTINCT g) AS n FROM sh GROUP BY doc_id) s ON cp.doc_id = s.doc_id
 """
 
-# Portable MinHash: polynomial hash of 5 code points mod p, slots (h*a_k+b_k) mod p.
+# Portable MinHash: polynomial hash of 5 code points mod p, slots ((a_k*h+b_k) mod 2^64) >> 32.
 _H = ("(((((c[i] * 1000003 + c[i+1]) % 2147483647) * 1000003 + c[i+2]) % 2147483647 * 1000003 + c[i+3]) "
       "% 2147483647 * 1000003 + c[i+4]) % 2147483647")
 _SIG = f"""
@@ -158,14 +158,21 @@ sh AS (
   FROM cp
 ),
 slots AS (
-  SELECT k, ('0x' || substr(md5('a' || CAST(k AS VARCHAR)), 1, 7))::BIGINT + 1 AS a,
-            ('0x' || substr(md5('b' || CAST(k AS VARCHAR)), 1, 7))::BIGINT AS b
+  SELECT k, ('0x' || substr(md5('a' || CAST(k AS VARCHAR)), 1, 8))::UBIGINT AS ah,
+            ('0x' || substr(md5('a' || CAST(k AS VARCHAR)), 9, 8))::UBIGINT | 1::UBIGINT AS al,
+            ('0x' || substr(md5('b' || CAST(k AS VARCHAR)), 1, 8))::UBIGINT AS bh,
+            ('0x' || substr(md5('b' || CAST(k AS VARCHAR)), 9, 8))::UBIGINT AS bl
   FROM range(128) t(k)
 ),
-sv AS (SELECT doc_id, k, min((h * a + b) % 2147483647) AS v FROM sh, slots GROUP BY doc_id, k),
+sv AS (
+  -- top 32 bits of (a*h + b) mod 2^64 from 32-bit halves: no 128-bit arithmetic
+  SELECT doc_id, k,
+         min((((ah * h::UBIGINT) % 4294967296) + bh + ((al * h::UBIGINT + bl) // 4294967296)) % 4294967296)::BIGINT AS v
+  FROM sh, slots GROUP BY doc_id, k
+),
 sig AS (
   SELECT cp.doc_id,
-         coalesce(s.sig, list_transform(range(128), lambda x: 2147483647::BIGINT)) AS sig
+         coalesce(s.sig, list_transform(range(128), lambda x: 4294967296::BIGINT)) AS sig
   FROM cp LEFT JOIN (SELECT doc_id, list(v ORDER BY k) AS sig FROM sv GROUP BY doc_id) s ON cp.doc_id = s.doc_id
   WHERE cp.doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0)
 ),
