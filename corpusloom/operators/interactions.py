@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import strip_ws
 from ..functions.text import col_
-from ..session import broadcast_if_small
 
 # FIXED VALUES: JavaScript String.prototype.trim whitespace (for the UI list parser)
 JS_WS_CLASS = r"[\x{09}-\x{0d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -47,6 +46,14 @@ class Rules:
         for cpos, (cls, members) in enumerate(rules.get("class_members", {}).items()):
             member_rows.extend((m.lower(), cls, cpos) for m in members)
         self.members = spark.createDataFrame(member_rows, "drug string, class string, class_pos int")
+        # Every table derived from the rules is bounded by the rule object's size, which is known
+        # here on the driver: the broadcast decision needs no Spark job.
+        n_class_entries = sum(len(c["classA"]) + len(c["classB"]) for c in rules.get("classes", []))
+        self.size_bound = len(syn_rows) + 2 * len(rules.get("pairs", [])) + len(member_rows) * max(1, n_class_entries)
+
+    def bcast(self, df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+        """Broadcast a rule-derived table when the rule object is small enough."""
+        return F.broadcast(df) if self.size_bound <= max_rows else df
 
 
 def parse_med_list(c) -> Column:
@@ -67,14 +74,14 @@ def canonical_name(items: DataFrame, rules: Rules, name_col: str = "name", out:
     it = items.filter(F.col(name_col).isNotNull() & (F.col(name_col) != ""))
     it = it.withColumn("_n", F.lower(strip_ws(F.col(name_col))))
     syn = rules.synonyms.groupBy("name").agg(F.min_by("canon", "prio").alias("_canon"))
-    it = it.join(broadcast_if_small(syn), it["_n"] == syn["name"], "left").drop(syn["name"])
+    it = it.join(rules.bcast(syn), it["_n"] == syn["name"], "left").drop(syn["name"])
     return it.withColumn(out, F.coalesce("_canon", "_n")).drop("_n", "_canon")
 
 
 def drug_classes(drugs: DataFrame, rules: Rules, drug_col: str = "drug") -> DataFrame:
     """Every class containing the drug, in rule order -> (drug, classes array)."""
     d = drugs.select(drug_col).distinct()
-    m = broadcast_if_small(rules.members)
+    m = rules.bcast(rules.members)
     j = d.join(m, d[drug_col] == m["drug"]).drop(m["drug"])
     return j.groupBy(drug_col).agg(
         F.transform(F.array_sort(F.collect_set(F.struct("class_pos", "class"))), lambda s: s["class"]).alias("classes"))
@@ -83,7 +90,7 @@ def drug_classes(drugs: DataFrame, rules: Rules, drug_col: str = "drug") -> Data
 def pair_rules(items: DataFrame, rules: Rules) -> DataFrame:
     """(basket, msg) for unordered pair rules; items carry canonical ``drug``."""
     ends = rules.pairs.select("rule", "ra", "rb", "note", F.explode(F.array("ra", "rb")).alias("end")).distinct()
-    j = items.join(broadcast_if_small(ends), items["drug"] == ends["end"])
+    j = items.join(rules.bcast(ends), items["drug"] == ends["end"])
     g = j.groupBy("basket", "rule", "ra", "rb", "note").agg(
         F.max(F.when(F.col("drug") == F.col("ra"), 1).otherwise(0)).alias("has_a"),
         F.max(F.when(F.col("drug") == F.col("rb"), 1).otherwise(0)).alias("has_b"),
@@ -97,11 +104,11 @@ def class_rules(items: DataFrame, rules: Rules) -> DataFrame:
 
     Equi-joins only: items -> (drug, class) members -> (class, rule, side) rule sides.
     """
-    members = broadcast_if_small(rules.members.select("drug", "class"))
+    members = rules.bcast(rules.members.select("drug", "class"))
     sides = rules.class_rules.select("rule", F.explode(F.array(
         F.struct(F.lit("A").alias("side"), F.col("class_a").alias("cls")),
         F.struct(F.lit("B").alias("side"), F.col("class_b").alias("cls")))).alias("s"))
-    sides = broadcast_if_small(
+    sides = rules.bcast(
         sides.select("rule", F.col("s.side").alias("side"), F.explode("s.cls").alias("class")).distinct())
     tagged = items.join(members, "drug").join(sides, "class")
     per = tagged.groupBy("basket", "rule", "drug", "side").agg(
@@ -109,11 +116,11 @@ def class_rules(items: DataFrame, rules: Rules) -> DataFrame:
     a = per.filter(F.col("side") == "A").select("basket", "rule", F.col("drug").alias("a"), "first_pos")
     b = per.filter(F.col("side") == "B").select("basket", "rule", F.col("drug").alias("b"), "last_pos")
     hit = a.join(b, ["basket", "rule"]).filter(F.col("first_pos") < F.col("last_pos"))
-    hit = hit.join(broadcast_if_small(rules.class_rules.select("rule", "note")), "rule")
+    hit = hit.join(rules.bcast(rules.class_rules.select("rule", "note")), "rule")
     cls = drug_classes(rules.members.select("drug"), rules)
     ca = cls.select(F.col("drug").alias("a"), F.array_join("classes", ",").alias("ca"))
     cb = cls.select(F.col("drug").alias("b"), F.array_join("classes", ",").alias("cb"))
-    hit = hit.join(broadcast_if_small(ca), "a").join(broadcast_if_small(cb), "b")
+    hit = hit.join(rules.bcast(ca), "a").join(rules.bcast(cb), "b")
     msg = F.concat_ws("", "a", F.lit(" (class "), "ca", F.lit(") + "), "b", F.lit(" (class "), "cb",
                       F.lit("): "), "note")
     return hit.select("basket", msg.alias("msg")).distinct()
@@ -156,7 +163,7 @@ def check_interactions(items: DataFrame, rules: Rules, baskets: DataFrame | None
     (basket, rule) is bounded by the rule's member lists.
     """
     canon = canonical_name(items, rules).select("basket", "pos", "drug")
-    ends = broadcast_if_small(_endpoints(rules))
+    ends = rules.bcast(_endpoints(rules))
     per = (canon.join(ends, "drug")
                 .groupBy("basket", "kind", "rule", "drug")
                 .agg(F.min(F.when(F.col("side") == "A", F.col("pos"))).alias("a_first"),
@@ -173,10 +180,10 @@ def check_interactions(items: DataFrame, rules: Rules, baskets: DataFrame | None
     hit = hit.filter(F.when(F.col("kind") == "P", either).otherwise(ordered))
     pm, cm = _messages(rules)
     cls = drug_classes(rules.members.select("drug"), rules).select("drug", F.array_join("classes", ",").alias("cl"))
-    hit = (hit.join(broadcast_if_small(pm), ["kind", "rule"], "left")
-              .join(broadcast_if_small(cm), ["kind", "rule"], "left")
-              .join(broadcast_if_small(cls.select(F.col("drug").alias("a"), F.col("cl").alias("ca"))), "a", "left")
-              .join(broadcast_if_small(cls.select(F.col("drug").alias("b"), F.col("cl").alias("cb"))), "b", "left"))
+    hit = (hit.join(rules.bcast(pm), ["kind", "rule"], "left")
+              .join(rules.bcast(cm), ["kind", "rule"], "left")
+              .join(rules.bcast(cls.select(F.col("drug").alias("a"), F.col("cl").alias("ca"))), "a", "left")
+              .join(rules.bcast(cls.select(F.col("drug").alias("b"), F.col("cl").alias("cb"))), "b", "left"))
     class_msg = F.concat_ws("", "a", F.lit(" (class "), "ca", F.lit(") + "), "b", F.lit(" (class "), "cb",
                             F.lit("): "), "note")
     msgs = hit.select("basket", F.when(F.col("kind") == "P", F.col("pair_msg")).otherwise(class_msg).alias("msg"))

@@ -19,27 +19,37 @@ def split_random(df: DataFrame, key: str = "id", ratios=K.SPLIT_RATIOS, seed: in
 
 
 def split_stratified(df: DataFrame, strata, key: str = "id", ratios=K.SPLIT_RATIOS,
-                     seed: int = K.SEED, out: str = "split") -> DataFrame:
-    """The same ratios inside every stratum.
+                     seed: int = K.SEED, out: str = "split", max_bucket_rows: int = 1_000_000) -> DataFrame:
+    """The same ratios inside every stratum, with exact quotas.
 
     Records are ranked by their hash draw inside the stratum; the first
     floor(r0*n) go to train, the next floor((r0+r1)*n) - floor(r0*n) to val.
-    One shuffle on the stratum keys; a hot stratum is one sort task, which is
-    the price of an exact per-stratum quota (use split_random when that hurts).
+    The rank is computed without sorting a whole stratum in one task: each
+    stratum is cut into draw-range buckets of about ``max_bucket_rows`` records
+    (draws are uniform), bucket counts give the rank offset, and the sort runs
+    per (stratum, bucket).  Counts and offsets are small broadcast tables.
     """
+    from ..session import broadcast_if_small
+
     strata = [strata] if isinstance(strata, str) else list(strata)
     r0, r1 = float(ratios[0]), float(ratios[0]) + float(ratios[1])
-    draw = hash_uniform(key, seed)
-    w = Window.partitionBy(*strata).orderBy(draw, F.col(key))
-    wn = Window.partitionBy(*strata)
-    rn = F.row_number().over(w)
-    n = F.count(F.lit(1)).over(wn)
-    return df.withColumn("_rn", rn).withColumn("_n", n).withColumn(
-        out,
-        F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(r0)), "train")
-        .when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(r1)), "val")
-        .otherwise("test"),
-    ).drop("_rn", "_n")
+    d = df.withColumn("_u", hash_uniform(key, seed))
+    counts = d.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_bucket_rows))))
+    d = d.join(broadcast_if_small(counts), strata, "left")
+    d = d.withColumn("_b", F.floor(F.col("_u") * F.col("_nb")).cast("long"))
+    bc = d.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    wb = Window.partitionBy(*strata).orderBy("_b")
+    bc = bc.withColumn("_before", F.coalesce(F.sum("_bn").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                            F.lit(0))).drop("_bn")
+    d = d.join(broadcast_if_small(bc), strata + ["_b"], "left")
+    w = Window.partitionBy(*strata, "_b").orderBy("_u", key)
+    rn = F.col("_before") + F.row_number().over(w)
+    return (d.withColumn("_rn", rn)
+             .withColumn(out, F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(r0)), "train")
+                               .when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(r1)), "val")
+                               .otherwise("test"))
+             .drop("_u", "_n", "_nb", "_b", "_before", "_rn"))
 
 
 def first_n_by(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:

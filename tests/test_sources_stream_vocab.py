@@ -120,3 +120,15 @@ def test_entry_contract(spark):
     rows = E.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"source", "split", "n"}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stratified_split_buckets_match_single_sort(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    a = {r["doc_id"]: r["split"] for r in split.split_stratified(d, ["source"], key="doc_id").collect()}
+    b = {r["doc_id"]: r["split"] for r in split.split_stratified(d, ["source"], key="doc_id", max_bucket_rows=3).collect()}
+    assert a == b
+    per = {}
+    for doc, sp in a.items():
+        per.setdefault(sp, 0)
+        per[sp] += 1
+    assert per["train"] > per["val"] > 0
