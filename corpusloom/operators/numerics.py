@@ -21,17 +21,60 @@ def center_slice(vox: DataFrame, keys=("subject", "modality"), z: str = "z") ->
     return j.filter(F.col(z) == F.floor(F.col("_nz") / 2)).drop("_nz")
 
 
-def robust_scale(vox: DataFrame, keys=("subject", "modality"), v: str = "v", lo: float = 0.01, hi: float = 0.99,
-                 out: str = "u8") -> DataFrame:
-    """clip((v - p1) / (p99 - p1 + 1e-6), 0, 1) * 255 truncated, per group.
+def exact_percentiles(df: DataFrame, keys, v: str, probs) -> DataFrame:
+    """Exact linear-interpolated percentiles per group without holding a group in one task.
 
-    Exact linear-interpolated percentiles (``percentile``), meant for groups of
-    image-slice size; the percentile pair is computed once per group and
-    joined back.
+    Values are range-partitioned on (keys, v), so a group holding a third of
+    all rows is spread over many tasks; each row's rank in its group is the
+    group's row count in earlier partitions plus its offset inside its own
+    partition (consecutive ids after a per-partition sort).  Only the rows at
+    the needed ranks are kept.  The ranked table is checkpointed so the
+    sampled range bounds and ids stay fixed.  Returns keys + p0, p1, ...
     """
+    from ..session import broadcast_if_small, cut_lineage
+
+    keys = list(keys)
+    n_parts = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = (df.select(*keys, F.col(v).cast("double").alias("_v"))
+           .repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
+           .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
+    cnt = s.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_pid")
+    cnt = cnt.withColumns({
+        "_off": F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_n": F.sum("_c").over(Window.partitionBy(*keys)),
+    }).drop("_c")
+    r = s.join(broadcast_if_small(cnt), keys + ["_pid"]).withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_m0"))
+    wanted = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        r = r.withColumns({f"_lo{i}": F.floor(pos), f"_hi{i}": F.ceil(pos)})
+        wanted += [F.col("_rank") == F.col(f"_lo{i}"), F.col("_rank") == F.col(f"_hi{i}")]
+    cond = wanted[0]
+    for c in wanted[1:]:
+        cond = cond | c
+    picked = r.filter(cond)
+    aggs = []
+    for i, p in enumerate(probs):
+        aggs += [F.max(F.when(F.col("_rank") == F.col(f"_lo{i}"), F.col("_v"))).alias(f"_vl{i}"),
+                 F.max(F.when(F.col("_rank") == F.col(f"_hi{i}"), F.col("_v"))).alias(f"_vh{i}"),
+                 F.first(F.lit(float(p)) * (F.col("_n") - 1)).alias(f"_pos{i}")]
+    g = picked.groupBy(*keys).agg(*aggs)
+    outs = []
+    for i in range(len(probs)):
+        lo, hi, pos = F.col(f"_vl{i}"), F.col(f"_vh{i}"), F.col(f"_pos{i}")
+        fl, ce = F.floor(pos), F.ceil(pos)
+        outs.append(F.when(fl == ce, lo).otherwise((ce - pos) * lo + (pos - fl) * hi).alias(f"p{i}"))
+    return g.select(*keys, *outs)
+
+
+def robust_scale(vox: DataFrame, keys=("subject", "modality"), v: str = "v", lo: float = 0.01, hi: float = 0.99,
+                 out: str = "u8") -> DataFrame:
+    """clip((v - p1) / (p99 - p1 + 1e-6), 0, 1) * 255 truncated, per group, with exact
+    linear-interpolated percentiles (see ``exact_percentiles``) joined back."""
     keys = list(keys)
-    pct = vox.groupBy(*keys).agg(F.percentile(F.col(v).cast("double"), F.array(F.lit(lo), F.lit(hi))).alias("_p"))
-    pct = pct.select(*keys, F.col("_p")[0].alias("_p1"), F.col("_p")[1].alias("_p99"))
+    pct = exact_percentiles(vox, keys, v, [lo, hi]).withColumnRenamed("p0", "_p1").withColumnRenamed("p1", "_p99")
     j = vox.join(pct, keys)
     scaled = (F.col(v).cast("double") - F.col("_p1")) / (F.col("_p99") - F.col("_p1") + F.lit(EPS))
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))

@@ -132,3 +132,14 @@ def test_stratified_split_buckets_match_single_sort(spark, sf):
         per.setdefault(sp, 0)
         per[sp] += 1
     assert per["train"] > per["val"] > 0
+
+
+def test_exact_percentiles_match_builtin(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    mine = {r["event_type"]: (r["p0"], r["p1"]) for r in
+            numerics.exact_percentiles(ev.repartition(5), ["event_type"], "value", [0.01, 0.99]).collect()}
+    ref = {r["event_type"]: tuple(r["p"]) for r in
+           ev.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p")).collect()}
+    assert mine.keys() == ref.keys()
+    for k in mine:
+        assert abs(mine[k][0] - ref[k][0]) < 1e-9 and abs(mine[k][1] - ref[k][1]) < 1e-9
