@@ -143,3 +143,31 @@ def test_exact_percentiles_match_builtin(spark, sf):
     assert mine.keys() == ref.keys()
     for k in mine:
         assert abs(mine[k][0] - ref[k][0]) < 1e-9 and abs(mine[k][1] - ref[k][1]) < 1e-9
+
+
+def test_sinks_round_trip(spark):
+    from corpusloom.operators import evalqa, flatten, retrieve
+    base = scratch_dir(spark, "sinks")
+    # S06 results
+    res = spark.createDataFrame([("pubmedqa", "rag", "patient", 3, {"acc": 0.5}, 10)], S.RESULT_SCHEMA)
+    S.write_result_json(res, f"{base}/results")
+    S.write_result_json(res, f"{base}/results")
+    back = S.read_results(spark, f"{base}/results/*.json")
+    assert back.count() == 2 and evalqa.leaderboard(back).collect()[0]["Acc"] == "0.500"
+    # S10 retrieval table
+    t = spark.createDataFrame([("a", "t", "s", "MIT", [0.1, 0.2])],
+                              "id string, text string, source string, license string, embedding array<double>")
+    S.write_retrieval_table(t, f"{base}/index")
+    assert S.read_retrieval_table(spark, f"{base}/index").collect()[0]["embedding"] == [0.1, 0.2]
+    # S12 tokenizer corpus, P05 split writer
+    lines = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, line string")
+    S.write_tokenizer_corpus(lines, f"{base}/corpus")
+    assert sorted(r["value"] for r in spark.read.text(f"{base}/corpus").collect()) == ["a b", "c"]
+    split.write_splits(split.split_random(lines, key="id"), f"{base}/splits")
+    assert spark.read.json(f"{base}/splits").count() == 2
+    # F07 records from a file listing, R08 fallback for queries without hits
+    files = spark.createDataFrame([("C:\\img\\a.jpg",)], "path string")
+    assert flatten.flatten_isic_files(files).collect()[0]["image_path"] == "C:/img/a.jpg"
+    q = spark.createDataFrame([(1, "q")], "query_id long, query string")
+    ev = spark.createDataFrame([], "query_id long, evidence string")
+    assert retrieve.no_hit_fallback(q, ev).collect()[0]["evidence"] == "No relevant passages were retrieved."
