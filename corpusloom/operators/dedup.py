@@ -237,7 +237,8 @@ def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text") ->
 U, KEPT, DROPPED = 0, 1, 2
 
 
-def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 4) -> DataFrame:
+def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 4,
+                      stats: dict | None = None) -> DataFrame:
     """Lexicographically-first maximal independent set of the bucket-sharing graph.
 
     ``mem``: (ord, bucket) memberships.  A record is kept iff no kept record
@@ -279,6 +280,8 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
             decided = [cut_lineage(_union_all(decided))]
         else:
             state = nxt.cache()
+        if stats is not None:
+            stats["rounds"] = rnd + 1
         if state.filter(F.col("st") == U).limit(1).count() == 0:
             break
     done = _union_all(decided)
