@@ -24,7 +24,7 @@ from ..functions import fmt3, truncate
 from ..functions.text import col_
 from ..session import broadcast_if_small, ship_code
 
-MAX_BROADCAST_QUERY_VALUES = 64_000_000   # ~512 MB of float64 per query block
+MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast query block
 
 
 # --------------------------------------------------------------------------- R01 encoder

@@ -59,6 +59,8 @@ def first_n_by(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
     is then applied as a filter where the rows already are.  The key tuple is
     assumed unique (ties at the cut-off would all pass).
     """
+    if df.count() <= n:                      # nothing to cut (a count reads no text columns)
+        return df
     top = df.select(F.struct(*order_cols).alias("k")).orderBy("k").limit(n)
     row = top.agg(F.max("k").alias("last"), F.count(F.lit(1)).alias("n")).collect()[0]
     if row["n"] < n:
