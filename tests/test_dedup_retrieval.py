@@ -110,3 +110,21 @@ def test_link_phrases_whole_text(spark):
     v = label.vocab_from_rows(spark, [("s", "of the", ["A"]), ("s", "in the end", ["B", "A"]), ("s", "zz", ["Z"])])
     r = {x["id"]: (x["codes"], x["n_mentions"]) for x in label.link_phrases(docs, v).collect()}
     assert r == {1: (["A", "B"], 3)}
+
+
+def test_dedup_idempotent_and_dropped_have_kept_lower_neighbour(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = dedup.dedup_first_wins(docs, order_col="doc_id")
+    kept_ids = {r["doc_id"] for r in kept.collect()}
+    again = {r["doc_id"] for r in dedup.dedup_first_wins(kept, order_col="doc_id").collect()}
+    assert again == kept_ids
+    from pyspark.sql import functions as F
+    mem = dedup.lsh_memberships(docs, order_col="doc_id", collapse=False)
+    rows = mem.groupBy("bucket").agg(F.collect_list("ord").alias("m")).collect()
+    lower_kept = set()
+    for r in rows:
+        for o in r["m"]:
+            if any(x < o and x in kept_ids for x in r["m"]):
+                lower_kept.add(o)
+    dropped = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept_ids
+    assert dropped and dropped <= lower_kept
