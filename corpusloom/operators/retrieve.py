@@ -9,8 +9,6 @@ cross the shuffle; the index itself is never moved.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,41 +26,50 @@ MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast quer
 
 
 # --------------------------------------------------------------------------- R01 encoder
-def hashing_encoder(dim: int = 256) -> Callable[[list[str]], np.ndarray]:
-    """Default encoder: signed feature hashing of lower-cased word tokens.
+def hashing_features(df: DataFrame, text_col: str = "text", id_col: str = "id", dim: int = 256,
+                     max_chars: int = K.INDEX_TEXT_CHARS) -> DataFrame:
+    """Default R01 encoder, JVM-side: signed feature hashing of the words of text[:max_chars].
 
-    token t -> slot md5(t) mod dim, sign + if the next hex digit is even.
-    A user-supplied encoder (texts -> (n, d) array) takes its place.
+    word = processed-text token; slot = md5(word)[:8 hex] mod dim; sign + when
+    the 9th hex digit is even.  One (id, slot) aggregation, then a dense vector
+    of ``dim`` values per record (bounded by dim, whatever the text length).
     """
-    word = re.compile(r"\w+", re.UNICODE)
+    from ..functions import default_process
 
-    def enc(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            for w in word.findall((t or "").lower()):
-                h = hashlib.md5(w.encode()).hexdigest()
-                out[i, int(h[:8], 16) % dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-        return out
-
-    return enc
+    words = df.select(id_col, F.explode(F.split(default_process(truncate(text_col, max_chars)), " ")).alias("w"))
+    words = words.filter(F.length("w") > 0)
+    h = F.md5("w")
+    slot = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    per = words.groupBy(id_col, slot.alias("slot")).agg(F.sum(sign).alias("x"))
+    dense = per.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                      lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
+    return df.select(id_col).join(dense, id_col, "left").select(id_col, vec.alias("embedding"))
 
 
 def encode_text(df: DataFrame, text_col: str = "text", id_col: str = "id",
                 encoder: Callable[[list[str]], np.ndarray] | None = None,
                 max_chars: int = K.INDEX_TEXT_CHARS, batch: int = K.ENCODE_BATCH) -> DataFrame:
-    """(id, embedding array<double>) for text[:max_chars]; the encoder is built once per
-    task and fed Arrow batches of ``batch`` rows."""
+    """(id, embedding array<double>) for text[:max_chars].
+
+    Without an encoder the JVM-side hashing encoder is used.  A user encoder
+    (texts -> (n, d) array, e.g. a sentence model) is built once per task and
+    fed Arrow batches of ``batch`` rows through ``mapInPandas``.
+    """
+    if encoder is None:
+        return hashing_features(df, text_col, id_col, max_chars=max_chars)
     factory = encoder
     id_type = df.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        enc = factory if factory is not None else hashing_encoder()
+        enc = factory
         for pdf in batches:
             for s in range(0, len(pdf), batch):
                 part = pdf.iloc[s:s + batch]
                 vecs = enc([t or "" for t in part["_t"].tolist()])
-                yield pd.DataFrame({id_col: part[id_col].tolist(), "embedding": [v.tolist() for v in vecs]})
+                yield pd.DataFrame({id_col: part[id_col].tolist(), "embedding": [list(map(float, v)) for v in vecs]})
 
     ship_code()
     src = df.select(id_col, truncate(text_col, max_chars).alias("_t"))

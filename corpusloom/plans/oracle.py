@@ -1004,6 +1004,19 @@ SELECT page_id, 'data/images/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)'
 """
 
 
+Q["encode_text"] = f"""
+WITH w AS (
+  SELECT doc_id, unnest(string_split({dproc('substr(text, 1, 2000)')}, ' ')) AS w FROM documents
+), s AS (
+  SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
+         sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+  FROM w WHERE length(w) > 0 GROUP BY ALL
+)
+SELECT d.doc_id, 256 AS dim, coalesce(CAST(sum(abs(s.x)) AS BIGINT), 0) AS l1
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

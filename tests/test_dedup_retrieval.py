@@ -128,3 +128,20 @@ def test_dedup_idempotent_and_dropped_have_kept_lower_neighbour(spark, sf):
                 lower_kept.add(o)
     dropped = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept_ids
     assert dropped and dropped <= lower_kept
+
+
+def test_encoder_hook_and_default(spark):
+    df = spark.createDataFrame([(1, "abc def"), (2, "")], "id long, text string")
+    custom = {r["id"]: r["embedding"] for r in
+              retrieve.encode_text(df, encoder=lambda ts: np.array([[len(t), 1.0] for t in ts])).collect()}
+    assert custom == {1: [7.0, 1.0], 2: [0.0, 1.0]}
+    default = {r["id"]: r["embedding"] for r in retrieve.encode_text(df).collect()}
+    assert len(default[1]) == 256 and sum(abs(x) for x in default[1]) == 2.0 and set(default[2]) == {0.0}
+
+
+def test_answer_batch_with_predictor(spark):
+    req = spark.createDataFrame([(1, "patient", "q?")], "query_id long, role string, query string")
+    hits = spark.createDataFrame([(1, 1, 0.5, "t", "src")], "query_id long, rank int, score double, text string, source string")
+    out = retrieve.answer_batch(req, hits, predictor=lambda prompts: ["gen:" + str(len(p)) for p in prompts]).collect()[0]
+    assert out["answer"].startswith("gen:") and out["citations"] == "[src] score=0.500"
+    assert out["disclaimer"].startswith("⚠️")
