@@ -8,8 +8,8 @@ pairs, class rules, class members) that are broadcast behind a size check.
 * Class rules are ordered: drug x in a classA class must come before drug y in
   a classB class.  Per (basket, rule, drug) we keep the first position (A side)
   and the last position (B side); x precedes y somewhere iff first(x) < last(y).
-  The A/B join is per (basket, rule) and its size is bounded by the class
-  member lists, not by the basket length, so a hot basket is safe.
+  The A/B check is per (basket, rule) and bounded by the class member lists,
+  not by the basket length, so a hot basket is safe.
 """
 
 from __future__ import annotations
@@ -156,11 +156,12 @@ def check_interactions(items: DataFrame, rules: Rules, baskets: DataFrame | None
     """Per basket the sorted distinct messages of both rule kinds; baskets without hits -> [].
 
     One pass over the items: a broadcast join to the combined rule endpoints,
-    one aggregate per (basket, kind, rule, drug) keeping the first position on
-    side A and the last on side B, then the A/B join per (basket, rule).  A pair
-    rule fires when both drugs are present at different positions; a class
-    rule when the A drug comes before the B drug.  The join size per
-    (basket, rule) is bounded by the rule's member lists.
+    one aggregate per (basket, kind, rule, drug) keeping the first and last
+    position on each side, one row per (basket, rule) with its matching drugs,
+    and the A/B check inside that row.  A pair rule fires when both drugs are
+    present at different positions; a class rule when the A drug comes before
+    the B drug.  The work per (basket, rule) is bounded by the rule's member
+    lists, never by the basket length.
     """
     canon = canonical_name(items, rules).select("basket", "pos", "drug")
     ends = rules.bcast(_endpoints(rules))
@@ -170,14 +171,21 @@ def check_interactions(items: DataFrame, rules: Rules, baskets: DataFrame | None
                      F.max(F.when(F.col("side") == "A", F.col("pos"))).alias("a_last"),
                      F.min(F.when(F.col("side") == "B", F.col("pos"))).alias("b_first"),
                      F.max(F.when(F.col("side") == "B", F.col("pos"))).alias("b_last")))
-    a = per.filter(F.col("a_first").isNotNull()).select("basket", "kind", "rule", F.col("drug").alias("a"),
-                                                        "a_first", "a_last")
-    b = per.filter(F.col("b_first").isNotNull()).select("basket", "kind", "rule", F.col("drug").alias("b"),
-                                                        "b_first", "b_last")
-    hit = a.join(b, ["basket", "kind", "rule"])
-    ordered = F.col("a_first") < F.col("b_last")
-    either = ordered | (F.col("b_first") < F.col("a_last"))
-    hit = hit.filter(F.when(F.col("kind") == "P", either).otherwise(ordered))
+    # one row per (basket, rule): its matching drugs (at most the rule's member count)
+    g = per.groupBy("basket", "kind", "rule").agg(
+        F.collect_list(F.struct("drug", "a_first", "a_last", "b_first", "b_last")).alias("ds"))
+    a_side = F.filter("ds", lambda d: d["a_first"].isNotNull())
+    b_side = F.filter("ds", lambda d: d["b_first"].isNotNull())
+    is_pair = F.col("kind") == "P"
+
+    def fires(x, y):
+        ordered = x["a_first"] < y["b_last"]
+        return F.when(is_pair, ordered | (y["b_first"] < x["a_last"])).otherwise(ordered)
+
+    pairs = F.flatten(F.transform(a_side, lambda x: F.transform(
+        F.filter(b_side, lambda y: fires(x, y)), lambda y: F.struct(x["drug"].alias("a"), y["drug"].alias("b")))))
+    hit = g.select("basket", "kind", "rule", F.explode(pairs).alias("p")).select(
+        "basket", "kind", "rule", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
     pm, cm = _messages(rules)
     cls = drug_classes(rules.members.select("drug"), rules).select("drug", F.array_join("classes", ",").alias("cl"))
     hit = (hit.join(rules.bcast(pm), ["kind", "rule"], "left")
