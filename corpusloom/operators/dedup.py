@@ -137,12 +137,12 @@ def minhash_buckets(df: DataFrame, ord_col: str, proc_col: str, num_perm: int, b
 def _spread(df: DataFrame) -> DataFrame:
     """Hash-spread the (key, processed text) rows over at least 2x the cores.
 
-    MinHash costs about a microsecond of CPU per input character, far more than
-    moving the character once, so an even spread wins even when the input
-    files are few or unbalanced (a single row group is a single task).
+    MinHash costs far more CPU per input character than moving the character
+    once, so an even spread (4 tasks per core, to even out long texts) wins
+    even when the input files are few or unbalanced (a row group is a task).
     """
     sc = df.sparkSession.sparkContext
-    n = max(df.rdd.getNumPartitions(), 2 * sc.defaultParallelism)
+    n = max(df.rdd.getNumPartitions(), 4 * sc.defaultParallelism)
     return df.repartition(n, "ord")
 
 
@@ -238,7 +238,7 @@ U, KEPT, DROPPED = 0, 1, 2
 
 
 def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 4,
-                      stats: dict | None = None) -> DataFrame:
+                      stats: dict | None = None, prune_closed: bool = False) -> DataFrame:
     """Lexicographically-first maximal independent set of the bucket-sharing graph.
 
     ``mem``: (ord, bucket) memberships.  A record is kept iff no kept record
@@ -271,9 +271,10 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
         nxt = (state.join(new_st, "ord", "left")
                     .select("ord", "bucket", F.coalesce("new", "st").alias("st"))
                     .filter(F.col("st") != DROPPED))
-        # buckets with no undecided member are finished: their kept members are final
-        open_b = nxt.groupBy("bucket").agg(F.max(F.when(F.col("st") == U, 1).otherwise(0)).alias("open"))
-        nxt = nxt.join(open_b.filter("open = 1").select("bucket"), "bucket", "left_semi")
+        if prune_closed:
+            # buckets with no undecided member are finished: their kept members are final
+            open_b = nxt.groupBy("bucket").agg(F.max(F.when(F.col("st") == U, 1).otherwise(0)).alias("open"))
+            nxt = nxt.join(open_b.filter("open = 1").select("bucket"), "bucket", "left_semi")
         decided.append(new_st.filter(F.col("new") != U).select("ord", F.col("new").alias("st")))
         if (rnd + 1) % checkpoint_every == 0:
             state = cut_lineage(nxt)
