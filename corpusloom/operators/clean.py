@@ -173,6 +173,22 @@ def corpus_profile(df: DataFrame, step: str, by=("source", "split")) -> DataFram
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(step))
 
 
+def observe_counts(df: DataFrame, step: str):
+    """C12 without a second pass: attach row/empty-text counts to the job that writes ``df``.
+
+    Returns (df, observation); ``observation.get`` holds {"rows", "empty_text"}
+    once an action on the returned DataFrame has finished.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation(step)
+    has_text = "text" in df.columns
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if has_text:
+        metrics.append(F.sum(F.when(nonempty("text"), 0).otherwise(1)).alias("empty_text"))
+    return df.observe(obs, *metrics), obs
+
+
 def concat_fields(df: DataFrame, fields=None, out: str = "text") -> DataFrame:
     """Text from the configured fields, empty/null fields skipped, space separated."""
     fields = [f for f in (fields or K.RAG_FIELDS) if f in df.columns]

@@ -102,13 +102,15 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str
     above it the queries are hashed into blocks that each fit.
     """
     qid_type = queries.schema[qid_col].dataType
-    total = _query_values(queries, qvec_col)
+    q = queries.select(qid_col, qvec_col).persist()      # sized, then collected: computed once
+    total = _query_values(q, qvec_col)
     nblocks = max(1, int(np.ceil(total / MAX_BROADCAST_QUERY_VALUES)))
     parts = []
     for b in range(nblocks):
-        blk = queries if nblocks == 1 else queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
-        rows = blk.select(qid_col, qvec_col).collect()
+        blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
+        rows = blk.collect()
         parts.append(_knn_broadcast(index, rows, qid_type, k, id_col, vec_col, qid_col))
+    q.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import nonempty, normalize_text
+from ..functions import nonempty
+from ..functions.text import WS_CLASS_JAVA
 from ..session import cut_lineage
 
 # Split a string into code points: a boundary after every char that is not a
@@ -42,7 +43,8 @@ def tokenizer_lines(df: DataFrame, text_col: str = "text", order_by: str = "id",
 
 def word_frequency(lines: DataFrame, col: str = "line") -> DataFrame:
     """Whitespace-separated word counts of the corpus."""
-    w = lines.select(F.explode(F.split(normalize_text(col), " ")).alias("word")).filter(F.length("word") > 0)
+    # one regex pass: split on runs of whitespace (same words as normalise-then-split)
+    w = lines.select(F.explode(F.split(col, f"{WS_CLASS_JAVA}+")).alias("word")).filter(F.length("word") > 0)
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

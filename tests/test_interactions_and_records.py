@@ -83,3 +83,10 @@ def test_join_image_path(spark):
     got = [x["j"] for x in df.select(clean.join_image_path("r", "p").alias("j")).collect()]
     assert got == ["root/a/b.jpg", "root/c.png", "/abs/x.png"]
     assert F is not None
+
+
+def test_observe_counts_single_pass(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", ""), ("c", None)], "id string, text string")
+    observed, obs = clean.observe_counts(df, "ingest")
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"rows": 3, "empty_text": 2}
