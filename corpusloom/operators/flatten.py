@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import falsy_coalesce, mint_id, truncate
-from ..functions.text import col_
 from .clean import join_image_path, meta_struct
 
 def _codes0() -> Column:

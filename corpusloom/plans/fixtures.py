@@ -78,10 +78,6 @@ def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def source_license_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in K.ALLOWED_LICENSES], "license string")
-
-
 # FIXED VALUES: interaction rules over the part-name vocabulary of the driver
 # tables (same shape as the shipped rule file), used by the basket queries.
 BASKET_RULES = {

@@ -541,9 +541,6 @@ from ..functions import mint_id  # noqa: E402
 from ..operators import flatten  # noqa: E402
 from .fixtures import label_payloads, pubmed_pages, spl_payloads, trial_payloads  # noqa: E402
 
-REC_COLS = ["id", "text", "task", "source", "license", "image_path", "answer"]
-
-
 def _rec(df, *extra):
     return df.select(*[c for c in ("id", "text", "task", "image_path", "answer") if c in df.columns],
                      F.col("meta.source").alias("source"), F.col("meta.license").alias("license"), *extra)
