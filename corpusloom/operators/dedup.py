@@ -218,16 +218,19 @@ def lsh_candidates(df: DataFrame, order_col: str = "id", text_col: str = "text",
              .withColumnRenamed("ord", order_col))
 
 
-def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text") -> DataFrame:
+def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Records whose processed text is identical collapse to the lowest order key.
 
     Empty texts are not collapsed (they are always kept).  One pass: group by
-    md5 of the processed text and keep the whole row with the minimum key
+    md5 of the processed text and keep the row with the minimum key
     (``min_by``), which is partially aggregated before the shuffle, so a key
-    held by a third of all rows sends one row per map task.
+    held by a third of all rows sends one row per map task.  ``carry`` limits
+    the columns that travel through the shuffle (default: all of them).
     """
-    cols = df.columns
-    empties = df.filter(~nonempty(text_col))
+    cols = carry if carry is not None else df.columns
+    if order_col not in cols:
+        cols = [order_col] + list(cols)
+    empties = df.filter(~nonempty(text_col)).select(*cols)
     ne = df.filter(nonempty(text_col)).withColumn("_k", F.md5(default_process(text_col)))
     kept = (ne.groupBy("_k").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
               .select("_r.*"))

@@ -38,7 +38,7 @@ def corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     recs = clean.unify(documents_records(spark, sf))
     recs = clean.language_allow(recs)
     recs = clean.min_text_len(recs)
-    recs = dedup.dedup_exact(recs, order_col="doc_id")
+    recs = dedup.dedup_exact(recs, order_col="doc_id", carry=["doc_id", "meta"])
     recs = split.split_random(recs, key="doc_id")
     return (recs.groupBy(F.col("meta.source").alias("source"), "split")
                 .agg(F.count(F.lit(1)).alias("n")))
