@@ -168,6 +168,23 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
                  .select(qid_col, "rank", id_col, "score"))
 
 
+def build_retrieval_table(records: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None,
+                          id_col: str = "id", text_col: str = "text", source: Column | None = None,
+                          license: Column | None = None, max_chars: int = K.INDEX_TEXT_CHARS) -> DataFrame:
+    """Index build: non-empty texts cut to max_chars, encoded, L2-normalised, with source/license
+    metadata ('unknown' when missing), keyed by id (S10 writes it)."""
+    from ..functions import nonempty
+
+    src = source if source is not None else F.col("meta.source")
+    lic = license if license is not None else F.col("meta.license")
+    base = records.filter(nonempty(text_col)).select(
+        F.col(id_col).alias("id"), truncate(text_col, max_chars).alias("text"),
+        F.coalesce(src, F.lit(K.DEFAULT_SOURCE)).alias("source"),
+        F.coalesce(lic, F.lit(K.DEFAULT_LICENSE)).alias("license"))
+    emb = encode_text(base, "text", "id", encoder=encoder, max_chars=max_chars)
+    return base.join(emb, "id").withColumn("embedding", l2_normalize("embedding"))
+
+
 # --------------------------------------------------------------------------- R04-R08
 def hit_metadata(hits: DataFrame, store: DataFrame, id_col: str = "id") -> DataFrame:
     """Attach text/source/license to hits (hits are small: queries x k, broadcast-checked)."""

@@ -1017,6 +1017,23 @@ FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
+Q["build_retrieval_table"] = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NOT NULL AND length(text) > 0 THEN {norm('text')} ELSE text END AS t, source
+  FROM documents
+), n AS (SELECT doc_id, substr(t, 1, 2000) AS t, source FROM d WHERE t IS NOT NULL AND length(t) > 0),
+w AS (SELECT doc_id, unnest(string_split({dproc('t')}, ' ')) AS w FROM n),
+s AS (
+  SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
+         sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END) AS x
+  FROM w WHERE length(w) > 0 GROUP BY ALL
+), nz AS (SELECT doc_id, bool_or(x <> 0) AS nonzero FROM s GROUP BY doc_id)
+SELECT n.doc_id, length(n.t) AS text_len, n.source, {license_('n.source')} AS license, 256 AS dim,
+       CASE WHEN coalesce(nz.nonzero, FALSE) THEN 1.0 ELSE 0.0 END::DOUBLE AS sum_sq
+FROM n LEFT JOIN nz ON nz.doc_id = n.doc_id
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

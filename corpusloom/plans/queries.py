@@ -846,3 +846,12 @@ def q_join_image_path(spark, sf):
     p = load(spark, sf, "pages")
     rel = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1), "/", "\\\\")
     return p.select("page_id", clean.join_image_path(F.lit("data/images"), rel).alias("image_path"))
+
+
+@register("build_retrieval_table")
+def q_build_retrieval_table(spark, sf):
+    recs = clean.unify(documents_records(spark, sf))
+    t = retrieve.build_retrieval_table(recs, id_col="doc_id")
+    return t.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("text_len"), "source", "license",
+                    F.size("embedding").alias("dim"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
