@@ -103,6 +103,7 @@ def parse_json_tolerant(df: DataFrame, col: str, schema: T.StructType, out: str
                         status: str = "parse_status") -> DataFrame:
     """Parse with control characters allowed inside strings; if that fails, strip
     control characters and parse again; rows failing both get status 'failed' (quarantine).
+    ``<out>_text`` holds the text that parsed (raw or cleaned).
 
     A malformed text yields a struct of nulls (not null) in from_json, so the
     decision uses the corrupt-record column, not coalesce.
@@ -111,8 +112,9 @@ def parse_json_tolerant(df: DataFrame, col: str, schema: T.StructType, out: str
     opts = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": "_corrupt_record"}
     c = F.col(col)
+    cleaned = F.regexp_replace(c, CTL_CLASS, "")
     p1 = F.from_json(c, sch, opts)
-    p2 = F.from_json(F.regexp_replace(c, CTL_CLASS, ""), sch, opts)
+    p2 = F.from_json(cleaned, sch, opts)
     ok1 = c.isNotNull() & p1["_corrupt_record"].isNull()
     ok2 = c.isNotNull() & p2["_corrupt_record"].isNull()
     fields = [f.name for f in schema.fields]
@@ -120,6 +122,7 @@ def parse_json_tolerant(df: DataFrame, col: str, schema: T.StructType, out: str
     return df.withColumns({
         out: F.when(ok1, pick(p1)).when(ok2, pick(p2)),
         status: F.when(ok1, F.lit("ok")).when(ok2, F.lit("cleaned")).otherwise(F.lit("failed")),
+        f"{out}_text": F.when(ok1, c).when(ok2, cleaned),     # the text that parsed (for key presence)
     })
 
 

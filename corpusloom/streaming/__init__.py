@@ -40,8 +40,8 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     parsed = parse_json_tolerant(raw, "raw", RECORD_V2)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter(F.col("parse_status") != "failed").select("raw", "parsed.*")
-        recs = clean.unify(good, strict_presence=True, raw_col="raw").drop("raw")
+        good = batch.filter(F.col("parse_status") != "failed").select(F.col("parsed_text").alias("_json"), "parsed.*")
+        recs = clean.unify(good, strict_presence=True, raw_col="_json").drop("_json")
         _batch_sink(out)(recs, batch_id)
         if quarantine:
             _batch_sink(quarantine)(batch.filter(F.col("parse_status") == "failed").select("raw"), batch_id)

@@ -173,3 +173,20 @@ def test_sinks_round_trip(spark):
     q = spark.createDataFrame([(1, "q")], "query_id long, query string")
     ev = spark.createDataFrame([], "query_id long, evidence string")
     assert retrieve.no_hit_fallback(q, ev).collect()[0]["evidence"] == "No relevant passages were retrieved."
+
+
+def test_stream_ingest_quarantine_and_presence(spark):
+    base = scratch_dir(spark, "ingest-test")
+    landing = tempfile.mkdtemp(prefix="landing-")       # written by plain Python, local test only
+    with open(f"{landing}/a.jsonl", "w") as f:
+        f.write('{"id": "1", "text": "  hello   world ", "task": null}\n')
+        f.write('{"id": "2", "text": "x\\u00a0y", "meta": {"source": "s", "license": "MIT"}}\n')
+        f.write('{"id": "3", "text": "broken"\n')
+        f.write('{"id": "4",\x01 "text": "ctl"}\n')
+    q = W.stream_ingest(spark, landing, f"{base}/out", f"{base}/ckpt", f"{base}/bad")
+    q.awaitTermination()
+    out = {r["id"]: r for r in spark.read.parquet(f"{base}/out").collect()}
+    assert set(out) == {"1", "2", "4"}
+    assert out["1"]["text"] == "hello world" and out["1"]["task"] is None       # explicit null kept
+    assert out["2"]["text"] == "x y" and out["2"]["task"] == "summarize" and out["2"]["meta"]["license"] == "MIT"
+    assert [r["raw"] for r in spark.read.parquet(f"{base}/bad").collect()] == ['{"id": "3", "text": "broken"']
