@@ -260,6 +260,7 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
     edges = mem.join(sizes.filter("size >= 2"), "bucket").select("ord", "bucket", F.lit(U).alias("st"))
     state = cut_lineage(edges)
     decided = []
+    cached: list[DataFrame] = []
     for rnd in range(max_rounds):
         agg = state.groupBy("bucket").agg(
             F.min(F.when(F.col("st") == U, F.col("ord"))).alias("min_u"),
@@ -284,6 +285,7 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
             decided = [cut_lineage(_union_all(decided))]
         else:
             state = nxt.cache()
+            cached.append(state)
         if stats is not None:
             stats["rounds"] = rnd + 1
         if state.filter(F.col("st") == U).limit(1).count() == 0:
@@ -291,8 +293,11 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
     done = _union_all(decided)
     nodes = edges.select("ord").distinct()
     # every node is decided; nodes that never got a row stay kept by construction
-    return nodes.join(done.groupBy("ord").agg(F.max("st").alias("st")), "ord", "left") \
-        .select("ord", F.coalesce("st", F.lit(KEPT)).alias("st"))
+    status = cut_lineage(nodes.join(done.groupBy("ord").agg(F.max("st").alias("st")), "ord", "left")
+                              .select("ord", F.coalesce("st", F.lit(KEPT)).alias("st")))
+    for c in cached:
+        c.unpersist()
+    return status
 
 
 def _union_all(dfs: list[DataFrame]) -> DataFrame:
