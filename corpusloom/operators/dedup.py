@@ -138,11 +138,11 @@ def _spread(df: DataFrame) -> DataFrame:
     """Hash-spread the (key, processed text) rows over at least 2x the cores.
 
     MinHash costs far more CPU per input character than moving the character
-    once, so an even spread (4 tasks per core, to even out long texts) wins
+    once, so an even spread (2 tasks per core) wins
     even when the input files are few or unbalanced (a row group is a task).
     """
     sc = df.sparkSession.sparkContext
-    n = max(df.rdd.getNumPartitions(), 4 * sc.defaultParallelism)
+    n = max(df.rdd.getNumPartitions(), 2 * sc.defaultParallelism)
     return df.repartition(n, "ord")
 
 
