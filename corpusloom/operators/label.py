@@ -172,9 +172,12 @@ def link_phrases(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col
         full = F.concat_ws(" ", *[F.col(f"w{j}") for j in range(1, k + 1)])
         grams.append(F.when(F.col(f"w{k}").isNotNull(), full))
     ng = pos.select(id_col, F.explode(F.array(*grams)).alias("phrase")).filter(F.col("phrase").isNotNull())
-    hits = ng.join(broadcast_if_small(v.select("phrase", "codes")), "phrase")
-    mentions = hits.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_mentions"))
-    codes = (hits.select(id_col, F.explode("codes").alias("code")).distinct()
-                 .groupBy(id_col).agg(F.array_sort(F.collect_list("code")).alias("codes")))
-    return mentions.join(codes, id_col, "left").withColumn(
-        "codes", F.coalesce("codes", F.array().cast(T.ArrayType(T.StringType()))))
+    vocab_b = broadcast_if_small(v.select("phrase", "codes"))
+    # one pass: mentions per (record, phrase) are partially aggregated, then each record
+    # gathers its distinct phrases (at most the vocabulary size) with their codes
+    per_phrase = ng.join(vocab_b.select("phrase"), "phrase", "left_semi").groupBy(id_col, "phrase") \
+        .agg(F.count(F.lit(1)).alias("c"))
+    per_phrase = per_phrase.join(vocab_b, "phrase")
+    return per_phrase.groupBy(id_col).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"),
+        F.sum("c").alias("n_mentions"))
