@@ -63,11 +63,24 @@ def stream_dedup(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str
     return s.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
+def as_utc_wallclock(c, tz: str):
+    """TIMESTAMP whose UTC wall clock equals the given (local / NTZ) wall clock, so that
+    UTC-aligned windows follow the calendar days of the data in any session time zone."""
+    return F.from_utc_timestamp(F.col(c).cast("timestamp") if isinstance(c, str) else c.cast("timestamp"), tz)
+
+
 def stream_counts(stream: DataFrame, ts_col: str, by: list[str], window: str = "1 day",
                   delay: str = "1 day") -> DataFrame:
-    """Per-window counts with a watermark (update mode emits changed counts per batch)."""
-    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, delay)
-    return s.groupBy(F.window(ts_col, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    """Per-window counts with a watermark (update mode emits changed counts per batch).
+
+    Windows follow the wall clock of ``ts_col`` whatever the session time zone;
+    ``w.start`` is reported in that same wall clock.
+    """
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    s = stream.withColumn(ts_col, as_utc_wallclock(ts_col, tz)).withWatermark(ts_col, delay)
+    agg = s.groupBy(F.window(ts_col, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+    return agg.withColumn("w", F.struct(F.to_utc_timestamp(F.col("w.start"), tz).alias("start"),
+                                        F.to_utc_timestamp(F.col("w.end"), tz).alias("end")))
 
 
 def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
