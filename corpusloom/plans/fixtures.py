@@ -56,20 +56,19 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qa_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question/answer items from conversations: each user turn and the reply that follows.
+    """Question/answer items from conversations: each user turn and the reply numbered after it.
 
-    id = conv_id*100 + turn, question = user text, pred = the next turn's text
-    when it is an assistant turn (else ''), gold = the user text itself, type
-    by conversation: mcq / yn / short in turn.  Window by conversation only.
+    id = conv_id*100 + turn, question = user text, pred = the text of turn+1
+    when that turn is an assistant turn (else ''), gold = the user text itself,
+    type by conversation: mcq / yn / short in turn.  An equi-join on
+    (conv_id, turn) pairs the turns, so a very long conversation spreads over
+    tasks instead of being sorted in one window partition.
     """
-    from pyspark.sql import Window
-
     c = load(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt_role = F.lead("role").over(w)
-    nxt_text = F.lead("text").over(w)
-    t = c.withColumn("pred", F.when(nxt_role == "assistant", nxt_text).otherwise(F.lit("")))
-    t = t.filter(F.col("role") == "user")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("_nrole"),
+                   F.col("text").alias("_ntext"))
+    t = c.filter(F.col("role") == "user").join(nxt, ["conv_id", "turn"], "left")
+    t = t.withColumn("pred", F.when(F.col("_nrole") == "assistant", F.col("_ntext")).otherwise(F.lit("")))
     qtype = F.element_at(F.array(F.lit("mcq"), F.lit("yn"), F.lit("short")), (F.col("conv_id") % 3 + 1).cast("int"))
     return t.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("id"),

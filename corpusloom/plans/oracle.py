@@ -262,9 +262,9 @@ def ctx(x: str) -> str:
 
 QA = """
 t AS (
-  SELECT conv_id, turn, role, text,
-         CASE WHEN lead(role) OVER w = 'assistant' THEN lead(text) OVER w ELSE '' END AS pred
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  SELECT c.conv_id, c.turn, c.role, c.text,
+         CASE WHEN n.role = 'assistant' THEN n.text ELSE '' END AS pred
+  FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1
 ),
 qa AS (
   SELECT conv_id * 100 + turn AS id, conv_id, turn, (['mcq','yn','short'])[conv_id % 3 + 1] AS type,
