@@ -7,8 +7,11 @@ documents embeddings pages benchmark labels conversations.
 
 from __future__ import annotations
 
+from .. import constants as K
 from ..functions.text import WS_CLASS
 from ..operators.clean import EMAIL_RE, IPV4_RE, PHONE_RE
+from .fixtures import BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB
+from .queries import MED_LISTS
 
 SUBST = {
     "@WS@": WS_CLASS,
@@ -229,7 +232,6 @@ Q["split_random"] = f"SELECT doc_id, {split_('doc_id')} AS split FROM documents"
 
 
 # --------------------------------------------------------------------------- QA evaluation
-from .. import constants as K  # noqa: E402
 
 
 def lit(s: str) -> str:
@@ -450,7 +452,6 @@ FROM j
 
 
 # --------------------------------------------------------------------------- interactions and roles
-from .fixtures import BASKET_RULES  # noqa: E402
 
 JS_WS = r"[\x{09}-\x{0d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
@@ -557,7 +558,6 @@ c AS (SELECT conv_id, turn, {_ROLE} AS role FROM conversations)
 SELECT conv_id, turn, role, coalesce(use_rag, TRUE) AS use_rag, coalesce(use_ddi, FALSE) AS use_ddi
 FROM c LEFT JOIN r ON c.role = r.route_role
 """
-from .queries import MED_LISTS  # noqa: E402
 
 _MEDS = "[" + ", ".join(lit(m) for m in MED_LISTS) + "]"
 _REQ = f"""
@@ -657,7 +657,6 @@ FROM req r LEFT JOIN ev ON r.query_id = ev.query_id
 
 
 # --------------------------------------------------------------------------- labelling
-from .fixtures import FUZZY_VOCAB, PHRASE_VOCAB  # noqa: E402
 
 
 def _vocab_values(rows) -> str:

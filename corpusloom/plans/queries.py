@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..functions import default_process, normalize_text
-from ..operators import clean, dedup, split
-from .fixtures import (benchmark_records, conversation_records, documents_records, load)
+from .. import sources as S
+from .. import streaming as W
+from ..functions import default_process, mint_id, normalize_answer, normalize_text, strip_ws
+from ..operators import clean, dedup, evalqa, flatten, label, numerics, retrieve, roles, split, vocab
+from ..operators import interactions as ddi
+from .fixtures import (BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB, basket_items, benchmark_records,
+                       conversation_records, documents_records, label_payloads, landed_responses, load,
+                       props_with_controls, pubmed_pages, qa_turns, scratch_dir, spl_payloads, trial_payloads)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -152,9 +157,6 @@ def q_split_random(spark, sf):
 
 
 # --------------------------------------------------------------------------- QA evaluation
-from ..functions import normalize_answer, strip_ws  # noqa: E402
-from ..operators import evalqa  # noqa: E402
-from .fixtures import qa_turns  # noqa: E402
 
 RUN_TS = 1_700_000_000
 
@@ -308,9 +310,6 @@ def q_vision_accuracy(spark, sf):
 
 
 # --------------------------------------------------------------------------- interactions and roles
-from ..operators import interactions as ddi  # noqa: E402
-from ..operators import roles  # noqa: E402
-from .fixtures import BASKET_RULES, basket_items  # noqa: E402
 
 
 @register("parse_med_list")
@@ -403,7 +402,6 @@ def q_enabled_sources(spark, sf):
 
 
 # --------------------------------------------------------------------------- retrieval
-from ..operators import retrieve  # noqa: E402
 
 
 def _index(spark, sf):
@@ -489,8 +487,6 @@ def q_encode_text(spark, sf):
 
 
 # --------------------------------------------------------------------------- labelling
-from ..operators import label  # noqa: E402
-from .fixtures import FUZZY_VOCAB, PHRASE_VOCAB  # noqa: E402
 
 
 def _part_texts(spark, sf):
@@ -537,9 +533,6 @@ def q_link_phrases(spark, sf):
 
 
 # --------------------------------------------------------------------------- payload -> record
-from ..functions import mint_id  # noqa: E402
-from ..operators import flatten  # noqa: E402
-from .fixtures import label_payloads, pubmed_pages, spl_payloads, trial_payloads  # noqa: E402
 
 def _rec(df, *extra):
     return df.select(*[c for c in ("id", "text", "task", "image_path", "answer") if c in df.columns],
@@ -625,8 +618,6 @@ def q_mint_id(spark, sf):
 
 
 # --------------------------------------------------------------------------- sources and sinks
-from .. import sources as S  # noqa: E402
-from .fixtures import landed_responses, props_with_controls, scratch_dir  # noqa: E402
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -689,7 +680,6 @@ def q_leaderboard_html(spark, sf):
 
 
 # --------------------------------------------------------------------------- tokenizer corpus and vocabulary
-from ..operators import numerics, vocab  # noqa: E402
 
 
 def _lines(spark, sf):
@@ -780,7 +770,6 @@ def q_composite_offsets(spark, sf):
 
 
 # --------------------------------------------------------------------------- streaming
-from .. import streaming as W  # noqa: E402
 
 
 def _events_stream(spark, sf):
