@@ -42,8 +42,10 @@ DEFAULT_SPLIT = "train"
 # ---------------------------------------------------------------------------
 # FIXED VALUES: answer templates and texts
 # ---------------------------------------------------------------------------
+# The assistant / report name is ours (the template's wording around it is fixed).
+ASSISTANT_NAME = "Corpusloom Research"
 PROMPT_TEMPLATE_HEAD = (
-    "You are Orph Research, a medical assistant. Answer the user's query using only the EVIDENCE provided. \n"
+    f"You are {ASSISTANT_NAME}, a medical assistant. Answer the user's query using only the EVIDENCE provided. \n"
     "Cite sources inline as [#] indices corresponding to the evidence items. Be concise, evidence-first, "
     "and include a short, verifiable rationale.\n"
     "If safety flags or missing information appear, say so and recommend next steps.\n"
@@ -72,7 +74,8 @@ SHORT_PROMPT_HEAD = "Answer the medical question briefly and factually.\n"
 YESNO_PROMPT_HEAD = "Answer 'yes' or 'no' based on evidence.\n"
 
 LEADERBOARD_HEADERS = ["Dataset", "Mode", "Role", "N", "Acc", "F1", "EM", "Timestamp"]
-LEADERBOARD_TITLE = "Orph Research — Evaluation Leaderboard"
+LEADERBOARD_TITLE = f"{ASSISTANT_NAME} — Evaluation Leaderboard"
+LEADERBOARD_HTML_TITLE = "Corpusloom Leaderboard"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: drug-interaction rules as shipped (synonyms, pairs, classes,
