@@ -208,7 +208,7 @@ def redact_pii(df: DataFrame, col: str = "text") -> DataFrame:
     return out.withColumn(col, F.regexp_replace("_masked", PHONE_RE, "[PHONE]")).drop("_masked")
 
 
-# Our own masking rules (the reference only names the flag).  Written in the
+# Our own masking rules (the configuration only names the flag).  Written in the
 # regex subset Java and RE2 share, so the SQL oracle uses the same strings.
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV4_RE = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"

@@ -29,7 +29,7 @@ def test_dedup_invariant_under_repartition(spark, sf):
     assert a == b
 
 
-def test_minhash_matches_reference_arithmetic():
+def test_minhash_matches_plain_python_arithmetic():
     a, b = dedup.slot_params(128)
     text = "the quick brown fox jumps over the lazy dog"
     cp = [ord(c) for c in text]
