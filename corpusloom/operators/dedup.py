@@ -230,11 +230,13 @@ def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text", ca
     cols = carry if carry is not None else df.columns
     if order_col not in cols:
         cols = [order_col] + list(cols)
-    empties = df.filter(~nonempty(text_col)).select(*cols)
-    ne = df.filter(nonempty(text_col)).withColumn("_k", F.md5(default_process(text_col)))
-    kept = (ne.groupBy("_k").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
+    # empty texts get a group of their own ('~' never starts an md5 hex digest), so the
+    # input is read and normalised once, with no separate branch for them
+    key = F.when(nonempty(text_col), F.md5(default_process(text_col))) \
+        .otherwise(F.concat(F.lit("~"), F.col(order_col).cast("string")))
+    return (df.withColumn("_k", key)
+              .groupBy("_k").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
               .select("_r.*"))
-    return empties.unionByName(kept)
 
 
 U, KEPT, DROPPED = 0, 1, 2
