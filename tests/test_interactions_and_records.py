@@ -90,3 +90,10 @@ def test_observe_counts_single_pass(spark):
     observed, obs = clean.observe_counts(df, "ingest")
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get == {"rows": 3, "empty_text": 2}
+
+
+def test_redact_pii(spark):
+    df = spark.createDataFrame([("mail a.b@x.org or call +1 (743) 555-3824 from 10.0.0.12 now",)], "text string")
+    r = clean.redact_pii(df).collect()[0]
+    assert r["text"] == "mail [EMAIL] or call [PHONE] from [IP] now"
+    assert (r["n_email"], r["n_ip"], r["n_phone"]) == (1, 1, 1)
