@@ -6,8 +6,8 @@ QUALITY = r"""
 with w as (
   select row_number() over () rid, doc_id, coalesce(text, '') t from documents
 ), s as (
-  select rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), x -> x <> '') words,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) lines
+  select rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines
   from w
 ), tri as (
   select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] g
@@ -20,7 +20,7 @@ with w as (
   select s.doc_id, len(words) n, len(array_to_string(words, '')) wc, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) sym,
          len(lines) - len(list_distinct(lines)) dup, coalesce(c, 0) rep, len(lines) nl,
          len(regexp_replace(t, '[^!]', '', 'g')) bangs,
-         len(list_filter(words, x -> lower(x) in (
+         len(list_filter(words, lambda x: lower(x) in (
            'a','and','are','as','be','by','for','from','have','in','is','it','of','on','or','that','the','this','to','was','with',
            'au','avec','ce','dans','de','des','du','elle','en','est','et','il','la','le','les','pas','pour','que','qui','sur','un','une',
            'das','dem','den','der','die','ein','eine','ich','ist','mit','nicht','sich','und','von','zu',
