@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html, quality, secrets, toxicity
-from corpusloom.llm.common import table
+from corpusloom.llm import bpe, html, quality, secrets, tokenfile, toxicity
+from corpusloom.llm.common import shared_folder, table
+from corpusloom.llm.hf import Vocabulary
 from corpusloom.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"), "byte_level")
+    folder = shared_folder(spark, "token-ids")
+    tokenfile.write(table(spark, sf_dir, "documents"), folder, vocabulary, end_id=2)
+    out = tokenfile.read(spark, folder)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(docs))
@@ -54,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_extraction": op2_html_extraction,
+    "op3_token_id_files": op3_token_id_files,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
