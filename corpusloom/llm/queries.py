@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html, quality, secrets, tokenfile, toxicity
+from corpusloom.llm import bpe, html, packing, quality, secrets, tokenfile, toxicity
 from corpusloom.llm.common import shared_folder, table
 from corpusloom.llm.hf import Vocabulary
 from corpusloom.session import ship_code
@@ -38,6 +38,11 @@ def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"), "words")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1, capacity=4096)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(docs))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_extraction": op2_html_extraction,
     "op3_token_id_files": op3_token_id_files,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
