@@ -5,9 +5,11 @@ sequence is a gap.  A round range-sorts the waiting pieces and the open gaps by
 size, and every range is swept from large to small: a piece takes the smallest
 gap that holds it (its successor), the longest piece first where several want
 one gap, and what remains of the gap goes back into the sweep.  Gaps that a
-range could not use are handed down to the ranges with waiting pieces, in order
-of their rank; then the next round sorts again.  When a round places few
-pieces, the last one lets every range open new sequences for what still waits.
+range could not use are handed down, by rank, to the nearest ranges with
+waiting pieces.  Where no gap is left above, the largest waiting pieces open as
+many new sequences as the waiting volume needs beyond the gaps.  Then the next
+round sorts again; the last one has few enough rows for a single range,
+where the sweep is plain best fit and opens what it still needs.
 
 Rows hold piece numbers and lengths only; no text or ids are shuffled.
 """
@@ -64,16 +66,15 @@ def cut(
     return rows.mapInArrow(run, f"_id {id_type}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else ""))
 
 
-def sweep(kinds: list[int], sizes: list[int], numbers: list[int], frees: list[int], capacity: int, opening: bool):
-    """One range, rows sorted from large to small with gaps before pieces of their size.
+def sweep(kinds: list[int], numbers: list[int], lengths: list[int], capacity: int, opening: bool):
+    """One range, sorted from large to small with gaps before pieces of their size (gaps handed down stand lower).
 
-    ``sizes`` is the place in the sorting (a gap handed down stands at less
-    than its free length ``frees``).  Returns placements (piece, sequence,
-    offset, length), gaps left (sequence, free) and pieces left (number, length).
+    Returns placements (piece, sequence, offset, length), gaps left (sequence,
+    free; ascending) and pieces left (number, length; descending).
     """
     placed, waiting = [], []
     free: list[tuple[int, int]] = []  # (free length, sequence), ascending: its successor search is a bisection
-    for kind, _, number, length in zip(kinds, sizes, numbers, frees, strict=True):
+    for kind, number, length in zip(kinds, numbers, lengths, strict=True):
         if kind == GAP:
             bisect.insort(free, (length, number))
             continue
@@ -92,14 +93,14 @@ def sweep(kinds: list[int], sizes: list[int], numbers: list[int], frees: list[in
     return placed, [(s, f) for f, s in free], waiting
 
 
-def _round(state: DataFrame, capacity: int, opening: bool) -> DataFrame:
-    """Range-sort and sweep; rows (kind, number, length, key, sequence, offset, part, rank).
+def _round(state: DataFrame, capacity: int, ranges: int, opening: bool) -> DataFrame:
+    """Range-sort and sweep; rows (kind, number, length, sequence, offset, part, rank).
 
     A placed piece has a sequence; open gaps and waiting pieces carry their
-    rank within the range (``part``), counted from the largest on.
+    rank within their range (``part``), counted from the largest on.
     """
     order = [F.col("key").desc(), F.col("kind"), F.xxhash64("number")]
-    rows = state.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,10 +111,8 @@ def _round(state: DataFrame, capacity: int, opening: bool) -> DataFrame:
         if not got:
             return
         column = lambda name: [v for b in got for v in b.column(name).to_pylist()]
-        keys = column("key")
-        placed, gaps, waiting = sweep(column("kind"), keys, column("number"), column("length"), capacity, opening)
-        gaps.sort(key=lambda g: -g[1])
-        low = keys[-1]
+        placed, gaps, waiting = sweep(column("kind"), column("number"), column("length"), capacity, opening)
+        gaps.reverse()
         n, g, w = len(placed), len(gaps), len(waiting)
         yield pa.RecordBatch.from_arrays([
             pa.array([PIECE] * n + [GAP] * g + [PIECE] * w, pa.int32()),
@@ -122,77 +121,104 @@ def _round(state: DataFrame, capacity: int, opening: bool) -> DataFrame:
             pa.array([p[1] for p in placed] + [None] * (g + w), pa.int64()),
             pa.array([p[2] for p in placed] + [None] * (g + w), pa.int64()),
             pa.array([part] * (n + g + w), pa.int32()), pa.array([0] * n + list(range(g)) + list(range(w)), pa.int64()),
-            pa.array([low] * (n + g + w), pa.int64()),
-        ], ["kind", "number", "length", "sequence", "offset", "part", "rank", "low"])
+        ], ["kind", "number", "length", "sequence", "offset", "part", "rank"])
 
-    return rows.mapInArrow(run, "kind int, number long, length long, sequence long, offset long, part int, rank long, low long")
+    return rows.mapInArrow(run, "kind int, number long, length long, sequence long, offset long, part int, rank long")
 
 
-def hand_down(counts: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Which unused gaps go to which range: (range, first rank, last rank + 1, new key).
+def hand_down(ranges: list[tuple[int, int, int, int, int, int]], capacity: int):
+    """What happens to unused gaps and to pieces without any: two small tables.
 
-    ``counts`` has one entry per range, from the largest sizes on: (range, gaps
-    left, pieces left, key at its head).  Waiting pieces take the nearest unused
-    gaps above them, as a stack does.
+    ``ranges`` has one entry per range, from the largest sizes on: (part, gaps
+    left, their free length, pieces left, their length, their largest).
+    Waiting pieces are given the nearest unused gaps above them, as a stack
+    does, as many as hold their volume.  Of the pieces for which none are left
+    the largest open new sequences: as many as the volume of all waiting pieces
+    needs beyond the gaps there are, so that no sequence is opened too early.
+    Returns [(part, first gap rank, end, new key)] and [(part, number of its
+    largest pieces that open)].
     """
-    stack: list[list[int]] = []
-    out = []
-    for part, gaps, pieces, head in counts:
+    stack: list[list] = []
+    handed, without = [], []
+    for part, gaps, free, pieces, volume, head in ranges:
         need = pieces
-        while need and stack:
+        while need > 0 and stack:
             source = stack[-1]
-            take = min(need, source[2] - source[1])
-            out.append((source[0], source[2] - take, source[2], head))
+            holds = max(1, int(source[3] * pieces / volume))  # pieces that one of these gaps takes, on average
+            take = min(-(-need // holds), source[2] - source[1])
+            handed.append((source[0], source[2] - take, source[2], head))
             source[2] -= take
-            need -= take
+            need -= take * holds
             if source[1] == source[2]:
                 stack.pop()
+        if need > 0:
+            without.append((part, need, volume * need / pieces))
         if gaps:
-            stack.append([part, 0, gaps])
-    return out
-
-
-def pack(pieces: DataFrame, capacity: int, number_col: str = "number", length_col: str = "length", rounds: int = 12, enough: float = 0.002) -> DataFrame:
+            stack.append([part, 0, gaps, free / gaps])
+    short = sum(r[4] for r in ranges) - sum(r[2] for r in ranges)
+    if short <= 0 and not handed:
+        short = sum(v for _, _, v in without)
+    budget = max(0, -(-int(short) // capacity))
+    opened = []
+    for part, need, _ in without:
+        take = min(need, budget)
+        budget -= take
+        if take:
+            opened.append((part, take))
+    return handed, opened
+
+
+def pack(
+    pieces: DataFrame, capacity: int, number_col: str = "number", length_col: str = "length", range_rows: int = 250_000, rounds: int = 40,
+) -> DataFrame:
     """Rows (number, sequence, offset, length): places of pieces of 1 to ``capacity`` ids, gapless within a sequence.
 
-    ``pieces`` must be materialised (it is read once per phase).  After
-    ``rounds`` rounds, or when one places less than the share ``enough`` of what
-    waits, the ranges open new sequences, so every piece is placed.
+    ``pieces`` must be materialised (it is read once per phase).  A range holds
+    about ``range_rows`` rows; rounds go on until all that waits fits one range
+    (after ``rounds`` of them every range opens what it needs).  No piece is
+    ever left out.
     """
+    spark = pieces.sparkSession
     rows = pieces.select(F.col(number_col).alias("number"), F.col(length_col).cast("long").alias("length"))
     half = capacity // 2
-    long_ones = rows.where(F.col("length") > half).select("number", F.col("number").alias("sequence"), F.lit(0).cast("long").alias("offset"), "length")
-    done = [long_ones]
-    gaps = long_ones.where(F.col("length") < capacity).select(
-        F.lit(GAP).alias("kind"), "sequence", (F.lit(capacity) - F.col("length")).alias("length")).withColumnRenamed("sequence", "number")
+    first = rows.where(F.col("length") > half).select("number", F.col("number").alias("sequence"), F.lit(0).cast("long").alias("offset"), "length")
+    done = [first]
+    gaps = first.where(F.col("length") < capacity).select(F.lit(GAP).alias("kind"), F.col("sequence").alias("number"), (F.lit(capacity) - F.col("length")).alias("length"))
     state = gaps.unionByName(rows.where(F.col("length") <= half).select(F.lit(PIECE).alias("kind"), "number", "length")).withColumn("key", F.col("length"))
-    opening = False
+    size = rows.where(F.col("length") < capacity).count()
     for step in range(rounds + 1):
-        opening = opening or step == rounds
-        result = materialise(_round(state, capacity, opening), "packing-round")
-        done.append(result.where(F.col("sequence").isNotNull()).select("number", "sequence", "offset", "length"))
+        ranges = -(-size // range_rows)
+        opening = ranges <= 1 or step == rounds
+        result = materialise(_round(state, capacity, max(1, ranges), opening), "packing-round")
+        placed = F.col("sequence").isNotNull()
+        done.append(result.where(placed).select("number", "sequence", "offset", "length"))
         if opening:
             break
+        left = result.where(~placed).drop("sequence", "offset")
+        waits, free = F.col("kind") == PIECE, F.col("kind") == GAP
         # One row per range: bounded by the number of partitions.
-        per_part = result.groupBy("part").agg(
-            F.count_if(F.col("sequence").isNotNull()).alias("placed"),
-            F.count_if((F.col("kind") == GAP)).alias("gaps"),
-            F.count_if((F.col("kind") == PIECE) & F.col("sequence").isNull()).alias("waiting"),
-            F.max(F.when((F.col("kind") == PIECE) & F.col("sequence").isNull(), F.col("length"))).alias("head"),
+        per_range = left.groupBy("part").agg(
+            F.count_if(free).alias("gaps"), F.sum(F.when(free, F.col("length")).otherwise(0)).alias("free"), F.count_if(waits).alias("pieces"),
+            F.sum(F.when(waits, F.col("length")).otherwise(0)).alias("volume"), F.max(F.when(waits, F.col("length")).otherwise(0)).alias("head"),
+            F.min(F.when(waits, F.col("length"))).alias("least"),
         ).orderBy("part").collect()
-        waiting, placed = sum(r["waiting"] for r in per_part), sum(r["placed"] for r in per_part)
-        if not waiting:
+        size = sum(r["pieces"] for r in per_range)
+        if not size:
             break
-        handed = hand_down([(r["part"], r["gaps"], r["waiting"], r["head"] or 0) for r in per_part])
-        left = result.where(F.col("sequence").isNull()).select("kind", "number", "length", "part", "rank")
-        key = F.col("length")
-        if handed:
-            table = F.broadcast(left.sparkSession.createDataFrame(handed, "part int, a long, b long, head long"))
-            left = left.join(table, (left["part"] == table["part"]) & (left["kind"] == GAP) & (left["rank"] >= table["a"]) & (left["rank"] < table["b"]), "left").select(
-                "kind", "number", "length", "head")
-            key = F.coalesce(F.least("head", "length"), F.col("length"))
-        state = left.select("kind", "number", "length", key.alias("key"))
-        opening = not handed or placed < enough * waiting
+        least = min(r["least"] for r in per_range if r["least"] is not None)
+        handed, opened = hand_down([(r["part"], r["gaps"], r["free"], r["pieces"], r["volume"], r["head"]) for r in per_range], capacity)
+        size += sum(r["gaps"] for r in per_range)
+        given = F.broadcast(spark.createDataFrame(handed, "part int, a long, b long, head long"))
+        starts = F.broadcast(spark.createDataFrame(opened, "part int, take long"))
+        left = left.alias("l").join(given.alias("g"), (F.col("l.part") == F.col("g.part")) & (F.col("l.kind") == GAP) & F.col("l.rank").between(F.col("g.a"), F.col("g.b") - 1), "left")
+        left = left.join(starts.alias("o"), (F.col("l.part") == F.col("o.part")) & (F.col("l.kind") == PIECE) & (F.col("l.rank") < F.col("o.take")), "left")
+        left = left.select("l.kind", "l.number", "l.length", F.coalesce(F.least("g.head", "l.length"), "l.length").alias("key"), F.col("o.take").isNotNull().alias("opens"))
+        done.append(left.where("opens").select("number", F.col("number").alias("sequence"), F.lit(0).cast("long").alias("offset"), "length"))
+        free_now = F.when(F.col("opens"), F.lit(capacity) - F.col("length")).otherwise(F.col("length"))
+        state = left.select(
+            F.when(F.col("opens"), F.lit(GAP)).otherwise(F.col("kind")).alias("kind"), "number", free_now.alias("length"),
+            F.when(F.col("opens"), free_now).otherwise(F.col("key")).alias("key"),
+        ).where((F.col("kind") == PIECE) | (F.col("length") >= least))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -160,7 +160,7 @@ class Matcher:
 
     def weights(self, tokens: list[str]) -> list[tuple[float, float]]:
         cache = self.cache
-        if len(cache) > 1_000_000:
+        if len(cache) > 400_000:
             cache.clear()
         out = []
         for t in tokens:
