@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html, packing, quality, secrets, tokenfile, toxicity
+from corpusloom.llm import bpe, dartminhash, html, packing, quality, secrets, tokenfile, toxicity
 from corpusloom.llm.common import shared_folder, table
 from corpusloom.llm.hf import Vocabulary
 from corpusloom.session import ship_code
@@ -43,6 +43,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1, capacity=4096)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.scan(docs, secrets.train(docs))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_token_id_files": op3_token_id_files,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
