@@ -37,4 +37,16 @@ select doc_id, n::bigint n_words, wc::bigint word_chars, sym::bigint n_symbols,
 from v
 """
 
-ORACLE: dict[str, str] = {"op10_quality_rules": QUALITY}
+TOP_K = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: x >= 0) c from embeddings
+), d as (
+  select q.vec_id query_id, v.vec_id,
+         list_sum(list_transform(list_zip(q.c, v.c), lambda p: case when p[1] <> p[2] then 1 else 0 end))::integer distance
+  from v q, v where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by distance, vec_id)::integer "rank", vec_id, distance
+from d qualify "rank" <= 10
+"""
+
+ORACLE: dict[str, str] = {"op7_multi_index_hashing": TOP_K, "op10_quality_rules": QUALITY}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, dartminhash, html, packing, quality, secrets, tokenfile, toxicity
+from corpusloom.llm import bpe, dartminhash, html, mih, packing, quality, reshard, secrets, tokenfile, toxicity
 from corpusloom.llm.common import shared_folder, table
 from corpusloom.llm.hf import Vocabulary
 from corpusloom.session import ship_code
@@ -43,6 +43,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, end_id=1, capacity=4096)
 
 
+def op5_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # The layout before: 16 shards by source, as uneven as the sources are.
+    old = F.pmod(F.xxhash64("source"), F.lit(16)).cast("int")
+    out = reshard.reshard(docs, old, new_shards=24, folder=shared_folder(spark, "shards"))
+    return out.select(
+        "doc_id", reshard.size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mih.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,7 +90,9 @@ QUERIES: dict[str, Query] = {
     "op2_html_extraction": op2_html_extraction,
     "op3_token_id_files": op3_token_id_files,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_flow_resharding": op5_flow_resharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
