@@ -268,23 +268,8 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counted: bool = False,
-    bands: int = BANDS, band_rows: int = ROWS,
-) -> DataFrame:
-    """One row per input row: id, ``class_id`` (least id of its class), ``class_rows``, ``n_links``.
-
-    Texts belong to one class when a chain of links joins them: equal texts, or
-    sets of five-word shingles (lower-case words) with a Jaccard similarity of
-    at least ``threshold`` (``counted``: weighted by how often a shingle
-    occurs).  ``n_links`` counts the links of a text to different texts that
-    were needed to join the class.  Null and empty texts are equal texts and
-    form one class; repeated rows share a class; texts of fewer than five words
-    are one shingle; null ids are ignored in the least id.  A pair at the
-    threshold 0.8 shares a bucket with probability 0.9996.  An empty table
-    gives no rows.
-    """
-    rows = id_and_text(docs, id_col, text_col)
+def _classes(rows: DataFrame, threshold: float, counted: bool, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signed rows (_id, h), nodes (h, root, n_links)) of rows (_id, _text)."""
     signed = materialise(sign(rows, counted, bands, band_rows), "dart-signatures")
     nodes = signed.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     cells = nodes.select("h", "n", F.posexplode("bands").alias("band", "bh"))
@@ -314,12 +299,48 @@ def near_duplicates(
     if more.take(1):
         roots = components(every)
     degree = every.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    # Per node: its class and links; then per class: least id and size.  Copies meet in partial sums first.
-    per_node = signed.groupBy("h").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("c"))
-    per_node = per_node.join(roots, "h", "left").select("h", F.coalesce("root", "h").alias("root"), "low", "c").join(degree, "h", "left")
+    nodes = signed.select("h").distinct().join(roots, "h", "left").join(degree, "h", "left")
+    return signed.select("_id", "h"), nodes.select("h", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counted: bool = False,
+    bands: int = BANDS, band_rows: int = ROWS,
+) -> DataFrame:
+    """One row per input row: id, ``class_id`` (least id of its class), ``class_rows``, ``n_links``.
+
+    Texts belong to one class when a chain of links joins them: equal texts, or
+    sets of five-word shingles (lower-case words) with a Jaccard similarity of
+    at least ``threshold`` (``counted``: weighted by how often a shingle
+    occurs).  ``n_links`` counts the links of a text to different texts that
+    were needed to join the class.  Null and empty texts are equal texts and
+    form one class; repeated rows share a class; texts of fewer than five words
+    are one shingle; null ids are ignored in the least id.  A pair at the
+    threshold 0.8 shares a bucket with probability 0.9996.  An empty table
+    gives no rows.
+    """
+    signed, nodes = _classes(id_and_text(docs, id_col, text_col), threshold, counted, bands, band_rows)
+    # Copies meet in partial sums per text before they are counted per class.
+    per_node = signed.groupBy("h").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("c")).join(nodes, "h")
     whole = per_node.groupBy("root").agg(F.min("low").alias("class_id"), F.sum("c").alias("class_rows"))
-    table = per_node.join(whole, "root").select("h", "class_id", "class_rows", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    table = per_node.join(whole, "root").select("h", "class_id", "class_rows", "n_links")
     # A text with very many copies is spread over salts.
     wide = table.withColumn("_s", F.explode(F.array(*[F.lit(k) for k in range(8)])))
-    spread = signed.select("_id", "h").withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(8)).cast("int"))
+    spread = signed.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(8)).cast("int"))
     return spread.join(wide, ["h", "_s"]).select(F.col("_id").alias(id_col), "class_id", "class_rows", "n_links")
+
+
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counted: bool = False,
+    bands: int = BANDS, band_rows: int = ROWS,
+) -> DataFrame:
+    """The input with one row of each class of ``near_duplicates``: that of its least id (a null id only without any other).
+
+    Of rows equal in id and text one stays.
+    """
+    signed, nodes = _classes(id_and_text(docs, id_col, text_col), threshold, counted, bands, band_rows)
+    low = signed.groupBy("h").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("low")).join(nodes, "h")
+    first = low.groupBy("root").agg(F.min(F.struct("low", "h")).alias("f")).select(F.col("f.low._id").alias("_id"), F.col("f.h").alias("_h"))
+    keyed = docs.withColumn("_h", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = keyed.alias("d").join(first.alias("f"), (F.col("d._h") == F.col("f._h")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_h"]).select(*docs.columns)
