@@ -14,6 +14,7 @@ word is hot; blocks and word groups are bounded by their parameters.
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_bytes, id_and_text, materialise
-from corpusloom.llm.pretoken import Splitter, from_planes, gather, in_slices, planes
+from corpusloom.llm.common import file_bytes, id_and_text, shared_folder
+from corpusloom.llm.pretoken import RANK_LIMIT, Splitter, by_chars, from_planes, gather, in_slices, join_ranks, planes, split_ranks
 
 SEQUENCES = -1
 
@@ -79,20 +80,19 @@ def split_blocks(rows: DataFrame, pattern: str, parts: int, block_chars: int) ->
         base = TaskContext.get().partitionId() << 32
         made = 0
 
-        def finish(splitter: Splitter, ids: list, packed: list[bytes]) -> pa.RecordBatch:
+        def finish(splitter: Splitter, ids: list, numbers: list[np.ndarray], per_text: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal made
             block = base + made
             made += 1
+            flat, per_text = np.concatenate(numbers), np.concatenate(per_text)
             words = np.array([w.encode() for w in splitter.numbers], object)
-            flat = np.frombuffer(b"".join(packed), np.uint32)
             uses = np.bincount(flat, minlength=len(words))
             order = np.argsort(-uses, kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             words = words[order]
             part = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))
-            per_text = np.fromiter((len(p) // 4 for p in packed), np.uint32, len(packed))
-            sequence = planes(per_text, 4) + planes(part, 2) + planes(rank[flat], 3)
+            sequence = planes(per_text, 4) + planes(part, 2) + (split_ranks(rank[flat]) if len(words) <= RANK_LIMIT else planes(rank[flat], 4))
             out = [(SEQUENCES, len(words), press(sequence))]
             by_part = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[by_part])) + 1
@@ -105,22 +105,20 @@ def split_blocks(rows: DataFrame, pattern: str, parts: int, block_chars: int) ->
                 pa.array([d for _, _, d in out], pa.binary()),
             ], ["block", "part", "n", "ids", "payload"])
 
-        splitter, ids, packed, size = Splitter(pattern), [], [], 0
+        splitter, ids, numbers, per_text, size = Splitter(pattern), [], [], [], 0
         for batch in batches:
-            texts, at = batch.column("_text"), 0
-            for k in range(batch.num_rows):
-                text = texts[k].as_py()
-                packed.append(splitter.split(text))
-                size += len(text)
-                if size >= block_chars:
-                    ids.append(batch.column("_id").slice(at, k + 1 - at))
-                    at = k + 1
-                    yield finish(splitter, ids, packed)
-                    splitter, ids, packed, size = Splitter(pattern), [], [], 0
-            if at < batch.num_rows:
-                ids.append(batch.column("_id").slice(at))
-        if packed:
-            yield finish(splitter, ids, packed)
+            at = 0
+            for texts in by_chars(batch.column("_text"), min(block_chars, 4_000_000)):
+                flat, lengths = splitter.split(texts)
+                ids.append(batch.column("_id").slice(at, len(texts)))
+                numbers.append(flat), per_text.append(lengths)
+                at += len(texts)
+                size += texts.nbytes
+                if size >= block_chars or len(splitter.numbers) >= RANK_LIMIT // 2:
+                    yield finish(splitter, ids, numbers, per_text)
+                    splitter, ids, numbers, per_text, size = Splitter(pattern), [], [], [], 0
+        if ids:
+            yield finish(splitter, ids, numbers, per_text)
 
     return rows.mapInArrow(run, f"block long, part int, n int, ids array<{id_type}>, payload binary")
 
@@ -159,30 +157,33 @@ def encode_words(groups: DataFrame, ranks: Ranks, cache_words: int = 2_000_000)
     return spread.mapInArrow(run, "block long, part int, n int, payload binary")
 
 
-def assemble(sequences: DataFrame, encoded: DataFrame, slice_words: int = 400_000) -> DataFrame:
-    """Rows (_id, ids): the sequences of a block with the ids of its words, in order of position."""
+def assemble(sequences: DataFrame, encoded: DataFrame, slice_words: int = 150_000) -> DataFrame:
+    """Rows (_id, ids): the sequences of a block with the ids of its words, in order of position.
+
+    ``sequences`` is bucketed by block, so only the word groups are shuffled here.
+    """
     id_type = dict(sequences.dtypes)["ids"].removeprefix("array<").removesuffix(">")
-    rows = sequences.unionByName(encoded, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part")
+    groups = encoded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", F.col("n").alias("count"), F.col("payload").alias("packed")))).alias("groups"))
+    rows = sequences.join(groups, "block", "left")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress
-        waiting = None
 
-        def texts() -> Iterator:
-            n_words, ids, data, groups = waiting
+        def texts(n_words: int, ids: pa.Array, data: bytes, groups: list[dict]) -> Iterator:
             raw = unpress(data)
             count = len(ids)
             per_text = from_planes(raw[:4 * count], count, 4).astype(np.int64)
             at = 4 * count
             part = from_planes(raw[at:at + 2 * n_words], n_words, 2)
             at += 2 * n_words
-            flat = from_planes(raw[at:], int(per_text.sum()), 3)
+            total = int(per_text.sum())
+            flat = join_ranks(raw[at:], total) if n_words <= RANK_LIMIT else from_planes(raw[at:], total, 4)
             lengths, values = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-            for n, group in groups:
-                g = unpress(group)
+            for group in groups:
+                n, g = group["count"], unpress(group["packed"])
                 lengths.append(from_planes(g[:4 * n], n, 4))
                 values.append(from_planes(g[4 * n:], (len(g) - 4 * n) // 4, 4))
             grouped, table = np.concatenate(lengths).astype(np.int64), np.concatenate(values).astype(np.int32)
@@ -202,36 +203,44 @@ def assemble(sequences: DataFrame, encoded: DataFrame, slice_words: int = 400_00
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), column], ["_id", "ids"])
 
         for batch in batches:
-            parts = batch.column("part").to_pylist()
-            for k, part in enumerate(parts):
-                if part == SEQUENCES:
-                    if waiting is not None:
-                        yield from texts()
-                    waiting = (batch.column("n")[k].as_py(), batch.column("ids")[k].values, batch.column("payload")[k].as_py(), [])
-                else:
-                    waiting[3].append((batch.column("n")[k].as_py(), batch.column("payload")[k].as_py()))
-        if waiting is not None:
-            yield from texts()
+            for k in range(batch.num_rows):
+                yield from texts(
+                    batch.column("n")[k].as_py(), batch.column("ids")[k].values, batch.column("payload")[k].as_py(), batch.column("groups")[k].as_py() or [])
 
-    return rows.mapInArrow(run, f"_id {id_type}, ids array<int>")
+    return rows.select("n", "ids", "payload", "groups").mapInArrow(run, f"_id {id_type}, ids array<int>")
+
+
+def bucketed_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes the blocks once to the shared folder, bucketed by block; returns (sequences, word groups).
+
+    The join that puts texts together then needs no shuffle of the sequences.
+    The table is an unmanaged one: dropping its entry leaves its files, and the
+    owner of the checkpoint folder clears those.
+    """
+    spark = blocks.sparkSession
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = blocks.withColumn("kind", F.when(F.col("part") == SEQUENCES, F.lit("sequence")).otherwise(F.lit("words")))
+    kinds.write.partitionBy("kind").bucketBy(buckets, "block").option("path", shared_folder(spark, "bpe-blocks")).saveAsTable(name)
+    table = spark.table(name)
+    return table.where("kind = 'sequence'").drop("kind", "part"), table.where("kind = 'words'").drop("kind", "ids")
 
 
 def encode(
-    docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_chars: int = 16_000_000,
+    docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_chars: int = 12_000_000,
 ) -> DataFrame:
     """One row per input row: ``id_col`` and ``ids`` (array of int), special tokens never used.
 
     Null and empty texts give an empty array; repeated rows each get a row; an
-    empty table gives none.  ``block_chars`` bounds the characters of a block
+    empty table gives none.  ``block_chars`` bounds the bytes of a block's texts
     (one longer text is a block of its own), ``parts`` is the number of word
     groups (default: four per shuffle partition, at most 4096): a task holds
     the distinct words of its groups, so raise both together with the data.
     """
     spark = docs.sparkSession
     parts = parts or max(8, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = materialise(split_blocks(id_and_text(docs, id_col, text_col), ranks.pattern, parts, block_chars), "bpe-blocks")
-    encoded = encode_words(blocks.where(F.col("part") != SEQUENCES), ranks)
-    return assemble(blocks.where(F.col("part") == SEQUENCES), encoded).withColumnRenamed("_id", id_col)
+    sequences, words = bucketed_blocks(split_blocks(id_and_text(docs, id_col, text_col), ranks.pattern, parts, block_chars))
+    return assemble(sequences, encode_words(words, ranks)).withColumnRenamed("_id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: Ranks, id_col: str = "doc_id") -> DataFrame:
@@ -248,7 +257,11 @@ def decode(encoded: DataFrame, ranks: Ranks, id_col: str = "doc_id") -> DataFram
 
         look = shared.value.token_bytes().__getitem__
         for batch in batches:
-            data = [None if ids.as_py() is None else b"".join(map(look, ids.values.to_pylist())) for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("ids"), pa.array(data, pa.binary())], [id_col, "ids", "bytes"])
+            column = batch.column("ids")
+            flat, ends = column.flatten().to_numpy(), np.cumsum(np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)).tolist()
+            data = [b"".join(map(look, flat[a:b].tolist())) for a, b in zip([0, *ends], ends, strict=False)]
+            if column.null_count:
+                data = [d if ok else None for d, ok in zip(data, column.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), column, pa.array(data, pa.binary())], [id_col, "ids", "bytes"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {types[id_col]}, ids array<int>, bytes binary")
