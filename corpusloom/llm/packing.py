@@ -48,17 +48,22 @@ def cut(
         import pyarrow as pa
 
         encoder = None
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         for batch in batches:
             encoder = encoder or Encoder(shared.value, 4)
-            owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, packed in enumerate(encoder.encode(t.as_py() for t in batch.column("_text"))):
-                packed += end
-                for n, at in enumerate(range(0, len(packed), 4 * capacity)):
-                    part = packed[at:at + 4 * capacity]
-                    owner.append(k), piece.append(n), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(part)
+            owner, piece, start, length, crc, ids, k = [], [], [], [], [], [], 0
+            for flat, per_text in encoder.encode(batch.column("_text")):
+                if end_id is not None:
+                    flat, per_text = np.insert(flat, np.cumsum(per_text), end_id), per_text + 1
+                data, at = memoryview(flat.tobytes()), 0
+                for n in per_text.tolist():
+                    for number, first in enumerate(range(0, n, capacity)):
+                        size = min(capacity, n - first)
+                        part = data[4 * (at + first):4 * (at + first + size)]
+                        owner.append(k), piece.append(number), start.append(first), length.append(size), crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            ids.append(bytes(part))
+                    at += n
+                    k += 1
             columns = [batch.column("_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                        pa.array(length, pa.int64()), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.binary())] if keep_ids else [])
             yield pa.RecordBatch.from_arrays(columns, ["_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])

@@ -150,7 +150,6 @@ def write(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id: int | No
         segment, attempt = context.partitionId(), context.taskAttemptId()
         files, root = open_folder(folder)
         name = f"{root}/data/segment-{segment:07d}"
-        end = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
         ids, lengths, nulls, out, encoder = [], [], 0, None, None
         for batch in batches:
             if out is None:
@@ -159,20 +158,22 @@ def write(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id: int | No
             column = batch.column("_id")
             nulls += column.null_count
             ids.append(column.drop_null().to_numpy(zero_copy_only=False))
-            for packed in encoder.encode(t.as_py() for t in batch.column("_text")):
-                out.write(packed + end)
-                lengths.append((len(packed) + len(end)) // width)
+            for flat, per_text in encoder.encode(batch.column("_text")):
+                if end_id is not None:
+                    flat, per_text = np.insert(flat, np.cumsum(per_text), end_id), per_text + 1
+                out.write(flat.tobytes())
+                lengths.append(per_text)
         if out is None:
             return
         out.close()
         known = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         first = int(known[0]) if len(known) else 0
-        ends = np.cumsum(np.array(lengths, np.int64))
+        ends = np.cumsum(np.concatenate(lengths))
         head = MAGIC + struct.pack("<BQqQ", width, nulls, first, int(ends[-1]))
         gaps = EliasFano.build(known.astype(np.uint64) - np.uint64(first & (1 << 64) - 1)).dump()
         _put(files, f"{name}.idx", head + gaps + EliasFano.build(ends).dump())
         _put(files, f"{name}.ids", f"{name}.ids.{attempt}")
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(lengths)], pa.int64()), pa.array([int(ends[-1])], pa.int64())],
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(ends)], pa.int64()), pa.array([int(ends[-1])], pa.int64())],
                                          ["segment", "n_docs", "n_tokens"])
 
     rows.mapInArrow(run, "segment int, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
