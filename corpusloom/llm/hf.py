@@ -68,7 +68,8 @@ class Encoder:
 
     def _chunks(self, words: list[str]) -> list[bytes]:
         known, tails = self.known, self.tails
-        ends = [tails[w[-1]] if w[-1:] in tails and w[-2:-1].isalpha() else b"" for w in words]
+        # U+0130 in lower case ends with a combining mark, which forms a piece with what follows.
+        ends = [tails[w[-1]] if w[-1:] in tails and w[-2:-1].isalpha() and w[-2] != "\u0130" else b"" for w in words]
         stems = [w[:-1] if e else w for w, e in zip(words, ends, strict=True)]
         if self.cut == "words":
             stems = [plain_lower(s) if s else s for s in stems]

@@ -17,6 +17,7 @@ Rows hold piece numbers and lengths only; no text or ids are shuffled.
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,8 +105,9 @@ def _round(state: DataFrame, capacity: int, ranges: int, opening: bool) -> DataF
     A placed piece has a sequence; open gaps and waiting pieces carry their
     rank within their range (``part``), counted from the largest on.
     """
-    order = [F.col("key").desc(), F.col("kind"), F.xxhash64("number")]
-    rows = state.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # A size with very many rows is spread over ranges by hash; within a range its gaps come first.
+    size, spread = F.col("key").desc(), F.xxhash64("number", "kind")
+    rows = state.repartitionByRange(ranges, size, spread).sortWithinPartitions(size, "kind", spread)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -131,27 +133,31 @@ def _round(state: DataFrame, capacity: int, ranges: int, opening: bool) -> DataF
     return rows.mapInArrow(run, "kind int, number long, length long, sequence long, offset long, part int, rank long")
 
 
-def hand_down(ranges: list[tuple[int, int, int, int, int, int]], capacity: int):
+def hand_down(ranges: list[tuple[int, int, int, int, int, int, int]], capacity: int, stuck: bool = False):
     """What happens to unused gaps and to pieces without any: two small tables.
 
     ``ranges`` has one entry per range, from the largest sizes on: (part, gaps
-    left, their free length, pieces left, their length, their largest).
-    Waiting pieces are given the nearest unused gaps above them, as a stack
-    does, as many as hold their volume.  Of the pieces for which none are left
-    the largest open new sequences: as many as the volume of all waiting pieces
-    needs beyond the gaps there are, so that no sequence is opened too early.
-    Returns [(part, first gap rank, end, new key)] and [(part, number of its
+    left, their free length, pieces left, their length, their largest, their
+    least).  Waiting pieces are given the nearest unused gaps above them, as a
+    stack does, as many as hold their volume; the gaps are spread over the
+    sizes of the range.  Of the pieces for which none are left the largest open
+    new sequences: as many as the volume of all waiting pieces needs beyond the
+    gaps there are, so that no sequence is opened too early (``stuck``, after a
+    round that placed nothing: a quarter of the volume at least).  Returns
+    [(part, first gap rank, end, its key, last key)] and [(part, number of its
     largest pieces that open)].
     """
     stack: list[list] = []
     handed, without = [], []
-    for part, gaps, free, pieces, volume, head in ranges:
+    for part, gaps, free, pieces, volume, head, tail in ranges:
         need = pieces
         while need > 0 and stack:
             source = stack[-1]
             holds = max(1, int(source[3] * pieces / volume))  # pieces that one of these gaps takes, on average
             take = min(-(-need // holds), source[2] - source[1])
-            handed.append((source[0], source[2] - take, source[2], head))
+            served = max(0, need - take * holds)
+            at = [head - (head - tail) * (pieces - n) / pieces for n in (need, served)]
+            handed.append((source[0], source[2] - take, source[2], *at))
             source[2] -= take
             need -= take * holds
             if source[1] == source[2]:
@@ -160,10 +166,14 @@ def hand_down(ranges: list[tuple[int, int, int, int, int, int]], capacity: int):
             without.append((part, need, volume * need / pieces))
         if gaps:
             stack.append([part, 0, gaps, free / gaps])
-    short = sum(r[4] for r in ranges) - sum(r[2] for r in ranges)
-    if short <= 0 and not handed:
+    waiting = sum(r[4] for r in ranges)
+    short = waiting - sum(r[2] for r in ranges)
+    if stuck:
+        short = max(short, waiting / 4)
+        without = [(r[0], r[3], r[4]) for r in ranges if r[3]]
+    elif short <= 0 and not handed:
         short = sum(v for _, _, v in without)
-    budget = max(0, -(-int(short) // capacity))
+    budget = max(0, math.ceil(short / capacity))
     opened = []
     for part, need, _ in without:
         take = min(need, budget)
@@ -207,17 +217,20 @@ def pack(
             F.sum(F.when(waits, F.col("length")).otherwise(0)).alias("volume"), F.max(F.when(waits, F.col("length")).otherwise(0)).alias("head"),
             F.min(F.when(waits, F.col("length"))).alias("least"),
         ).orderBy("part").collect()
+        settled = result.where(placed).limit(1).count()
         size = sum(r["pieces"] for r in per_range)
         if not size:
             break
         least = min(r["least"] for r in per_range if r["least"] is not None)
-        handed, opened = hand_down([(r["part"], r["gaps"], r["free"], r["pieces"], r["volume"], r["head"]) for r in per_range], capacity)
+        handed, opened = hand_down(
+            [(r["part"], r["gaps"], r["free"], r["pieces"], r["volume"], r["head"], r["least"] or 0) for r in per_range], capacity, stuck=not settled)
         size += sum(r["gaps"] for r in per_range)
-        given = F.broadcast(spark.createDataFrame(handed, "part int, a long, b long, head long"))
+        given = F.broadcast(spark.createDataFrame(handed, "part int, a long, b long, top double, low double"))
         starts = F.broadcast(spark.createDataFrame(opened, "part int, take long"))
         left = left.alias("l").join(given.alias("g"), (F.col("l.part") == F.col("g.part")) & (F.col("l.kind") == GAP) & F.col("l.rank").between(F.col("g.a"), F.col("g.b") - 1), "left")
         left = left.join(starts.alias("o"), (F.col("l.part") == F.col("o.part")) & (F.col("l.kind") == PIECE) & (F.col("l.rank") < F.col("o.take")), "left")
-        left = left.select("l.kind", "l.number", "l.length", F.coalesce(F.least("g.head", "l.length"), "l.length").alias("key"), F.col("o.take").isNotNull().alias("opens"))
+        to = F.floor(F.col("g.top") - (F.col("g.top") - F.col("g.low")) * (F.col("l.rank") - F.col("g.a")) / (F.col("g.b") - F.col("g.a")))
+        left = left.select("l.kind", "l.number", "l.length", F.coalesce(F.least(to, "l.length"), "l.length").alias("key"), F.col("o.take").isNotNull().alias("opens"))
         done.append(left.where("opens").select("number", F.col("number").alias("sequence"), F.lit(0).cast("long").alias("offset"), "length"))
         free_now = F.when(F.col("opens"), F.lit(capacity) - F.col("length")).otherwise(F.col("length"))
         state = left.select(
