@@ -184,8 +184,8 @@ def test_rounds_over_many_ranges_come_close_to_best_fit(spark, kind):
 
 
 def test_hand_down_gives_each_gap_once():
-    handed, opened = packing.hand_down([(0, 4, 4000, 0, 0, 0), (1, 0, 0, 3, 900, 320), (2, 2, 300, 9, 900, 110)], 1000)
-    ranks = [k for part, a, b, _ in handed if part == 0 for k in range(a, b)]
+    handed, opened = packing.hand_down([(0, 4, 4000, 0, 0, 0, 0), (1, 0, 0, 3, 900, 320, 280), (2, 2, 300, 9, 900, 110, 90)], 1000)
+    ranks = [k for part, a, b, *_ in handed if part == 0 for k in range(a, b)]
     assert len(ranks) == len(set(ranks)) <= 4 and not opened
-    handed, opened = packing.hand_down([(0, 0, 0, 10, 4500, 500)], 1000)
+    handed, opened = packing.hand_down([(0, 0, 0, 10, 4500, 500, 400)], 1000)
     assert not handed and opened == [(0, 5)]
