@@ -32,7 +32,7 @@ def meta_struct(source=None, license=None, **extra) -> Column:
 
 
 def conform_meta(df: DataFrame, name: str = "meta") -> Column:
-    """Re-shape whatever meta struct a source has into META_TYPE (extra fields dropped)."""
+    """Re-shape whatever meta struct a source has into META_TYPE; fields it does not know follow unchanged."""
     dt = df.schema[name].dataType
     have = {f.name for f in dt.fields} if isinstance(dt, T.StructType) else set()
     c = F.col(name)
@@ -40,7 +40,10 @@ def conform_meta(df: DataFrame, name: str = "meta") -> Column:
         (c.getField(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in META_TYPE.fields
     ]
-    return F.when(c.isNull(), F.lit(None).cast(META_TYPE)).otherwise(F.struct(*fields))
+    known = {f.name for f in META_TYPE.fields}
+    if isinstance(dt, T.StructType):
+        fields += [c.getField(f.name).alias(f.name) for f in dt.fields if f.name not in known]
+    return F.when(c.isNotNull(), F.struct(*fields))
 
 
 def _defaults() -> dict[str, Column]:
@@ -60,15 +63,17 @@ def _defaults() -> dict[str, Column]:
 
 def unify(df: DataFrame, strict_presence: bool = False, raw_col: str = "raw",
           icd10_codes: Column | None = None, snomed_codes: Column | None = None,
-          title_as_text: bool = False) -> DataFrame:
+          title_as_text: bool = False, vocab: DataFrame | None = None) -> DataFrame:
     """Fill the ten schema-v2 defaults, normalise text, add label keys.
 
     Default mode treats an explicit null like a missing key.  With
     ``strict_presence`` the raw JSON line in ``raw_col`` decides: a key that is
     present with value null stays null, exactly like ``dict.setdefault``.
     ``icd10_codes``/``snomed_codes`` are code-array columns computed by the
-    labelling operators; without them the added label lists are empty (no
-    vocabulary shipped).  Unknown columns pass through untouched.
+    labelling operators; with ``vocab`` the normalised texts are labelled here
+    (keys that a record has already are kept); without either the added label
+    lists are empty (no vocabulary shipped).  Unknown columns pass through
+    untouched, as do unknown fields of meta.
     """
     cols = set(df.columns)
     out = df
@@ -91,6 +96,10 @@ def unify(df: DataFrame, strict_presence: bool = False, raw_col: str = "raw",
     out = out.withColumns(new)
     out = out.withColumn("text", F.when(nonempty("text"), normalize_text("text")).otherwise(F.col("text")))
     out = evaluate_once(out, "text")
+    if vocab is not None:
+        from .label import auto_label
+
+        return auto_label(out, vocab)
     icd = icd10_codes if icd10_codes is not None else _empty_codes()
     sno = snomed_codes if snomed_codes is not None else _empty_codes()
     added = F.map_filter(

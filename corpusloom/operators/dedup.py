@@ -21,13 +21,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import default_process, nonempty
-from ..session import broadcast_if_small, cut_lineage, ship_code
+from ..session import cut_lineage, evaluate_once, ship_code
 
 # FIXED VALUES (our own portable hash family)
 MERSENNE_P = 2147483647          # 2^31 - 1
@@ -107,42 +107,50 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[bytes]:
     return keys
 
 
-SIG_SCHEMA = T.StructType([
-    T.StructField("ord", T.LongType()),
-    T.StructField("sigkey", T.BinaryType()),
-    T.StructField("buckets", T.ArrayType(T.BinaryType())),
-])
+def order_key(order_col: str, text_col: str) -> Column:
+    """The order of records as a sortable value of any key type: (key is null, key, hash of the text).
+
+    Null keys come last.  Records equal in key and text count as one; records
+    with equal keys and different texts are ordered by the hash of their text.
+    """
+    return F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("key"),
+                    F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
 
 
 def minhash_buckets(df: DataFrame, ord_col: str, proc_col: str, num_perm: int, bands: int,
                     rows: int, n: int = K.DEDUP_SHINGLE) -> DataFrame:
-    """D03+D04 map side: (ord, signature key, band bucket keys), row-local, Arrow batches."""
+    """D03+D04 map side: (ord, signature key, band bucket keys), row-local, Arrow batches; ord of any type."""
 
     def run(batches):
+        import pyarrow as pa
+
         params = slot_params(num_perm)
-        for pdf in batches:
-            ords, sigkeys, bks = [], [], []
-            for o, t in zip(pdf["ord"].tolist(), pdf["proc"].tolist()):
+        for rb in batches:
+            sigkeys, bks = [], []
+            for t in rb.column("proc").to_pylist():
                 sig = signature(t, num_perm, n, params)
-                ords.append(o)
                 sigkeys.append(hashlib.md5(sig.tobytes()).digest())
                 bks.append(band_keys(sig, bands, rows))
-            yield pd.DataFrame({"ord": ords, "sigkey": sigkeys, "buckets": bks})
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("ord"), pa.array(sigkeys, pa.binary()), pa.array(bks, pa.list_(pa.binary()))], ["ord", "sigkey", "buckets"])
 
     ship_code()
-    src = _spread(df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc")))
-    return src.mapInPandas(run, SIG_SCHEMA)
+    src = _spread(df.select(F.col(ord_col).alias("ord"), F.col(proc_col).alias("proc")))
+    schema = T.StructType([T.StructField("ord", src.schema["ord"].dataType), T.StructField("sigkey", T.BinaryType()),
+                           T.StructField("buckets", T.ArrayType(T.BinaryType()))])
+    return src.mapInArrow(run, schema)
 
 
 def _spread(df: DataFrame) -> DataFrame:
     """Hash-spread the (key, processed text) rows over at least 2x the cores.
 
     MinHash costs far more CPU per input character than moving the character
-    once, so an even spread (2 tasks per core) wins
-    even when the input files are few or unbalanced (a row group is a task).
+    once, so an even spread wins even when the input files are few or
+    unbalanced (a row group is a task).  The number comes from the
+    configuration: asking the plan for it would run its upstream shuffles.
     """
-    sc = df.sparkSession.sparkContext
-    n = max(df.rdd.getNumPartitions(), 2 * sc.defaultParallelism)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, "ord")
 
 
@@ -184,7 +192,7 @@ def _params(threshold, num_perm, bands, rows):
 
 def _nonempty_processed(df: DataFrame, order_col: str, text_col: str) -> DataFrame:
     return (df.filter(nonempty(text_col))
-              .select(F.col(order_col).cast("long").alias("ord"), default_process(text_col).alias("proc")))
+              .select(order_key(order_col, text_col).alias("ord"), default_process(text_col).alias("proc")))
 
 
 def lsh_memberships(df: DataFrame, order_col: str = "id", text_col: str = "text",
@@ -207,36 +215,47 @@ def lsh_candidates(df: DataFrame, order_col: str = "id", text_col: str = "text",
     Two bucket aggregates (min, then min excluding that min) replace the pair
     self-join; both are partial aggregations, safe with a hot bucket.
     """
-    mem = lsh_memberships(df, order_col, text_col, threshold, num_perm, bands, rows, collapse=False)
+    # The signatures are computed once; everything below reads the table.
+    mem = cut_lineage(lsh_memberships(df, order_col, text_col, threshold, num_perm, bands, rows, collapse=False))
     b1 = mem.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("m1"))
-    m = mem.join(b1.filter("size >= 2"), "bucket")
+    b1 = b1.filter("size >= 2")
+    m = _join_buckets(mem, b1)
     b2 = m.filter(F.col("ord") != F.col("m1")).groupBy("bucket").agg(F.min("ord").alias("m2"))
-    m = m.join(b2, "bucket")
+    m = _join_buckets(m, b2)
     nb = F.when(F.col("ord") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))
     return (m.groupBy("ord")
-             .agg(F.count(F.lit(1)).alias("n_buckets"), F.min(nb).alias("first_neighbor"))
-             .withColumnRenamed("ord", order_col))
+             .agg(F.count(F.lit(1)).alias("n_buckets"), F.min(nb).alias("first"))
+             .select(F.col("ord.key").alias(order_col), "n_buckets", F.col("first.key").alias("first_neighbor")))
+
+
+SALTS = 16
+
+
+def _join_buckets(members: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """members x one row per bucket, where a bucket with very many members is spread over ``SALTS`` tasks."""
+    wide = per_bucket.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("_s", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
+    return salted.join(wide, ["bucket", "_s"]).drop("_s")
 
 
 def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Records whose processed text is identical collapse to the lowest order key.
 
-    Empty texts are not collapsed (they are always kept).  One pass: group by
-    md5 of the processed text and keep the row with the minimum key
-    (``min_by``), which is partially aggregated before the shuffle, so a key
-    held by a third of all rows sends one row per map task.  ``carry`` limits
-    the columns that travel through the shuffle (default: all of them).
+    Empty texts are not collapsed (they are always kept).  Only keys and hashes
+    are shuffled for the decision (partially aggregated, so a text held by a
+    third of all rows sends one row per map task); a semi join then keeps the
+    winners' rows.  Keys of any type; null keys come last; of rows equal in key
+    and text one stays.  ``carry`` limits the columns of the result.
     """
-    cols = carry if carry is not None else df.columns
+    cols = list(carry) if carry is not None else list(df.columns)
     if order_col not in cols:
-        cols = [order_col] + list(cols)
-    # empty texts get a group of their own ('~' never starts an md5 hex digest), so the
-    # input is read and normalised once, with no separate branch for them
-    key = F.when(nonempty(text_col), F.md5(default_process(text_col))) \
-        .otherwise(F.concat(F.lit("~"), F.col(order_col).cast("string")))
-    return (df.withColumn("_k", key)
-              .groupBy("_k").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"))
-              .select("_r.*"))
+        cols = [order_col, *cols]
+    order = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("key"))
+    text = F.when(nonempty(text_col), F.md5(default_process(text_col)))
+    keyed = evaluate_once(df.select(*dict.fromkeys([*cols, order_col]), text.alias("_k")), "_k").withColumn("_o", order)
+    first = keyed.where("_k IS NOT NULL").groupBy("_k").agg(F.min("_o").alias("_o"))
+    kept = keyed.join(first, ["_k", "_o"], "left_semi").dropDuplicates(["_k", "_o"])
+    return kept.select(*cols).unionByName(keyed.where("_k IS NULL").select(*cols))
 
 
 U, KEPT, DROPPED = 0, 1, 2
@@ -252,14 +271,15 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
     kept if no bucket has an undecided record below it.  Returns (ord, st).
 
     State lives on the membership rows (ord, bucket, st) of non-singleton
-    buckets.  Dropped records leave the state (they never block anyone), and
-    buckets without undecided members stop mattering, so each round works on
-    the still-open part of the graph only.  Decided records are appended to
-    ``done``.  Lineage is cut with a reliable checkpoint every few rounds
+    buckets.  Dropped records leave the state (they never block anyone); with
+    ``prune_closed`` buckets without undecided members leave it too, at the
+    price of one more aggregate a round (worth it when there are many rounds).
+    Rounds go on until every record is decided; running out of ``max_rounds``
+    is an error, never a guess.  Decided records are appended to ``done``.  Lineage is cut with a reliable checkpoint every few rounds
     (cached in between; a lost cache block is recomputed from that lineage).
     """
     sizes = mem.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    edges = mem.join(sizes.filter("size >= 2"), "bucket").select("ord", "bucket", F.lit(U).alias("st"))
+    edges = _join_buckets(mem, sizes.filter("size >= 2")).select("ord", "bucket", F.lit(U).alias("st"))
     state = cut_lineage(edges)
     decided = []
     cached: list[DataFrame] = []
@@ -268,7 +288,7 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
             F.min(F.when(F.col("st") == U, F.col("ord"))).alias("min_u"),
             F.min(F.when(F.col("st") == KEPT, F.col("ord"))).alias("min_k"),
         )
-        per = (state.filter(F.col("st") == U).join(agg, "bucket")
+        per = (_join_buckets(state.filter(F.col("st") == U), agg)
                     .groupBy("ord")
                     .agg(F.max(F.coalesce(F.col("min_k") < F.col("ord"), F.lit(False))).alias("any_k"),
                          F.max(F.coalesce(F.col("min_u") < F.col("ord"), F.lit(False))).alias("any_u")))
@@ -292,6 +312,8 @@ def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every
             stats["rounds"] = rnd + 1
         if state.filter(F.col("st") == U).limit(1).count() == 0:
             break
+    else:
+        raise RuntimeError(f"records still undecided after {max_rounds} rounds")
     done = _union_all(decided)
     nodes = edges.select("ord").distinct()
     # every node is decided; nodes that never got a row stay kept by construction
@@ -315,7 +337,8 @@ def dedup_first_wins(df: DataFrame, order_col: str = "id", text_col: str = "text
     """Near-duplicate removal, first record (by ``order_col``) wins.
 
     Empty text is always kept; a record is dropped iff it collides in some LSH
-    band with an already kept record.  Returns the kept rows of ``df``.
+    band with an already kept record.  Keys of any type, null keys last; of
+    rows equal in key and text one stays.  Returns the kept rows of ``df``.
     """
     bands, rows = _params(threshold, num_perm, bands, rows)
     sig = minhash_buckets(_nonempty_processed(df, order_col, text_col), "ord", "proc", num_perm, bands, rows)
@@ -326,6 +349,7 @@ def dedup_first_wins(df: DataFrame, order_col: str = "id", text_col: str = "text
               .select("ord", F.explode("buckets").alias("bucket")))
     status = first_wins_status(mem)
     dropped = exact_dups.unionByName(status.filter(F.col("st") == DROPPED).select("ord"))
-    dropped = dropped.withColumnRenamed("ord", "_ord")
-    keyed = df.withColumn("_ord", F.col(order_col).cast("long"))
-    return keyed.join(broadcast_if_small(dropped), "_ord", "left_anti").drop("_ord")
+    keyed = df.withColumn("_ord", order_key(order_col, text_col))
+    empty = keyed.where(~nonempty(text_col) | F.col(text_col).isNull()).drop("_ord")
+    kept = keyed.where(nonempty(text_col)).join(dropped.withColumnRenamed("ord", "_ord"), "_ord", "left_anti").dropDuplicates(["_ord"])
+    return kept.drop("_ord").unionByName(empty)

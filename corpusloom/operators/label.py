@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,9 @@ def read_json_map(spark: SparkSession, path: str, value_type: str = "array<strin
     schema = f"pos int, key string, value {value_type}"
     try:
         raw = spark.read.text(path, wholetext=True)
-    except Exception:  # noqa: BLE001 - a missing file means an empty map
+    except AnalysisException as err:         # only a missing file means an empty map
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     m = raw.select(F.from_json("value", f"map<string,{value_type}>").alias("m"))
     return m.select(F.posexplode("m").alias("pos", "key", "value")).select(
@@ -69,8 +72,11 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     """L06 (Levenshtein scorer): (id, system, pos, term, score, rank) for the best terms per text.
 
     score = 100 * (1 - lev / max(len)); kept when score >= cutoff; case sensitive.
-    Assumes cutoff >= 67 so that the bigram filter is exact (see module doc).
+    The bigram filter is exact from a cutoff of 67 on (see module doc); a lower
+    one is refused rather than answered with hits missing.
     """
+    if cutoff < 67:
+        raise ValueError("fuzzy_topk needs a cutoff of 67 or more: below it terms without a common bigram can qualify")
     keep = 100 - cutoff
     t = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     v = vocab.filter(nonempty("term")).select("system", "pos", "term", F.length("term").alias("n"))
@@ -102,12 +108,19 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
 def map_codes(texts: DataFrame, vocab: DataFrame, system: str, id_col: str = "id", text_col: str = "text",
               out: str = "codes") -> DataFrame:
     """Codes of the best <= 3 terms, distinct and sorted; null/'' text -> []."""
-    v = vocab.filter(F.col("system") == system)
-    hits = fuzzy_topk(texts, v, id_col, text_col)
-    codes = hits.join(broadcast_if_small(v.select("system", "pos", "codes")), ["system", "pos"])
-    agg = codes.groupBy(id_col).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias(out))
-    return texts.select(id_col).join(agg, id_col, "left").withColumn(
-        out, F.coalesce(out, F.array().cast(T.ArrayType(T.StringType()))))
+    text = F.col(text_col)
+    found = codes_of_texts(texts.select(text.alias("text")), vocab.filter(F.col("system") == system)).select("text", F.col("codes").alias(out))
+    # By text, not by id: repeated and null ids keep their own rows.
+    return texts.select(id_col, text.alias("_text")).join(found, F.col("_text") == found["text"], "left").select(
+        id_col, F.coalesce(out, F.array().cast(T.ArrayType(T.StringType()))).alias(out))
+
+
+def codes_of_texts(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(text, codes) of the distinct texts with hits, all systems in ``vocab`` together; codes distinct and sorted."""
+    distinct = texts.filter(nonempty("text")).select("text").distinct()
+    hits = fuzzy_topk(distinct.select(F.col("text").alias("id"), "text"), vocab)
+    codes = hits.join(broadcast_if_small(vocab.select("system", "pos", "codes")), ["system", "pos"])
+    return codes.groupBy(F.col("id").alias("text")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
 
 
 def map_icd10(texts, vocab, **kw):
@@ -126,15 +139,20 @@ def map_meddra(texts, vocab, **kw):
     return map_codes(texts, vocab, "meddra", **kw)
 
 
-def auto_label(records: DataFrame, vocab: DataFrame, id_col: str = "id") -> DataFrame:
-    """Set labels.icd10 / labels.snomed only when the key is absent and text non-empty."""
-    icd = map_icd10(records.select(id_col, "text"), vocab, id_col=id_col, out="_icd")
-    sno = map_snomed(records.select(id_col, "text"), vocab, id_col=id_col, out="_sno")
-    r = records.join(icd, id_col, "left").join(sno, id_col, "left")
-    added = F.map_filter(F.create_map(F.lit("icd10"), F.col("_icd"), F.lit("snomed"), F.col("_sno")),
+def auto_label(records: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Set labels.icd10 / labels.snomed only when the key is absent and text non-empty.
+
+    Codes belong to texts and are joined by text, so rows in = rows out for any ids.
+    """
+    none = F.array().cast(T.ArrayType(T.StringType()))
+    r = records
+    for system in ("icd10", "snomed"):
+        found = codes_of_texts(records.select("text"), vocab.filter(F.col("system") == system)).select(F.col("text").alias("_t"), F.col("codes").alias(f"_{system}"))
+        r = r.join(found, F.col("text") == F.col("_t"), "left").drop("_t")
+    added = F.map_filter(F.create_map(*[x for s in ("icd10", "snomed") for x in (F.lit(s), F.coalesce(f"_{s}", none))]),
                          lambda k, v: ~F.map_contains_key(F.col("labels"), k))
     labels = F.when(nonempty("text"), F.map_concat(F.col("labels"), added)).otherwise(F.col("labels"))
-    return r.withColumn("labels", labels).drop("_icd", "_sno")
+    return r.withColumn("labels", labels).drop("_icd10", "_snomed")
 
 
 def phrase_key(c) -> Column:
@@ -144,7 +162,7 @@ def phrase_key(c) -> Column:
 
 def link_phrases(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_n: int | None = None) -> DataFrame:
-    """(id, codes, n_mentions) from exact n-gram matches (1..max_n words) of the whole text.
+    """(id, codes, n_mentions) of every document from exact n-gram matches (1..max_n words) of the whole text.
 
     Every word position becomes one row holding the next max_n words
     (``arrays_zip`` of shifted slices, no lambdas); positions whose first word
@@ -152,32 +170,38 @@ def link_phrases(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col
     any n-gram string is built; the surviving n-grams meet the vocabulary in a
     broadcast hash join.
     """
+    none = F.array().cast(T.ArrayType(T.StringType()))
     v = vocab.select(phrase_key("term").alias("phrase"), "codes").filter(F.length("phrase") > 0)
+    v = v.groupBy("phrase").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))   # a mention counts once
     v = v.withColumn("nw", F.size(F.split("phrase", " ")))
     if max_n is None:
         max_n = v.agg(F.max("nw")).collect()[0][0] or 0
     if max_n == 0:
-        return docs.select(id_col).withColumn("codes", F.array().cast(T.ArrayType(T.StringType()))) \
-            .withColumn("n_mentions", F.lit(0).cast("long")).limit(0)
+        return docs.select(id_col, none.alias("codes"), F.lit(0).cast("long").alias("n_mentions"))
     first = broadcast_if_small(v.select(F.split("phrase", " ")[0].alias("w1")).distinct())
-    words = docs.select(id_col, F.filter(F.split(default_process(text_col), " "), lambda w: F.length(w) > 0)
-                        .alias("w"))
+    # Equal texts share one answer, so repeated or null ids keep their own rows.
+    texts = docs.select(id_col, F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text"))
+    key = "_h"
+    words = texts.select("_h", "_text").dropDuplicates(["_h"]).select(
+        "_h", F.filter(F.split(default_process("_text"), " "), lambda w: F.length(w) > 0).alias("w"))
     n = F.size("w")
     shifted = [F.slice("w", k, F.greatest(n - k + 1, F.lit(0))) for k in range(1, max_n + 1)]
-    pos = words.select(id_col, F.explode(F.arrays_zip(*shifted)).alias("z"))
+    pos = words.select(key, F.explode(F.arrays_zip(*shifted)).alias("z"))
     cols = [F.col("z")[str(k)].alias(f"w{k + 1}") for k in range(max_n)]
-    pos = pos.select(id_col, *cols).join(first, "w1", "left_semi")
+    pos = pos.select(key, *cols).join(first, "w1", "left_semi")
     grams = [F.col("w1")]
     for k in range(2, max_n + 1):
         full = F.concat_ws(" ", *[F.col(f"w{j}") for j in range(1, k + 1)])
         grams.append(F.when(F.col(f"w{k}").isNotNull(), full))
-    ng = pos.select(id_col, F.explode(F.array(*grams)).alias("phrase")).filter(F.col("phrase").isNotNull())
+    ng = pos.select(key, F.explode(F.array(*grams)).alias("phrase")).filter(F.col("phrase").isNotNull())
     vocab_b = broadcast_if_small(v.select("phrase", "codes"))
     # one pass: mentions per (record, phrase) are partially aggregated, then each record
     # gathers its distinct phrases (at most the vocabulary size) with their codes
-    per_phrase = ng.join(vocab_b.select("phrase"), "phrase", "left_semi").groupBy(id_col, "phrase") \
+    per_phrase = ng.join(vocab_b.select("phrase"), "phrase", "left_semi").groupBy(key, "phrase") \
         .agg(F.count(F.lit(1)).alias("c"))
     per_phrase = per_phrase.join(vocab_b, "phrase")
-    return per_phrase.groupBy(id_col).agg(
+    linked = per_phrase.groupBy(key).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"),
         F.sum("c").alias("n_mentions"))
+    return texts.select(id_col, key).join(linked, key, "left").select(
+        id_col, F.coalesce("codes", none).alias("codes"), F.coalesce("n_mentions", F.lit(0)).cast("long").alias("n_mentions"))

@@ -20,68 +20,96 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fmt3, truncate
 from ..functions.text import col_
-from ..session import broadcast_if_small, ship_code
+from ..session import ship_code
 
 MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast query block
 
 
 # --------------------------------------------------------------------------- R01 encoder
-def hashing_features(df: DataFrame, text_col: str = "text", id_col: str = "id", dim: int = 256,
-                     max_chars: int = K.INDEX_TEXT_CHARS) -> DataFrame:
-    """Default R01 encoder, JVM-side: signed feature hashing of the words of text[:max_chars].
+def _embed(df: DataFrame, text, embed: Callable[[], Callable[[list[str]], np.ndarray]], batch: int) -> DataFrame:
+    """All rows and columns of ``df`` plus ``embedding`` of the text expression: row-local, Arrow batches, no shuffle.
 
-    word = processed-text token; slot = md5(word)[:8 hex] mod dim; sign + when
-    the 9th hex digit is even.  One (id, slot) aggregation, then a dense vector
-    of ``dim`` values per record (bounded by dim, whatever the text length).
+    ``embed`` is called once per task and returns texts -> (n, d) array.
     """
-    from ..functions import default_process
+    src = df.withColumn("_t", F.coalesce(text, F.lit("")))
+    keep = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode = embed()
+        for rb in batches:
+            for at in range(0, rb.num_rows, batch):
+                part = rb.slice(at, batch)
+                vecs = np.asarray(encode(part.column("_t").to_pylist()), dtype=np.float64)
+                flat = pa.array(vecs.reshape(-1), pa.float64())
+                ends = pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * (vecs.shape[1] if vecs.ndim > 1 else 0), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(ends, flat)], [*keep, "embedding"])
+
+    ship_code()
+    return src.mapInArrow(run, schema)
 
-    words = df.select(id_col, F.explode(F.split(default_process(truncate(text_col, max_chars)), " ")).alias("w"))
-    words = words.filter(F.length("w") > 0)
-    h = F.md5("w")
-    slot = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    per = words.groupBy(id_col, slot.alias("slot")).agg(F.sum(sign).alias("x"))
-    dense = per.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    return df.select(id_col).join(dense, id_col, "left").select(id_col, vec.alias("embedding"))
+
+def hashing_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
+    """Signed feature hashing of space-separated words: slot = md5(word)[:8 hex] mod dim, + when the 9th hex digit is even."""
+    import hashlib
+
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+        return int(h[:8], 16) % dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0
+
+    def encode(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        if len(known) > 500_000:
+            known.clear()
+        for row, text in zip(out, texts):
+            for word in text.split(" "):
+                if word:
+                    at = known.get(word)
+                    if at is None:
+                        at = known[word] = place(word)
+                    row[at[0]] += at[1]
+        return out
+
+    return encode
 
 
 def encode_text(df: DataFrame, text_col: str = "text", id_col: str = "id",
                 encoder: Callable[[list[str]], np.ndarray] | None = None,
-                max_chars: int = K.INDEX_TEXT_CHARS, batch: int = K.ENCODE_BATCH) -> DataFrame:
-    """(id, embedding array<double>) for text[:max_chars].
+                max_chars: int | None = None, batch: int = K.ENCODE_BATCH, dim: int = 256) -> DataFrame:
+    """(id, embedding array<double>) of every text, one row per input row whatever its id.
 
-    Without an encoder the JVM-side hashing encoder is used.  A user encoder
-    (texts -> (n, d) array, e.g. a sentence model) is built once per task and
-    fed Arrow batches of ``batch`` rows through ``mapInPandas``.
+    Without an encoder the words of the processed text are hashed; a user
+    encoder (texts -> (n, d) array, e.g. a sentence model) is fed batches of
+    ``batch`` rows.  The whole text counts; ``max_chars`` cuts it first where a
+    model asks for that (an index takes passages instead).
     """
-    if encoder is None:
-        return hashing_features(df, text_col, id_col, max_chars=max_chars)
-    factory = encoder
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    text = F.col(text_col) if max_chars is None else truncate(text_col, max_chars)
+    rows = df.select(id_col, text.alias("_src"))
+    return _encoded(rows, F.col("_src"), encoder, batch, dim).drop("_src")
 
-    def run(batches):
-        enc = factory
-        for pdf in batches:
-            for s in range(0, len(pdf), batch):
-                part = pdf.iloc[s:s + batch]
-                vecs = enc([t or "" for t in part["_t"].tolist()])
-                yield pd.DataFrame({id_col: part[id_col].tolist(), "embedding": [list(map(float, v)) for v in vecs]})
 
-    ship_code()
-    src = df.select(id_col, truncate(text_col, max_chars).alias("_t"))
-    return src.mapInPandas(run, schema)
+def _encoded(rows: DataFrame, text: Column, encoder, batch: int, dim: int) -> DataFrame:
+    from ..functions import default_process
+
+    if encoder is None:
+        return _embed(rows, default_process(text), lambda: hashing_encoder(dim), batch)
+    return _embed(rows, text, lambda: encoder, batch)
 
 
 # --------------------------------------------------------------------------- R02
 def l2_normalize(v) -> Column:
-    """V / ||v|| in double; a zero vector stays as it is."""
-    vd = F.transform(col_(v), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(vd, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(vd, lambda x: x / norm)).otherwise(vd)
+    """V / ||v|| in double; a zero vector stays as it is.
+
+    The squared norm is folded once; the fold's finish step divides by it, so
+    the work is linear in the dimension.
+    """
+    vd = col_(v).cast("array<double>")
+    return F.aggregate(vd, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x,
+                       lambda acc: F.when(acc > 0, F.transform(vd, lambda x: x / F.sqrt(acc))).otherwise(vd))
 
 
 def mean_vector(df: DataFrame, key: str, vec_col: str) -> DataFrame:
@@ -151,8 +179,11 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
                 kk = min(k, ids.shape[1])
                 nb_ids = np.empty((nq, kk), dtype=ids.dtype)
                 nb_s = np.empty((nq, kk), dtype=np.float64)
+                # k-th best score per query in linear time; only rows that reach it are sorted
+                floor = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
                 for qi in range(nq):
-                    order = np.lexsort((ids[qi], -s[qi]))[:kk]  # score desc, id asc
+                    top = np.flatnonzero(s[qi] >= floor[qi])
+                    order = top[np.lexsort((ids[qi][top], -s[qi][top]))[:kk]]  # score desc, id asc
                     nb_ids[qi], nb_s[qi] = ids[qi][order], s[qi][order]
                 best_ids, best_s = nb_ids, nb_s
         if best_ids is None:
@@ -168,27 +199,37 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
                  .select(qid_col, "rank", id_col, "score"))
 
 
+def passages(df: DataFrame, text_col: str, max_chars: int) -> DataFrame:
+    """One row per stretch of ``max_chars`` characters of the text, with ``passage_no`` from 0; the whole text is covered."""
+    n = F.ceil(F.length(text_col) / F.lit(max_chars)).cast("int")
+    rows = df.withColumn("passage_no", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
+    return rows.withColumn(text_col, F.substring(F.col(text_col), F.col("passage_no") * max_chars + 1, F.lit(max_chars)))
+
+
 def build_retrieval_table(records: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None,
                           id_col: str = "id", text_col: str = "text", source: Column | None = None,
-                          license: Column | None = None, max_chars: int = K.INDEX_TEXT_CHARS) -> DataFrame:
-    """Index build: non-empty texts cut to max_chars, encoded, L2-normalised, with source/license
-    metadata ('unknown' when missing), keyed by id (S10 writes it)."""
+                          license: Column | None = None, max_chars: int = K.INDEX_TEXT_CHARS, dim: int = 256) -> DataFrame:
+    """Index build: the passages of all non-empty texts, encoded, L2-normalised, with source/license
+    metadata ('unknown' when missing), keyed by (id, passage_no) (S10 writes it).
+
+    Row-local throughout: null and repeated ids keep their rows.
+    """
     from ..functions import nonempty
 
     src = source if source is not None else F.col("meta.source")
     lic = license if license is not None else F.col("meta.license")
     base = records.filter(nonempty(text_col)).select(
-        F.col(id_col).alias("id"), truncate(text_col, max_chars).alias("text"),
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
         F.coalesce(src, F.lit(K.DEFAULT_SOURCE)).alias("source"),
         F.coalesce(lic, F.lit(K.DEFAULT_LICENSE)).alias("license"))
-    emb = encode_text(base, "text", "id", encoder=encoder, max_chars=max_chars)
-    return base.join(emb, "id").withColumn("embedding", l2_normalize("embedding"))
+    cut = passages(base, "text", max_chars).select("id", "passage_no", "text", "source", "license")
+    return _encoded(cut, F.col("text"), encoder, K.ENCODE_BATCH, dim).withColumn("embedding", l2_normalize("embedding"))
 
 
 # --------------------------------------------------------------------------- R04-R08
 def hit_metadata(hits: DataFrame, store: DataFrame, id_col: str = "id") -> DataFrame:
-    """Attach text/source/license to hits (hits are small: queries x k, broadcast-checked)."""
-    return store.join(broadcast_if_small(hits), id_col)
+    """Attach text/source/license to hits.  A plain join: the hits are computed once and AQE broadcasts them when they are few."""
+    return store.join(hits, id_col)
 
 
 def evidence_block(hits: DataFrame, qid_col: str = "query_id", max_chars: int = K.EVIDENCE_TEXT_CHARS) -> DataFrame:

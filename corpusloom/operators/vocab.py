@@ -29,12 +29,11 @@ def chars(c) -> Column:
 
 
 def tokenizer_lines(df: DataFrame, text_col: str = "text", order_by: str = "id",
-                    max_lines: int | None = K.TOKENIZER_MAX_LINES) -> DataFrame:
-    """Non-empty texts, newline -> space, the first max_lines in key order.
+                    max_lines: int | None = None) -> DataFrame:
+    """Non-empty texts, newline -> space; all of them, or the first ``max_lines`` in key order.
 
-    The cut-off key is found on the key column alone (a top-n of longs), then
-    applied as a filter, so no text is funnelled through a single task.
-    Assumes the order key is unique.
+    The limit is the feature of writing a tokenizer corpus; the vocabulary
+    statistics read every line.  Only keys are ranked for it.
     """
     lines = df.filter(nonempty(text_col)).select(order_by, F.translate(F.col(text_col), "\n", " ").alias("line"))
     from .split import limit_rows

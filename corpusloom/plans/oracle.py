@@ -716,9 +716,13 @@ g AS (
   UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 2),
                                   lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3])) FROM w
 ),
-h AS (SELECT g.doc_id, v.codes FROM g JOIN v ON g.phrase = v.phrase)
-SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes, count(*) AS n_mentions
-FROM h GROUP BY doc_id
+u AS (SELECT phrase, flatten(list(codes)) AS codes FROM v GROUP BY phrase),
+h AS (SELECT g.doc_id, u.codes FROM g JOIN u ON g.phrase = u.phrase),
+m AS (
+  SELECT doc_id, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes, count(*) AS n_mentions
+  FROM h GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(m.codes, '') AS codes, coalesce(m.n_mentions, 0) AS n_mentions FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
 
@@ -895,12 +899,9 @@ WITH p AS (
 SELECT page_id, status, reason, CASE WHEN reason = 'ok' THEN 'ok' ELSE 'retry' END AS action FROM r
 """
 Q["ingest_cap"] = "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100"
-_HTML_PRE = ('<!doctype html>\n<html><head><meta charset="utf-8"><title>' + K.LEADERBOARD_HTML_TITLE + '</title>\n'
-             '<style>body{font-family:system-ui;margin:24px} table{border-collapse:collapse} '
-             'td,th{border:1px solid #ddd;padding:8px}</style>\n</head><body>\n'
-             f'<h1>{K.LEADERBOARD_TITLE}</h1>\n<table><thead><tr>'
-             + "".join(f"<th>{h}</th>" for h in K.LEADERBOARD_HEADERS) + '</tr></thead>\n<tbody>\n')
-_HTML_POST = "\n</tbody></table>\n</body></html>"
+_HTML_PRE = (f"<html lang=en><title>{K.LEADERBOARD_HTML_TITLE}</title><main><h2>{K.LEADERBOARD_TITLE}</h2><table rules=rows><tr>"
+             + "".join(f"<th>{h}</th>" for h in K.LEADERBOARD_HEADERS) + "</tr>\n")
+_HTML_POST = "\n</table></main></html>"
 Q["leaderboard_html"] = f"""
 WITH {_ITEMS}
 SELECT {lit(_HTML_PRE)} || coalesce(string_agg('<tr>' || '<td>' || "Dataset" || '</td><td>' || "Mode" || '</td><td>' || "Role"
@@ -1005,13 +1006,14 @@ SELECT page_id, 'data/images/' || regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)'
 
 Q["encode_text"] = f"""
 WITH w AS (
-  SELECT doc_id, unnest(string_split({dproc('substr(text, 1, 2000)')}, ' ')) AS w FROM documents
+  SELECT doc_id, unnest(string_split({dproc('text')}, ' ')) AS w FROM documents
 ), s AS (
   SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
          sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
   FROM w WHERE length(w) > 0 GROUP BY ALL
 )
-SELECT d.doc_id, 256 AS dim, coalesce(CAST(sum(abs(s.x)) AS BIGINT), 0) AS l1
+SELECT d.doc_id, 256 AS dim, coalesce(CAST(sum(abs(s.x)) AS BIGINT), 0) AS l1,
+       coalesce(CAST(sum(s.x * (s.slot + 1)) AS BIGINT), 0) AS probe
 FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
@@ -1020,16 +1022,19 @@ Q["build_retrieval_table"] = f"""
 WITH d AS (
   SELECT doc_id, CASE WHEN text IS NOT NULL AND length(text) > 0 THEN {norm('text')} ELSE text END AS t, source
   FROM documents
-), n AS (SELECT doc_id, substr(t, 1, 2000) AS t, source FROM d WHERE t IS NOT NULL AND length(t) > 0),
-w AS (SELECT doc_id, unnest(string_split({dproc('t')}, ' ')) AS w FROM n),
+), p AS (
+  SELECT doc_id, t, source, unnest(range(0, (length(t) + 1999) // 2000)) AS passage_no FROM d WHERE t IS NOT NULL AND length(t) > 0
+), n AS (SELECT doc_id, passage_no, substr(t, 1 + 2000 * passage_no, 2000) AS t, source FROM p),
+w AS (SELECT doc_id, passage_no, unnest(string_split({dproc('t')}, ' ')) AS w FROM n),
 s AS (
-  SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
+  SELECT doc_id, passage_no, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
          sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END) AS x
   FROM w WHERE length(w) > 0 GROUP BY ALL
-), nz AS (SELECT doc_id, bool_or(x <> 0) AS nonzero FROM s GROUP BY doc_id)
-SELECT n.doc_id, length(n.t) AS text_len, n.source, {license_('n.source')} AS license, 256 AS dim,
-       CASE WHEN coalesce(nz.nonzero, FALSE) THEN 1.0 ELSE 0.0 END::DOUBLE AS sum_sq
-FROM n LEFT JOIN nz ON nz.doc_id = n.doc_id
+), nz AS (SELECT doc_id, passage_no, bool_or(x <> 0) AS nonzero, sum(x * (slot + 1)) / sqrt(sum(x * x)) AS probe FROM s GROUP BY ALL)
+SELECT n.doc_id, n.passage_no::INTEGER AS passage_no, length(n.t) AS text_len, n.source, {license_('n.source')} AS license, 256 AS dim,
+       CASE WHEN coalesce(nz.nonzero, FALSE) THEN 1.0 ELSE 0.0 END::DOUBLE AS sum_sq,
+       CASE WHEN coalesce(nz.nonzero, FALSE) THEN round(nz.probe, 6) ELSE 0.0 END::DOUBLE AS probe
+FROM n LEFT JOIN nz ON nz.doc_id = n.doc_id AND nz.passage_no = n.passage_no
 """
 
 

@@ -483,7 +483,8 @@ def q_answer_batch(spark, sf):
 def q_encode_text(spark, sf):
     e = retrieve.encode_text(_docs(spark, sf), "text", "doc_id")
     return e.select("doc_id", F.size("embedding").alias("dim"),
-                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).cast("long").alias("l1"))
+                    F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).cast("long").alias("l1"),
+                    F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x).cast("long").alias("probe"))
 
 
 # --------------------------------------------------------------------------- labelling
@@ -521,7 +522,7 @@ def q_auto_label(spark, sf):
         F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("text"),
         F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("icd10"), F.array(F.lit("KEEP"))))
          .otherwise(F.create_map().cast("map<string,array<string>>")).alias("labels"))
-    r = clean.unify(label.auto_label(p, v))
+    r = clean.unify(p, vocab=v)
     return clean.flat_records(r).select("id", "text", "labels_icd10", "labels_snomed")
 
 
@@ -688,7 +689,8 @@ def _lines(spark, sf):
 
 @register("tokenizer_lines")
 def q_tokenizer_lines(spark, sf):
-    return _lines(spark, sf).select("doc_id", "line")
+    lines = vocab.tokenizer_lines(_docs(spark, sf), order_by="doc_id", max_lines=K.TOKENIZER_MAX_LINES)
+    return lines.select("doc_id", "line")
 
 
 @register("word_frequency")
@@ -841,6 +843,7 @@ def q_join_image_path(spark, sf):
 def q_build_retrieval_table(spark, sf):
     recs = clean.unify(documents_records(spark, sf))
     t = retrieve.build_retrieval_table(recs, id_col="doc_id")
-    return t.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("text_len"), "source", "license",
+    probe = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return t.select(F.col("id").alias("doc_id"), "passage_no", F.length("text").cast("long").alias("text_len"), "source", "license",
                     F.size("embedding").alias("dim"),
-                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"))
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"), F.round(probe, 6).alias("probe"))
