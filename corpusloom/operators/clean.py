@@ -86,7 +86,12 @@ def unify(df: DataFrame, strict_presence: bool = False, raw_col: str = "raw",
         out = out.withColumn("labels", F.col("labels").cast(LABELS_TYPE))
     keys = F.json_object_keys(F.col(raw_col)) if strict_presence else None
     new = {}
-    for name, default in _defaults().items():
+    defaults = _defaults()
+    if "meta" in cols:
+        own = [f for f in out.schema["meta"].dataType.fields if f.name not in {k.name for k in META_TYPE.fields}]
+        defaults["meta"] = F.struct(*[defaults["meta"][f.name].alias(f.name) for f in META_TYPE.fields],
+                                    *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
+    for name, default in defaults.items():
         if name not in cols:
             new[name] = default
         elif strict_presence:

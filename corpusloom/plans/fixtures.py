@@ -265,3 +265,42 @@ def landed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(F.col("page_id") % 4 == 2, F.concat(F.lit(" \n"), F.col("html")))
              .otherwise(F.concat(F.lit('{"url": "'), F.col("page_id").cast("string"), F.lit('"'))))
     return p.select("page_id", status.alias("status"), ctype.alias("content_type"), body.alias("body"))
+
+
+def png_folder(spark: SparkSession, sf_dir: str) -> str:
+    """One small PNG per supplier, written by the tasks: <folder>/<nation>/sup_<key>.png (every 7th is no image, every 5th ends in .PNG).
+
+    Width and height follow the supplier key, so both sides of a size limit occur.
+    """
+    from ..session import ship_code
+
+    folder = scratch_dir(spark, "images")
+    rows = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+
+    def run(batches):
+        import struct
+        import zlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, root = (fs.LocalFileSystem(), "/" + folder[5:].lstrip("/")) if folder.startswith("file:") else fs.FileSystem.from_uri(
+            folder if "://" in folder else f"file://{folder}")
+
+        def chunk(kind, data):
+            return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+        for rb in batches:
+            for key, nation in zip(rb.column("s_suppkey").to_pylist(), rb.column("s_nationkey").to_pylist()):
+                w, h = 200 + key % 120, 230 + key % 60
+                data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0))
+                data += chunk(b"IDAT", zlib.compress((b"\0" + bytes([key % 251]) * w) * h)) + chunk(b"IEND", b"")
+                name = f"{root}/n{nation}/sup_{key}" + (".PNG" if key % 5 == 0 else ".png")
+                files.create_dir(f"{root}/n{nation}", recursive=True)
+                with files.open_output_stream(name) as out:
+                    out.write(b"no image" if key % 7 == 0 else data)
+            yield pa.RecordBatch.from_arrays([rb.column("s_suppkey")], ["k"])
+
+    ship_code()
+    rows.mapInArrow(run, "k long").write.format("noop").mode("overwrite").save()
+    return folder

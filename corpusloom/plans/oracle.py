@@ -1038,6 +1038,41 @@ FROM n LEFT JOIN nz ON nz.doc_id = n.doc_id AND nz.passage_no = n.passage_no
 """
 
 
+# --------------------------------------------------------------------------- sinks read back, files, maps
+Q["write_jsonl"] = "SELECT doc_id, text, TRUE AS null_kept FROM documents"
+_TYPE_MAP = """
+SELECT (row_number() OVER (ORDER BY p_type) - 1)::INTEGER AS pos, p_type AS key,
+       array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS value
+FROM part GROUP BY p_type
+"""
+Q["read_json_map"] = _TYPE_MAP
+Q["load_vocab"] = f"""
+SELECT 'types' AS system, pos, key AS term, value AS codes FROM ({_TYPE_MAP})
+UNION ALL
+SELECT 'nations', (row_number() OVER (ORDER BY n_name) - 1)::INTEGER, n_name, n_regionkey::VARCHAR FROM nation
+"""
+Q["read_results"] = Q["run_result"]
+_PNG = "'n' || s_nationkey || '/sup_' || s_suppkey || CASE WHEN s_suppkey % 5 = 0 THEN '.PNG' ELSE '.png' END"
+Q["list_files"] = f"SELECT {_PNG} AS path, split_part({_PNG}, '/', 2) AS name FROM supplier"
+Q["flatten_isic_files"] = f"""
+SELECT {mint('isic', "'img/' || " + _PNG)} AS id, NULL::VARCHAR AS text, 'classification' AS task, 'img/' || {_PNG} AS image_path,
+       NULL::VARCHAR AS answer, 'isic_cli' AS source, 'CC-BY' AS license
+FROM supplier
+"""
+Q["image_min_resolution"] = f"""
+SELECT {_PNG} AS path, (200 + s_suppkey % 120)::INTEGER AS width, (230 + s_suppkey % 60)::INTEGER AS height,
+       200 + s_suppkey % 120 >= 256 AND 230 + s_suppkey % 60 >= 256 AS ok
+FROM supplier WHERE s_suppkey % 7 <> 0
+"""
+Q["write_retrieval_table"] = f"SELECT doc_id, passage_no, text_len, source, license FROM ({Q['build_retrieval_table']})"
+Q["write_tokenizer_corpus"] = f"WITH {_LINES} SELECT line FROM l"
+Q["write_splits"] = f"SELECT doc_id, source, {split_('doc_id')} AS split FROM documents"
+Q["no_hit_fallback"] = f"""
+SELECT q.query_id, coalesce(e.evidence, 'No relevant passages were retrieved.') AS evidence
+FROM (SELECT DISTINCT (o_orderkey % 25)::INTEGER AS query_id FROM orders) q LEFT JOIN ({Q['evidence_block']}) e ON e.query_id = q.query_id
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

@@ -20,7 +20,7 @@ from ..operators import clean, dedup, evalqa, flatten, label, numerics, retrieve
 from ..operators import interactions as ddi
 from .fixtures import (BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB, basket_items, benchmark_records,
                        conversation_records, documents_records, label_payloads, landed_responses, load,
-                       props_with_controls, pubmed_pages, qa_turns, scratch_dir, spl_payloads, trial_payloads)
+                       png_folder, props_with_controls, pubmed_pages, qa_turns, scratch_dir, spl_payloads, trial_payloads)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -847,3 +847,103 @@ def q_build_retrieval_table(spark, sf):
     return t.select(F.col("id").alias("doc_id"), "passage_no", F.length("text").cast("long").alias("text_len"), "source", "license",
                     F.size("embedding").alias("dim"),
                     F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sum_sq"), F.round(probe, 6).alias("probe"))
+
+
+# --------------------------------------------------------------------------- sinks read back, files, maps
+
+
+@register("write_jsonl")
+def q_write_jsonl(spark, sf):
+    """Documents with an all-null column written as JSON Lines; every line is read back as text."""
+    path = scratch_dir(spark, "write-jsonl")
+    S.write_jsonl(_docs(spark, sf).withColumn("note", F.lit(None).cast("string")), path)
+    line = spark.read.text(path)
+    r = F.from_json("value", DOC_SCHEMA)
+    return line.select(r["doc_id"].alias("doc_id"), r["text"].alias("text"), F.col("value").contains('"note":null').alias("null_kept"))
+
+
+def _json_map_file(spark, rows: DataFrame, name: str) -> str:
+    """(key, values) rows -> one JSON object in key order, in one file (a vocabulary file is one object)."""
+    path = scratch_dir(spark, name)
+    entries = rows.agg(F.array_sort(F.collect_list(F.struct("key", "codes"))).alias("e"))
+    entries.select(F.to_json(F.map_from_entries("e")).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def _type_map(spark, sf) -> DataFrame:
+    return load(spark, sf, "part").groupBy(F.col("p_type").alias("key")).agg(F.array_sort(F.collect_set("p_brand")).alias("codes"))
+
+
+@register("read_json_map")
+def q_read_json_map(spark, sf):
+    r = S.read_json_map(spark, _json_map_file(spark, _type_map(spark, sf), "json-map"))
+    return r.select("pos", "key", F.array_join("value", ",").alias("value"))
+
+
+@register("load_vocab")
+def q_load_vocab(spark, sf):
+    nations = load(spark, sf, "nation").select(F.col("n_name").alias("key"), F.array(F.col("n_regionkey").cast("string")).alias("codes"))
+    paths = {"types": _json_map_file(spark, _type_map(spark, sf), "vocab"), "nations": _json_map_file(spark, nations, "vocab"),
+             "absent": scratch_dir(spark, "no-such-vocab")}
+    r = label.load_vocab(spark, paths)
+    return r.select("system", "pos", "term", F.array_join("codes", ",").alias("codes"))
+
+
+@register("read_results")
+def q_read_results(spark, sf):
+    """Run results appended in two writes and read back."""
+    path = scratch_dir(spark, "results")
+    runs = _run_results(spark, sf)
+    S.write_result_json(runs.where("dataset = 'mcq'"), path)
+    S.write_result_json(runs.where("dataset <> 'mcq'"), path)
+    m = lambda k: F.round(F.try_element_at("metrics", F.lit(k)), 6).alias(k)
+    return S.read_results(spark, path).select("dataset", "mode", "role", "n", m("acc"), m("f1"), m("em"), "timestamp")
+
+
+def _relative(path="path"):
+    return F.regexp_extract(path, "(n[0-9]+/[^/]+)$", 1)
+
+
+@register("list_files")
+def q_list_files(spark, sf):
+    return S.list_files(spark, png_folder(spark, sf)).select(_relative().alias("path"), "name")
+
+
+@register("flatten_isic_files")
+def q_flatten_isic_files(spark, sf):
+    files = S.list_files(spark, png_folder(spark, sf)).select(F.concat(F.lit("img\\"), F.translate(_relative(), "/", "\\")).alias("path"))
+    return _rec(flatten.flatten_isic_files(files))
+
+
+@register("image_min_resolution")
+def q_image_min_resolution(spark, sf):
+    return S.image_min_resolution(spark, png_folder(spark, sf)).select(_relative().alias("path"), "width", "height", "ok")
+
+
+@register("write_retrieval_table")
+def q_write_retrieval_table(spark, sf):
+    path = scratch_dir(spark, "retrieval")
+    S.write_retrieval_table(retrieve.build_retrieval_table(clean.unify(documents_records(spark, sf)), id_col="doc_id"), path)
+    t = S.read_retrieval_table(spark, path)
+    return t.select(F.col("id").alias("doc_id"), "passage_no", F.length("text").cast("long").alias("text_len"), "source", "license")
+
+
+@register("write_tokenizer_corpus")
+def q_write_tokenizer_corpus(spark, sf):
+    path = scratch_dir(spark, "tokenizer-corpus")
+    S.write_tokenizer_corpus(_lines(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@register("write_splits")
+def q_write_splits(spark, sf):
+    path = scratch_dir(spark, "splits")
+    split.write_splits(split.split_random(_docs(spark, sf).select("doc_id", "source"), key="doc_id"), path)
+    return spark.read.schema("doc_id bigint, source string, split string").json(path)
+
+
+@register("no_hit_fallback")
+def q_no_hit_fallback(spark, sf):
+    """Requests of which some have hits and some have none."""
+    req = load(spark, sf, "orders").select((F.col("o_orderkey") % 25).cast("int").alias("query_id")).distinct()
+    return retrieve.no_hit_fallback(req, retrieve.evidence_block(_hits(spark, sf)))

@@ -154,8 +154,9 @@ def triage_responses(df: DataFrame, status: str = "status", content_type: str =
 
 # --------------------------------------------------------------------------- tables
 def write_retrieval_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """(id, text, source, license, embedding) as parquet, keyed by id (not by position)."""
-    df.select("id", "text", "source", "license", "embedding").write.mode(mode).parquet(path)
+    """(id, passage_no, text, source, license, embedding) as parquet, keyed by id and passage (not by position)."""
+    cols = ["id", "passage_no", "text", "source", "license", "embedding"]
+    df.select(*[c for c in cols if c in df.columns]).write.mode(mode).parquet(path)
 
 
 def read_retrieval_table(spark: SparkSession, path: str) -> DataFrame:

@@ -109,7 +109,7 @@ def test_link_phrases_whole_text(spark):
                                  "id long, text string")
     v = label.vocab_from_rows(spark, [("s", "of the", ["A"]), ("s", "in the end", ["B", "A"]), ("s", "zz", ["Z"])])
     r = {x["id"]: (x["codes"], x["n_mentions"]) for x in label.link_phrases(docs, v).collect()}
-    assert r == {1: (["A", "B"], 3)}
+    assert r == {1: (["A", "B"], 3), 2: ([], 0)}   # every document has a row
 
 
 def test_dedup_idempotent_and_dropped_have_kept_lower_neighbour(spark, sf):
@@ -123,8 +123,9 @@ def test_dedup_idempotent_and_dropped_have_kept_lower_neighbour(spark, sf):
     rows = mem.groupBy("bucket").agg(F.collect_list("ord").alias("m")).collect()
     lower_kept = set()
     for r in rows:
-        for o in r["m"]:
-            if any(x < o and x in kept_ids for x in r["m"]):
+        keys = [m["key"] for m in r["m"]]
+        for o in keys:
+            if any(x < o and x in kept_ids for x in keys):
                 lower_kept.add(o)
     dropped = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept_ids
     assert dropped and dropped <= lower_kept
