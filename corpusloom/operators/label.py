@@ -67,19 +67,31 @@ def _bigrams(c: Column) -> Column:
         .otherwise(F.array().cast(T.ArrayType(T.StringType())))
 
 
+def sorted_tokens(c) -> Column:
+    """The processed words of a text in sorted order, single-spaced."""
+    return F.array_join(F.array_sort(F.filter(F.split(default_process(c), " "), lambda w: F.length(w) > 0)), " ")
+
+
 def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
-               limit: int = K.FUZZY_LIMIT, cutoff: int = K.FUZZY_CUTOFF) -> DataFrame:
-    """L06 (Levenshtein scorer): (id, system, pos, term, score, rank) for the best terms per text.
+               limit: int = K.FUZZY_LIMIT, cutoff: int = K.FUZZY_CUTOFF, scorer: str = "ratio") -> DataFrame:
+    """(id, system, pos, term, score, rank) for the best terms per text.
 
     score = 100 * (1 - lev / max(len)); kept when score >= cutoff; case sensitive.
+    ``scorer``: "ratio" compares the strings as they are, "token_sort" with their
+    processed words in sorted order, so reordered words still match.
     The bigram filter is exact from a cutoff of 67 on (see module doc); a lower
     one is refused rather than answered with hits missing.
     """
     if cutoff < 67:
         raise ValueError("fuzzy_topk needs a cutoff of 67 or more: below it terms without a common bigram can qualify")
     keep = 100 - cutoff
-    t = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    v = vocab.filter(nonempty("term")).select("system", "pos", "term", F.length("term").alias("n"))
+    if scorer not in ("ratio", "token_sort"):
+        raise ValueError(f"unknown scorer {scorer!r}")
+    form = sorted_tokens if scorer == "token_sort" else F.col
+    t = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_id"), form(text_col).alias("_t")).filter(nonempty("_t"))
+    v = vocab.filter(nonempty("term")).select("system", "pos", F.col("term").alias("_term"), form("term").alias("term")).filter(nonempty("term"))
+    names = v.select("system", "pos", "_term")
+    v = v.select("system", "pos", "term", F.length("term").alias("n"))
     maxlen = v.agg(F.max("n")).collect()[0][0] or 0
     t = t.withColumn("m", F.length("_t")).filter(F.col("m") * (100 - keep) <= F.lit(100 * maxlen))
     tb = t.select("_id", "_t", "m", F.explode(_bigrams(F.col("_t"))).alias("g")).groupBy("_id", "_t", "m", "g") \
@@ -101,24 +113,25 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     scored = cand.withColumn("d", F.levenshtein("_t", "term")).filter((L - F.col("d")) * 100 >= L * cutoff)
     scored = scored.withColumn("score", (L - F.col("d")) * 100.0 / L)
     w = Window.partitionBy("_id", "system").orderBy(F.col("score").desc(), F.col("pos").asc())
-    return (scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
-                  .select(F.col("_id").alias(id_col), "system", "pos", "term", "score", "rank"))
+    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).drop("term")
+    return best.join(broadcast_if_small(names), ["system", "pos"]).select(
+        F.col("_id").alias(id_col), "system", "pos", F.col("_term").alias("term"), "score", "rank")
 
 
 def map_codes(texts: DataFrame, vocab: DataFrame, system: str, id_col: str = "id", text_col: str = "text",
-              out: str = "codes") -> DataFrame:
+              out: str = "codes", scorer: str = "ratio") -> DataFrame:
     """Codes of the best <= 3 terms, distinct and sorted; null/'' text -> []."""
     text = F.col(text_col)
-    found = codes_of_texts(texts.select(text.alias("text")), vocab.filter(F.col("system") == system)).select("text", F.col("codes").alias(out))
+    found = codes_of_texts(texts.select(text.alias("text")), vocab.filter(F.col("system") == system), scorer).select("text", F.col("codes").alias(out))
     # By text, not by id: repeated and null ids keep their own rows.
     return texts.select(id_col, text.alias("_text")).join(found, F.col("_text") == found["text"], "left").select(
         id_col, F.coalesce(out, F.array().cast(T.ArrayType(T.StringType()))).alias(out))
 
 
-def codes_of_texts(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+def codes_of_texts(texts: DataFrame, vocab: DataFrame, scorer: str = "ratio") -> DataFrame:
     """(text, codes) of the distinct texts with hits, all systems in ``vocab`` together; codes distinct and sorted."""
     distinct = texts.filter(nonempty("text")).select("text").distinct()
-    hits = fuzzy_topk(distinct.select(F.col("text").alias("id"), "text"), vocab)
+    hits = fuzzy_topk(distinct.select(F.col("text").alias("id"), "text"), vocab, scorer=scorer)
     codes = hits.join(broadcast_if_small(vocab.select("system", "pos", "codes")), ["system", "pos"])
     return codes.groupBy(F.col("id").alias("text")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
 

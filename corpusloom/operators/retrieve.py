@@ -301,3 +301,33 @@ def answer_batch(requests: DataFrame, hits: DataFrame, ddi: DataFrame | None = N
     return r.select(qid_col, "role", append_findings(F.coalesce("generated", F.lit("")), "ddi").alias("answer"),
                     F.coalesce("citations", F.lit("")).alias("citations"), "ddi",
                     disclaimer("role").alias("disclaimer"))
+
+
+# --------------------------------------------------------------------------- text search end to end
+def search(table: DataFrame, queries: DataFrame, k: int = K.TOP_K, encoder: Callable[[list[str]], np.ndarray] | None = None,
+           qid_col: str = "query_id", query_col: str = "query") -> DataFrame:
+    """Query texts -> encode -> exact top-k over a stored retrieval table -> hits with metadata.
+
+    Returns (query_id, rank, score, id, passage_no, text, source, license); the
+    query vectors come from the same encoder as the table's.
+    """
+    vecs = encode_text(queries, query_col, qid_col, encoder=encoder).withColumn("embedding", l2_normalize("embedding"))
+    key = F.concat_ws("#", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lpad(F.col("passage_no").cast("string"), 9, "0"))
+    keyed = table.withColumn("_key", key)
+    hits = knn_topk(keyed, vecs, k, id_col="_key", qid_col=qid_col)
+    return hits.join(keyed.dropDuplicates(["_key"]).drop("embedding"), "_key").drop("_key")
+
+
+def answer_requests(requests: DataFrame, table: DataFrame, predictor: Callable[[list[str]], list[str]], rules=None,
+                    encoder: Callable[[list[str]], np.ndarray] | None = None, k: int = K.TOP_K, qid_col: str = "query_id") -> DataFrame:
+    """R09 as one composition: (query_id, role, query, drugs) -> search -> prompt -> predictor -> interaction findings.
+
+    ``drugs`` is the typed medication list of the request (null: none).
+    Requests without any hit get the fixed fallback evidence.
+    """
+    from . import interactions
+
+    rules = rules or interactions.Rules(requests.sparkSession)
+    items = interactions.explode_baskets(requests.select(F.col(qid_col).alias("qid"), interactions.parse_med_list("drugs").alias("l")), "qid", "l")
+    found = interactions.check_interactions(items, rules, requests.select(F.col(qid_col).alias("basket"))).withColumnRenamed("basket", qid_col)
+    return answer_batch(requests, search(table, requests, k, encoder, qid_col), found, predictor, qid_col)

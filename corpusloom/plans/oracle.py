@@ -1073,6 +1073,73 @@ FROM (SELECT DISTINCT (o_orderkey % 25)::INTEGER AS query_id FROM orders) q LEFT
 """
 
 
+# --------------------------------------------------------------------------- composed paths
+_SORTED = "array_to_string(list_sort(list_filter(string_split(" + dproc("@X@") + ", ' '), lambda x: length(x) > 0)), ' ')"
+Q["fuzzy_token_sort"] = f"""
+WITH v0(system, pos, term, codes) AS ({_vocab_values(FUZZY_VOCAB)}),
+v AS (SELECT system, pos, term, {_SORTED.replace('@X@', 'term')} AS s FROM v0 WHERE length(term) > 0),
+t AS (SELECT p_partkey AS id, {_SORTED.replace('@X@', 'p_name')} AS s FROM part WHERE p_name IS NOT NULL AND length(p_name) > 0),
+c AS (SELECT t.id, v.system, v.pos, v.term, greatest(length(t.s), length(v.s)) AS L, levenshtein(t.s, v.s) AS d FROM t, v
+      WHERE length(t.s) > 0 AND length(v.s) > 0),
+s AS (SELECT id, system, pos, term, (L - d) * 100.0::DOUBLE / L AS score FROM c WHERE (L - d) * 100 >= L * 86)
+SELECT id, system, pos, term, round(score, 6) AS score, row_number() OVER (PARTITION BY id, system ORDER BY score DESC, pos ASC) AS rank
+FROM s QUALIFY rank <= 3
+"""
+_BAG = f"""
+  SELECT key, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS slot,
+         sum(CASE WHEN ('0x' || substr(md5(w), 9, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS x
+  FROM (SELECT key, unnest(string_split({dproc('t')}, ' ')) AS w FROM @SRC@) WHERE length(w) > 0 GROUP BY ALL
+"""
+Q["search_text"] = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN text IS NOT NULL AND length(text) > 0 THEN {norm('text')} ELSE text END AS t FROM documents
+), pn AS (SELECT doc_id, t, unnest(range(0, (length(t) + 1999) // 2000)) AS n FROM d WHERE t IS NOT NULL AND length(t) > 0),
+p AS (SELECT doc_id * 1000000 + n AS key, substr(t, 1 + 2000 * n, 2000) AS t FROM pn),
+q AS (SELECT item_id AS key, text AS t FROM benchmark),
+ps AS ({_BAG.replace('@SRC@', 'p')}), qs AS ({_BAG.replace('@SRC@', 'q')}),
+pl AS (SELECT key, sqrt(sum(x * x)) AS len FROM ps GROUP BY key), ql AS (SELECT key, sqrt(sum(x * x)) AS len FROM qs GROUP BY key),
+dots AS (SELECT qs.key AS query_id, ps.key AS id, sum(qs.x * ps.x) AS dot FROM qs JOIN ps ON qs.slot = ps.slot GROUP BY ALL),
+s AS (
+  SELECT q.key AS query_id, p.key AS id, coalesce(dot / (ql.len * pl.len), 0.0) AS score
+  FROM q CROSS JOIN p LEFT JOIN dots ON dots.query_id = q.key AND dots.id = p.key
+  LEFT JOIN ql ON ql.key = q.key LEFT JOIN pl ON pl.key = p.key
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 5
+"""
+_TYPED = f"""
+  SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 'patient' ELSE 'clinician' END AS role, text AS query,
+         ({_MEDS})[item_id % {len(MED_LISTS)} + 1] AS drugs
+  FROM benchmark
+"""
+_TYPED_ITEMS = _REQ_ITEMS.replace(_REQ, _TYPED)
+Q["answer_requests"] = f"""
+WITH {_rule_ctes(K.DDI_RULES, _TYPED_ITEMS, "SELECT query_id AS basket FROM (" + _TYPED + ")")},
+req AS ({_TYPED})
+SELECT req.query_id, req.role,
+       'Answer: ' || req.query || CASE WHEN c.n_msgs > 0 THEN {lit(K.DDI_HEADER)} || replace(c.messages, chr(10), {lit(K.DDI_JOIN)}) ELSE '' END AS answer,
+       c.n_msgs::BIGINT AS n_ddi, CASE WHEN req.role = 'patient' THEN {lit(K.DISCLAIMER_PATIENT)} ELSE {lit(K.DISCLAIMER_OTHER)} END AS disclaimer
+FROM req JOIN checked c ON c.basket = req.query_id
+"""
+
+
+Q["evaluate"] = f"""
+WITH items AS (
+  SELECT o_orderkey AS id, ['mcq', 'yn', 'short'][o_orderkey % 3 + 1] AS type, concat_ws(' ', o_orderpriority, o_orderstatus) AS question,
+         CASE WHEN o_orderkey % 3 = 1 THEN ['yes', 'no', 'maybe'][o_custkey % 3 + 1] ELSE concat_ws(' ', o_orderstatus, o_orderpriority) END AS answer,
+         o_custkey % 4 AS label
+  FROM orders
+), shorts AS (SELECT * FROM items WHERE type = 'short'),
+{f1_cte('shorts', 'question', 'answer')},
+s AS (
+  SELECT type, 'acc' AS metric, CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END AS score FROM items WHERE type = 'mcq'
+  UNION ALL SELECT type, 'acc', CASE WHEN answer = 'yes' THEN 1.0 ELSE 0.0 END FROM items WHERE type = 'yn'
+  UNION ALL SELECT 'short', 'f1', f1 FROM f1
+  UNION ALL SELECT type, 'em', CASE WHEN {nans('question')} = {nans('answer')} THEN 1.0 ELSE 0.0 END FROM shorts
+)
+SELECT type AS dataset, 'plain' AS mode, 'clinician' AS role, metric, round(avg(score), 6)::DOUBLE AS mean FROM s GROUP BY ALL
+"""
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

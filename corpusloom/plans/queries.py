@@ -947,3 +947,72 @@ def q_no_hit_fallback(spark, sf):
     """Requests of which some have hits and some have none."""
     req = load(spark, sf, "orders").select((F.col("o_orderkey") % 25).cast("int").alias("query_id")).distinct()
     return retrieve.no_hit_fallback(req, retrieve.evidence_block(_hits(spark, sf)))
+
+
+# --------------------------------------------------------------------------- composed paths
+
+
+@register("fuzzy_token_sort")
+def q_fuzzy_token_sort(spark, sf):
+    """Part names with their words reversed against the vocabulary: only the token-sorted scorer meets them."""
+    v = label.vocab_from_rows(spark, FUZZY_VOCAB)
+    words = F.array_join(F.reverse(F.split("text", " ")), " ")
+    h = label.fuzzy_topk(_part_texts(spark, sf).withColumn("text", words), v, scorer="token_sort")
+    return h.select("id", "system", "pos", "term", F.round("score", 6).alias("score"), "rank")
+
+
+def _passage_table(spark, sf):
+    return retrieve.build_retrieval_table(clean.unify(documents_records(spark, sf)))
+
+
+def _typed_requests(spark, sf):
+    b = load(spark, sf, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "patient").otherwise("clinician").alias("role"),
+                    F.col("text").alias("query"),
+                    F.element_at(F.array(*[F.lit(m) for m in MED_LISTS]), (F.col("item_id") % len(MED_LISTS) + 1).cast("int")).alias("drugs"))
+
+
+@register("search_text")
+def q_search_text(spark, sf):
+    """Benchmark passages as query texts over the passages of all documents (ranks and scores; ties have equal scores)."""
+    h = retrieve.search(_passage_table(spark, sf), _typed_requests(spark, sf))
+    return h.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _echo(prompts: list[str]) -> list[str]:
+    """A predictor that answers with the query it finds in the prompt."""
+    return ["Answer: " + p.split("User Query:\n", 1)[1].split("\n\nEvidence:\n", 1)[0] for p in prompts]
+
+
+@register("answer_requests")
+def q_answer_requests(spark, sf):
+    a = retrieve.answer_requests(_typed_requests(spark, sf), _passage_table(spark, sf), _echo)
+    return a.select("query_id", "role", "answer", F.size("ddi").cast("long").alias("n_ddi"), "disclaimer")
+
+
+def _letters(prompts: list[str]) -> list[str]:
+    """A predictor: 'yes' to yes/no prompts, the letter B to choices, else the question's own words."""
+    out = []
+    for p in prompts:
+        if p.startswith(K.YESNO_PROMPT_HEAD):
+            out.append("Yes.")
+        elif p.startswith(K.MCQ_PROMPT_HEAD):
+            out.append("B")
+        else:
+            out.append(p.split("Question: ", 1)[1].rsplit("\nAnswer:", 1)[0])
+    return out
+
+
+@register("evaluate")
+def q_evaluate(spark, sf):
+    """Items made from orders so that every branch of every metric runs."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(F.lit("mcq"), F.lit("yn"), F.lit("short")), (k % 3 + 1).cast("int"))
+    gold = F.when(k % 3 == 1, F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("maybe")), (F.col("o_custkey") % 3 + 1).cast("int"))) \
+        .otherwise(F.concat_ws(" ", "o_orderstatus", "o_orderpriority"))
+    items = o.select(k.alias("id"), kind.alias("type"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("question"),
+                     F.lit("").alias("context"), F.array(*[F.lit(x) for x in "wxyz"]).alias("options"), gold.alias("answer"),
+                     (F.col("o_custkey") % 4).cast("int").alias("label"), kind.alias("dataset"), F.lit("plain").alias("mode"), F.lit("clinician").alias("role"))
+    s = evalqa.evaluate(items, _letters)
+    return evalqa.aggregate_metrics(s).select("dataset", "mode", "role", "metric", F.round("mean", 6).alias("mean"))

@@ -31,20 +31,28 @@ def _batch_sink(path: str, fmt: str = "parquet"):
 
 
 def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str, quarantine: str | None = None,
-                  glob: str = "*.json*", available_now: bool = True) -> StreamingQuery:
+                  glob: str = "*.json*", available_now: bool = True, max_files: int = 1000) -> StreamingQuery:
     """New landed JSON Lines files -> tolerant parse -> unify -> append.
 
-    Lines that fail both parses go to ``quarantine`` (if given) instead of the output.
+    Lines that fail both parses go to ``quarantine`` (if given) instead of the
+    output.  Top-level keys outside the schema are kept in ``extra`` (key ->
+    JSON text).  A batch takes at most ``max_files`` files and is parsed once.
     """
-    raw = spark.readStream.option("pathGlobFilter", glob).text(landing).withColumnRenamed("value", "raw")
+    raw = (spark.readStream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).text(landing)
+           .withColumnRenamed("value", "raw"))
     parsed = parse_json_tolerant(raw, "raw", RECORD_V2)
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()              # read twice below; a lost block is parsed again
         good = batch.filter(F.col("parse_status") != "failed").select(F.col("parsed_text").alias("_json"), "parsed.*")
-        recs = clean.unify(good, strict_presence=True, raw_col="_json").drop("_json")
+        known = F.array(*[F.lit(f.name) for f in RECORD_V2.fields])
+        options = {"allowUnquotedControlChars": "true"}
+        extra = F.map_filter(F.from_json("_json", "map<string,string>", options), lambda k, v: ~F.array_contains(known, k))
+        recs = clean.unify(good.withColumn("extra", extra), strict_presence=True, raw_col="_json").drop("_json")
         _batch_sink(out)(recs, batch_id)
         if quarantine:
             _batch_sink(quarantine)(batch.filter(F.col("parse_status") == "failed").select("raw"), batch_id)
+        batch.unpersist()
 
     w = parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
