@@ -47,8 +47,9 @@ def flatten_pubmed(df: DataFrame, payload: str = "payload") -> DataFrame:
     """
     m = df.select(F.from_json(F.col(payload), "struct<result:map<string,string>>").alias("p"))
     m = m.select(F.col("p.result").alias("r"))
-    u = m.select("r", F.posexplode(F.from_json(F.col("r")["uids"], "array<string>")).alias("upos", "uid"))
-    u = u.select("upos", "uid", F.col("r")[F.col("uid")].alias("raw"))
+    # The entries are looked up inside the page, so a row carries its own entry and not the whole page.
+    entry = F.transform(F.from_json(F.col("r")["uids"], "array<string>"), lambda k: F.struct(k.alias("uid"), F.col("r")[k].alias("raw")))
+    u = m.select(F.explode(entry).alias("u")).select("u.uid", "u.raw")
     u = u.filter(F.col("raw").isNotNull() & (F.size(F.json_object_keys("raw")) > 0))
     rec = F.from_json("raw", PUBMED_REC)
     return u.select(
@@ -72,7 +73,7 @@ def flatten_trials(df: DataFrame, payload: str = "payload") -> DataFrame:
     desc = F.coalesce(s["descriptionModule"]["briefSummary"], F.lit(""))
     text = F.concat(title, F.lit(" ("), nct, F.lit("). Conditions="), conds, F.lit(". Status="), status,
                     F.lit(". Summary: "), desc)
-    return df.select(*_record(mint_id("ct", nct), text, "summarize", "clinicaltrials", "public-domain", nct=nct))
+    return df.select(*_record(mint_id("ct", F.coalesce(F.nullif(nct, F.lit("")), F.md5(F.col(payload)))), text, "summarize", "clinicaltrials", "public-domain", nct=nct))
 
 
 LABEL_DOC = ("struct<openfda:struct<brand_name:array<string>,generic_name:array<string>>,"
@@ -120,8 +121,8 @@ def flatten_spl(df: DataFrame, payload: str = "payload") -> DataFrame:
     ddix = falsy_coalesce(_last_section(secs, K.SPL_INTERACTIONS_CODE))
     text = F.concat(F.coalesce(d["title"], F.lit("")), F.lit(". Indications: "), truncate(indications, K.SPL_SECTION_CHARS),
                     F.lit(". Interactions: "), truncate(ddix, K.SPL_SECTION_CHARS))
-    key = F.coalesce(F.nullif(F.coalesce(d["title"], F.lit("")), F.lit("")), F.md5(F.col(payload)))
-    return df.select(*_record(mint_id("dailymed", key), text, "ddi", "dailymed", "public-domain"))
+    # Labels often share a title, so the id is of title and text.
+    return df.select(*_record(mint_id("dailymed", F.coalesce(d["title"], F.lit("")), F.md5(text)), text, "ddi", "dailymed", "public-domain"))
 
 
 def flatten_chexpert(df: DataFrame, images_root: str) -> DataFrame:

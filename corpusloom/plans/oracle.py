@@ -775,11 +775,10 @@ d AS (
          arg_max(text, struct_pack(ln := l_linenumber, t := text)) FILTER (WHERE code = '34073-7') AS x
   FROM s GROUP BY l_orderkey, blk
 )
-SELECT {mint('dailymed', 'title')} AS id,
-       title || '. Indications: ' || substr(coalesce(nullif(i1, ''), nullif(i2, ''), ''), 1, 600)
-       || '. Interactions: ' || substr(coalesce(nullif(x, ''), ''), 1, 600) AS text,
+SELECT {mint('dailymed', 'title', 'md5(text)')} AS id, text,
        'ddi' AS task, NULL::VARCHAR AS image_path, NULL::VARCHAR AS answer, 'dailymed' AS source, 'public-domain' AS license
-FROM d
+FROM (SELECT title, title || '. Indications: ' || substr(coalesce(nullif(i1, ''), nullif(i2, ''), ''), 1, 600)
+             || '. Interactions: ' || substr(coalesce(nullif(x, ''), ''), 1, 600) AS text FROM d)
 """
 
 Q["flatten_chexpert"] = f"""
