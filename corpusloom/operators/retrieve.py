@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fmt3, truncate
 from ..functions.text import col_
-from ..session import ship_code
+from ..session import cut_lineage, ship_code
 
 MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast query block
 
@@ -127,7 +127,9 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str
 
     Fewer than k hits when the index is smaller than k; ties go to the lower id.
     The query side is broadcast only below MAX_BROADCAST_QUERY_VALUES numbers;
-    above it the queries are hashed into blocks that each fit.
+    above it the queries are hashed into blocks that each fit.  Blocks are
+    answered one after the other, each answer written to the checkpoint folder
+    and its broadcast released, so the driver holds one block at a time.
     """
     qid_type = queries.schema[qid_col].dataType
     q = queries.select(qid_col, qvec_col).persist()      # sized, then collected: computed once
@@ -136,8 +138,11 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str
     parts = []
     for b in range(nblocks):
         blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
-        rows = blk.collect()
-        parts.append(_knn_broadcast(index, rows, qid_type, k, id_col, vec_col, qid_col))
+        part, shared = _knn_broadcast(index, blk.collect(), qid_type, k, id_col, vec_col, qid_col)
+        if nblocks > 1:
+            part = cut_lineage(part)
+            shared.unpersist()
+        parts.append(part)
     q.unpersist()
     out = parts[0]
     for p in parts[1:]:
@@ -150,7 +155,7 @@ def _query_values(queries: DataFrame, qvec_col: str) -> int:
     return int(r or 0)
 
 
-def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_col: str, qid_col: str) -> DataFrame:
+def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_col: str, qid_col: str):
     spark = index.sparkSession
     id_type = index.schema[id_col].dataType
     qids = [r[0] for r in qrows]
@@ -195,8 +200,9 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
     ship_code()
     local = index.select(id_col, vec_col).mapInPandas(run, schema)
     w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-                 .select(qid_col, "rank", id_col, "score"))
+    top = (local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+                .select(qid_col, "rank", id_col, "score"))
+    return top, bq
 
 
 def passages(df: DataFrame, text_col: str, max_chars: int) -> DataFrame:

@@ -443,7 +443,7 @@ FROM board
 Q["vision_accuracy"] = """
 WITH j AS (
   SELECT CASE WHEN (CASE WHEN l.toxic = 1 THEN '1.0' ELSE '0.0' END) = '1.0' THEN 1 ELSE 0 END AS y,
-         CASE WHEN contains(lower(coalesce(d.text, '')), 'cardio') THEN 1 ELSE 0 END AS p
+         CASE WHEN d.doc_id % 4 = 0 OR contains(lower(coalesce(d.text, '')), 'cardio') THEN 1 ELSE 0 END AS p
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id
 )
 SELECT count(*) AS n, round(coalesce(sum(CASE WHEN y = p THEN 1 ELSE 0 END), 0)::DOUBLE / greatest(1, count(*)), 6) AS acc

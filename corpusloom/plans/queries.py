@@ -304,7 +304,8 @@ def q_leaderboard_markdown(spark, sf):
 def q_vision_accuracy(spark, sf):
     gold = load(spark, sf, "labels").select(
         "doc_id", F.when(F.col("toxic") == 1, F.lit("1.0")).otherwise(F.lit("0.0")).alias("cardiomegaly"))
-    preds = load(spark, sf, "documents").select("doc_id", F.col("text").alias("finding"))
+    seen = F.when(F.col("doc_id") % 4 == 0, F.lit(" Mild CARDIOmegaly.")).otherwise(F.lit(""))
+    preds = load(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), seen).alias("finding"))
     r = evalqa.vision_accuracy(gold, preds, "doc_id", "cardiomegaly", "finding")
     return r.select("n", F.round("acc", 6).alias("acc"))
 

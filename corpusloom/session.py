@@ -84,13 +84,14 @@ def evaluate_once(df: DataFrame, col: str) -> DataFrame:
     return df.select(*[F.explode(F.array(F.col(c))).alias(c) if c == col else F.col(c) for c in df.columns])
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only behind a size check on the (dimension) side.
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes of the (dimension) side.
 
-    The count is one scalar action on a small table; above the bound the plain
-    DataFrame is returned and Catalyst/AQE pick a shuffle join.
+    One scalar action on at most ``max_rows + 1`` rows of a small table; above a
+    bound the plain DataFrame is returned and Catalyst/AQE pick a shuffle join.
     """
     from pyspark.sql import functions as F
 
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if row["n"] <= max_rows and row["b"] <= max_bytes else df

@@ -153,3 +153,12 @@ def test_l2_normalize_is_linear_in_the_dimension(spark):
 def test_vocabulary_statistics_read_every_line(spark):
     docs = spark.createDataFrame([(k, "w") for k in range(50)], "id long, text string")
     assert vocab.tokenizer_lines(docs).count() == 50 and vocab.tokenizer_lines(docs, max_lines=7).count() == 7
+
+
+def test_query_blocks_give_the_same_hits(spark, monkeypatch):
+    index = spark.range(60).select("id", F.array(*[F.sin(F.col("id") * k).cast("double") for k in range(1, 9)]).alias("embedding"))
+    queries = index.where("id % 7 = 0").withColumnRenamed("id", "query_id")
+    hits = lambda: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in retrieve.knn_topk(index, queries, k=4).collect())
+    whole = hits()
+    monkeypatch.setattr(retrieve, "MAX_BROADCAST_QUERY_VALUES", 20)
+    assert hits() == whole
