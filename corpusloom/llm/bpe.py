@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import file_bytes, id_and_text, shared_folder
+from corpusloom.llm.common import file_bytes, id_and_text, release_memory, shared_folder
 from corpusloom.llm.pretoken import RANK_LIMIT, Splitter, by_chars, from_planes, gather, in_slices, join_ranks, planes, split_ranks
 
 SEQUENCES = -1
@@ -116,6 +116,7 @@ def split_blocks(rows: DataFrame, pattern: str, parts: int, block_chars: int) ->
                 size += texts.nbytes
                 if size >= block_chars or len(splitter.numbers) >= RANK_LIMIT // 2:
                     yield finish(splitter, ids, numbers, per_text)
+                    release_memory()
                     splitter, ids, numbers, per_text, size = Splitter(pattern), [], [], [], 0
         if ids:
             yield finish(splitter, ids, numbers, per_text)

@@ -66,4 +66,11 @@ def file_bytes(path: str, limit: int = 16 << 20) -> bytes:
     return data
 
 
-__all__ = ["ensure_checkpoint_dir", "file_bytes", "id_and_text", "materialise", "shared_folder", "ship_code", "table", "worker_cache"]
+def release_memory() -> None:
+    """Give memory that Arrow no longer needs back to the system (a worker's pool keeps it otherwise)."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
+__all__ = ["ensure_checkpoint_dir", "file_bytes", "id_and_text", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]

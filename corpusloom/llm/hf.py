@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from corpusloom.llm.common import file_bytes, worker_cache
+from corpusloom.llm.common import file_bytes, release_memory, worker_cache
 from corpusloom.llm.pretoken import Chunked, by_chars, put_together
 
 
@@ -53,7 +53,7 @@ class Encoder:
     vocabulary, so it is taken off a chunk before its stem is looked up.
     """
 
-    def __init__(self, vocabulary: Vocabulary, width: int, cache_chunks: int = 1_000_000, slice_bytes: int = 24_000_000):
+    def __init__(self, vocabulary: Vocabulary, width: int, cache_chunks: int = 1_000_000, slice_bytes: int = 8_000_000):
         self.tokenizer, self.cut = vocabulary.tokenizer(), vocabulary.cut
         self.dtype = np.dtype(f"<u{width}")
         self.code = {2: "H", 4: "I"}[width]
@@ -88,4 +88,7 @@ class Encoder:
         for part in by_chars(texts, self.slice_bytes):
             chunked = Chunked(part, self.cut)
             whole = {int(k): np.frombuffer(self._encode([part[int(k)].as_py()])[0], self.dtype) for k in np.flatnonzero(chunked.unsafe)}
-            yield put_together(chunked, self._chunks(chunked.words), self.dtype, whole)
+            ids, per_text = put_together(chunked, self._chunks(chunked.words), self.dtype, whole)
+            del chunked
+            release_memory()
+            yield ids, per_text

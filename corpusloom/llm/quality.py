@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_and_text
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 NOT_GAP = r"[^\x20\x09-\x0D]"
