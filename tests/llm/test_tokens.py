@@ -8,7 +8,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import bpe, packing, tokenfile
