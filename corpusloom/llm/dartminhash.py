@@ -10,10 +10,12 @@ probability of their weighted Jaccard similarity.  The number of darts looked
 at is about t * ln t per text however long it is.
 
 Joining: equal texts are one node.  Nodes that share a band bucket are
-candidates; each is linked to its bucket's first node if their exact similarity
-reaches the threshold, and then to every node of the bucket that is still in
-another class.  So the classes are those of all verified bucket pairs, while a
-bucket of n alike texts costs n comparisons instead of n * n.
+candidates; each is compared with the node of its bucket that meets most others
+and linked if their exact similarity reaches the threshold.  Where a bucket still holds several classes,
+its nodes are measured against the centre of the largest one and linked to it
+where near enough; pairs of different classes that by these measures could
+still reach the threshold are compared too.  So the classes are those of all bucket pairs, while a bucket of
+n alike texts costs about n comparisons instead of n * n.
 """
 
 from __future__ import annotations
@@ -191,54 +193,93 @@ def _texts_once(rows: DataFrame) -> DataFrame:
     return rows.select("_text").mapInArrow(run, "h binary, body binary")
 
 
-def _salted_min(rows: DataFrame, keys: list[str], value: str, out: str, salt_by: str, more_than: int = 0) -> DataFrame:
-    """Adds to each row the least ``value`` over its ``keys``; a key with very many rows is spread over ``SALTS`` groups.
+def _salted(rows: DataFrame, keys: list[str], salt_by: str, whole: F.Column, part: F.Column, more_than: int = 0) -> DataFrame:
+    """Adds an aggregate over ``keys`` to each row; a key with very many rows is spread over ``SALTS`` groups.
 
-    ``more_than``: only rows of keys with more rows than that.
+    ``part`` aggregates rows within a group (as ``_m``), ``whole`` those ``_m``
+    over the groups of a key.  ``more_than``: only rows of keys with more rows than that.
     """
     salted = rows.withColumn("_s", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
-    parts = salted.groupBy(*keys, "_s").agg(F.min(value).alias("_m"), F.count(F.lit(1)).alias("_c"))
-    whole = parts.groupBy(*keys).agg(F.min("_m").alias(out), F.sum("_c").alias("_n"), F.collect_set("_s").alias("_all"))  # at most SALTS entries
-    whole = whole.where(F.col("_n") > more_than).select(*keys, out, F.explode("_all").alias("_s"))
-    return salted.join(whole, [*keys, "_s"]).drop("_s")
+    parts = salted.groupBy(*keys, "_s").agg(part.alias("_m"), F.count(F.lit(1)).alias("_c"))
+    out = parts.groupBy(*keys).agg(whole, F.sum("_c").alias("_n"), F.collect_set("_s").alias("_all"))  # at most SALTS entries
+    out = out.where(F.col("_n") > more_than).drop("_n").withColumn("_s", F.explode("_all")).drop("_all")
+    return salted.join(out, [*keys, "_s"]).drop("_s")
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame, threshold: float, counted: bool) -> DataFrame:
-    """Pairs (a, b) whose exact similarity reaches the threshold.
+def _salted_min(rows: DataFrame, keys: list[str], value: str, out: str, salt_by: str, more_than: int = 0) -> DataFrame:
+    return _salted(rows, keys, salt_by, F.min("_m").alias(out), F.min(value), more_than)
+
 
-    A node's text goes to the groups (a, salt) that need it: once as the first
-    text of the group, and once per pair as the second.  A group is streamed
-    with one first text in memory, so hubs with many partners stay cheap.
+def _met(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows (a, s, role, h, body): the texts of the pairs (a, b), ready to be streamed per group (a, s).
+
+    A node's text goes to the groups that need it: once as the first text of a
+    group (role 0), and once per pair as the second.  A group is streamed with
+    one first text in memory, so hubs with many partners stay cheap.
     """
     pairs = pairs.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     routes = pairs.select("a", "s").distinct().select(F.col("a").alias("h"), "a", "s", F.lit(0).alias("role")).unionByName(
         pairs.select(F.col("b").alias("h"), "a", "s", F.lit(1).alias("role")))
-    rows = routes.join(bodies, "h").repartition("a", "s").sortWithinPartitions("a", "s", "role")
+    return routes.join(bodies, "h").repartition("a", "s").sortWithinPartitions("a", "s", "role").select("a", "role", "h", "body")
+
+
+def _streamed(batches: Iterator) -> Iterator:
+    """(a, b, shingles of a, shingles of b) of every pair of ``_met``, batch by batch as lists."""
+    import zstandard
+
+    unpress = zstandard.ZstdDecompressor().decompress
+    hashes = WordHashes()
+    first, first_key = None, None
+    for batch in batches:
+        found = []
+        for a, role, h, body in zip(*[batch.column(c) for c in ("a", "role", "h", "body")], strict=True):
+            a, h = a.as_py(), h.as_py()
+            if len(hashes) > 500_000:
+                hashes.clear()
+            own = np.unique(shingles(unpress(body.as_py()).decode(), hashes), return_counts=True)
+            if role.as_py() == 0:
+                first, first_key = own, a
+                continue
+            if first_key != a:
+                raise RuntimeError("a pair met no first text")
+            found.append((a, h, first, own))
+        yield found
+
+
+def _verify(pairs: DataFrame, bodies: DataFrame, threshold: float, counted: bool) -> DataFrame:
+    """Pairs (a, b) whose exact similarity reaches the threshold."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import zstandard
 
-        unpress = zstandard.ZstdDecompressor().decompress
-        hashes = WordHashes()
-        first, first_key = None, None
-        for batch in batches:
-            a_out, b_out = [], []
-            for a, role, h, body in zip(*[batch.column(c) for c in ("a", "role", "h", "body")], strict=True):
-                a, h = a.as_py(), h.as_py()
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                found = np.unique(shingles(unpress(body.as_py()).decode(), hashes), return_counts=True)
-                if role.as_py() == 0:
-                    first, first_key = found, a
-                    continue
-                if first_key != a:
-                    raise RuntimeError("a pair met no first text")
-                if similarity(first, found, counted) >= threshold:
-                    a_out.append(a), b_out.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a binary, b binary")
+        for found in _streamed(batches):
+            links = [(a, b) for a, b, x, y in found if similarity(x, y, counted) >= threshold]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return _met(pairs, bodies).mapInArrow(run, "a binary, b binary")
+
+
+def _against_centre(pairs: DataFrame, bodies: DataFrame, counted: bool) -> DataFrame:
+    """(c, h, common, extra, weight): weight that h shares with its centre c, and what h has beyond c."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for found in _streamed(batches):
+            common, extra, weight = [], [], []
+            for _, _, x, y in found:
+                wx, wy = (x[1].astype(float), y[1].astype(float)) if counted else (np.ones(len(x[0])), np.ones(len(y[0])))
+                beyond = wy.copy()
+                _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+                beyond[j] -= np.minimum(wx[i], wy[j])
+                common.append(float(wy.sum() - beyond.sum()))
+                extra.append(y[0][beyond > 0].view(np.int64)), weight.append(beyond[beyond > 0])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array(common, pa.float64()),
+                pa.array(extra, pa.list_(pa.int64())), pa.array(weight, pa.list_(pa.float64())),
+            ], ["c", "h", "common", "extra", "weight"])
+
+    return _met(pairs, bodies).mapInArrow(run, "c binary, h binary, common double, extra array<long>, weight array<double>")
 
 
 def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], counted: bool) -> float:
@@ -268,41 +309,104 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _mixed(buckets: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Bucket rows (band, bh, h, n, root, main) of buckets with several classes; main = (size, root, centre, n_centre) of the largest."""
+    of_class = members.join(roots, "h", "left").select("h", "n", "rank", F.coalesce("root", "h").alias("root"))
+    whole = of_class.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rank", "h", "n")).alias("first")).select(
+        "root", "size", F.col("first.h").alias("centre"), F.col("first.n").alias("n_centre"))
+    placed = buckets.join(roots, "h", "left").select("band", "bh", "h", "n", F.coalesce("root", "h").alias("root"))
+    sizes = placed.groupBy("band", "bh", "root").agg(F.count(F.lit(1)).alias("c")).join(whole, "root")
+    mixed = sizes.groupBy("band", "bh").agg(F.max(F.struct("size", "root", "centre", "n_centre")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
+    return materialise(placed.join(mixed, ["band", "bh"]), "dart-mixed")
+
+
 def _classes(rows: DataFrame, threshold: float, counted: bool, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame]:
     """(signed rows (_id, h), nodes (h, root, n_links)) of rows (_id, _text)."""
     signed = materialise(sign(rows, counted, bands, band_rows), "dart-signatures")
     nodes = signed.groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     cells = nodes.select("h", "n", F.posexplode("bands").alias("band", "bh"))
-    first = F.struct("h", "n")
-    buckets = materialise(
-        _salted_min(cells.withColumn("x", first), ["band", "bh"], "x", "rep", "h", more_than=1).select("band", "bh", "h", "n", "rep"), "dart-buckets")
+    shared = materialise(_salted(cells, ["band", "bh"], "h", F.sum("_m").alias("size"), F.count(F.lit(1)), more_than=1), "dart-cells")
+    # The node that meets most others over all bands leads its buckets: among copies edited here and there, that is
+    # the one nearest to all of them.
+    rank = shared.groupBy("h").agg((-F.sum("size")).alias("rank"))
+    ranked = shared.drop("size").join(rank, "h").withColumn("x", F.struct("rank", "h", "n"))
+    buckets = materialise(_salted_min(ranked, ["band", "bh"], "x", "rep", "h").select("band", "bh", "h", "n", "rank", "rep"), "dart-buckets")
     close = lambda n, m: F.least(n, m) >= threshold * F.greatest(n, m)  # noqa: E731  sizes bound the similarity
     tried = materialise(
         buckets.where((F.col("h") != F.col("rep.h")) & close(F.col("n"), F.col("rep.n"))).select(F.col("rep.h").alias("a"), F.col("h").alias("b")).distinct(), "dart-pairs")
-    members = buckets.select("h").distinct()
-    bodies = materialise(_texts_once(rows).join(members, "h", "left_semi").dropDuplicates(["h"]), "dart-texts")
+    members = materialise(buckets.select("h", "n", "rank").distinct(), "dart-members")
+    bodies = materialise(_texts_once(rows).join(members.select("h"), "h", "left_semi").dropDuplicates(["h"]), "dart-texts")
     links = materialise(_verify(tried, bodies, threshold, counted), "dart-links")
-    roots = components(links)
-    # Buckets that still hold several classes: everything outside the main class meets the rest.
-    placed = buckets.join(roots, "h", "left").select("band", "bh", "h", "n", F.coalesce("root", "h").alias("root"))
-    sizes = placed.groupBy("band", "bh", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("band", "bh").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").drop("classes")
-    left = placed.join(mixed, ["band", "bh"])
-    left = materialise(left, "dart-mixed")
-    x = left.where("root != main").select("band", "bh", F.col("h").alias("hx"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = left.select("band", "bh", F.col("h").alias("hy"), F.col("n").alias("ny"), F.col("root").alias("ry"), (F.col("root") != F.col("main")).alias("other"))
-    meet = x.join(y, ["band", "bh"]).where((F.col("rx") != F.col("ry")) & (~F.col("other") | (F.col("hx") < F.col("hy"))) & close(F.col("nx"), F.col("ny")))
-    rest = meet.select(F.least("hx", "hy").alias("a"), F.greatest("hx", "hy").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = materialise(_leaders(links, members), "dart-leaders")
+    # Buckets that still hold several classes: their nodes are measured against the centre of the largest class they meet,
+    # which links more of them.
+    left = _mixed(buckets, members, roots)
+    by_centre = materialise(
+        left.groupBy("h").agg(F.max("main").alias("m"), F.first("n").alias("n")).select(
+            F.col("m.centre").alias("c"), F.col("m.n_centre").alias("n_c"), F.col("m.root").alias("of"), "h", "n"), "dart-centres")
+    measured = materialise(_against_centre(by_centre.select(F.col("c").alias("a"), F.col("h").alias("b")), bodies, counted), "dart-measured")
+    known = measured.select("c", "h", "common").join(by_centre, ["c", "h"])
+    is_near = F.col("common") >= threshold * (F.col("n") + F.col("n_c") - F.col("common")) - 1e-9
+    known = materialise(known.withColumn("near", is_near).drop("n_c"), "dart-known")
+    near = known.where("near AND c != h").select(F.col("c").alias("a"), F.col("h").alias("b"))
+    links = materialise(links.unionByName(near).distinct(), "dart-links")
+    left = left.join(known.where("near").select("h", "of"), "h", "left").withColumn("root", F.coalesce("of", "root")).drop("of")
+    # What a node has beyond its centre counts where another node measured there has it as well.  Two nodes share no more
+    # than the lesser of what each shares with the centre, and the lesser of what each has beyond.
+    beyond = measured.select("c", "h", F.explode(F.arrays_zip("extra", "weight")).alias("x")).select("c", "h", F.col("x.extra").alias("e"), F.col("x.weight").alias("w"))
+    more_than_one = _salted_min(beyond, ["c", "e"], "h", "_first", "h", more_than=1).groupBy("c", "h").agg(F.sum("w").alias("beyond"))
+    bound = known.drop("of", "near").join(more_than_one, ["c", "h"], "left").withColumn("beyond", F.coalesce("beyond", F.lit(0.0)))
+    bound = bound.join(bound.groupBy("c").agg(F.min("n").alias("least")), "c")
+    share = threshold / (1 + threshold)  # common weight that a pair needs, of the sum of both
+    fits = F.col("common") + F.col("beyond") >= share * (F.col("n") + F.greatest("least", F.col("n") * threshold)) - 1e-9
+    # Nodes in buckets with nodes of another centre cannot be judged by theirs alone.
+    foreign = left.select("band", "bh", "h").join(by_centre.select("h", "c"), "h").groupBy("band", "bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    free = left.join(foreign.select("band", "bh"), ["band", "bh"], "left_semi").select("h").distinct()
+    alive = bound.where(fits).select("h").unionByName(free).distinct().join(bound, "h")
+    left = left.drop("n").withColumn("main", F.col("main.root")).join(alive.select("h", "c", "common", "beyond", "n"), "h")
+    # Every node carries its buckets (one per band at most): a pair is taken in the first bucket that both share.
+    left = materialise(left.join(left.groupBy("h").agg(F.collect_set(F.struct("band", "bh")).alias("seen")), "h"), "dart-alive")
+    one = lambda side: [F.col(k).alias(f"{k}_{side}") for k in ("h", "n", "root", "c", "common", "beyond", "seen")]
+    x = left.where("root != main").select("band", "bh", *one("x"))
+    y = left.select("band", "bh", *one("y"), (F.col("root") != F.col("main")).alias("other"))
+    lesser = F.least("common_x", "common_y") + F.least("beyond_x", "beyond_y")
+    possible = (F.col("c_x") != F.col("c_y")) | (lesser >= share * (F.col("n_x") + F.col("n_y")) - 1e-9)
+    meet = x.join(y, (x["band"] == y["band"]) & (x["bh"] == y["bh"]) & (F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("h_x") < F.col("h_y")))
+                  & close(F.col("n_x"), F.col("n_y")) & possible & (F.array_min(F.array_intersect("seen_x", "seen_y"))["band"] == x["band"]))
+    rest = meet.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+    done = tried.unionByName(by_centre.select(F.col("c").alias("a"), F.col("h").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialise(_verify(materialise(rest.join(done, ["a", "b"], "left_anti"), "dart-pairs"), bodies, threshold, counted), "dart-links")
     every = links.unionByName(more)
-    if more.take(1):
-        roots = components(every)
+    roots = _contracted(every, roots)
     degree = every.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = signed.select("h").distinct().join(roots, "h", "left").join(degree, "h", "left")
     return signed.select("_id", "h"), nodes.select("h", F.coalesce("root", "h").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _leaders(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, root) of linked nodes: where the way from each node to its best-ranked partner ends after up to eight steps.
+
+    Nodes with one root are connected; connected nodes mostly have one root.
+    """
+    up = links.join(members.select(F.col("h").alias("a"), "rank"), "a").groupBy("b").agg(F.min(F.struct("rank", "a")).alias("m")).select(F.col("b").alias("h"), F.col("m.a").alias("root"))
+    for _ in range(3):
+        further = up.select(F.col("h").alias("root"), F.col("root").alias("next"))
+        up = up.join(further, "root", "left").select("h", F.coalesce("next", "root").alias("root"))
+    return up
+
+
+def _contracted(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, root) of all linked nodes: components of the links, found over the roots that are known already."""
+    of = lambda side: roots.select(F.col("h").alias(side), F.col("root").alias(f"r_{side}"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("r_a", "a").alias("a"), F.coalesce("r_b", "b").alias("b"))
+    rest = materialise(pairs.where("a != b").distinct(), "star-rest")
+    known = roots.unionByName(links.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(roots, "h", "left_anti").select("h", F.col("h").alias("root")))
+    if not rest.take(1):
+        return known
+    merged = components(rest).select(F.col("h").alias("root"), F.col("root").alias("top"))
+    return known.join(merged, "root", "left").select("h", F.coalesce("top", "root").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, counted: bool = False,
     bands: int = BANDS, band_rows: int = ROWS,
