@@ -57,6 +57,16 @@ def worker_cache(name: str) -> dict:
     return mod.store.setdefault(name, {})
 
 
+def forget_worker_caches() -> None:
+    """Drops what earlier tasks of this Python worker kept: called by operators that need the memory themselves."""
+    import sys
+
+    mod = sys.modules.get("_corpusloom_worker_cache")
+    if mod is not None:
+        for cache in mod.store.values():
+            cache.clear()
+
+
 def file_bytes(path: str, limit: int = 16 << 20) -> bytes:
     """A vocabulary file's bytes for a broadcast; its size is checked against ``limit``."""
     with open(path, "rb") as f:
@@ -73,4 +83,4 @@ def release_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
-__all__ = ["ensure_checkpoint_dir", "file_bytes", "id_and_text", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]
+__all__ = ["ensure_checkpoint_dir", "file_bytes", "forget_worker_caches", "id_and_text", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]

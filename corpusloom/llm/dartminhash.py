@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_and_text, materialise
+from corpusloom.llm.common import forget_worker_caches, id_and_text, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -138,6 +138,7 @@ def sign(rows: DataFrame, counted: bool, bands: int, band_rows: int, group_chars
 
         import pyarrow as pa
 
+        forget_worker_caches()
         hashes = WordHashes()
 
         def group(texts: list[str], ids: pa.Array) -> pa.RecordBatch:
@@ -178,6 +179,7 @@ def _texts_once(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        forget_worker_caches()
         press = zstandard.ZstdCompressor(level=1).compress
         seen: set[bytes] = set()
         for batch in batches:
@@ -227,6 +229,7 @@ def _streamed(batches: Iterator) -> Iterator:
     """(a, b, shingles of a, shingles of b) of every pair of ``_met``, batch by batch as lists."""
     import zstandard
 
+    forget_worker_caches()
     unpress = zstandard.ZstdDecompressor().decompress
     hashes = WordHashes()
     first, first_key = None, None

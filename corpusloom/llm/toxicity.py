@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import id_and_text, materialise
+from corpusloom.llm.common import forget_worker_caches, id_and_text, materialise
 
 STEM_LENGTHS = (3, 4, 5, 6, 7)
 WORD = r"[\p{L}\p{N}]+"
@@ -336,6 +336,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_worker_caches()
         matcher = Matcher(shared.value)
         for batch in batches:
             found = [matcher.score(text.as_py()) for text in batch.column("_text")]
