@@ -3,12 +3,15 @@
 Corpus statistics are aggregations (partial aggregation before the shuffle);
 only the small tables that follow them (distinct characters, word counts,
 merge list) are ever ordered globally.  BPE merges are an iterative
-algorithm: one grouped count of adjacent pairs and one control row per round,
-with a reliable checkpoint every few rounds.
+algorithm: each pass counts adjacent pairs, and a bounded table of word pieces
+gives all merges down to a count, with a reliable checkpoint every few passes.
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,50 +68,178 @@ def char_coverage(lines: DataFrame, coverage: float = K.CHARACTER_COVERAGE, col:
     return r.filter(F.col("before") * scale < F.col("total") * num).select("ch", "n", "rank")
 
 
-def _java_replacement(s: str) -> str:
-    """Escape a literal for use as a Java regex replacement string."""
-    return s.replace("\\", "\\\\").replace("$", "\\$")
-
-
-def _quote(s: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))
-
-
-def bpe_merges(words: DataFrame, k: int, word_col: str = "word", freq_col: str = "n",
-               checkpoint_every: int = 5) -> DataFrame:
-    """K rounds of byte-pair merging on a word-frequency table.
-
-    Each round counts adjacent symbol pairs weighted by word frequency, takes the
-    most frequent pair (ties: smallest pair), and merges it left to right in
-    every word.  Returns (rank, left, right, count).  Symbols are kept as one
-    string per word with U+0001 separators so the rewrite is a regexp_replace.
+def _adjacent(sy: Column) -> Column:
+    n = F.greatest(F.size(sy) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(sy, 1, n), F.slice(sy, 2, n))
+
+
+def _rewrite(state: DataFrame, per_word) -> DataFrame:
+    """(sy, f): every word's symbols replaced by the symbol lists that ``per_word`` gives; lists of one symbol are left out."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sy, f = [], []
+            for word, n in zip(batch.column("sy").to_pylist(), batch.column("f").to_pylist(), strict=True):
+                for part in per_word(word):
+                    if len(part) > 1:
+                        sy.append(part), f.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(sy, pa.list_(pa.string())), pa.array(f, pa.int64())], ["sy", "f"])
+
+    return state.mapInArrow(run, "sy array<string>, f long")
+
+
+def _cut_at_closed(opened: frozenset):
+    """A word as its runs of adjacent pairs in ``opened``."""
+    def cut(word):
+        runs = [[word[0]]]
+        for a, b in zip(word, word[1:], strict=False):
+            if (a, b) in opened:
+                runs[-1].append(b)
+            else:
+                runs.append([b])
+        return runs
+
+    return cut
+
+
+def _merge_in_order(rank: dict):
+    """A word after the merges of ``rank``, lowest first, each from left to right."""
+    def merge(word):
+        while len(word) > 1:
+            best = min(zip(word, word[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
+            if best not in rank:
+                break
+            out, i = [], 0
+            while i < len(word):
+                if i + 1 < len(word) and (word[i], word[i + 1]) == best:
+                    out.append(word[i] + word[i + 1])
+                    i += 2
+                else:
+                    out.append(word[i])
+                    i += 1
+            word = out
+        return [word]
+
+    return merge
+
+
+def _learn(rows: list[tuple[list[str], int]], least: int, k: int) -> list[tuple[str, str, int]]:
+    """At most ``k`` merges of count ``least`` or more over weighted symbol lists, one after the other; counts kept by position."""
+    sym: list[str | None] = []
+    freq, before, after = array("q"), array("q"), array("q")
+    count: dict[tuple[str, str], int] = {}
+    places: dict[tuple[str, str], list[int]] = {}
+
+    def add(i: int) -> None:
+        pair = (sym[i], sym[after[i]])
+        count[pair] = count.get(pair, 0) + freq[i]
+        places.setdefault(pair, []).append(i)
+        touched.add(pair)
+
+    def drop(i: int) -> None:
+        pair = (sym[i], sym[after[i]])
+        count[pair] -= freq[i]
+        touched.add(pair)
+
+    touched: set[tuple[str, str]] = set()
+    for word, f in rows:
+        first = len(sym)
+        sym.extend(word)
+        freq.extend([f] * len(word))
+        before.extend([-1, *range(first, len(sym) - 1)])
+        after.extend([*range(first + 1, len(sym)), -1])
+    for i in range(len(sym)):
+        if after[i] >= 0:
+            add(i)
+    heap = [(-c, p) for p, c in count.items() if c >= least]
+    heapq.heapify(heap)
+    merges: list[tuple[str, str, int]] = []
+    while heap and len(merges) < k:
+        c, pair = heapq.heappop(heap)
+        if count.get(pair) != -c:
+            continue  # out of date: its present count has an entry of its own
+        a, b = pair
+        merges.append((a, b, -c))
+        touched.clear()
+        for i in sorted(places.pop(pair)):
+            j = after[i]
+            if sym[i] != a or j < 0 or sym[j] != b:
+                continue
+            if before[i] >= 0:
+                drop(before[i])
+            drop(i)
+            if after[j] >= 0:
+                drop(j)
+            sym[i], sym[j] = a + b, None
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+                add(i)
+            if before[i] >= 0:
+                add(before[i])
+        for p in touched:
+            if count[p] >= least:
+                heapq.heappush(heap, (-count[p], p))
+            elif not count[p]:
+                del count[p]
+                places.pop(p, None)
+    return merges
+
+
+def bpe_merges(words: DataFrame, k: int = K.VOCAB_SIZE, word_col: str = "word", freq_col: str = "n",
+               checkpoint_every: int = 5, top_pairs: int = 20_000, max_symbols: int = 1_000_000) -> DataFrame:
+    """Up to k rounds of byte-pair merging on a word-frequency table; fewer only when no pair is left.
+
+    Each round takes the most frequent adjacent pair of symbols weighted by word
+    frequency (ties: smallest pair), and merges it left to right in every word.
+    Returns (rank, left, right, count).
+
+    Many rounds share one pass.  A merge never gives a boundary between symbols
+    a higher pair count than it had, so while pairs of count t or more are left,
+    no pair of a lower count is merged: words fall apart at those boundaries,
+    and the distinct pieces hold all that the rounds down to count t depend on.
+    A pass counts all pairs, takes t from the ``top_pairs`` most frequent ones,
+    learns those rounds on the driver from at most ``max_symbols`` symbols of
+    distinct pieces, and applies them to the words.  With more pieces t is
+    raised; where ties leave no such t, the pass makes one round.
     """
-    sep = "\u0001"
     spark = words.sparkSession
-    state = words.select(F.concat(F.lit(sep), F.array_join(chars(F.regexp_replace(word_col, sep, "")), sep),
-                                  F.lit(sep)).alias("s"), F.col(freq_col).alias("f"))
-    state = cut_lineage(state.groupBy("s").agg(F.sum("f").alias("f")))
-    merges = []
-    for r in range(k):
-        syms = state.select(F.filter(F.split("s", sep), lambda x: F.length(x) > 0).alias("sy"), "f")
-        pairs = syms.select(F.explode(F.arrays_zip(F.slice("sy", 1, F.greatest(F.size("sy") - 1, F.lit(0))),
-                                                   F.slice("sy", 2, F.greatest(F.size("sy") - 1, F.lit(0)))))
-                            .alias("p"), "f")
+    state = words.groupBy(F.col(word_col).alias("w")).agg(F.sum(freq_col).cast("long").alias("f"))
+    state = cut_lineage(state.select(chars("w").alias("sy"), "f").filter(F.size("sy") > 1))
+    merges: list[tuple[str, str, int]] = []
+    passes = 0
+    while len(merges) < k:
+        pairs = state.select(F.explode(_adjacent(F.col("sy"))).alias("p"), "f")
         cnt = pairs.groupBy(F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b")).agg(F.sum("f").alias("c"))
-        best = cnt.orderBy(F.col("c").desc(), F.col("a"), F.col("b")).limit(1).collect()
-        if not best:
+        top = cnt.orderBy(F.col("c").desc(), F.col("a"), F.col("b")).limit(top_pairs + 1).collect()
+        if not top:
+            break
+        learned, whole = [(top[0]["a"], top[0]["b"], int(top[0]["c"]))], False
+        size = top_pairs
+        while size:
+            whole = len(top) <= size
+            opened = top if whole else [r for r in top[:size] if r["c"] > top[size]["c"]]
+            if opened:
+                cut = _cut_at_closed(frozenset((r["a"], r["b"]) for r in opened))
+                pieces = cut_lineage(_rewrite(state, cut).groupBy("sy").agg(F.sum("f").alias("f")))
+                if (pieces.agg(F.sum(F.size("sy"))).first()[0] or 0) <= max_symbols:
+                    rows = [(r["sy"], r["f"]) for r in pieces.collect()]
+                    learned = _learn(rows, 1 if whole else int(opened[-1]["c"]), k - len(merges))
+                    break
+            size, whole = size // 4, False
+        merges += learned
+        if whole or len(merges) >= k:
             break
-        a, b, c = best[0]["a"], best[0]["b"], int(best[0]["c"])
-        merges.append((r + 1, a, b, c))
-        pat = F.concat(F.lit(sep), _quote(F.lit(a)), F.lit(sep), _quote(F.lit(b)), F.lit(f"(?={sep})"))
-        state = state.select(F.regexp_replace("s", pat, F.lit(_java_replacement(sep + a + b))).alias("s"), "f")
-        if (r + 1) % checkpoint_every == 0:
+        state = _rewrite(state, _merge_in_order({(a, b): r for r, (a, b, _) in enumerate(learned)}))
+        passes += 1
+        if passes % checkpoint_every == 0:
             state = cut_lineage(state)
-    return spark.createDataFrame(merges, "rank long, left string, right string, count long")
+    return spark.createDataFrame([(r, *m) for r, m in enumerate(merges, 1)], "rank long, left string, right string, count long")
 
 
-def vocab_table(coverage_chars: DataFrame, merges: DataFrame) -> DataFrame:
-    """Ids: specials 0..3, then covered characters by rank, then merges in order."""
+def vocab_table(coverage_chars: DataFrame, merges: DataFrame, size: int = K.VOCAB_SIZE) -> DataFrame:
+    """Ids: specials 0..3, then covered characters by rank, then merges in order as far as ``size`` ids go."""
     spark = coverage_chars.sparkSession
     specials = spark.createDataFrame([(i, t, "special") for i, t in enumerate(K.SPECIAL_TOKENS)],
                                      "id long, piece string, kind string")
@@ -116,6 +247,6 @@ def vocab_table(coverage_chars: DataFrame, merges: DataFrame) -> DataFrame:
     ch = coverage_chars.select((F.col("rank") + nspec - 1).cast("long").alias("id"), F.col("ch").alias("piece"),
                                F.lit("char").alias("kind"))
     nch = coverage_chars.count()
-    mg = merges.select((F.col("rank") + nspec + nch - 1).cast("long").alias("id"),
+    mg = merges.filter(F.col("rank") <= size - nspec - nch).select((F.col("rank") + nspec + nch - 1).cast("long").alias("id"),
                        F.concat("left", "right").alias("piece"), F.lit("merge").alias("kind"))
     return specials.unionByName(ch).unionByName(mg)

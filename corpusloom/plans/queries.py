@@ -716,13 +716,13 @@ def q_bpe_pair_counts(spark, sf):
 
 @register("bpe_merges")
 def q_bpe_merges(spark, sf):
-    return vocab.bpe_merges(vocab.word_frequency(_lines(spark, sf)), 8)
+    return vocab.bpe_merges(vocab.word_frequency(_lines(spark, sf)))
 
 
 @register("vocab_table")
 def q_vocab_table(spark, sf):
     lines = _lines(spark, sf)
-    return vocab.vocab_table(vocab.char_coverage(lines), vocab.bpe_merges(vocab.word_frequency(lines), 4))
+    return vocab.vocab_table(vocab.char_coverage(lines), vocab.bpe_merges(vocab.word_frequency(lines)))
 
 
 @register("sample_shuffled")

@@ -1,6 +1,7 @@
 """Sources, streaming parity, tokenizer statistics, numerics, entry contract."""
 
 import os
+import random
 import struct
 import tempfile
 import zlib
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as E
+from corpusloom import constants as K
 from corpusloom import sources as S
 from corpusloom import streaming as W
 from corpusloom.operators import numerics, split, vocab
@@ -91,6 +93,48 @@ def test_bpe_hand_worked(spark):
     assert m == [("e", "s", 9), ("es", "t", 9), ("l", "o", 7), ("lo", "w", 7)]
 
 
+def merges_one_by_one(words, k):
+    state, out = [(list(w), n) for w, n in words], []
+    while len(out) < k:
+        count = {}
+        for w, n in state:
+            for p in zip(w, w[1:], strict=False):
+                count[p] = count.get(p, 0) + n
+        if not count:
+            break
+        a, b = best = min(count, key=lambda p: (-count[p], p))
+        out.append((a, b, count[best]))
+        for w, _ in state:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == best:
+                    w[i:i + 2] = [a + b]
+                i += 1
+    return out
+
+
+def test_bpe_passes_equal_one_merge_at_a_time(spark):
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("aaabcdé😀") for _ in range(rnd.randint(1, 9))) for _ in range(150)})
+    rows = [(w, rnd.choice((1, 1, 2, 3, 7, 40))) for w in words]
+    df = spark.createDataFrame(rows, "word string, n long")
+    want = merges_one_by_one(rows, 10**6)
+    assert len(want) > 200
+    for limits in ({}, {"top_pairs": 40}, {"top_pairs": 25, "max_symbols": 400}):
+        k = 30 if "max_symbols" in limits else K.VOCAB_SIZE
+        got = [(r["left"], r["right"], r["count"]) for r in vocab.bpe_merges(df, k, **limits).orderBy("rank").collect()]
+        assert got == want[:k]
+
+
+def test_registered_merges_are_limited_by_the_data_only(spark, sf):
+    merges = E.queries()["bpe_merges"](spark, sf)
+    table = E.queries()["vocab_table"](spark, sf)
+    n = merges.count()
+    assert n > 1000 and merges.agg(F.min("count")).first()[0] == 1
+    kinds = {r["kind"]: r["count"] for r in table.groupBy("kind").count().collect()}
+    assert kinds["merge"] == min(n, K.VOCAB_SIZE - kinds["special"] - kinds["char"])
+
+
 def test_char_coverage_integer_cut(spark):
     lines = spark.createDataFrame([("aaab",)], "line string")
     got = [(r["ch"], r["n"]) for r in vocab.char_coverage(lines, 0.75).collect()]
