@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import forget_worker_caches, id_and_text, materialise
 
 STEM_LENGTHS = (3, 4, 5, 6, 7)
+EDIT_SHARE = 0.5  # of a term's weight, per edit
 WORD = r"[\p{L}\p{N}]+"
 EDGE = re.compile(r"^\W+|\W+$")
 QUOTES = "\"'«»“”„‘’"
@@ -40,7 +41,9 @@ class Model:
     words: dict[str, float]
     stems: dict[str, float]
     # Logistic curve over (evidence of exact terms and stems, evidence of misspelled terms, log length, 1).
-    curve: tuple[float, float, float, float] = (1.0, 0.0, 0.0, -4.0)
+    curve: tuple[float, float, float, float] = (1.0, 0.5, 0.0, -4.0)
+    # Words of clean texts that lie near a term -> the most they may weigh.
+    near: dict[str, float] = field(default_factory=dict)
     window: int = 8
     quoted: float = 0.4
     direct: float = 1.15
@@ -53,16 +56,18 @@ class LevenshteinTrie:
     A state is the set of (trie node, edits left) reached so far; transitions
     are kept once computed, so a word costs one lookup per character and most
     words die after a few.  Terms shorter than ``near`` letters are matched
-    exactly, from there on with one edit, from ``far`` letters with two.
+    exactly, from there on with one edit, from ``far`` letters with two.  With
+    ``swaps``, two neighbouring letters that changed places are one edit.
     """
 
-    def __init__(self, terms: list[str], near: int = 5, far: int = 10):
+    def __init__(self, terms: list[str], near: int = 5, far: int = 10, swaps: bool = False):
+        self.near, self.far, self.swaps = near, far, swaps
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
         self.start = {}
         for term in sorted(terms):
             node = 0
-            edits = 0 if len(term) < near else 1 if len(term) < far else 2
+            edits = self._allowed(term)
             # One trie per number of edits allowed, below a marker edge.
             for c in (f"<{edits}>", *term):
                 if c not in self.children[node]:
@@ -71,25 +76,29 @@ class LevenshteinTrie:
                     self.ends.append(None)
                 node = self.children[node][c]
             self.ends[node] = term
-        first = {(n, k) for k in (0, 1, 2) for n in [self.children[0].get(f"<{k}>")] if n is not None}
+        # A state holds (node, letter that a swap still has to read, edits left).
+        first = {(n, "", k) for k in (0, 1, 2) for n in [self.children[0].get(f"<{k}>")] if n is not None}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.initial = self._state(self._closure(first))
 
-    def _closure(self, pairs: set[tuple[int, int]]) -> frozenset:
+    def _allowed(self, term: str) -> int:
+        return 0 if len(term) < self.near else 1 if len(term) < self.far else 2
+
+    def _closure(self, reached: set[tuple[int, str, int]]) -> frozenset:
         """Adds states reached by leaving out letters of a term; keeps the most edits left per node."""
-        best: dict[int, int] = {}
-        todo = list(pairs)
+        best: dict[tuple[int, str], int] = {}
+        todo = list(reached)
         while todo:
-            node, left = todo.pop()
-            if best.get(node, -1) >= left:
+            node, owed, left = todo.pop()
+            if best.get((node, owed), -1) >= left:
                 continue
-            best[node] = left
-            if left:
-                todo += [(child, left - 1) for child in self.children[node].values()]
-        return frozenset(best.items())
+            best[node, owed] = left
+            if left and not owed:
+                todo += [(child, "", left - 1) for child in self.children[node].values()]
+        return frozenset((node, owed, left) for (node, owed), left in best.items())
 
     def _state(self, key: frozenset) -> int:
         if key not in self.states:
@@ -97,23 +106,28 @@ class LevenshteinTrie:
             self.sets.append(key)
             self.next.append({})
             hits = []
-            for node, left in key:
+            for node, owed, left in key:
                 term = self.ends[node]
-                if term is not None:
-                    allowed = 0 if len(term) < 5 else 1 if len(term) < 10 else 2
-                    hits.append((allowed - left, term))
+                if term is not None and not owed:
+                    hits.append((self._allowed(term) - left, term))
             self.accepts.append((min(hits)[1], min(hits)[0]) if hits else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
-        moved: set[tuple[int, int]] = set()
-        for node, left in self.sets[state]:
+        moved: set[tuple[int, str, int]] = set()
+        for node, owed, left in self.sets[state]:
+            if owed:
+                if c == owed:
+                    moved.add((node, "", left))
+                continue
             kids = self.children[node]
             if c in kids:
-                moved.add((kids[c], left))
+                moved.add((kids[c], "", left))
             if left:
-                moved.add((node, left - 1))
-                moved.update((child, left - 1) for child in kids.values())
+                moved.add((node, "", left - 1))
+                moved.update((child, "", left - 1) for child in kids.values())
+                if self.swaps:
+                    moved.update((self.children[child][c], x, left - 1) for x, child in kids.items() if x != c and c in self.children[child])
         target = self._state(self._closure(moved)) if moved else -1
         self.next[state][c] = target
         return target
@@ -125,7 +139,7 @@ class LevenshteinTrie:
             follow = self.next[state].get(c)
             if follow is None:
                 if len(self.sets) > 200_000:  # memory bound of the cache; it fills again
-                    self.__dict__.update(LevenshteinTrie([t for t in self.ends if t]).__dict__)
+                    self.__dict__.update(LevenshteinTrie([t for t in self.ends if t], self.near, self.far, self.swaps).__dict__)
                     return self.match(word)
                 follow = self._step(state, c)
             if follow < 0:
@@ -141,7 +155,7 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie = LevenshteinTrie(list(model.words))
+        self.trie = LevenshteinTrie(list(model.words), near=4, swaps=True)
         self.cache: dict[str, tuple[float, float]] = {}
 
     def weight(self, token: str) -> tuple[float, float]:
@@ -156,7 +170,7 @@ class Matcher:
         if best:
             return best, 0.0
         hit = self.trie.match(word)
-        return (0.0, m.words[hit[0]] / 2 ** (hit[1] - 1)) if hit else self.NONE
+        return (0.0, min(m.words[hit[0]] * EDIT_SHARE ** (hit[1] - 1), m.near.get(word, math.inf))) if hit else self.NONE
 
     def weights(self, tokens: list[str]) -> list[tuple[float, float]]:
         cache = self.cache
@@ -248,6 +262,7 @@ def learn(
     if not n_toxic or not n_clean:
         return Model({}, {}, examples=n_toxic + n_clean)
     counts = spread.groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = materialise(counts.where((F.col("t") >= min_texts) | ((F.col("c") >= min_texts) & ~F.col("term").endswith("*"))), "toxicity-counts")
     odds = ((F.col("t") + 0.5) / (n_toxic + 1.0)) / ((F.col("c") + 0.5) / (n_clean + 1.0))
     picked = materialise(
         counts.where(F.col("t") >= min_texts).select("term", F.log(odds).alias("w"), "t").where(F.col("w") >= math.log(min_odds))
@@ -262,7 +277,25 @@ def learn(
     for t, w in weight.items():
         if not t.endswith("*") and any(t.startswith(s) for s in stem_weight):
             word_weight.setdefault(t, w)
-    return calibrate(rows, Model(word_weight, stem_weight, examples=n_toxic + n_clean))
+    model = Model(word_weight, stem_weight, examples=n_toxic + n_clean)
+    clean = counts.where((F.col("c") >= min_texts) & ~F.col("term").endswith("*")).select("term", F.log(odds).alias("w"))
+    model.near = near_words(clean, model)
+    return calibrate(rows, model)
+
+
+def near_words(clean: DataFrame, model: Model) -> dict[str, float]:
+    """Of ``clean`` (term, w), the words that pass for a misspelled term, with their own weight (not below 0).
+
+    At most the words of the bounded sample that lie a few edits from one of the bounded terms.
+    """
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        matcher = Matcher(model)
+        for batch in batches:
+            yield batch.filter(pa.array([matcher.weight(word.as_py())[1] > 0 for word in batch.column("term")], pa.bool_()))
+
+    return {r["term"]: max(0.0, r["w"]) for r in clean.mapInArrow(run, "term string, w double").collect()}
 
 
 def greedy(texts: list[frozenset], weight: dict[str, float], least: int = 3, need: int = 2) -> list[str]:
@@ -300,23 +333,18 @@ def calibrate(rows: DataFrame, model: Model) -> Model:
                 [batch.column("toxic"), *[pa.array([float(f[k]) for f in found], pa.float64()) for k in (0, 1, 3)]], ["toxic", "e", "f", "n"])
 
     sample = rows.select("toxic", "_text").mapInArrow(run, "toxic int, e double, f double, n double").toPandas()
-    x = np.column_stack([sample["e"], sample["f"], np.log1p(sample["n"]), np.ones(len(sample))])
+    # A misspelled hit weighs a fixed share of its term: the sample holds too few of them to fit one.
+    x = np.column_stack([sample["e"] + EDIT_SHARE * sample["f"], np.log1p(sample["n"]), np.ones(len(sample))])
     y = sample["toxic"].to_numpy(float)
     share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-    ridge = np.diag([1e-4, 1e-3, 1e-4, 1e-6])
-    w = np.array([0.5, 0.0, 0.0, -2.0])
-    free = np.array([True, True, True, True])
-    for _ in range(2):
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (share * (y - p)) - ridge @ w
-            h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge
-            w[free] += 0.5 * np.linalg.solve(h[np.ix_(free, free)], g[free])
-        # Misspelled terms may not speak against toxicity.
-        if w[1] >= 0:
-            break
-        w[1], free[1] = 0.0, False
-    model.curve = tuple(float(v) for v in w)
+    ridge = np.diag([1e-4, 1e-4, 1e-6])
+    w = np.array([0.5, 0.0, -2.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (y - p)) - ridge @ w
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge
+        w += 0.5 * np.linalg.solve(h, g)
+    model.curve = (float(w[0]), EDIT_SHARE * float(w[0]), float(w[1]), float(w[2]))
     return model
 
 

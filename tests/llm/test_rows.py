@@ -147,6 +147,52 @@ def test_automata_over_the_trie_equal_edit_distance():
         assert trie.match(w) == ((near[0][1], near[0][0]) if near else None)
 
 
+def swapped_edits(a, b):
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_a_swap_is_one_edit_and_short_terms_are_met():
+    terms = ["scum", "idiot", "moron", "morons", "worthless", "disgusting"]
+    trie = toxicity.LevenshteinTrie(terms, near=4, swaps=True)
+    assert trie.match("idoit") == ("idiot", 1) and trie.match("mroon") == ("moron", 1) and trie.match("scvm") == ("scum", 1)
+    rng = np.random.default_rng(2)
+    words = set(terms)
+    for t in terms:
+        for _ in range(300):
+            w = list(t)
+            for _ in range(rng.integers(0, 4)):
+                p = int(rng.integers(0, len(w) + 1))
+                if rng.random() < 0.5:
+                    w[p:p + 2] = w[p:p + 2][::-1]
+                else:
+                    w[p:p + int(rng.integers(0, 2))] = [] if rng.random() < 0.3 else [str(rng.choice(list("abimost")))]
+            words.add("".join(w))
+    for w in words:
+        near = sorted((d, t) for t in terms if (d := swapped_edits(w, t)) <= (1 if len(t) < 10 else 2))
+        assert trie.match(w) == ((near[0][1], near[0][0]) if near else None)
+
+
+def test_a_learned_model_meets_texts_whose_terms_are_all_misspelled(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    assert model.curve[1] > 0
+    matcher = toxicity.Matcher(model)
+    terms = sorted((t for t in model.words if len(t) >= 5 and t[1] != t[2]), key=lambda t: (-model.words[t], t))[:40]
+    wrong = [w for t in terms for w in [t[0] + t[2] + t[1] + t[3:]] if matcher.weight(w)[0] == 0]
+    assert len(wrong) >= 5
+    text = "the report of the day and " + " and ".join(wrong[:5])
+    assert matcher.score(text)[0] >= 0.7 > matcher.score("the report of the day and what it says")[0]
+    # A word that clean texts often hold is no misspelling.
+    assert all(matcher.weight(w)[1] <= most for w, most in model.near.items())
+
+
 def test_quotation_weighs_less_than_abuse():
     model = toxicity.Model({"idiot": 5.0, "moron": 5.0}, {}, curve=(0.5, 0.4, 0.0, -3.0))
     matcher = toxicity.Matcher(model)
