@@ -26,6 +26,7 @@ STEM_LENGTHS = (3, 4, 5, 6, 7)
 EDIT_SHARE = 0.5  # of a term's weight, per edit
 WORD = r"[\p{L}\p{N}]+"
 EDGE = re.compile(r"^\W+|\W+$")
+PIECE = re.compile(r"[^\W_]+")  # WORD in Python's terms
 QUOTES = "\"'«»“”„‘’"
 REPORTING = frozenset({
     "said", "says", "called", "wrote", "writes", "quoted", "quote", "reported", "word", "term", "insult", "insulted",
@@ -156,7 +157,7 @@ class Matcher:
     def __init__(self, model: Model):
         self.model = model
         self.trie = LevenshteinTrie(list(model.words), near=4, swaps=True)
-        self.cache: dict[str, tuple[float, float]] = {}
+        self.cache: dict[str, tuple] = {}
 
     def weight(self, token: str) -> tuple[float, float]:
         word = EDGE.sub("", token).lower()
@@ -172,41 +173,60 @@ class Matcher:
         hit = self.trie.match(word)
         return (0.0, min(m.words[hit[0]] * EDIT_SHARE ** (hit[1] - 1), m.near.get(word, math.inf))) if hit else self.NONE
 
-    def weights(self, tokens: list[str]) -> list[tuple[float, float]]:
-        cache = self.cache
-        if len(cache) > 400_000:
-            cache.clear()
-        out = []
-        for t in tokens:
-            w = cache.get(t)
-            if w is None:
-                w = cache[t] = self.weight(t)
-            out.append(w)
-        return out
+    def read(self, token: str) -> tuple[int, tuple]:
+        """Number of words of a token, and its hits as (first word, last word, key, weight).
+
+        Words are cut as in learning.  A token of several words without a hit is
+        read whole as well, for signs put inside a term: first without its signs
+        as an exact term, then with them.
+        """
+        words = PIECE.findall(token)
+        hits = tuple((k, k, word.lower(), w) for k, word in enumerate(words) if (w := self.weight(word)) != self.NONE)
+        if hits or len(words) < 2:
+            return len(words), hits
+        bare = "".join(words).lower()
+        w = (self.model.words[bare], 0.0) if bare in self.model.words else self.weight(token)
+        return len(words), ((0, len(words) - 1, EDGE.sub("", token).lower(), w),) if w != self.NONE else ()
 
     def evidence(self, text: str) -> tuple[float, float, int, int]:
-        """Evidence of exact and of misspelled terms after the context windows, number of hits, number of tokens.
+        """Evidence of exact and of misspelled terms after the context windows, number of hits, number of words.
 
-        Occurrences of the same token count with diminishing weight.
+        Occurrences of the same word count with diminishing weight.
         """
-        m, none = self.model, self.NONE
+        m, cache = self.model, self.cache
+        if len(cache) > 400_000:
+            cache.clear()
         tokens = text.split()
-        found = [(k, w) for k, w in enumerate(self.weights(tokens)) if w is not none and w != none]
+        found, n = [], 0
+        for t in tokens:
+            r = cache.get(t)
+            if r is None:
+                r = cache[t] = self.read(t)
+            if r[1]:
+                found += [(n + first, n + last, key, w) for first, last, key, w in r[1]]
+            n += r[0]
+        if not found:
+            return 0.0, 0.0, 0, n
+        bare: list[str] = []
+        opens, closes = [0] * (n + 1), [0] * (n + 1)  # quotes that open before a word, or close after it
+        for t in tokens:
+            words = PIECE.findall(t)
+            opens[len(bare)] |= t[:1] in QUOTES
+            bare += [word.lower() for word in words]
+            closes[len(bare) - 1 if bare else n] |= t.rstrip(".,;:!?")[-1:] in QUOTES
         best: dict[str, list[float]] = {}
-        for k, (exact, fuzzy) in found:
-            lo, hi = max(0, k - m.window), min(len(tokens), k + m.window + 1)
-            bare = [EDGE.sub("", t).lower() for t in tokens[lo:hi]]
+        for first, last, key, (exact, fuzzy) in found:
+            lo, hi = max(0, first - m.window), min(n, last + m.window + 1)
+            around = bare[lo:hi]
             factor = 1.0
-            opened = any(t[:1] in QUOTES for t in tokens[lo:k + 1])
-            closed = any(t.rstrip(".,;:!?")[-1:] in QUOTES for t in tokens[k:hi])
-            if opened and closed:
-                factor = m.quoted * (0.5 if any(b in REPORTING for b in bare) else 1.0)
-            elif any(b in DIRECT for b in bare):
+            if any(opens[lo:first + 1]) and any(closes[last:hi]):
+                factor = m.quoted * (0.5 if any(b in REPORTING for b in around) else 1.0)
+            elif any(b in DIRECT for b in around):
                 factor = m.direct
-            entry = best.setdefault(bare[k - lo], [0.0, 0.0, 0])
+            entry = best.setdefault(key, [0.0, 0.0, 0])
             entry[0], entry[1], entry[2] = max(entry[0], exact * factor), max(entry[1], fuzzy * factor), entry[2] + 1
-        grown = [(e, f, 1 + math.log(n)) for e, f, n in best.values()]
-        return sum(e * g for e, _, g in grown), sum(f * g for _, f, g in grown), len(found), len(tokens)
+        grown = [(e, f, 1 + math.log(c)) for e, f, c in best.values()]
+        return sum(e * g for e, _, g in grown), sum(f * g for _, f, g in grown), len(found), n
 
     def score(self, text: str) -> tuple[float, int]:
         exact, fuzzy, hits, n = self.evidence(text)

@@ -204,6 +204,18 @@ def test_quotation_weighs_less_than_abuse():
     assert matcher.score("")[1] == 0
 
 
+def test_terms_joined_by_signs_are_met():
+    matcher = toxicity.Matcher(toxicity.Model({"idiot": 5.0, "moron": 5.0, "loser": 5.0}, {}, curve=(0.5, 0.25, 0.0, -3.0)))
+    for text, hits in [("idiot/moron", 2), ("you-moron", 1), ("l'idiot", 1), ("clown,loser", 1), ("no\u2014idiot\u2014no", 1), ("_idiot_", 1), ("i.d.i.o.t", 1), ("idi!ot", 1), ("well-known", 0)]:
+        exact, fuzzy, n, _ = matcher.evidence(f"what a {text} that was")
+        assert n == hits and (exact + fuzzy > 0) == (hits > 0), text
+    assert matcher.evidence("idiot/moron")[0] == matcher.evidence("idiot moron")[0]
+    # The window is over the same words, quotes included.
+    assert matcher.evidence('called "idiot/moron" and')[0] == matcher.evidence('called "idiot moron" and')[0] < matcher.evidence("idiot/moron")[0]
+    far = "/".join(["word"] * 20)
+    assert matcher.evidence(f"you {far} idiot")[0] == matcher.evidence("idiot")[0]
+
+
 def test_learned_scores_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"  # enough labelled rows of every language
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
