@@ -95,8 +95,10 @@ def top_k(
     Codes are the signs of the components.  Exact for every query; a query that
     is a row of ``vectors`` meets itself too.  Null or empty vectors, vectors
     of another dimension than the most frequent one and null ids have no code
-    and are left out on both sides; repeated rows each count.  Fewer rows than
-    ``k`` give all; an empty table gives none.  A shard holds about
+    and are left out on both sides.  Repeated rows of ``vectors`` each count; a
+    query id is answered once, however often its row occurs, and one with
+    several codes has to each row the distance of its nearest code.  Fewer rows
+    than ``k`` give all; an empty table gives none.  A shard holds about
     ``shard_rows`` codes, a block ``block_rows`` queries: each pair of them is
     one row of the stated query set against all rows, in blocks.
     """
@@ -109,11 +111,11 @@ def top_k(
     bits, total = found["d"], found["count"]
     shards = -(-total // shard_rows)
 
-    def packed(df: DataFrame, groups: int, name: str) -> DataFrame:
+    def packed(df: DataFrame, groups: int, name: str, dealt: list, collect) -> DataFrame:
         """Rows (group, ids, codes): the codes of a group as one value of bounded size."""
         rows = df.where(usable & (F.size(vector_col) == bits)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
-        rows = rows.withColumn(name, F.pmod(F.xxhash64("id", F.col("v").getItem(0)), F.lit(groups)).cast("int")).mapInArrow(encode(name), f"{name} int, id long, code binary")
-        return rows.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("id", "code"))).alias(f"{name}_rows"))
+        rows = rows.withColumn(name, F.pmod(F.xxhash64(*dealt), F.lit(groups)).cast("int")).mapInArrow(encode(name), f"{name} int, id long, code binary")
+        return rows.groupBy(name).agg(F.sort_array(collect(F.struct("id", "code"))).alias(f"{name}_rows"))
 
     def encode(name: str):
         def run(batches: Iterator) -> Iterator:
@@ -126,9 +128,10 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], [name, "id", "code"])
         return run
 
-    index = packed(vectors, shards, "shard")
+    index = packed(vectors, shards, "shard", ["id", F.col("v").getItem(0)], F.collect_list)
     asked = queries.where(usable).count()
-    blocks = packed(queries, max(1, -(-asked // block_rows)), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # All codes of a query id meet in one block, each once.
+    blocks = packed(queries, max(1, -(-asked // block_rows)), "block", ["id"], F.collect_set).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     pairs = index.join(blocks, "shard").repartition("shard", "block")
 
     def answer(batches: Iterator) -> Iterator:
@@ -147,16 +150,25 @@ def top_k(
                     shard = batch.column("shard")[n].as_py()
                     ids, codes = unpack(batch.column("shard_rows")[n].values)
                     segments = max(1, round(bits / min(segment_bits, max(4, int(np.log2(len(ids) + 1))))))
-                    table = SegmentIndex(codes, ids, bits, segments)
+                    table = SegmentIndex(codes, np.arange(len(ids)), bits, segments)  # rows are sorted by id: ties by row are ties by id
                 q_out, i_out, d_out = [], [], []
-                for query, code in zip(*unpack(batch.column("block_rows")[n].values), strict=True):
-                    d, i = table.search(code, k)
-                    q_out.append(np.full(len(d), query)), i_out.append(i), d_out.append(d)
+                asked_ids, asked_codes = unpack(batch.column("block_rows")[n].values)
+                starts = np.flatnonzero(np.r_[True, asked_ids[1:] != asked_ids[:-1]])
+                for first, end in zip(starts, [*starts[1:], len(asked_ids)], strict=True):
+                    found = [table.search(code, k) for code in asked_codes[first:end]]
+                    d, row = found[0]
+                    if len(found) > 1:
+                        d, row = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                        order = np.lexsort((d, row))
+                        order = order[np.r_[True, row[order][1:] != row[order][:-1]]]
+                        order = order[np.lexsort((row[order], d[order]))][:k]
+                        d, row = d[order], row[order]
+                    q_out.append(np.full(len(d), asked_ids[first])), i_out.append(ids[row]), d_out.append(d)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(q_out)), pa.array(np.concatenate(i_out)), pa.array(np.concatenate(d_out).astype(np.int32))], ["query_id", "id", "distance"])
 
     hits = pairs.mapInArrow(answer, "query_id long, id long, distance int")
-    # Repeated query rows give the same answers; each query id is reported once, repeated index rows as often as they occur.
+    # Each shard has answered a query id once; repeated index rows are reported as often as they occur.
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "distance")

@@ -142,6 +142,21 @@ def test_top_k_of_awkward_rows(spark):
     assert mih.top_k(none, none).collect() == [] and mih.top_k(df, none).collect() == []
 
 
+def test_top_k_of_repeated_query_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=24)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = [(3, rows[3][1])] * 3 + [(8, rows[8][1])] * 2 + [(11, rows[11][1]), (11, rows[40][1]), (11, rows[41][1]), (11, rows[11][1])]
+    got = mih.top_k(df, spark.createDataFrame(asked, df.schema), k=6, shard_rows=25, block_rows=2).collect()
+    want = brute_nearest(rows, [rows[3], rows[8]], 6)
+    # An id with several codes: the distance to the nearest of them.
+    each = {}
+    for _, _, i, d in brute_nearest(rows, [rows[11], rows[40], rows[41]], 60):
+        each[i] = min(d, each.get(i, d))
+    want += [(11, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for i, d in each.items())[:6])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in got) == sorted(want)
+
+
 # --- shards
 
 def test_flow_is_cheapest():
