@@ -41,6 +41,22 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
+HOT_SHARE = 1000
+
+
+def join_hot(big: DataFrame, unique: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """Inner join of ``big`` with rows unique by ``keys`` that say in ``count_col`` how many rows of ``big`` meet them.
+
+    Keys that hold more than 1/``HOT_SHARE`` of those rows are fewer than ``HOT_SHARE`` however large the
+    tables are; they are broadcast and their rows stay where they are, all others are joined by a shuffle.
+    Both inputs are read twice, so they should be tables.
+    """
+    total = unique.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
+    hot = unique.where(F.col(count_col) > total // HOT_SHARE + 1)
+    names = F.broadcast(hot.select(*keys))
+    return big.join(F.broadcast(hot), keys).unionByName(big.join(names, keys, "left_anti").join(unique.join(names, keys, "left_anti"), keys))
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks.
 
@@ -83,4 +99,4 @@ def release_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
-__all__ = ["ensure_checkpoint_dir", "file_bytes", "forget_worker_caches", "id_and_text", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]
+__all__ = ["ensure_checkpoint_dir", "file_bytes", "forget_worker_caches", "id_and_text", "join_hot", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, dartminhash, html, mih, packing, quality, reshard, secrets, tokenfile, toxicity
+from corpusloom.llm import bpe, collocation, dartminhash, html, mih, packing, prefixtrie, quality, reshard, secrets, suffixdedup, tokenfile, toxicity
 from corpusloom.llm.common import shared_folder, table
 from corpusloom.llm.hf import Vocabulary
 from corpusloom.session import ship_code
@@ -85,6 +85,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"), min_count=10, max_words=3, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_extraction": op2_html_extraction,
@@ -96,6 +109,9 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 
