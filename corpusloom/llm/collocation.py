@@ -82,6 +82,24 @@ def slices(data: bytes, size: int) -> Iterator[bytes]:
     yield data[at:]
 
 
+def pack(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers >= 0 as compressed bytes: differences if they ascend, no more bytes each than the largest needs, byte by byte."""
+    x = np.diff(x, prepend=0) if ascending else x
+    x = np.ascontiguousarray(x, np.int64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width, ascending]) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width, ascending = int.from_bytes(data[:8], "little"), data[8], data[9]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(data[10:], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    x = out.view(np.int64).ravel()
+    return np.cumsum(x) if ascending else x
+
+
 R1_SCHEMA = "block long, lang string, n long, words array<binary>, codes binary, pieces binary"
 
 
@@ -105,7 +123,7 @@ def _persist_words(docs: DataFrame, text_col: str, lang_col: str, block_bytes: i
                     yield pa.RecordBatch.from_pydict({
                         "block": pa.array([number], pa.int64()), "lang": [lang], "n": pa.array([len(codes)], pa.int64()),
                         "words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                        "codes": [codes.tobytes()], "pieces": [pieces.tobytes()]})
+                        "codes": [pack(codes)], "pieces": [pack(pieces, ascending=True)]})
                     number += 1
 
         for batch in batches:
@@ -113,9 +131,8 @@ def _persist_words(docs: DataFrame, text_col: str, lang_col: str, block_bytes: i
                 data = text.as_buffer().to_pybytes().translate(_LOWER_AND_CUT)
                 waiting.setdefault(lang, []).append(data)
                 held[lang] = held.get(lang, 0) + len(data) + 1
-                if held[lang] >= block_bytes:
-                    yield from block(lang)
-                elif sum(held.values()) >= 4 * block_bytes if len(held) > 4 else False:
+                # Where a task meets many languages, the fullest goes first.
+                if held[lang] >= block_bytes or sum(held.values()) >= 4 * block_bytes:
                     yield from block(max(held, key=held.__getitem__))
             release_memory()
         for lang in list(waiting):
@@ -124,64 +141,65 @@ def _persist_words(docs: DataFrame, text_col: str, lang_col: str, block_bytes: i
     return materialise(rows.mapInArrow(run, R1_SCHEMA), "occurrences")
 
 
-def _parts(keys: pa.Array, parts: int) -> np.ndarray:
-    """The part that counts a key: by a hash of the word, or of the phrase number."""
-    if pa.types.is_binary(keys.type):
-        return np.fromiter((zlib.crc32(k) % parts for k in keys.to_pylist()), np.int64, len(keys))
-    x = keys.to_numpy().view(np.uint64)
+def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that counts a phrase, by a hash of its key."""
+    x = keys.view(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x ^ (x >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
 
 
-def _dealt(block: int, keys: pa.Array, counts: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """A block's distinct keys and their counts, one row per part."""
-    part = _parts(keys, parts)
+DEALT = "part long, block long, words array<binary>, keys binary, n binary"
+
+
+def _dealt(block: int, part: np.ndarray, counts: np.ndarray, words: pa.Array | None = None, keys: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """A block's distinct words or phrase keys (ascending) and their counts, one row per part; words also with their numbers in the block."""
     order = np.argsort(part, kind="stable")
     used, first = np.unique(part[order], return_index=True)
-    offsets = pa.array(np.append(first, len(order)), pa.int32())
-    if len(used):
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array(used, pa.int64()), "block": pa.array(np.full(len(used), block), pa.int64()),
-            "keys": pa.ListArray.from_arrays(offsets, keys.take(pa.array(order))), "n": pa.ListArray.from_arrays(offsets, pa.array(counts[order], pa.int64()))})
+    groups = np.split(order, first[1:]) if len(used) else []
+    for p, g in zip(used, groups):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([p], pa.int64()), pa.array([block], pa.int64()),
+            pa.nulls(1, pa.list_(pa.binary())) if words is None else pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), words.take(pa.array(g))),
+            pa.array([pack(g if keys is None else keys[g], ascending=True)]), pa.array([pack(counts[g])])], names=["part", "block", "words", "keys", "n"])
 
 
-def _group_count(dealt: DataFrame, parts: int, min_count: int, key_type: str, label: str) -> DataFrame:
+def _group_count(dealt: DataFrame, parts: int, min_count: int, of_words: bool, label: str) -> DataFrame:
     """Adds the counts of each part; frequent keys get numbers and go back to the blocks they came from.
 
-    Rows with a null block are the frequent keys themselves (keys, ids, n), the others say
-    which of the keys that a block sent are frequent (keys, ids).
+    Rows with a null block are the frequent words or keys themselves (words or keys, ids, n); the others say
+    which of the keys that a block sent are frequent, and their numbers (found, numbers).
     """
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        blocks = table.column("block").to_pylist()
-        lists, sizes = table.column("keys").combine_chunks(), pc.list_value_length(table.column("keys")).to_numpy()
-        flat = pa.table({"key": lists.flatten(), "n": table.column("n").combine_chunks().flatten()})
+        sent = [unpack(k) for k in table.column("keys").to_pylist()]
+        keys = table.column("words").combine_chunks().flatten() if of_words else pa.array(np.concatenate(sent), pa.int64())
+        flat = pa.table({"key": keys, "n": np.concatenate([unpack(n) for n in table.column("n").to_pylist()])})
         total = flat.group_by("key").aggregate([("n", "sum")])
         total = total.filter(pc.greater_equal(total.column("n_sum"), min_count))
         known = total.column("key").combine_chunks()
         # rank * parts + part is unique and about as small as a gapless number.
-        ids = np.arange(len(known), dtype=np.int64) * parts + part + 1
-        found = pc.index_in(flat.column("key"), value_set=known)
-        found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-        hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-        rank = found.take(pa.array(hit)).to_numpy()
-        owner = np.repeat(np.arange(len(blocks)), sizes)[hit]
-        used, first = np.unique(owner, return_index=True)
-        offsets = pa.array(np.concatenate(([0, len(known)], len(known) + np.append(first, len(owner))[1:])), pa.int32())
-        keys = pa.concat_arrays([known, known.take(pa.array(rank))])
+        found = pc.index_in(keys, value_set=known).fill_null(-1).to_numpy()
+        at, back = 0, []
+        for block, own in zip(table.column("block").to_pylist(), sent):
+            rank = found[at:at + len(own)]
+            at += len(own)
+            hit = rank >= 0
+            if hit.any():
+                back.append((block, pack(own[hit], ascending=True), pack(rank[hit].astype(np.int64) * parts + part + 1)))
+        one = pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), known)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.array(x, pa.int64()))
+        pad = lambda x: pa.concat_arrays([x, pa.nulls(len(back), x.type)])
         return pa.table({
-            "block": pa.array([None, *(blocks[i] for i in used)], pa.int64()),
-            "keys": pa.ListArray.from_arrays(offsets, keys),
-            "ids": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([ids, ids[rank]]), pa.int64())),
-            "n": pa.array([total.column("n_sum").to_pylist()] + [None] * len(used), pa.list_(pa.int64()))})
+            "block": pa.array([None, *(b[0] for b in back)], pa.int64()), "found": pa.array([None, *(b[1] for b in back)], pa.binary()), "numbers": pa.array([None, *(b[2] for b in back)], pa.binary()),
+            "keys": pad(one), "ids": pad(lists(np.arange(len(known)) * parts + part + 1)), "n": pad(lists(total.column("n_sum").to_numpy()))})
 
-    schema = f"block long, keys array<{key_type}>, ids array<long>, n array<long>"
+    schema = f"block long, found binary, numbers binary, keys array<{'binary' if of_words else 'long'}>, ids array<long>, n array<long>"
     return materialise(dealt.groupBy("part").applyInArrow(count, schema), label)
 
 
 def _returned(counted: DataFrame) -> DataFrame:
-    """Per block, what of it is frequent: keys and numbers in lists of one entry per part."""
-    return counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("keys", "ids")).alias("_found"))
+    """Per block, what of it is frequent: one entry per part."""
+    return counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("found", "numbers")).alias("_found"))
 
 
 def _frequent(counted: DataFrame) -> DataFrame:
@@ -189,33 +207,40 @@ def _frequent(counted: DataFrame) -> DataFrame:
         F.col("r.keys").alias("key"), F.col("r.ids").alias("id"), F.col("r.n").alias("a"))
 
 
-def _found_arrays(cell: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
-    rows = cell.values
-    if rows is None or not len(rows):
-        return pa.array([], pa.int64()), np.zeros(0, np.int64)
-    return rows.field("keys").flatten(), rows.field("ids").flatten().to_numpy()
+def _found_arrays(cell: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """What a block sent and is frequent, ascending, and the numbers."""
+    rows = cell.as_py()
+    keys, ids = np.concatenate([unpack(r["found"]) for r in rows]), np.concatenate([unpack(r["numbers"]) for r in rows])
+    order = np.argsort(keys)
+    return keys[order], ids[order]
 
 
-def _joined_keys(pos: np.ndarray, ids: np.ndarray, length: int, one: tuple[np.ndarray, np.ndarray], pieces: np.ndarray, bits: int):
-    """Merge-join of R_k with R_1 by piece and adjacent position: (positions, keys) of phrases one word longer."""
-    at = np.searchsorted(one[0], pos + length)
-    at[at == len(one[0])] = 0
-    hit = (one[0][at] == pos + length) if len(one[0]) else np.zeros(len(pos), bool)
-    hit[hit] = pieces[pos[hit]] == pieces[pos[hit] + length]
-    return pos[hit], ids[hit] << bits | one[1][at[hit]]
+REL_SCHEMA = "block long, pieces binary, number binary, codes binary, pos binary, ids binary"
 
 
-REL_SCHEMA = "block long, pieces binary, pos1 binary, ids1 binary, pos binary, ids binary"
+def _relations(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Pieces of all positions; R_1 and R_k as (positions, numbers)."""
+    of = np.append(unpack(row["number"]), 0)[unpack(row["codes"])]
+    pos = np.flatnonzero(of)
+    one = pos, of[pos]
+    return unpack(row["pieces"]), one, one if row["pos"] is None else (unpack(row["pos"]), unpack(row["ids"]))
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], t) for c, t in (("pieces", np.int32), ("pos1", np.int32), ("ids1", np.int64), ("pos", np.int32), ("ids", np.int64)))
+def _merge_join(k: tuple[np.ndarray, np.ndarray], one: tuple[np.ndarray, np.ndarray], pieces: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """R_k with R_1 on the same piece and position + k: (positions, keys) of phrases one word longer."""
+    pos, ids = k
+    if not len(one[0]):
+        return pos[:0], ids[:0]
+    at = np.searchsorted(one[0], pos + length)
+    at[at == len(one[0])] = 0
+    hit = one[0][at] == pos + length
+    hit[hit] = pieces[pos[hit]] == pieces[pos[hit] + length]
+    return pos[hit], ids[hit] << bits | one[1][at[hit]]
 
 
 def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col: str = "text", lang_col: str = "lang",
                      block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, a) of all phrases of up to ``max_words`` words with a >= ``min_count``; (lang, n) of all words."""
-    spark = docs.sparkSession
     blocks = _persist_words(docs, text_col, lang_col, block_bytes)
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     occurrences_in_all = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -225,10 +250,11 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col:
         for batch in batches:
             for i, row in enumerate(batch.select(["block", "lang", "codes"]).to_pylist()):
                 keys = pc.binary_join_element_wise(batch.column("words")[i].values, row["lang"].encode(), b"\n")
-                yield from _dealt(row["block"], keys, np.bincount(np.frombuffer(row["codes"], np.int32), minlength=len(keys)), parts)
+                part = np.fromiter((zlib.crc32(k) % parts for k in keys.to_pylist()), np.int64, len(keys))
+                yield from _dealt(row["block"], part, np.bincount(unpack(row["codes"]), minlength=len(keys)), words=keys)
+            release_memory()
 
-    dealt = blocks.select("block", "lang", "words", "codes").mapInArrow(words, "part long, block long, keys array<binary>, n array<long>")
-    counted = _group_count(dealt, parts, min_count, "binary", "words-counted")
+    counted = _group_count(blocks.select("block", "lang", "words", "codes").mapInArrow(words, DEALT), parts, min_count, True, "words-counted")
     split = F.split(F.col("key").cast("string"), "\n", 2)
     single = materialise(_frequent(counted).select("id", split[1].alias("lang"), split[0].alias("phrase"), F.lit(1).alias("n_words"), "a"), "words-frequent")
     top = single.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -236,36 +262,34 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col:
 
     def first_relation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, row in enumerate(batch.select(["block", "lang", "codes", "pieces"]).to_pylist()):
-                keys, ids = _found_arrays(batch.column("_found")[i])
-                own = pc.binary_join_element_wise(batch.column("words")[i].values, row["lang"].encode(), b"\n")
-                at = pc.index_in(own, value_set=keys)
-                number = np.append(ids, 0)[at.fill_null(len(ids)).to_numpy()]
-                of = number[np.frombuffer(row["codes"], np.int32)]
-                pos = np.flatnonzero(of).astype(np.int32)
+            for i, row in enumerate(batch.drop_columns(["_found"]).to_pylist()):
+                # The block's words are numbered anew, without those that are not frequent.
+                own, ids = _found_arrays(batch.column("_found")[i])
+                codes = unpack(row["codes"])
+                new = np.full(int(codes.max()) + 1, len(own))
+                new[own] = np.arange(len(own))
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array([row["block"]], pa.int64()), "pieces": [row["pieces"]],
-                    "pos1": [pos.tobytes()], "ids1": [of[pos].tobytes()], "pos": [pos.tobytes()], "ids": [of[pos].tobytes()]})
+                    "block": pa.array([row["block"]], pa.int64()), "pieces": [row["pieces"]], "number": [pack(ids)], "codes": [pack(new[codes])],
+                    "pos": pa.nulls(1, pa.binary()), "ids": pa.nulls(1, pa.binary())})
             release_memory()
 
     phrases, longest = [single], single
     if max_words < 2 or not top:
         return _phrase_union(phrases), sizes
-    relation = materialise(blocks.select("block", "lang", "words", "codes", "pieces").join(_returned(counted), "block").mapInArrow(first_relation, REL_SCHEMA), "relation-1")
+    relation = materialise(blocks.select("block", "codes", "pieces").join(_returned(counted), "block").mapInArrow(first_relation, REL_SCHEMA), "relation-1")
     for length in range(1, max_words):
         if bits + id_bits > 63:
             raise ValueError(f"{bits} + {id_bits} bits for the numbers of phrases and words do not fit one key")
 
-        def pairs(batches: Iterator[pa.RecordBatch], length=length) -> Iterator[pa.RecordBatch]:
+        def longer(batches: Iterator[pa.RecordBatch], length=length) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    pieces, pos1, ids1, pos, ids = _arrays(row)
-                    _, keys = _joined_keys(pos, ids, length, (pos1, ids1), pieces, bits)
-                    keys, counts = np.unique(keys, return_counts=True)
-                    yield from _dealt(row["block"], pa.array(keys, pa.int64()), counts, parts)
+                    pieces, one, k = _relations(row)
+                    keys, counts = np.unique(_merge_join(k, one, pieces, length, bits)[1], return_counts=True)
+                    yield from _dealt(row["block"], _parts(keys, parts), counts, keys=keys)
                 release_memory()
 
-        counted = _group_count(relation.mapInArrow(pairs, "part long, block long, keys array<long>, n array<long>"), parts, min_count, "long", f"phrases-{length + 1}")
+        counted = _group_count(relation.mapInArrow(longer, DEALT), parts, min_count, False, f"phrases-{length + 1}")
         found = _frequent(counted).select("id", "a", F.shiftright("key", bits).alias("_head"), F.col("key").bitwiseAND((1 << bits) - 1).alias("_last"))
         longest = materialise(
             found.join(longest.select(F.col("id").alias("_head"), "lang", F.col("phrase").alias("_p")), "_head")
@@ -280,12 +304,13 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col:
         def semi_joined(batches: Iterator[pa.RecordBatch], length=length) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, row in enumerate(batch.drop_columns(["_found"]).to_pylist()):
-                    pieces, pos1, ids1, pos, ids = _arrays(row)
-                    pos, keys = _joined_keys(pos, ids, length, (pos1, ids1), pieces, bits)
+                    pieces, one, k = _relations(row)
+                    pos, keys = _merge_join(k, one, pieces, length, bits)
                     known, numbers = _found_arrays(batch.column("_found")[i])
-                    at = pc.index_in(pa.array(keys, pa.int64()), value_set=known)
-                    keep = at.is_valid().to_numpy(zero_copy_only=False)
-                    row |= {"pos": pos[keep].tobytes(), "ids": numbers[at.drop_null().to_numpy()].tobytes()}
+                    at = np.searchsorted(known, keys)
+                    at[at == len(known)] = 0
+                    keep = known[at] == keys
+                    row |= {"pos": pack(pos[keep], ascending=True), "ids": pack(numbers[at[keep]])}
                     yield pa.RecordBatch.from_pydict({c: pa.array([v], pa.int64() if c == "block" else pa.binary()) for c, v in row.items()})
                 release_memory()
 

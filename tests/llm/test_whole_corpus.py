@@ -270,3 +270,11 @@ def test_long_texts_are_cut_at_piece_ends():
     parts = list(collocation.slices(data, 100))
     assert b"".join(parts) == data and len(parts) > 5 and all(p.endswith(b"\n") for p in parts[:-1])
     assert list(collocation.slices(b"x" * 1000, 10)) == [b"x" * 1000]
+
+
+def test_packed_numbers_are_read_back():
+    rng = np.random.default_rng(0)
+    for x in ([], [0], [5, 0, 2**62], rng.integers(0, 70_000, 1000), np.arange(300)):
+        x = np.array(x, np.int64)
+        assert (collocation.unpack(collocation.pack(x)) == x).all()
+        assert (collocation.unpack(collocation.pack(np.sort(x), ascending=True)) == np.sort(x)).all()
