@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import file_bytes, id_and_text, release_memory, shared_folder
 from corpusloom.llm.pretoken import RANK_LIMIT, Splitter, by_chars, from_planes, gather, in_slices, join_ranks, planes, split_ranks
+from corpusloom.session import ship_code
 
 SEQUENCES = -1
 
@@ -238,6 +239,7 @@ def encode(
     groups (default: four per shuffle partition, at most 4096): a task holds
     the distinct words of its groups, so raise both together with the data.
     """
+    ship_code()
     spark = docs.sparkSession
     parts = parts or max(8, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     sequences, words = bucketed_blocks(split_blocks(id_and_text(docs, id_col, text_col), ranks.pattern, parts, block_chars))
@@ -250,6 +252,7 @@ def decode(encoded: DataFrame, ranks: Ranks, id_col: str = "doc_id") -> DataFram
     The table has one entry per vocabulary entry and is bounded by the size
     check of its file, so it is broadcast.  Null ids give null bytes.
     """
+    ship_code()
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     types = dict(encoded.dtypes)
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise, release_memory
+from corpusloom.session import ship_code
 
 BLOCK_BYTES = 4 << 20
 PART_KEYS = 1_500_000      # phrase occurrences that one counting task takes at most, on average
@@ -241,6 +242,7 @@ def _merge_join(k: tuple[np.ndarray, np.ndarray], one: tuple[np.ndarray, np.ndar
 def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, text_col: str = "text", lang_col: str = "lang",
                      block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n_words, a) of all phrases of up to ``max_words`` words with a >= ``min_count``; (lang, n) of all words."""
+    ship_code()
     blocks = _persist_words(docs, text_col, lang_col, block_bytes)
     sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     occurrences_in_all = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -57,6 +57,13 @@ def join_hot(big: DataFrame, unique: DataFrame, keys: list[str], count_col: str)
     return big.join(F.broadcast(hot), keys).unionByName(big.join(names, keys, "left_anti").join(unique.join(names, keys, "left_anti"), keys))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by its tasks.
 
@@ -99,4 +106,4 @@ def release_memory() -> None:
     pa.default_memory_pool().release_unused()
 
 
-__all__ = ["ensure_checkpoint_dir", "file_bytes", "forget_worker_caches", "id_and_text", "join_hot", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]
+__all__ = ["ensure_checkpoint_dir", "file_bytes", "forget_worker_caches", "free_name", "id_and_text", "join_hot", "materialise", "release_memory", "shared_folder", "ship_code", "table", "worker_cache"]

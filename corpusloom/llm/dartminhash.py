@@ -27,7 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import forget_worker_caches, id_and_text, materialise
+from corpusloom.llm.common import forget_worker_caches, free_name, id_and_text, materialise
+from corpusloom.session import ship_code
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -426,6 +427,7 @@ def near_duplicates(
     threshold 0.8 shares a bucket with probability 0.9996.  An empty table
     gives no rows.
     """
+    ship_code()
     signed, nodes = _classes(id_and_text(docs, id_col, text_col), threshold, counted, bands, band_rows)
     # Copies meet in partial sums per text before they are counted per class.
     per_node = signed.groupBy("h").agg(F.min("_id").alias("low"), F.count(F.lit(1)).alias("c")).join(nodes, "h")
@@ -445,9 +447,11 @@ def deduplicate(
 
     Of rows equal in id and text one stays.
     """
+    ship_code()
     signed, nodes = _classes(id_and_text(docs, id_col, text_col), threshold, counted, bands, band_rows)
     low = signed.groupBy("h").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id")).alias("low")).join(nodes, "h")
-    first = low.groupBy("root").agg(F.min(F.struct("low", "h")).alias("f")).select(F.col("f.low._id").alias("_id"), F.col("f.h").alias("_h"))
-    keyed = docs.withColumn("_h", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    kept = keyed.alias("d").join(first.alias("f"), (F.col("d._h") == F.col("f._h")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")), "left_semi")
-    return kept.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    key = free_name(docs, "_h")
+    first = low.groupBy("root").agg(F.min(F.struct("low", "h")).alias("f")).select(F.col("f.low._id").alias("_id"), F.col("f.h").alias("_hash"))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    kept = keyed.alias("d").join(first.alias("f"), (F.col(f"d.{key}") == F.col("f._hash")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f._id")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).select(*docs.columns)

@@ -20,6 +20,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from corpusloom.session import ship_code
 
 
 def to_codes(vectors: np.ndarray) -> np.ndarray:
@@ -102,6 +103,7 @@ def top_k(
     ``shard_rows`` codes, a block ``block_rows`` queries: each pair of them is
     one row of the stated query set against all rows, in blocks.
     """
+    ship_code()
     spark = vectors.sparkSession
     usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)
     found = vectors.where(usable).groupBy(F.size(vector_col).alias("d")).count().orderBy(F.desc("count"), "d").first()

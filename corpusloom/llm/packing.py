@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import materialise
 from corpusloom.llm.hf import Encoder, Vocabulary
+from corpusloom.session import ship_code
 
 GAP, PIECE = 0, 1
 
@@ -39,6 +40,7 @@ def cut(
     length; the last one may be shorter.  A null or empty text holds only the
     end id; without an end id it has no piece.
     """
+    ship_code()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     id_type = dict(rows.dtypes)["_id"]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -193,6 +195,7 @@ def pack(
     (after ``rounds`` of them every range opens what it needs).  No piece is
     ever left out.
     """
+    ship_code()
     spark = pieces.sparkSession
     rows = pieces.select(F.col(number_col).alias("number"), F.col(length_col).cast("long").alias("length"))
     half = capacity // 2

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import join_hot, materialise
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, ship_code
 
 TASK_TURNS = 200_000
 NODE = ["q", "h1", "h2"]
@@ -100,6 +100,7 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 def conversation_rows(df: DataFrame) -> DataFrame:
     """(conv_id, pos, h1, h2, w, len) of every turn: its place from 1, hashes of role and text, words of the text, turns of the conversation."""
+    ship_code()
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = df.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("_turn"), role.alias("_role"), text.alias("_text"))
     # Equal turns may be many: the beginning of their texts takes part in the split, the whole text in the order.
@@ -139,6 +140,7 @@ def with_shared_heads(turns: DataFrame) -> DataFrame:
 
 def prefixes(rows: DataFrame) -> DataFrame:
     """(conv_id, q, h1, h2, p1, p2, w, len): hashes of the first q and q - 1 turns; q = 0 only for conversations without turns."""
+    ship_code()
     keyed = rows.select("conv_id", "q", F.xxhash64("q", "h1").alias("g1"), F.xxhash64("q", F.lit(2), "h2").alias("g2"), "w", "len").where("q > 0")
     hashed = materialise(_hashed(keyed.repartitionByRange("conv_id", "q").sortWithinPartitions("conv_id", "q")), "prefix-hashes")
     # A conversation in several partitions is the last one of some and the first of others: two of a partition at most.
@@ -287,6 +289,7 @@ def subtree_totals(nodes: DataFrame, rows: DataFrame, task_turns: int = TASK_TUR
 
     saved_tokens: each node's (n_convs - 1) times the words of its last text.  ``rows`` is what ``prefixes`` returns (as a table: it is read in every round).
     """
+    ship_code()
     zero = F.lit(0).cast("long")
     state = nodes.select(
         *NODE, "p1", "p2", "conv_id", "parent_conv_id", "n_convs", "n_children", "weight", (F.col("n_children") == 0).cast("long").alias("leaf"),
@@ -340,6 +343,7 @@ def end_digests(ends: DataFrame, keys: list[str], id_col: str = "conv_id") -> Da
     Ids are sorted by range, so that one key's ids are spread over tasks; what a partition holds of a
     key goes on as one piece, and the pieces of a key are hashed in order as they stream by.
     """
+    ship_code()
     dealt = ends.select(*keys, id_col).repartitionByRange(*keys, id_col).sortWithinPartitions(*keys, id_col)
     n = len(keys)
 
@@ -389,6 +393,7 @@ def prefix_trie(df: DataFrame, rebuild: bool = True, task_turns: int = TASK_TURN
     ``df`` has conv_id, turn, role, text.  ``rebuild``: conversations take shared heads first (``with_shared_heads``),
     otherwise they are taken as they are.
     """
+    ship_code()
     turns = conversation_rows(df)
     if rebuild:
         rebuilt = with_shared_heads(turns)

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import join_hot, materialise, release_memory
 from corpusloom.llm.dartminhash import mix
+from corpusloom.session import ship_code
 
 LENGTH = 200
 SEED = 32
@@ -325,6 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     A byte goes if it lies in a string of ``length`` bytes (at least ``SEED`` + 1) that also begins anywhere else.
     spans: the maximal runs of such bytes, as (start, stop) in the text's bytes, stop exclusive.
     """
+    ship_code()
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("_id"), data.alias("text")).select("_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     listed = materialise(rows.select("_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("_whole")), "repeat-rows")

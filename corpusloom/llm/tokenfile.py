@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import id_and_text
 from corpusloom.llm.hf import Encoder, Vocabulary
+from corpusloom.session import ship_code
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
@@ -133,6 +134,7 @@ def write(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id: int | No
     lost task writes its segment anew under the same name.  An empty table
     gives an empty manifest.
     """
+    ship_code()
     spark = docs.sparkSession
     width = vocabulary.id_width()
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -182,6 +184,7 @@ def write(docs: DataFrame, folder: str, vocabulary: Vocabulary, end_id: int | No
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Segments with their first document number and id offset over the whole folder (one row per file)."""
+    ship_code()
     before = Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     rows = spark.read.schema("segment int, n_docs long, n_tokens long").parquet(f"{folder}/manifest")
     return rows.select("*", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(a) for n, a in (("n_docs", "first_doc"), ("n_tokens", "first_id"))])
@@ -222,6 +225,7 @@ class Segment:
 
 def read(spark: SparkSession, folder: str, slice_tokens: int = 4_000_000) -> DataFrame:
     """One row per document, from the files: doc_id, start (ids of all documents before it), ids (little-endian unsigned 32 bit)."""
+    ship_code()
     segments = manifest(spark, folder)
     files = max(1, spark.read.parquet(f"{folder}/manifest").count())
     segments = segments.repartition(files)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import forget_worker_caches, id_and_text, materialise
+from corpusloom.session import ship_code
 
 STEM_LENGTHS = (3, 4, 5, 6, 7)
 EDIT_SHARE = 0.5  # of a term's weight, per edit
@@ -267,6 +268,7 @@ def learn(
     The driver sees at most ``max_terms`` candidates and, of the bounded
     sample, which toxic text holds which candidate.
     """
+    ship_code()
     rows = training_rows(id_and_text(docs, id_col, text_col), labels, id_col, per_class)
     rows = rows.select(F.lower("_text").alias("_text"), "toxic").groupBy("_text").agg(F.max("toxic").alias("toxic"))
     rows = materialise(rows, "toxicity-sample")
@@ -375,6 +377,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     a row; whole texts are read.  Rows are independent: no shuffle.  ``keep``
     carries input columns along (prefixed ``in_``).
     """
+    ship_code()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"in_{c}") for c in keep])
     kept = [f"in_{c}" for c in keep]

@@ -258,3 +258,8 @@ def test_pipeline_stages_do_what_their_operators_say(spark, sf):
     want = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packed)
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in total.collect()) == want
     assert zlib.crc32(b"") == 0
+
+
+def test_deduplicate_keeps_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c d e f", 6, "y")], "doc_id long, text string, _h int, _hash string")
+    assert [tuple(r) for r in dartminhash.deduplicate(docs).collect()] == [(1, "a b c d e f", 5, "x")]

@@ -310,3 +310,43 @@ def test_verdict_keeps_clean_text_and_rejects_junk(spark):
     out = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [out[k]["kept"] for k in (1, 2, 3, 4, 5)] == [True, False, False, False, False]
     assert out[5]["base_failed"] and not out[2]["base_failed"]
+
+
+# --- secrets: cost and held-out recall
+
+@pytest.mark.parametrize("text", [
+    "pass" * 250_000, "key " * 250_000, "a" * 1_000_000, "aB" + "c" * 1_000_000, "a1" * 500_000, "1 " * 500_000, "-----BEGIN" * 100_000, "password" * 125_000,
+    "=" * 1_000_000, "pass\n" * 200_000, "secret: a1b2c3d4e5 " * 20_000])
+def test_no_text_makes_the_scan_slow(field, text):
+    """Searches are linear in the text: a megabyte of anything takes seconds at most (hours before)."""
+    import time
+
+    start = time.process_time()
+    secrets.added_spans(text, secrets.base_spans(text), field)
+    assert time.process_time() - start < 6
+
+
+def test_recall_and_precision_on_lines_of_other_forms(field, spark, sf):
+    """Secrets in forms and prose that ``seed_texts`` does not make: measured recall and false spans of the added ones."""
+    import random
+
+    rnd = random.Random(99)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = [w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect() for w in r["text"].split()]
+    forms = [
+        "GITHUB_PAT={}", "  stripe_key: '{}'", "curl -H 'Authorization: Bearer {}' https://api.example.org/v1", "export AWS_SECRET_ACCESS_KEY={}",
+        "jdbc:postgresql://db/app?user=bob&pwd={}", '{{"client_secret":"{}"}}', 'auth = "{}"', "my private key {}", "passphrase={}"]
+    caught = false = 0
+    for k in range(450):
+        value = "".join(rnd.choice(alphabet) for _ in range(rnd.choice((8, 12, 20, 32, 40))))
+        text = " ".join(rnd.sample(words, 30)) + "\n" + forms[k % len(forms)].format(value) + "\n" + " ".join(rnd.sample(words, 30))
+        at, base = text.index(value), secrets.base_spans(text)
+        spans = [(s, e) for s, _, e in base + secrets.added_spans(text, base, field)]
+        caught += any(s <= at and at + len(value) <= e for s, e in spans)
+        false += sum(e <= at or at + len(value) <= s for s, e in spans)
+    assert caught / 450 >= 0.9 and false / 450 <= 0.03, (caught, false)
+
+
+def test_redact_keeps_a_column_named_like_its_own(spark, field):
+    docs = spark.createDataFrame([(1, "password=abcdef", 7)], "doc_id long, text string, n_spans int")
+    assert tuple(secrets.redact(docs, field, count_col=None).first()) == (1, "[SECRET]", 7)
