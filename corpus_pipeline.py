@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents.  All stages but the
-last return the columns of ``documents``.
+last return the columns of their input, whatever their names.
+
+Null and empty texts score as clean, fail the quality base and go there.  Null ids and
+repeated rows pass the first two stages row by row; of rows that are near-duplicates one
+stays, that of the least id (a null id only where there is no other), so of repeated rows one.
+A tie in the least id goes to the least hash of the text.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +19,6 @@ from pyspark.sql import functions as F
 from corpusloom.llm import dartminhash, packing, quality, secrets, toxicity
 from corpusloom.llm.common import materialise, table
 from corpusloom.llm.hf import Vocabulary
-from corpusloom.session import ship_code
 
 
 def _restored(result: DataFrame, docs: DataFrame) -> DataFrame:
@@ -28,33 +32,28 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    ship_code()
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return _restored(toxicity.score(docs, model, keep=_others(docs)).where("predicted = 0"), docs)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or the threshold table go."""
-    ship_code()
     return _restored(quality.quality_rules(docs, keep=_others(docs)).where("kept"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that of the least doc_id."""
-    ship_code()
     return dartminhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark in the texts; no document goes."""
-    ship_code()
-    clean = secrets.redact(docs, secrets.train(docs)).drop("n_spans")
+    clean = secrets.redact(docs, secrets.train(docs), count_col=None)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is tokenized and packed into sequences of at most 4096 ids."""
-    ship_code()
     vocabulary = Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"), "words")
     return packing.pack_documents(docs, vocabulary, end_id=1, capacity=4096)
 
