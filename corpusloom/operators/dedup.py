@@ -12,7 +12,7 @@ Design for scale:
 * First-wins is decided in rounds over bucket *aggregates* (min undecided /
   min kept order key per bucket), never over candidate pairs, so a bucket
   holding a third of all records costs one partial aggregate, not n^2 pairs.
-  Each round is checkpointed to the reliable checkpoint folder.
+  After two rounds the rest is decided by connected components, each in one task.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import default_process, nonempty
-from ..session import cut_lineage, evaluate_once, ship_code
+from ..session import cut_lineage, evaluate_once, free_name, join_hot, ship_code
 
 # FIXED VALUES (our own portable hash family)
 MERSENNE_P = 2147483647          # 2^31 - 1
@@ -154,34 +153,30 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(n, "ord")
 
 
-def signature_table(df: DataFrame, ord_col: str, proc_col: str, num_perm: int = K.DEDUP_NUM_PERM,
-                    n: int = K.DEDUP_SHINGLE) -> DataFrame:
-    """(ord, slot, value) long form of the MinHash signature (for inspection/checks)."""
-    schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))])
-
+def _per_text(df: DataFrame, ord_col: str, proc_col: str, name: str, value_type: T.DataType, compute) -> DataFrame:
+    """(ord, value of the processed text), row-local; ord of any type."""
     def run(batches):
-        params = slot_params(num_perm)
-        for pdf in batches:
-            sigs = [signature(t, num_perm, n, params).tolist() for t in pdf["proc"].tolist()]
-            yield pd.DataFrame({"ord": pdf["ord"].tolist(), "sig": sigs})
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([compute(t) for t in rb.column(1).to_pylist()], to_arrow_type(value_type))], ["ord", name])
 
     ship_code()
-    src = df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc"))
-    return src.mapInPandas(run, schema)
+    src = df.select(F.col(ord_col).alias("ord"), F.col(proc_col).alias("proc"))
+    return src.mapInArrow(run, T.StructType([T.StructField("ord", src.schema["ord"].dataType), T.StructField(name, value_type)]))
 
 
-def shingle_count(df: DataFrame, ord_col: str, proc_col: str, n: int = K.DEDUP_SHINGLE) -> DataFrame:
-    """Number of distinct n-code-point shingles per record."""
-    schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("n_shingles", T.LongType())])
+def signature_table(df: DataFrame, ord_col: str, proc_col: str, num_perm: int = K.DEDUP_NUM_PERM,
+                    n: int = K.DEDUP_SHINGLE) -> DataFrame:
+    """(ord, sig) with the MinHash signature (for inspection/checks); a null text has no shingles."""
+    params = slot_params(num_perm)
+    return _per_text(df, ord_col, proc_col, "sig", T.ArrayType(T.LongType()), lambda t: signature(t, num_perm, n, params).tolist())
 
-    def run(batches):
-        for pdf in batches:
-            cnt = [len({t[i:i + n] for i in range(len(t) - n + 1)}) if t else 0 for t in pdf["proc"].tolist()]
-            yield pd.DataFrame({"ord": pdf["ord"].tolist(), "n_shingles": cnt})
 
-    ship_code()
-    src = df.select(F.col(ord_col).cast("long").alias("ord"), F.col(proc_col).alias("proc"))
-    return src.mapInPandas(run, schema)
+def shingle_count(df: DataFrame, ord_col: str, proc_col: str, n: int = K.DEDUP_SHINGLE) -> DataFrame:
+    """Number of distinct n-code-point shingles per record."""
+    return _per_text(df, ord_col, proc_col, "n_shingles", T.LongType(), lambda t: len({t[i:i + n] for i in range(len(t) - n + 1)}) if t else 0)
 
 
 def _params(threshold, num_perm, bands, rows):
@@ -241,87 +236,152 @@ def _join_buckets(members: DataFrame, per_bucket: DataFrame) -> DataFrame:
 def dedup_exact(df: DataFrame, order_col: str = "id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Records whose processed text is identical collapse to the lowest order key.
 
-    Empty texts are not collapsed (they are always kept).  Only keys and hashes
-    are shuffled for the decision (partially aggregated, so a text held by a
-    third of all rows sends one row per map task); a semi join then keeps the
-    winners' rows.  Keys of any type; null keys come last; of rows equal in key
-    and text one stays.  ``carry`` limits the columns of the result.
+    Empty texts are not collapsed (they are always kept).  One pass: the text is
+    processed and hashed once, and one aggregate by the hash keeps the row of the least
+    key (partially aggregated, so a text held by a third of all rows sends one row per map
+    task).  Keys of any type; null keys come last; of rows equal in key
+    and text one stays.  ``carry`` limits the columns of the result, and so what is shuffled.
     """
     cols = list(carry) if carry is not None else list(df.columns)
     if order_col not in cols:
         cols = [order_col, *cols]
-    order = F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("key"))
-    text = F.when(nonempty(text_col), F.md5(default_process(text_col)))
-    keyed = evaluate_once(df.select(*dict.fromkeys([*cols, order_col]), text.alias("_k")), "_k").withColumn("_o", order)
-    first = keyed.where("_k IS NOT NULL").groupBy("_k").agg(F.min("_o").alias("_o"))
-    kept = keyed.join(first, ["_k", "_o"], "left_semi").dropDuplicates(["_k", "_o"])
-    return kept.select(*cols).unionByName(keyed.where("_k IS NULL").select(*cols))
+    hashed = free_name(df.columns, "_k")
+    text = F.when(nonempty(text_col), F.unhex(F.md5(default_process(text_col))))
+    keyed = evaluate_once(df.select(*cols, text.alias(hashed)), hashed)
+    # A record without text is a group of its own, by its number.
+    rows = keyed.select(
+        F.col(hashed).alias("k"), F.when(F.col(hashed).isNull(), F.monotonically_increasing_id()).alias("own"),
+        F.struct(F.col(order_col).isNull().alias("none"), F.col(order_col).alias("key")).alias("o"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("r"))
+    best = rows.groupBy("k", "own").agg(F.min_by("r", "o").alias("r"))
+    return best.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 U, KEPT, DROPPED = 0, 1, 2
+HOT_BUCKET = 10_000        # members from which a bucket is spread over SALTS tasks
+ONE_TASK = 500_000         # memberships that one task decides
+ROUNDS_FIRST, ROUNDS_BETWEEN = 2, 8   # rounds before components are looked for, and between
 
 
-def first_wins_status(mem: DataFrame, max_rounds: int = 10_000, checkpoint_every: int = 4,
-                      stats: dict | None = None, prune_closed: bool = False) -> DataFrame:
+def first_wins_status(mem: DataFrame, max_rounds: int = 1_000, stats: dict | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """Lexicographically-first maximal independent set of the bucket-sharing graph.
 
     ``mem``: (ord, bucket) memberships.  A record is kept iff no kept record
-    with a lower order key shares a bucket with it.  Each round: a still
-    undecided record is dropped if some bucket has a kept record below it, or
-    kept if no bucket has an undecided record below it.  Returns (ord, st).
-
-    State lives on the membership rows (ord, bucket, st) of non-singleton
-    buckets.  Dropped records leave the state (they never block anyone); with
-    ``prune_closed`` buckets without undecided members leave it too, at the
-    price of one more aggregate a round (worth it when there are many rounds).
-    Rounds go on until every record is decided; running out of ``max_rounds``
-    is an error, never a guess.  Decided records are appended to ``done``.  Lineage is cut with a reliable checkpoint every few rounds
-    (cached in between; a lost cache block is recomputed from that lineage).
+    with a lower order key shares a bucket with it.  Returns (ord, st) of every record.
+
+    A few rounds over bucket aggregates decide most records: an undecided
+    record is dropped if some bucket has a kept record below it, and kept if no bucket
+    has an undecided record below it.  What is left falls into connected components of
+    buckets and records; components of up to ``one_task`` memberships are decided
+    by one task each, in key order, however long their chains are.  Larger ones take further
+    rounds, which cut them to pieces.  Rounds are written to the checkpoint folder; running out of
+    ``max_rounds`` is an error, never a guess.
     """
-    sizes = mem.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    edges = _join_buckets(mem, sizes.filter("size >= 2")).select("ord", "bucket", F.lit(U).alias("st"))
-    state = cut_lineage(edges)
-    decided = []
-    cached: list[DataFrame] = []
-    for rnd in range(max_rounds):
-        agg = state.groupBy("bucket").agg(
-            F.min(F.when(F.col("st") == U, F.col("ord"))).alias("min_u"),
-            F.min(F.when(F.col("st") == KEPT, F.col("ord"))).alias("min_k"),
-        )
-        per = (_join_buckets(state.filter(F.col("st") == U), agg)
-                    .groupBy("ord")
-                    .agg(F.max(F.coalesce(F.col("min_k") < F.col("ord"), F.lit(False))).alias("any_k"),
-                         F.max(F.coalesce(F.col("min_u") < F.col("ord"), F.lit(False))).alias("any_u")))
-        new_st = (per.select("ord", F.when(F.col("any_k"), F.lit(DROPPED))
-                                    .when(~F.col("any_u"), F.lit(KEPT)).otherwise(F.lit(U)).alias("new")))
-        nxt = (state.join(new_st, "ord", "left")
-                    .select("ord", "bucket", F.coalesce("new", "st").alias("st"))
-                    .filter(F.col("st") != DROPPED))
-        if prune_closed:
-            # buckets with no undecided member are finished: their kept members are final
-            open_b = nxt.groupBy("bucket").agg(F.max(F.when(F.col("st") == U, 1).otherwise(0)).alias("open"))
-            nxt = nxt.join(open_b.filter("open = 1").select("bucket"), "bucket", "left_semi")
-        decided.append(new_st.filter(F.col("new") != U).select("ord", F.col("new").alias("st")))
-        if (rnd + 1) % checkpoint_every == 0:
-            state = cut_lineage(nxt)
-            decided = [cut_lineage(_union_all(decided))]
-        else:
-            state = nxt.cache()
-            cached.append(state)
+    mem = mem.select("ord", "bucket")
+    sizes = cut_lineage(mem.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size >= 2"))
+    spread = F.when(F.col("size") > HOT_BUCKET, SALTS).otherwise(1)
+    state = cut_lineage(join_hot(mem, sizes, ["bucket"], "size").select("ord", "bucket", F.lit(U).alias("st"), spread.alias("salts")))
+    alone = mem.select("ord").distinct().join(state.select("ord").distinct(), "ord", "left_anti").select("ord", F.lit(KEPT).alias("st"))
+    decided = [alone]
+    for rnd in range(1, max_rounds + 1):
+        nxt = cut_lineage(_round(state))
+        decided.append(nxt.filter(F.col("new") != U).select("ord", F.col("new").alias("st")).distinct())
+        state = nxt.filter(F.col("new") != DROPPED).select("ord", "bucket", F.greatest("st", "new").alias("st"), "salts")
         if stats is not None:
-            stats["rounds"] = rnd + 1
-        if state.filter(F.col("st") == U).limit(1).count() == 0:
+            stats["rounds"] = rnd
+        left = state.filter(F.col("st") == U).count()
+        if left == 0:
             break
+        if rnd >= ROUNDS_FIRST and (rnd - ROUNDS_FIRST) % ROUNDS_BETWEEN == 0:
+            # Buckets that still have an undecided member, with all they hold.
+            open_ = state.filter(F.col("st") == U).select("bucket").distinct()
+            live = cut_lineage(state.join(open_, "bucket", "left_semi"))
+            done, state = _by_component(live, one_task)
+            decided.append(done)
+            if state is None:
+                break
     else:
         raise RuntimeError(f"records still undecided after {max_rounds} rounds")
-    done = _union_all(decided)
-    nodes = edges.select("ord").distinct()
-    # every node is decided; nodes that never got a row stay kept by construction
-    status = cut_lineage(nodes.join(done.groupBy("ord").agg(F.max("st").alias("st")), "ord", "left")
-                              .select("ord", F.coalesce("st", F.lit(KEPT)).alias("st")))
-    for c in cached:
-        c.unpersist()
-    return status
+    # A record kept in an earlier round shows up again where its buckets were still open.
+    return cut_lineage(_union_all(decided).groupBy("ord").agg(F.max("st").alias("st")))
+
+
+def _round(state: DataFrame) -> DataFrame:
+    """The state rows with what the round decides of their record (``new``)."""
+    agg = state.groupBy("bucket").agg(
+        F.min(F.when(F.col("st") == U, F.col("ord"))).alias("min_u"),
+        F.min(F.when(F.col("st") == KEPT, F.col("ord"))).alias("min_k"), F.max("salts").alias("salts"))
+    wide = agg.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    salted = state.filter(F.col("st") == U).withColumn("_s", F.pmod(F.xxhash64("ord"), F.col("salts")).cast("int"))
+    per = salted.join(wide, ["bucket", "_s"]).groupBy("ord").agg(
+        F.max(F.coalesce(F.col("min_k") < F.col("ord"), F.lit(False))).alias("any_k"),
+        F.max(F.coalesce(F.col("min_u") < F.col("ord"), F.lit(False))).alias("any_u"))
+    new = per.select("ord", F.when(F.col("any_k"), F.lit(DROPPED)).when(~F.col("any_u"), F.lit(KEPT)).otherwise(F.lit(U)).alias("new"))
+    return state.join(new, "ord", "left").withColumn("new", F.coalesce("new", "st"))
+
+
+def _in_key_order(table):
+    """Decides the rows (ord, bucket, st) of whole components: records in ascending order, each against the kept ones below."""
+    import pyarrow as pa
+
+    taken: set = set()
+    out, st = [], []
+    rows: dict = {}
+    for o, b, s in zip(*(table.column(c).to_pylist() for c in ("ord", "bucket", "st"))):
+        rows.setdefault(o, ([], s))[0].append(b)
+    for o in sorted(rows, key=_sortable):
+        buckets, s = rows[o]
+        kept = s == KEPT or taken.isdisjoint(buckets)
+        if kept:
+            taken.update(buckets)
+        out.append(o)
+        st.append(KEPT if kept else DROPPED)
+    return pa.table({"ord": pa.array(out, table.schema.field("ord").type), "st": pa.array(st, pa.int32())})
+
+
+def _sortable(o):
+    return tuple((v is None, v if v is not None else 0) for v in o.values()) if isinstance(o, dict) else o
+
+
+def _by_component(live: DataFrame, one_task: int) -> tuple[DataFrame, DataFrame | None]:
+    """(decided records of components that fit a task, the rows of larger components or None)."""
+    schema = T.StructType([live.schema["ord"], T.StructField("st", T.IntegerType())])
+    ship_code()
+    rows = live.select("ord", "bucket", "st")
+    if live.count() <= one_task:
+        return cut_lineage(rows.withColumn("_c", F.lit(0)).groupBy("_c").applyInArrow(_in_key_order, schema)), None
+    # Every record is linked with the least one of its buckets.
+    least = live.groupBy("bucket").agg(F.min("ord").alias("v"), F.max("salts").alias("salts")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    links = live.withColumn("_s", F.pmod(F.xxhash64("ord"), F.col("salts")).cast("int")).join(least, ["bucket", "_s"]).select(F.col("ord").alias("u"), "v").where("u != v").distinct()
+    of = components(links)
+    placed = cut_lineage(live.join(of.withColumnRenamed("node", "ord"), "ord", "left").withColumn("root", F.coalesce("root", "ord")))
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > one_task).select("root")        # fewer than memberships / one_task
+    small = placed.join(F.broadcast(large), "root", "left_anti")
+    done = cut_lineage(small.select("root", "ord", "bucket", "st").groupBy("root").applyInArrow(_in_key_order, schema))
+    rest = cut_lineage(placed.join(F.broadcast(large), "root", "left_semi").select("ord", "bucket", "st", "salts"))
+    return done, None if rest.isEmpty() else rest
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): least node of each connected component of the links (u, v), by alternating large and small stars.
+
+    The number of rounds grows with the logarithm of the longest chain.
+    """
+    edges = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    mark = None
+    while True:
+        both = cut_lineage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
+        large = join_hot(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = cut_lineage(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = join_hot(large, least, ["u"], "n")
+        edges = cut_lineage(down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if now == mark:
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+        mark = now
 
 
 def _union_all(dfs: list[DataFrame]) -> DataFrame:
@@ -331,6 +391,27 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _representatives(df: DataFrame, order_col: str, text_col: str, num_perm: int, bands: int, rows: int) -> DataFrame:
+    """(n, ord, buckets): one record per signature, the least, numbered in key order (8 bytes stand for the key from here on)."""
+    sig = minhash_buckets(_nonempty_processed(df, order_col, text_col), "ord", "proc", num_perm, bands, rows)
+    reps = cut_lineage(sig.groupBy("sigkey").agg(F.min("ord").alias("ord"), F.any_value("buckets").alias("buckets")))
+    ranked = reps.repartitionByRange("ord").sortWithinPartitions("ord")
+    return cut_lineage(ranked.select(F.monotonically_increasing_id().alias("n"), "ord", "buckets"))
+
+
+def _memberships(reps: DataFrame) -> DataFrame:
+    return reps.select(F.col("n").alias("ord"), F.explode("buckets").alias("bucket"))
+
+
+def _keep_rows(df: DataFrame, kept: DataFrame, order_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose order key is in ``kept`` (ord), one of each, and all rows without text."""
+    name = free_name(df.columns, "_ord")
+    keyed = df.withColumn(name, order_key(order_col, text_col))
+    empty = df.where(~nonempty(text_col) | F.col(text_col).isNull())
+    rows = keyed.where(nonempty(text_col)).join(kept.withColumnRenamed("ord", name), name, "left_semi").dropDuplicates([name])
+    return rows.drop(name).unionByName(empty)
+
+
 def dedup_first_wins(df: DataFrame, order_col: str = "id", text_col: str = "text",
                      threshold: float = K.DEDUP_THRESHOLD, num_perm: int = K.DEDUP_NUM_PERM,
                      bands: int | None = None, rows: int | None = None) -> DataFrame:
@@ -341,15 +422,48 @@ def dedup_first_wins(df: DataFrame, order_col: str = "id", text_col: str = "text
     rows equal in key and text one stays.  Returns the kept rows of ``df``.
     """
     bands, rows = _params(threshold, num_perm, bands, rows)
-    sig = minhash_buckets(_nonempty_processed(df, order_col, text_col), "ord", "proc", num_perm, bands, rows)
-    sig = cut_lineage(sig)
-    reps = sig.groupBy("sigkey").agg(F.min("ord").alias("rep"))
-    exact_dups = sig.join(reps, "sigkey").filter(F.col("ord") != F.col("rep")).select("ord")
-    mem = (sig.join(reps, (sig.sigkey == reps.sigkey) & (sig.ord == reps.rep), "left_semi")
-              .select("ord", F.explode("buckets").alias("bucket")))
-    status = first_wins_status(mem)
-    dropped = exact_dups.unionByName(status.filter(F.col("st") == DROPPED).select("ord"))
-    keyed = df.withColumn("_ord", order_key(order_col, text_col))
-    empty = keyed.where(~nonempty(text_col) | F.col(text_col).isNull()).drop("_ord")
-    kept = keyed.where(nonempty(text_col)).join(dropped.withColumnRenamed("ord", "_ord"), "_ord", "left_anti").dropDuplicates(["_ord"])
-    return kept.drop("_ord").unionByName(empty)
+    reps = _representatives(df, order_col, text_col, num_perm, bands, rows)
+    status = first_wins_status(_memberships(reps))
+    kept = reps.select(F.col("n"), F.col("ord").alias("_o")).join(status.filter(F.col("st") == KEPT).select(F.col("ord").alias("n")), "n").select(F.col("_o").alias("ord"))
+    return _keep_rows(df, kept, order_col, text_col)
+
+
+class BandIndex:
+    """Incremental D04/D05: the band buckets of all kept records, as a bucketed table that batches probe and extend.
+
+    ``add`` takes the next batch: its records are hashed (no earlier one is), those that
+    share a bucket with a record kept before are dropped, the rest is decided among itself, and the
+    buckets of what is kept join the table under the batch's number.  So batches in key order keep
+    what one run over all of them keeps.  A batch that is added again replaces what it had added.
+    The table is bucketed by the band bucket, so a probe shuffles the batch and not the table.
+    """
+
+    def __init__(self, spark, table: str, threshold: float = K.DEDUP_THRESHOLD, num_perm: int = K.DEDUP_NUM_PERM,
+                 bands: int | None = None, rows: int | None = None, table_buckets: int = 64):
+        self.spark, self.table, self.num_perm, self.table_buckets = spark, table, num_perm, table_buckets
+        self.bands, self.rows = _params(threshold, num_perm, bands, rows)
+
+    def _known(self, batch: int) -> DataFrame | None:
+        """Buckets of the batches before."""
+        if not self.spark.catalog.tableExists(self.table):
+            return None
+        return self.spark.table(self.table).where(F.col("batch") < batch).select("bucket")
+
+    def add(self, df: DataFrame, batch: int, order_col: str = "id", text_col: str = "text") -> DataFrame:
+        """The rows of batch number ``batch`` that stay; records without text always do."""
+        reps = _representatives(df, order_col, text_col, self.num_perm, self.bands, self.rows)
+        mem = _memberships(reps)
+        known = self._known(batch)
+        if known is not None:
+            met = mem.join(known, "bucket", "left_semi").select("ord").distinct()
+            mem = cut_lineage(mem.join(met, "ord", "left_anti"))
+        status = first_wins_status(mem)
+        kept = cut_lineage(status.filter(F.col("st") == KEPT).select("ord"))
+        added = mem.join(kept, "ord", "left_semi").select("bucket").distinct().withColumn("batch", F.lit(batch).cast("long"))
+        if known is None:
+            added.write.partitionBy("batch").bucketBy(self.table_buckets, "bucket").sortBy("bucket").saveAsTable(self.table)
+        else:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (batch = {int(batch)})")
+            added.write.partitionBy("batch").bucketBy(self.table_buckets, "bucket").sortBy("bucket").mode("append").saveAsTable(self.table)
+        keys = reps.select(F.col("n"), F.col("ord").alias("_o")).join(kept.withColumnRenamed("ord", "n"), "n").select(F.col("_o").alias("ord"))
+        return _keep_rows(df, cut_lineage(keys), order_col, text_col)

@@ -88,12 +88,16 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     if scorer not in ("ratio", "token_sort"):
         raise ValueError(f"unknown scorer {scorer!r}")
     form = sorted_tokens if scorer == "token_sort" else F.col
-    t = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_id"), form(text_col).alias("_t")).filter(nonempty("_t"))
-    v = vocab.filter(nonempty("term")).select("system", "pos", F.col("term").alias("_term"), form("term").alias("term")).filter(nonempty("term"))
+    # A position that repeats in a vocabulary counts once, with its least term.
+    v = vocab.filter(nonempty("term")).groupBy("system", "pos").agg(F.min("term").alias("_term")).select(
+        "system", "pos", "_term", form("_term").alias("term")).filter(nonempty("term"))
     names = v.select("system", "pos", "_term")
     v = v.select("system", "pos", "term", F.length("term").alias("n"))
     maxlen = v.agg(F.max("n")).collect()[0][0] or 0
-    t = t.withColumn("m", F.length("_t")).filter(F.col("m") * (100 - keep) <= F.lit(100 * maxlen))
+    # Texts too long for any term go before anything is shuffled; the rest is compared once, whoever holds it.
+    rows = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_row"), form(text_col).alias("_text"))
+    rows = rows.filter(nonempty("_text") & (F.length("_text") * (100 - keep) <= F.lit(100 * maxlen)))
+    t = rows.select(F.col("_text").alias("_id")).distinct().select("_id", F.col("_id").alias("_t"), F.length("_id").alias("m"))
     tb = t.select("_id", "_t", "m", F.explode(_bigrams(F.col("_t"))).alias("g")).groupBy("_id", "_t", "m", "g") \
         .agg(F.count(F.lit(1)).alias("ct"))
     vb = v.select("system", "pos", "term", "n", F.explode(_bigrams(F.col("term"))).alias("g")) \
@@ -114,8 +118,9 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     scored = scored.withColumn("score", (L - F.col("d")) * 100.0 / L)
     w = Window.partitionBy("_id", "system").orderBy(F.col("score").desc(), F.col("pos").asc())
     best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).drop("term")
-    return best.join(broadcast_if_small(names), ["system", "pos"]).select(
-        F.col("_id").alias(id_col), "system", "pos", F.col("_term").alias("term"), "score", "rank")
+    named = best.join(broadcast_if_small(names), ["system", "pos"])
+    return rows.join(named, F.col("_text") == F.col("_id")).select(
+        F.col("_row").alias(id_col), "system", "pos", F.col("_term").alias("term"), "score", "rank")
 
 
 def map_codes(texts: DataFrame, vocab: DataFrame, system: str, id_col: str = "id", text_col: str = "text",

@@ -13,11 +13,32 @@ from pyspark.sql import functions as F
 EPS = 1e-6
 
 
+def _join_groups(df: DataFrame, per_group: DataFrame, keys: list[str], wide: int = 1_000_000) -> DataFrame:
+    """Rows with the values of their group; a null key is a group like any other.
+
+    Groups are few against rows: broadcast when their checked size allows.  Otherwise rows of a group are
+    dealt over ``GROUP_SALTS`` tasks, so that one group may hold any share of the rows.
+    """
+    right = per_group.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in per_group.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    drop = [f"_g_{k}" for k in keys]
+    if per_group.limit(wide + 1).count() <= wide:
+        return df.join(F.broadcast(right), same).drop(*drop)
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(GROUP_SALTS)).cast("int")
+    right = right.withColumn("_s_", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))))
+    return df.withColumn("_s", salt).join(right, same & (F.col("_s") == F.col("_s_"))).drop(*drop, "_s", "_s_")
+
+
+GROUP_SALTS = 16
+
+
 def center_slice(vox: DataFrame, keys=("subject", "modality"), z: str = "z") -> DataFrame:
     """Per volume keep z == floor(nz / 2) with nz = max(z) + 1."""
     keys = list(keys)
     nz = vox.groupBy(*keys).agg((F.max(z) + 1).alias("_nz"))
-    j = vox.join(nz, keys)
+    j = _join_groups(vox, nz, keys)
     return j.filter(F.col(z) == F.floor(F.col("_nz") / 2)).drop("_nz")
 
 
@@ -34,9 +55,8 @@ def exact_percentiles(df: DataFrame, keys, v: str, probs) -> DataFrame:
     from ..session import broadcast_if_small, cut_lineage
 
     keys = list(keys)
-    n_parts = max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = (df.select(*keys, F.col(v).cast("double").alias("_v"))
-           .repartitionByRange(n_parts, *keys, "_v").sortWithinPartitions(*keys, "_v")
+           .repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
            .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     s = cut_lineage(s)
     cnt = s.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
@@ -45,7 +65,12 @@ def exact_percentiles(df: DataFrame, keys, v: str, probs) -> DataFrame:
         "_off": F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "_n": F.sum("_c").over(Window.partitionBy(*keys)),
     }).drop("_c")
-    r = s.join(broadcast_if_small(cnt), keys + ["_pid"]).withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_m0"))
+    # A partition holds few groups: joined by partition and null-safe keys.
+    small = broadcast_if_small(cnt.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("_pid").alias("_gp"), "_m0", "_off", "_n"))
+    same = F.col("_pid") == F.col("_gp")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    r = s.join(small, same).drop("_gp", *[f"_g_{k}" for k in keys]).withColumn("_rank", F.col("_off") + F.col("_mid") - F.col("_m0"))
     wanted = []
     for i, p in enumerate(probs):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -75,7 +100,7 @@ def robust_scale(vox: DataFrame, keys=("subject", "modality"), v: str = "v", lo:
     linear-interpolated percentiles (see ``exact_percentiles``) joined back."""
     keys = list(keys)
     pct = exact_percentiles(vox, keys, v, [lo, hi]).withColumnRenamed("p0", "_p1").withColumnRenamed("p1", "_p99")
-    j = vox.join(pct, keys)
+    j = _join_groups(vox, pct, keys)
     scaled = (F.col(v).cast("double") - F.col("_p1")) / (F.col("_p99") - F.col("_p1") + F.lit(EPS))
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), scaled))
     return j.withColumn(out, (clipped * 255).cast("int")).drop("_p1", "_p99")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import fmt3, truncate
 from ..functions.text import col_
-from ..session import cut_lineage, ship_code
+from ..session import broadcast_if_small, cut_lineage, ship_code
 
 MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast query block
 
@@ -123,21 +123,23 @@ def mean_vector(df: DataFrame, key: str, vec_col: str) -> DataFrame:
 # --------------------------------------------------------------------------- R03
 def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str = "id",
              vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding") -> DataFrame:
-    """Exact inner-product top-k per query -> (query_id, rank, id, score).
+    """Exact inner-product top-k per query row -> (query_id, rank, id, score).
 
-    Fewer than k hits when the index is smaller than k; ties go to the lower id.
+    Fewer than k hits when the index is smaller than k; ties go to the lower id, null ids last.
+    Rows without a vector have no score and are left out, queries without one have no hits; every
+    query row is answered for itself, also where an id repeats.
     The query side is broadcast only below MAX_BROADCAST_QUERY_VALUES numbers;
     above it the queries are hashed into blocks that each fit.  Blocks are
     answered one after the other, each answer written to the checkpoint folder
     and its broadcast released, so the driver holds one block at a time.
     """
     qid_type = queries.schema[qid_col].dataType
-    q = queries.select(qid_col, qvec_col).persist()      # sized, then collected: computed once
+    q = queries.where(F.col(qvec_col).isNotNull()).select(qid_col, qvec_col).persist()      # sized, then collected: computed once
     total = _query_values(q, qvec_col)
     nblocks = max(1, int(np.ceil(total / MAX_BROADCAST_QUERY_VALUES)))
     parts = []
     for b in range(nblocks):
-        blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col), F.lit(nblocks)) == b)
+        blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col, qvec_col), F.lit(nblocks)) == b)
         part, shared = _knn_broadcast(index, blk.collect(), qid_type, k, id_col, vec_col, qid_col)
         if nblocks > 1:
             part = cut_lineage(part)
@@ -155,54 +157,92 @@ def _query_values(queries: DataFrame, qvec_col: str) -> int:
     return int(r or 0)
 
 
+def _vectors(column) -> np.ndarray:
+    """An Arrow list column without nulls as a float64 matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _tie_order(ids: list) -> np.ndarray:
+    """Places of the ids in ascending order, nulls last, as numbers that break ties."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]) if ids[i] is not None else (True, 0))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids))
+    return out
+
+
+class TopK:
+    """Running top k of several queries over blocks of rows: best score first, ties by id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.ids: list[list] = [[] for _ in range(len(queries))]
+        self.scores: list[np.ndarray] = [np.zeros(0) for _ in range(len(queries))]
+
+    def add(self, ids: list, rows: np.ndarray, only: np.ndarray | None = None) -> None:
+        """``only``: the queries to answer (all by default)."""
+        who = np.arange(len(self.queries)) if only is None else only
+        if not len(ids) or not len(who):
+            return
+        scores = self.queries[who] @ rows.T
+        kk = min(self.k, len(ids))
+        floor = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
+        for row, q, least in zip(scores, who.tolist(), floor):
+            if len(self.scores[q]) == self.k:
+                least = max(least, self.scores[q][-1])
+            near = np.flatnonzero(row >= least)
+            if not len(near):
+                continue
+            all_ids = self.ids[q] + [ids[i] for i in near]
+            all_scores = np.concatenate([self.scores[q], row[near]])
+            best = np.lexsort((_tie_order(all_ids), -all_scores))[:self.k]
+            self.ids[q], self.scores[q] = [all_ids[i] for i in best], all_scores[best]
+
+
+def _answers(top: TopK, qids: list, numbers: list, id_type, qid_type, qid_col: str, id_col: str):
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    counts = [len(i) for i in top.ids]
+    rep = [i for i, n in enumerate(counts) for _ in range(n)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([numbers[i] for i in rep], pa.int64()), pa.array([qids[i] for i in rep], to_arrow_type(qid_type)),
+         pa.array([x for ids in top.ids for x in ids], to_arrow_type(id_type)), pa.array(np.concatenate([*top.scores, np.zeros(0)]), pa.float64())],
+        names=["_qn", qid_col, id_col, "score"])
+
+
+def _answer_schema(qid_col: str, qid_type, id_col: str, id_type) -> T.StructType:
+    return T.StructType([T.StructField("_qn", T.LongType()), T.StructField(qid_col, qid_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
+
+
+def _best(found: DataFrame, k: int, qid_col: str, id_col: str) -> DataFrame:
+    """The k best of each query row's answers from all tasks."""
+    w = Window.partitionBy("_qn").orderBy(F.col("score").desc(), F.col(id_col).asc_nulls_last())
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(qid_col, "rank", id_col, "score")
+
+
 def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_col: str, qid_col: str):
     spark = index.sparkSession
     id_type = index.schema[id_col].dataType
     qids = [r[0] for r in qrows]
     qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in qrows]) if qrows else np.zeros((0, 0))
     bq = spark.sparkContext.broadcast((qids, qmat))
-    schema = T.StructType([T.StructField(qid_col, qid_type), T.StructField(id_col, id_type),
-                           T.StructField("score", T.DoubleType())])
 
     def run(batches):
         ids_q, qm = bq.value
-        nq = len(ids_q)
-        best_ids, best_s = None, None                          # running (nq, <=k) top-k
-        for pdf in batches:
-            if nq == 0 or len(pdf) == 0:
-                continue
-            step = max(1, 16_000_000 // nq)                    # bound the (nq x rows) score block
-            for st in range(0, len(pdf), step):
-                chunk = pdf.iloc[st:st + step]
-                x = np.asarray([np.asarray(v, dtype=np.float64) for v in chunk[vec_col].tolist()])
-                ids = np.asarray(chunk[id_col].tolist())
-                s = qm @ x.T                                   # (nq, rows)
-                ids = np.broadcast_to(ids, (nq, ids.size))
-                if best_ids is not None:
-                    ids = np.concatenate([ids, best_ids], axis=1)
-                    s = np.concatenate([s, best_s], axis=1)
-                kk = min(k, ids.shape[1])
-                nb_ids = np.empty((nq, kk), dtype=ids.dtype)
-                nb_s = np.empty((nq, kk), dtype=np.float64)
-                # k-th best score per query in linear time; only rows that reach it are sorted
-                floor = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-                for qi in range(nq):
-                    top = np.flatnonzero(s[qi] >= floor[qi])
-                    order = top[np.lexsort((ids[qi][top], -s[qi][top]))[:kk]]  # score desc, id asc
-                    nb_ids[qi], nb_s[qi] = ids[qi][order], s[qi][order]
-                best_ids, best_s = nb_ids, nb_s
-        if best_ids is None:
+        if not len(ids_q):
             return
-        kk = best_ids.shape[1]
-        yield pd.DataFrame({qid_col: np.repeat(np.asarray(ids_q, dtype=object), kk).tolist(),
-                            id_col: best_ids.reshape(-1).tolist(), "score": best_s.reshape(-1).tolist()})
+        top = TopK(qm, k)
+        step = max(1, 8_000_000 // len(ids_q))                 # bound the (queries x rows) score block
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                top.add(part.column(0).to_pylist(), _vectors(part.column(1)))
+        yield _answers(top, ids_q, list(range(len(ids_q))), id_type, qid_type, qid_col, id_col)
 
     ship_code()
-    local = index.select(id_col, vec_col).mapInPandas(run, schema)
-    w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col).asc())
-    top = (local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-                .select(qid_col, "rank", id_col, "score"))
-    return top, bq
+    local = index.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, _answer_schema(qid_col, qid_type, id_col, id_type))
+    return _best(local, k, qid_col, id_col), bq
 
 
 def passages(df: DataFrame, text_col: str, max_chars: int) -> DataFrame:
@@ -317,11 +357,16 @@ def search(table: DataFrame, queries: DataFrame, k: int = K.TOP_K, encoder: Call
     Returns (query_id, rank, score, id, passage_no, text, source, license); the
     query vectors come from the same encoder as the table's.
     """
-    vecs = encode_text(queries, query_col, qid_col, encoder=encoder).withColumn("embedding", l2_normalize("embedding"))
-    key = F.concat_ws("#", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lpad(F.col("passage_no").cast("string"), 9, "0"))
-    keyed = table.withColumn("_key", key)
-    hits = knn_topk(keyed, vecs, k, id_col="_key", qid_col=qid_col)
-    return hits.join(keyed.dropDuplicates(["_key"]).drop("embedding"), "_key").drop("_key")
+    vecs = encode_text(queries, query_col, qid_col, encoder=encoder)
+    # Queries are numbered, so each row is answered for itself.
+    vecs = cut_lineage(vecs.select(F.col(qid_col).alias("_q"), l2_normalize("embedding").alias("embedding"), F.monotonically_increasing_id().alias("_n")))
+    # A key that says what the row holds, led by id and passage for ties: rows with one key are equal, whatever ids repeat.
+    what = F.md5(F.to_json(F.struct("id", "passage_no", "text", "source", "license")))
+    keyed = table.withColumn("_key", F.concat_ws("#", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lpad(F.col("passage_no").cast("string"), 9, "0"), what))
+    hits = cut_lineage(knn_topk(keyed, vecs, k, id_col="_key", qid_col="_n").join(vecs.select("_n", "_q"), "_n"))
+    # Only what was hit is gathered; of equal rows one is enough for each hit.
+    found = keyed.drop("embedding").join(broadcast_if_small(hits), "_key").dropDuplicates(["_n", "rank"])
+    return found.select(F.col("_q").alias(qid_col), "rank", "score", "id", "passage_no", "text", "source", "license")
 
 
 def answer_requests(requests: DataFrame, table: DataFrame, predictor: Callable[[list[str]], list[str]], rules=None,
@@ -334,6 +379,9 @@ def answer_requests(requests: DataFrame, table: DataFrame, predictor: Callable[[
     from . import interactions
 
     rules = rules or interactions.Rules(requests.sparkSession)
-    items = interactions.explode_baskets(requests.select(F.col(qid_col).alias("qid"), interactions.parse_med_list("drugs").alias("l")), "qid", "l")
-    found = interactions.check_interactions(items, rules, requests.select(F.col(qid_col).alias("basket"))).withColumnRenamed("basket", qid_col)
-    return answer_batch(requests, search(table, requests, k, encoder, qid_col), found, predictor, qid_col)
+    # Parts meet by the number of the request, not by its id: ids may repeat or be null.
+    numbered = cut_lineage(requests.withColumn("_request", F.monotonically_increasing_id()))
+    items = interactions.explode_baskets(numbered.select(F.col("_request").alias("qid"), interactions.parse_med_list("drugs").alias("l")), "qid", "l")
+    found = interactions.check_interactions(items, rules, numbered.select(F.col("_request").alias("basket"))).withColumnRenamed("basket", "_request")
+    answers = answer_batch(numbered, search(table, numbered, k, encoder, "_request"), found, predictor, "_request")
+    return answers.join(numbered.select("_request", qid_col), "_request").select(qid_col, *[c for c in answers.columns if c != "_request"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import hash_uniform
-from ..session import cut_lineage
+from ..session import cut_lineage, free_name, row_hash
 
 
 def split_random(df: DataFrame, key: str = "id", ratios=K.SPLIT_RATIOS, seed: int = K.SEED,
@@ -75,14 +75,15 @@ def first_n_by(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
     """
     if n <= 0:
         return df.limit(0)
-    keyed = df.withColumn("_k", F.struct(*[F.col(c) for c in order_cols], F.xxhash64(*df.columns).alias("_row_hash")))
-    last, same = _cut_off(keyed.select("_k"), n)
+    key = free_name(df.columns, "_k")
+    keyed = df.withColumn(key, F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_cols)], row_hash(df).alias("row")))
+    last, same = _cut_off(keyed.select(F.col(key).alias("_k")), n)
     if last is None:                         # fewer than n rows
         return df
-    at = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(keyed.schema["_k"].dataType.fields, last, strict=True)])
+    at = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(keyed.schema[key].dataType.fields, last, strict=True)])
     # Rows equal to the cut-off in key and hash: only as many as still fit (identical rows but for hash accidents).
-    below = keyed.where(F.col("_k") < at)
-    return below.unionByName(keyed.where(F.col("_k") == at).limit(same)).drop("_k")
+    below = keyed.where(F.col(key) < at)
+    return below.unionByName(keyed.where(F.col(key) == at).limit(same)).drop(key)
 
 
 def _cut_off(keys: DataFrame, n: int):
@@ -114,8 +115,9 @@ def _cut_off(keys: DataFrame, n: int):
 
 def sample_shuffled(df: DataFrame, n: int, key: str = "id", seed: int = K.SEED) -> DataFrame:
     """At most n records in a seeded random order (hash draw; only keys are ranked), returned in that order."""
-    d = df.withColumn("_draw", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
-    return first_n_by(d, ["_draw", key], n).orderBy("_draw", key).drop("_draw")
+    draw = free_name(df.columns, "_draw")
+    d = df.withColumn(draw, F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))))
+    return first_n_by(d, [draw, key], n).orderBy(draw, key).drop(draw)
 
 
 def limit_rows(df: DataFrame, n: int | None, order_by: str = "id") -> DataFrame:

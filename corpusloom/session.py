@@ -84,11 +84,54 @@ def evaluate_once(df: DataFrame, col: str) -> DataFrame:
     return df.select(*[F.explode(F.array(F.col(c))).alias(c) if c == col else F.col(c) for c in df.columns])
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that none of ``columns`` is (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+HOT_SHARE = 1000
+
+
+def join_hot(big: DataFrame, unique: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """Inner join of ``big`` with rows unique by ``keys`` that say in ``count_col`` how many rows of ``big`` meet them.
+
+    Keys that hold more than 1/``HOT_SHARE`` of those rows are fewer than ``HOT_SHARE`` however large the
+    tables are; they are broadcast and their rows stay where they are, all others are joined by a shuffle.
+    Both inputs are read twice, so they should be tables.
+    """
+    from pyspark.sql import functions as F
+
+    total = unique.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
+    hot = unique.where(F.col(count_col) > total // HOT_SHARE + 1)
+    names = F.broadcast(hot.select(*keys))
+    return big.join(F.broadcast(hot), keys).unionByName(big.join(names, keys, "left_anti").join(unique.join(names, keys, "left_anti"), keys))
+
+
+def row_hash(df: DataFrame):
+    """A hash of the whole row, for columns of any type (maps count as sorted entries)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    def hashable(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if "map" not in f.dataType.simpleString():
+            return c
+        if isinstance(f.dataType, T.MapType) and "map" not in f.dataType.valueType.simpleString():
+            return F.array_sort(F.map_entries(c)) if "map" not in f.dataType.keyType.simpleString() else F.to_json(F.struct(c))
+        return F.to_json(F.struct(c))
+
+    return F.xxhash64(*[hashable(f) for f in df.schema.fields])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast hint only behind a check of rows and bytes of the (dimension) side.
 
     One scalar action on at most ``max_rows + 1`` rows of a small table; above a
     bound the plain DataFrame is returned and Catalyst/AQE pick a shuffle join.
+    The size is that of the rows as JSON text, in characters: near enough to bytes for a guard.
     """
     from pyspark.sql import functions as F
 
