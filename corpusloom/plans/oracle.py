@@ -637,6 +637,15 @@ SELECT id AS vec_id, len(v)::INTEGER AS dim,
 FROM idx
 """
 Q["knn_topk"] = f"WITH {_RET} SELECT query_id, rank, id, round(score, 6) AS score FROM hits"
+Q["knn_all_queries"] = Q["knn_pruned"] = """
+WITH idx AS (
+  SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings
+), scored AS (
+  SELECT q.id AS query_id, d.id, list_inner_product(q.v, d.v) AS s FROM idx q, idx d WHERE q.id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank, id, round(s, 6) AS score
+FROM scored QUALIFY rank <= 5
+"""
 Q["hit_metadata"] = f"""
 WITH {_RET} SELECT query_id, rank, id, coalesce(source, 'unknown') AS source, license, length(text) AS text_len FROM hm
 """
@@ -992,6 +1001,22 @@ SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, 'text' AS modality, 'summarize'
        source, {license_('source')} AS license, 'train' AS split
 FROM documents
 """
+Q["stream_first_wins"] = """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_type, event_id, value, ts FROM events WHERE ts IS NOT NULL
+), starts AS (
+  SELECT user_id, event_type, min(ts) AS t0 FROM e GROUP BY ALL
+  UNION ALL
+  SELECT s.user_id, s.event_type, (SELECT min(e.ts) FROM e WHERE e.user_id IS NOT DISTINCT FROM s.user_id AND e.event_type IS NOT DISTINCT FROM s.event_type
+                                   AND e.ts >= s.t0 + INTERVAL 6 HOURS) AS t0
+  FROM starts s WHERE s.t0 IS NOT NULL
+)
+SELECT e.user_id, e.event_type, e.event_id
+FROM starts s JOIN e ON e.user_id IS NOT DISTINCT FROM s.user_id AND e.event_type IS NOT DISTINCT FROM s.event_type
+  AND e.ts >= s.t0 AND e.ts < s.t0 + INTERVAL 6 HOURS
+WHERE s.t0 + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM e)
+QUALIFY row_number() OVER (PARTITION BY s.user_id, s.event_type, s.t0 ORDER BY e.value IS NULL, e.value, e.ts) = 1
+"""
 Q["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
 Q["stream_counts"] = """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL
@@ -1139,6 +1164,9 @@ SELECT type AS dataset, 'plain' AS mode, 'clinician' AS role, metric, round(avg(
 """
 
 
+Q["dedup_incremental"] = Q["dedup_first_wins"]
+
+
 def render(sql: str) -> str:
     for k, v in SUBST.items():
         sql = sql.replace(k, v)

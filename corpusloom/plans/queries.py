@@ -6,6 +6,7 @@ names equal those of the matching SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from .. import constants as K
 from .. import sources as S
 from .. import streaming as W
 from ..functions import default_process, mint_id, normalize_answer, normalize_text, strip_ws
-from ..operators import clean, dedup, evalqa, flatten, label, numerics, retrieve, roles, split, vocab
+from ..operators import clean, dedup, evalqa, flatten, label, numerics, retrieve, roles, split, vectors, vocab
 from ..operators import interactions as ddi
 from .fixtures import (BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB, basket_items, benchmark_records,
                        conversation_records, documents_records, label_payloads, landed_responses, load,
@@ -145,6 +146,19 @@ def q_dedup_first_wins(spark, sf):
     return dedup.dedup_first_wins(_docs(spark, sf), order_col="doc_id").select("doc_id")
 
 
+@register("dedup_incremental")
+def q_dedup_incremental(spark, sf):
+    """Three batches in key order against one growing band table keep what one run keeps."""
+    name = f"bands_{uuid.uuid4().hex}"
+    index, docs, kept = dedup.BandIndex(spark, name), _docs(spark, sf), []
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    for batch, (low, high) in enumerate(((None, top // 3), (top // 3, 2 * top // 3), (2 * top // 3, None))):
+        part = docs if low is None else docs.where(F.col("doc_id") >= low)
+        kept.append(index.add(part if high is None else part.where(F.col("doc_id") < high), batch, "doc_id").select("doc_id"))
+    spark.sql(f"DROP TABLE {name}")
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 @register("dedup_exact")
 def q_dedup_exact(spark, sf):
     return dedup.dedup_exact(_docs(spark, sf), order_col="doc_id").select("doc_id")
@@ -443,6 +457,23 @@ def q_knn_topk(spark, sf):
     return h.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _all_queries(spark, sf):
+    """Every index row whose id is divisible by 50 is a query."""
+    return _index(spark, sf).where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+
+
+@register("knn_all_queries")
+def q_knn_all_queries(spark, sf):
+    return retrieve.knn_topk(_index(spark, sf), _all_queries(spark, sf)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("knn_pruned")
+def q_knn_pruned(spark, sf):
+    """The same search over a clustered index: only the clusters whose bound reaches a query's k-th score are read."""
+    index = vectors.ClusteredIndex.build(_index(spark, sf), scratch_dir(spark, "clustered"))
+    return index.search(_all_queries(spark, sf)).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @register("hit_metadata")
 def q_hit_metadata(spark, sf):
     h = _hits(spark, sf)
@@ -802,6 +833,20 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(f"{base}/out").select("user_id", "event_type")
 
 
+@register("stream_first_wins")
+def q_stream_first_wins(spark, sf):
+    """Of a user's events of one type within six hours of the first, the one of the least value."""
+    base = scratch_dir(spark, "first-wins")
+    # The clock of the data is kept: its times are read as UTC, whatever the time zone of the session.
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    events = _events_stream(spark, sf).select("user_id", "event_type", "event_id", "value", W.as_utc_wallclock("ts", tz).alias("ts"))
+    d = W.stateful_first_wins(events, ["user_id", "event_type"], "ts", "value", "6 hours", "1 hour")
+    q = (d.writeStream.foreachBatch(W._batch_sink(f"{base}/out")).option("checkpointLocation", f"{base}/ckpt")
+          .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
+
+
 @register("stream_counts")
 def q_stream_counts(spark, sf):
     base = scratch_dir(spark, "counts")

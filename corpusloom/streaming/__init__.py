@@ -71,6 +71,79 @@ def stream_dedup(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str
     return s.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
+def stateful_first_wins(stream: DataFrame, key_cols: list[str], ts_col: str, order_col: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Of the copies of a key within ``window`` of the first one, the row of the least order key stays, whichever arrives first.
+
+    Arbitrary state per key with event-time timers.  A key's first row (by event time) opens an
+    episode of length ``window``; all its rows before the end belong to it, and the
+    next row opens another.  Rows may come out of order by ``late``: they wait in the state until the watermark
+    has passed them, are then taken in the order of their event times, and the winner
+    is written once the watermark has passed the end of the episode, when the state goes.
+    Later rows than that are dropped by the watermark; a row after the state has gone opens an episode of
+    its own.  So the result does not depend on files, batches or the order of arrival.
+
+    Null keys are keys; rows without an event time are dropped; null order keys come last; ties go to the
+    earlier event time, then to the lesser row as JSON text.  The state of a key holds one row per event time that waits
+    (the least of its order key) and the winner so far.  Append mode; columns are those of the input.
+    """
+    spark = stream.sparkSession
+    span = spark.sql(f"select cast(interval {window} as interval day to second) x").first()[0]
+    span_us = int(span.total_seconds() * 1_000_000)
+    schema = stream.schema
+    if not isinstance(schema[order_col].dataType, (T.StringType, T.IntegralType, T.FloatType, T.DoubleType)):
+        raise ValueError("the order key must be a string or a number")
+    order_type = "string" if isinstance(schema[order_col].dataType, T.StringType) else "long" if isinstance(schema[order_col].dataType, T.IntegralType) else "double"
+    body = F.to_json(F.struct(*[F.col(c) for c in stream.columns]), {"ignoreNullFields": "false"})
+    key = F.to_json(F.struct(*[F.col(c) for c in key_cols]), {"ignoreNullFields": "false"})
+    time = F.col(ts_col).cast("timestamp")
+    rows = stream.select(time.alias("_time"), key.alias("_key"), F.unix_micros(time).alias("_us"), F.col(order_col).cast(order_type).alias("_order"), body.alias("_row"))
+    rows = rows.where("_time is not null").withWatermark("_time", late)
+    none = {"string": "", "long": 0, "double": 0.0}[order_type]
+
+    def decide(_, batches, state):
+        import pandas as pd
+
+        # A rank compares as (order key is null, order key, event time, row).
+        end, best, waiting = None, None, {}
+        if state.exists:
+            end, rank, *lists = state.get
+            best = None if rank is None else (rank[0], rank[1], rank[2], rank[3])
+            waiting = {us: (n, o, us, r) for us, n, o, r in zip(*lists)}
+        for pdf in batches:
+            for us, order, row in zip(pdf["_us"].tolist(), pdf["_order"].astype(object).where(pdf["_order"].notna(), None).tolist(), pdf["_row"].tolist()):
+                rank = (order is None, none if order is None else order, us, row)
+                if us not in waiting or rank < waiting[us]:
+                    waiting[us] = rank
+        passed = state.getCurrentWatermarkMs() * 1000
+        out = []
+        for us in sorted(u for u in waiting if u < passed):
+            if end is not None and us >= end:
+                out.append(best[3])
+                end, best = None, None
+            if end is None:
+                end, best = us + span_us, waiting[us]
+            else:
+                best = min(best, waiting[us])
+            del waiting[us]
+        if end is not None and end <= passed:
+            out.append(best[3])
+            end, best = None, None
+        if end is None and not waiting:
+            state.remove()
+        else:
+            times = sorted(waiting)
+            state.update((end, best, times, *[[waiting[u][k] for u in times] for k in (0, 1, 3)]))
+            # The timer goes off when the next row or the end of the episode is passed.
+            at = min([u + 1 for u in times] + ([end] if end is not None else []))
+            state.setTimeoutTimestamp(max(-(-at // 1000), passed // 1000 + 1))
+        yield pd.DataFrame({"_row": out}, dtype=object)
+
+    rank_type = f"struct<n:boolean,o:{order_type},t:long,r:string>"
+    kept = rows.groupBy("_key").applyInPandasWithState(
+        decide, "_row string", f"end long, best {rank_type}, times array<long>, nulls array<boolean>, orders array<{order_type}>, waiting array<string>", "append", "EventTimeTimeout")
+    return kept.select(F.from_json("_row", schema).alias("r")).select("r.*")
+
+
 def as_utc_wallclock(c, tz: str):
     """TIMESTAMP whose UTC wall clock equals the given (local / NTZ) wall clock, so that
     UTC-aligned windows follow the calendar days of the data in any session time zone."""
