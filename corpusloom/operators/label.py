@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import default_process, nonempty
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, ship_code
 
 VOCAB_SCHEMA = "system string, pos int, term string, codes array<string>"
 
@@ -178,20 +178,86 @@ def phrase_key(c) -> Column:
     return F.array_join(F.filter(F.split(default_process(c), " "), lambda w: F.length(w) > 0), " ")
 
 
+class TokenTrie:
+    """Phrases as paths of words: all phrases that begin at a position are met by one walk down."""
+
+    END = ""
+
+    def __init__(self, phrases: list[tuple[str, list[str]]]):
+        self.root: dict = {}
+        self.codes: list[list[str]] = []
+        for phrase, codes in phrases:
+            node = self.root
+            for word in phrase.split(" "):
+                node = node.setdefault(word, {})
+            node[self.END] = len(self.codes)
+            self.codes.append(codes)
+
+    def link(self, text: str) -> tuple[list[str], int]:
+        """(sorted distinct codes, number of mentions) of all phrases in a processed text, overlaps included."""
+        words = [w for w in text.split(" ") if w]
+        found: set[int] = set()
+        mentions = 0
+        for at, word in enumerate(words):
+            node = self.root.get(word)
+            while node is not None:
+                here = node.get(self.END)
+                if here is not None:
+                    found.add(here)
+                    mentions += 1
+                at += 1
+                node = node.get(words[at]) if at < len(words) else None
+        return sorted({c for k in found for c in self.codes[k]}), mentions
+
+
+MAX_TRIE_PHRASES, MAX_TRIE_CHARS = 1_000_000, 32 << 20
+
+
+def _phrases(vocab: DataFrame) -> DataFrame:
+    v = vocab.select(phrase_key("term").alias("phrase"), "codes").filter(F.length("phrase") > 0)
+    return v.groupBy("phrase").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))   # a mention counts once
+
+
 def link_phrases(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_n: int | None = None) -> DataFrame:
     """(id, codes, n_mentions) of every document from exact n-gram matches (1..max_n words) of the whole text.
 
+    The vocabulary, its size checked, is broadcast as a trie of words and every text is matched where
+    it is, in one walk: no text and no word enters an exchange, and rows are answered each for itself,
+    whatever their ids.  A vocabulary beyond the bound is joined instead (``link_phrases_joined``).
+    """
+    v = _phrases(vocab)
+    if max_n is not None:
+        v = v.filter(F.size(F.split("phrase", " ")) <= max_n)
+    size = v.limit(MAX_TRIE_PHRASES + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("c")).first()
+    if size["n"] > MAX_TRIE_PHRASES or size["c"] > MAX_TRIE_CHARS:
+        return link_phrases_joined(docs, vocab, id_col, text_col, max_n)
+    trie = docs.sparkSession.sparkContext.broadcast(TokenTrie([(r["phrase"], list(r["codes"])) for r in v.collect()]))
+    rows = docs.select(F.col(id_col).alias("id"), default_process(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    schema = T.StructType([rows.schema["id"], T.StructField("codes", T.ArrayType(T.StringType())), T.StructField("n_mentions", T.LongType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        link = trie.value.link
+        for batch in batches:
+            found = [link(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([c for c, _ in found], pa.list_(pa.string())), pa.array([n for _, n in found], pa.int64())], names=["id", "codes", "n_mentions"])
+
+    ship_code()
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def link_phrases_joined(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text", max_n: int | None = None) -> DataFrame:
+    """L08 for vocabularies that are too large to broadcast as a trie: the n-grams of each distinct text meet the phrases in joins.
+
     Every word position becomes one row holding the next max_n words
     (``arrays_zip`` of shifted slices, no lambdas); positions whose first word
-    starts no vocabulary phrase are dropped by a broadcast semi join before
-    any n-gram string is built; the surviving n-grams meet the vocabulary in a
-    broadcast hash join.
+    starts no vocabulary phrase are dropped by a semi join before any n-gram string is built.
     """
     none = F.array().cast(T.ArrayType(T.StringType()))
-    v = vocab.select(phrase_key("term").alias("phrase"), "codes").filter(F.length("phrase") > 0)
-    v = v.groupBy("phrase").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))   # a mention counts once
-    v = v.withColumn("nw", F.size(F.split("phrase", " ")))
+    v = _phrases(vocab).withColumn("nw", F.size(F.split("phrase", " ")))
     if max_n is None:
         max_n = v.agg(F.max("nw")).collect()[0][0] or 0
     if max_n == 0:

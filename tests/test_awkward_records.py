@@ -163,3 +163,16 @@ def test_hot_join(spark):
     big = spark.createDataFrame([(1, i) for i in range(4000)] + [(i, 0) for i in range(2, 900)], "k long, v long")
     unique = big.groupBy("k").agg(F.count("v").alias("n")).where("k < 500")
     assert sorted(map(tuple, join_hot(big, unique, ["k"], "n").collect())) == sorted(map(tuple, big.join(unique, "k").collect()))
+
+
+def test_phrases_are_linked_row_by_row(spark):
+    vocab = spark.createDataFrame([("s", 0, "High Fever", ["F"]), ("s", 1, "fever", ["G", "F"]), ("s", 2, "high fever of unknown origin", ["U"]), ("s", 3, "fever", ["H"]), ("s", 4, "!!", ["X"])], label.VOCAB_SCHEMA)
+    rows = [(1, "A high   fever, of unknown ORIGIN; high-fever!"), (1, "no"), (None, "fever fever"), (2, None), (3, ""), (4, "high " * 50_000)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    plain = lambda df: sorted(((r["id"] or 0, r["codes"], r["n_mentions"]) for r in df.collect()), key=str)
+    got = label.link_phrases(docs, vocab)
+    assert plain(got) == sorted([(0, ["F", "G", "H"], 2), (1, [], 0), (1, ["F", "G", "H", "U"], 5), (2, [], 0), (3, [], 0), (4, [], 0)], key=str)
+    assert plain(label.link_phrases_joined(docs, vocab)) == plain(got)
+    assert plain(label.link_phrases(docs, vocab, max_n=1)) == plain(label.link_phrases_joined(docs, vocab, max_n=1))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert plain(label.link_phrases(docs, vocab.limit(0))) == sorted([(i or 0, [], 0) for i, _ in rows], key=str)
