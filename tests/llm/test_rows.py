@@ -42,6 +42,50 @@ def test_any_markup_is_read(page):
     assert isinstance(html.main_text(page), str)
 
 
+PROSE = "This is the text of the page and it has all of the words that a text in this language is made of, so it counts. "
+
+
+def test_density_decides_where_names_and_elements_do_not():
+    dense, thin = (PROSE * 3).strip(), ("lorem xxx yyy zzz " * 20).strip()
+    # The same page with dense and with thin text: without an article, only density tells.
+    for text, want in ((dense, dense), (thin, "")):
+        assert html.main_text(f"<body><div>{text}</div></body>") == want
+    # A part of a furniture name inside an article gives way to dense text, not to thin text or a short line.
+    for text, want in ((dense, [dense, dense]), (thin, [dense]), ("Buy this now", [dense])):
+        assert html.main_text(f"<article><p>{dense}</p><div class='legal-news'><p>{text}</p></div></article>").split("\n") == want
+        assert html.main_text(f"<article><p>{dense}</p><p class='legal-news'>{text}</p></article>").split("\n") == want
+    assert html.main_text(f"<article><p>{dense}</p><div class='comments'><p>{dense}</p></div><nav><p>{dense}</p></nav></article>") == dense
+    # An article element that holds next to nothing of the page's text does not decide.
+    assert html.main_text(f"<article><p>Teaser.</p></article><div><p>{dense}</p><p>{dense}</p></div>").split("\n")[-2:] == [dense, dense]
+    assert html.main_text(f"<article><p>{dense}</p></article><div><p>{dense}</p></div>") == dense
+    # A thin block between link lists goes with them, between text it stays.
+    linked = "<p>" + "<a href=/x>one of the links of the list</a> " * 4 + "</p>"
+    assert html.main_text(f"<article><p>{dense}</p>{linked}<p>{thin}</p>{linked}</article>") == dense
+    assert html.main_text(f"<article><p>{dense}</p><p>{thin}</p><p>{dense}</p></article>").split("\n") == [dense, thin, dense]
+
+
+def test_other_scripts_are_judged_by_length_and_links():
+    text = "Это длинный текст страницы на другом языке, в котором нет слов из списка частых слов, но он всё равно основной текст. " * 3
+    page = f"<body><div><a href=1>Главная</a> <a href=2>Новости</a></div><p>{text}</p></body>"
+    assert html.main_text(page) == " ".join(text.split())
+
+
+@pytest.mark.parametrize("tag", ["audio", "video", "object", "canvas", "svg"])
+def test_an_unclosed_medium_does_not_hide_the_page(tag):
+    assert html.main_text(f"<article><{tag}><p>{PROSE}</p></article>") == PROSE.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 200_000, "<div>" * 50_000 + "</p></section>" * 50_000, "<svg>" * 100_000, "<a '" * 200_000 + ">", "<!--" * 200_000, "<" * 500_000, "<p class='x" * 100_000,
+    '<a "' * 200_001 + ">", "</div>" * 200_000, "&" * 300_000])
+def test_no_page_is_slow(page):
+    import time
+
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 5
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "clash"), (1, "u", PAGE, "clash"), (None, None, None, "c"), (2, "v", "", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
