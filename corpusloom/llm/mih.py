@@ -8,8 +8,8 @@ meets by full distance, and ends as soon as the k-th best distance is not
 larger than what is provably covered.
 
 Spark deals the codes out into index shards and the queries into blocks; every
-shard builds its segment tables and answers every block, and the answers of
-the shards are merged per query.
+shard is sent once, to one task that builds its segment tables and answers all blocks as
+they stream by, and the answers of the shards are merged per query.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ def to_codes(vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors >= 0, axis=1)
 
 
+LEAST_ROWS = 4_000  # codes for which a shard of their own pays
+
+
 class SegmentIndex:
     """Segment tables of one shard: codes sorted by segment value, found by binary search."""
 
@@ -99,9 +102,8 @@ def top_k(
     and are left out on both sides.  Repeated rows of ``vectors`` each count; a
     query id is answered once, however often its row occurs, and one with
     several codes has to each row the distance of its nearest code.  Fewer rows
-    than ``k`` give all; an empty table gives none.  A shard holds about
-    ``shard_rows`` codes, a block ``block_rows`` queries: each pair of them is
-    one row of the stated query set against all rows, in blocks.
+    than ``k`` give all; an empty table gives none.  A shard holds at most about
+    ``shard_rows`` codes, fewer where there are cores to share them, a block ``block_rows`` queries.
     """
     ship_code()
     spark = vectors.sparkSession
@@ -111,7 +113,7 @@ def top_k(
     if found is None:
         return spark.createDataFrame([], schema)
     bits, total = found["d"], found["count"]
-    shards = -(-total // shard_rows)
+    shards = max(-(-total // shard_rows), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)))
 
     def packed(df: DataFrame, groups: int, name: str, dealt: list, collect) -> DataFrame:
         """Rows (group, ids, codes): the codes of a group as one value of bounded size."""
@@ -130,11 +132,13 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], [name, "id", "code"])
         return run
 
-    index = packed(vectors, shards, "shard", ["id", F.col("v").getItem(0)], F.collect_list)
+    index = packed(vectors, shards, "shard", ["id", F.col("v").getItem(0)], F.collect_list).select("shard", F.lit(-1).alias("block"), F.col("shard_rows").alias("rows"))
     asked = queries.where(usable).count()
     # All codes of a query id meet in one block, each once.
-    blocks = packed(queries, max(1, -(-asked // block_rows)), "block", ["id"], F.collect_set).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = index.join(blocks, "shard").repartition("shard", "block")
+    blocks = packed(queries, max(1, -(-asked // block_rows)), "block", ["id"], F.collect_set)
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.col("block_rows").alias("rows"))
+    # A shard's codes come first (block -1), then the blocks that it answers.
+    dealt = index.unionByName(blocks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "block")
 
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,13 +152,16 @@ def top_k(
         shard, table = None, None
         for batch in batches:
             for n in range(batch.num_rows):
-                if table is None or shard != batch.column("shard")[n].as_py():
+                if batch.column("block")[n].as_py() < 0:
                     shard = batch.column("shard")[n].as_py()
-                    ids, codes = unpack(batch.column("shard_rows")[n].values)
+                    ids, codes = unpack(batch.column("rows")[n].values)
                     segments = max(1, round(bits / min(segment_bits, max(4, int(np.log2(len(ids) + 1))))))
                     table = SegmentIndex(codes, np.arange(len(ids)), bits, segments)  # rows are sorted by id: ties by row are ties by id
+                    continue
+                if shard != batch.column("shard")[n].as_py():
+                    continue  # a shard without codes
                 q_out, i_out, d_out = [], [], []
-                asked_ids, asked_codes = unpack(batch.column("block_rows")[n].values)
+                asked_ids, asked_codes = unpack(batch.column("rows")[n].values)
                 starts = np.flatnonzero(np.r_[True, asked_ids[1:] != asked_ids[:-1]])
                 for first, end in zip(starts, [*starts[1:], len(asked_ids)], strict=True):
                     found = [table.search(code, k) for code in asked_codes[first:end]]
@@ -169,7 +176,7 @@ def top_k(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(q_out)), pa.array(np.concatenate(i_out)), pa.array(np.concatenate(d_out).astype(np.int32))], ["query_id", "id", "distance"])
 
-    hits = pairs.mapInArrow(answer, "query_id long, id long, distance int")
+    hits = dealt.mapInArrow(answer, "query_id long, id long, distance int")
     # Each shard has answered a query id once; repeated index rows are reported as often as they occur.
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
