@@ -7,9 +7,10 @@ segment values at growing radii, one segment at a time, verifies whatever it
 meets by full distance, and ends as soon as the k-th best distance is not
 larger than what is provably covered.
 
-Spark deals the codes out into index shards and the queries into blocks; every
-shard is sent once, to one task that builds its segment tables and answers all blocks as
-they stream by, and the answers of the shards are merged per query.
+Spark deals the codes out into index shards and the queries into blocks; a task gets a
+shard, builds its segment tables and answers blocks as they stream by, and the answers of the
+shards are merged per query.  With fewer shards than cores the blocks of a shard are shared by
+several tasks; otherwise every shard is sent once.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def to_codes(vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors >= 0, axis=1)
 
 
-LEAST_ROWS = 4_000  # codes for which a shard of their own pays
+LEAST_QUERIES = 100  # for which building a shard's tables once more pays
 
 
 class SegmentIndex:
@@ -103,7 +104,7 @@ def top_k(
     query id is answered once, however often its row occurs, and one with
     several codes has to each row the distance of its nearest code.  Fewer rows
     than ``k`` give all; an empty table gives none.  A shard holds at most about
-    ``shard_rows`` codes, fewer where there are cores to share them, a block ``block_rows`` queries.
+    ``shard_rows`` codes, a block ``block_rows`` queries.
     """
     ship_code()
     spark = vectors.sparkSession
@@ -113,7 +114,7 @@ def top_k(
     if found is None:
         return spark.createDataFrame([], schema)
     bits, total = found["d"], found["count"]
-    shards = max(-(-total // shard_rows), min(spark.sparkContext.defaultParallelism, -(-total // LEAST_ROWS)))
+    shards = -(-total // shard_rows)
 
     def packed(df: DataFrame, groups: int, name: str, dealt: list, collect) -> DataFrame:
         """Rows (group, ids, codes): the codes of a group as one value of bounded size."""
@@ -132,13 +133,17 @@ def top_k(
                     yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary())], [name, "id", "code"])
         return run
 
-    index = packed(vectors, shards, "shard", ["id", F.col("v").getItem(0)], F.collect_list).select("shard", F.lit(-1).alias("block"), F.col("shard_rows").alias("rows"))
+    index = packed(vectors, shards, "shard", ["id", F.col("v").getItem(0)], F.collect_list)
     asked = queries.where(usable).count()
     # All codes of a query id meet in one block, each once.
-    blocks = packed(queries, max(1, -(-asked // block_rows)), "block", ["id"], F.collect_set)
+    # So many tasks share a shard's blocks: never more than there are cores for all shards.
+    groups = max(1, min(spark.sparkContext.defaultParallelism // shards, -(-asked // LEAST_QUERIES)))
+    blocks = packed(queries, max(1, groups, -(-asked // block_rows)), "block", ["id"], F.collect_set)
     blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.col("block_rows").alias("rows"))
-    # A shard's codes come first (block -1), then the blocks that it answers.
-    dealt = index.unionByName(blocks).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "block")
+    blocks = blocks.withColumn("slot", F.col("shard") * groups + F.col("block") % groups)
+    index = index.select("shard", F.lit(-1).alias("block"), F.col("shard_rows").alias("rows"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("slot"))
+    # A shard's codes come first (block -1), then the blocks that its task answers.
+    dealt = index.withColumn("slot", F.col("shard") * groups + F.col("slot")).unionByName(blocks).repartitionByRange(shards * groups, "slot").sortWithinPartitions("slot", "block")
 
     def answer(batches: Iterator) -> Iterator:
         import pyarrow as pa
