@@ -17,7 +17,7 @@ from .. import constants as K
 from .. import sources as S
 from .. import streaming as W
 from ..functions import default_process, mint_id, normalize_answer, normalize_text, strip_ws
-from ..operators import clean, dedup, evalqa, flatten, label, numerics, retrieve, roles, split, vectors, vocab
+from ..operators import clean, dedup, evalqa, flatten, label, language, numerics, retrieve, roles, split, vectors, vocab
 from ..operators import interactions as ddi
 from .fixtures import (BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB, basket_items, benchmark_records,
                        conversation_records, documents_records, label_payloads, landed_responses, load,
@@ -81,6 +81,14 @@ def q_language_allow(spark, sf):
     return clean.language_allow(_docs(spark, sf)).select("doc_id", "lang")
 
 
+@register("language_from_text")
+def q_language_from_text(spark, sf):
+    """Every document's language by its text, learned from two thirds of the rows that say theirs."""
+    docs = _docs(spark, sf)
+    model = language.learn_languages(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
+    return language.detect_language(docs.select("doc_id", "text"), model).select("doc_id", "lang_found")
+
+
 @register("min_text_len")
 def q_min_text_len(spark, sf):
     d = _docs(spark, sf).select("doc_id", normalize_text("text").alias("text"))

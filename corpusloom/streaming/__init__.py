@@ -18,6 +18,7 @@ from ..operators import clean
 from ..operators import interactions as ddi
 from ..operators import roles
 from ..schema import RECORD_V2
+from ..session import cut_lineage
 from ..sources import parse_json_tolerant
 
 
@@ -167,8 +168,9 @@ def stream_counts(stream: DataFrame, ts_col: str, by: list[str], window: str = "
 def latest_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Final counts from an update-mode sink: the row of the last batch per key."""
     d = spark.read.parquet(path)
-    last = d.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
-    return d.join(last, keys + ["batch_id"]).drop("batch_id")
+    # One aggregate: null keys are groups like others.
+    rest = [c for c in d.columns if c not in (*keys, "batch_id")]
+    return d.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
 
 
 def run_counts(spark: SparkSession, stream: DataFrame, ts_col: str, by: list[str], out: str, checkpoint: str,
@@ -181,12 +183,13 @@ def run_counts(spark: SparkSession, stream: DataFrame, ts_col: str, by: list[str
 
 def enrich_requests(batch: DataFrame, spark: SparkSession, rules: ddi.Rules) -> DataFrame:
     """W03 per micro-batch: routing flags, disclaimer and interaction findings per request."""
-    r = roles.route(batch, spark)
-    items = ddi.explode_baskets(r.select(F.col("query_id").alias("qid"), ddi.parse_med_list("drugs").alias("l")),
+    # Requests are numbered: ids may repeat or be null, and each row keeps its own findings.
+    r = cut_lineage(roles.route(batch, spark).withColumn("_request", F.monotonically_increasing_id()))
+    items = ddi.explode_baskets(r.select(F.col("_request").alias("qid"), ddi.parse_med_list("drugs").alias("l")),
                                 "qid", "l")
-    checked = ddi.check_interactions(items, rules, r.select(F.col("query_id").alias("basket")))
-    checked = checked.withColumnRenamed("basket", "query_id")
-    out = r.join(checked, "query_id", "left")
+    checked = ddi.check_interactions(items, rules, r.select(F.col("_request").alias("basket")))
+    checked = checked.withColumnRenamed("basket", "_request")
+    out = r.join(checked, "_request", "left")
     ddi_col = F.when(F.col("use_ddi"), F.coalesce("ddi", F.array().cast(T.ArrayType(T.StringType())))) \
         .otherwise(F.array().cast(T.ArrayType(T.StringType())))
     return out.select("query_id", "role", "use_rag", "use_ddi", ddi_col.alias("ddi"),

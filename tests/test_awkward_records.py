@@ -1,10 +1,12 @@
 """One fixture of awkward schema-v2 records through the operators: rows in = rows out, no clash, no crash."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import clean, dedup, label, numerics, retrieve, split
+from corpusloom.operators import clean, dedup, label, language, numerics, retrieve, split
 from corpusloom.session import free_name, join_hot, row_hash
 
 TEXT = "the quick brown fox jumps over the lazy dog near the river bank today"
@@ -176,3 +178,46 @@ def test_phrases_are_linked_row_by_row(spark):
     assert plain(label.link_phrases(docs, vocab, max_n=1)) == plain(label.link_phrases_joined(docs, vocab, max_n=1))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert plain(label.link_phrases(docs, vocab.limit(0))) == sorted([(i or 0, [], 0) for i, _ in rows], key=str)
+
+
+# --- language from text
+
+def test_language_of_held_out_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.udf(lambda i: zlib.crc32(str(i).encode()) % 3 == 1, "boolean")
+    model = language.learn_languages(docs.where(~held("doc_id")))
+    assert set(model.languages) == {r["lang"] for r in docs.select("lang").distinct().collect()}
+    rows = language.detect_language(docs.where(held("doc_id")), model).collect()
+    long = [r for r in rows if len(r["text"]) >= 200]
+    assert len(long) > 30 and sum(r["lang_found"] == r["lang"] for r in long) / len(long) >= 0.97
+    kept = language.language_allow_by_text(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang"))), ["en"], model, F.col("lang"))
+    english = {r["doc_id"] for r in docs.where("lang = 'en' and length(text) >= 200").collect()}
+    assert len(english - {r["doc_id"] for r in kept.collect()}) <= 0.05 * len(english) and kept.columns == docs.columns
+
+
+def test_language_of_awkward_texts(spark):
+    rows = [(1, "the cat and the dog of the house", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "de"), (5, "12 34", None), (6, "the house", None)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    model = language.learn_languages(df)
+    got = {r["id"]: r["lang_found"] for r in language.detect_language(df, model).collect()}
+    assert got == {1: "en", 2: "de", 3: None, 4: None, 5: None, 6: "en"}
+    assert language.detect_language(df.limit(0), model).collect() == []
+    with pytest.raises(ValueError):
+        language.learn_languages(df.where("lang is null"))
+
+
+def test_stream_requests_with_repeated_and_null_ids(spark):
+    from corpusloom import streaming as W
+    from corpusloom.operators import interactions as ddi
+
+    rows = [(1, "clinician", "ibuprofen, warfarin"), (1, "patient", None), (None, "clinician", "aspirin"), (None, "clinician", None)]
+    out = W.enrich_requests(spark.createDataFrame(rows, "query_id long, role string, drugs string"), spark, ddi.Rules(spark)).collect()
+    assert sorted((str(r["query_id"]), r["role"]) for r in out) == sorted((str(i), role) for i, role, _ in rows)
+
+
+def test_latest_counts_keep_null_keys(spark, tmp_path):
+    from corpusloom import streaming as W
+
+    df = spark.createDataFrame([(None, 1, 0), (None, 3, 1), ("a", 2, 0)], "k string, n long, batch_id long")
+    df.write.parquet(str(tmp_path / "c"))
+    assert sorted(map(str, map(tuple, W.latest_counts(spark, str(tmp_path / "c"), ["k"]).collect()))) == ["('a', 2)", "(None, 3)"]
