@@ -7,7 +7,8 @@
   and the q-gram lemma says two strings at edit distance d share at least
   L - 1 - 2d bigrams (with multiplicity).  For c = 86 that bound is >= 1 for
   every L >= 2, so every qualifying pair shares a bigram (length-1 strings
-  must be equal).  The vocabulary side is a size-checked broadcast.
+  must be equal).  Only the rarest 2d + 1 bigrams of each side are joined
+  (``prefix_candidates``), so large vocabularies give few candidates.
 * ``link_phrases``: whole documents -> 1..n-word n-grams -> broadcast hash
   join with the vocabulary -> codes per document.  Linear in the text.
 """
@@ -67,6 +68,36 @@ def _bigrams(c: Column) -> Column:
         .otherwise(F.array().cast(T.ArrayType(T.StringType())))
 
 
+def prefix_candidates(t: DataFrame, v: DataFrame, keep: int) -> DataFrame:
+    """Pairs of texts (_id, _t, m) and terms (system, pos, term, n) that can be within ``keep`` per cent of the longer length.
+
+    Prefix filter on bigrams: an edit touches two bigrams of a string at most, so of any 2d + 1 of them one comes
+    through d edits, no more than d places off.  With one order over all bigrams that holds between
+    the first 2d + 1 of both strings, equal ones at the end of them included (d of the own length: what a
+    longer partner allows beyond is asked of the partner).  The
+    order is by how many bigrams of the terms are equal: only the rarest ones are joined, and bigrams that no term
+    has take places without meeting anyone.  Lengths are compared before a pair is made.
+    """
+    vg = v.select("system", "pos", "term", "n", F.posexplode(_bigrams(F.col("term"))).alias("p", "g"))
+    rare = broadcast_if_small(vg.groupBy("g").agg(F.count(F.lit(1)).alias("f")))
+
+    def first(rows: DataFrame, of: list[str], size: str) -> DataFrame:
+        """The rarest bigrams of each string, as many as the longest string it may meet allows edits for."""
+        longest = F.floor(F.col(size) * 100 / (100 - keep))
+        edits = F.floor(longest * keep / 100)
+        all_ = rows.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("f", "g", "p"))).alias("o"))
+        last = F.element_at("o", F.least(2 * edits + 1, F.size("o")).cast("int"))
+        taken = F.filter("o", lambda x: F.struct(x["f"], x["g"]) <= F.struct(last["f"], last["g"]))
+        return all_.select(*of, F.explode(taken).alias("x")).select(*of, F.col("x.f").alias("f"), F.col("x.g").alias("g"), F.col("x.p").alias("p"))
+
+    vp = first(vg.join(rare, "g"), ["system", "pos", "term", "n"], "n").select("system", "pos", "term", "n", "g", F.col("p").alias("q"))
+    tg = t.select("_id", "_t", "m", F.posexplode(_bigrams(F.col("_t"))).alias("p", "g")).join(rare, "g", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    tp = first(tg, ["_id", "_t", "m"], "m").where("f > 0").drop("f")
+    longer = F.greatest("m", "n")
+    near = (longer * (100 - keep) <= F.least("m", "n") * 100) & (F.abs(F.col("p") - F.col("q")) <= F.floor(longer * keep / 100))
+    return tp.join(broadcast_if_small(vp), "g").filter(near).drop("g", "p", "q").distinct()
+
+
 def sorted_tokens(c) -> Column:
     """The processed words of a text in sorted order, single-spaced."""
     return F.array_join(F.array_sort(F.filter(F.split(default_process(c), " "), lambda w: F.length(w) > 0)), " ")
@@ -98,21 +129,11 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     rows = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_row"), form(text_col).alias("_text"))
     rows = rows.filter(nonempty("_text") & (F.length("_text") * (100 - keep) <= F.lit(100 * maxlen)))
     t = rows.select(F.col("_text").alias("_id")).distinct().select("_id", F.col("_id").alias("_t"), F.length("_id").alias("m"))
-    tb = t.select("_id", "_t", "m", F.explode(_bigrams(F.col("_t"))).alias("g")).groupBy("_id", "_t", "m", "g") \
-        .agg(F.count(F.lit(1)).alias("ct"))
-    vb = v.select("system", "pos", "term", "n", F.explode(_bigrams(F.col("term"))).alias("g")) \
-        .groupBy("system", "pos", "term", "n", "g").agg(F.count(F.lit(1)).alias("cv"))
-    vb = broadcast_if_small(vb)
-    big = F.greatest("m", "n")
-    small = F.least("m", "n")
-    cand = tb.join(vb, "g").filter(big * (100 - keep) <= small * 100)
-    cand = cand.groupBy("_id", "_t", "m", "system", "pos", "term", "n").agg(F.sum(F.least("ct", "cv")).alias("shared"))
-    L = F.greatest("m", "n")
-    cand = cand.filter(F.col("shared") >= L - 1 - 2 * F.floor(L * keep / 100))
+    cand = prefix_candidates(t, v, keep)
     ones = t.filter(F.col("m") == 1).join(broadcast_if_small(v.filter(F.col("n") == 1)),
                                           F.col("_t") == F.col("term"))
     ones = ones.select("_id", "_t", "m", "system", "pos", "term", "n")
-    cand = cand.drop("shared").unionByName(ones)
+    cand = cand.unionByName(ones)
     L = F.greatest("m", "n")
     scored = cand.withColumn("d", F.levenshtein("_t", "term")).filter((L - F.col("d")) * 100 >= L * cutoff)
     scored = scored.withColumn("score", (L - F.col("d")) * 100.0 / L)

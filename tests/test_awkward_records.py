@@ -221,3 +221,43 @@ def test_latest_counts_keep_null_keys(spark, tmp_path):
     df = spark.createDataFrame([(None, 1, 0), (None, 3, 1), ("a", 2, 0)], "k string, n long, batch_id long")
     df.write.parquet(str(tmp_path / "c"))
     assert sorted(map(str, map(tuple, W.latest_counts(spark, str(tmp_path / "c"), ["k"]).collect()))) == ["('a', 2)", "(None, 3)"]
+
+
+def test_a_large_vocabulary_gives_few_candidates(spark):
+    import random
+
+    rnd = random.Random(8)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    name = lambda: " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(2, 4))) for _ in range(rnd.randint(1, 3)))
+    terms = [name() for _ in range(50_000)]
+    texts = []
+    for k in range(200):
+        t = list(rnd.choice(terms))
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = rnd.choice("abcxyz ")
+        texts.append((k, "".join(t)))
+    vocab = spark.createDataFrame([("s", i, t, [str(i)]) for i, t in enumerate(terms)], label.VOCAB_SCHEMA)
+    df = spark.createDataFrame(texts, "id long, text string")
+
+    def distance(a, b, most):
+        if abs(len(a) - len(b)) > most:
+            return most + 1
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+            if min(row) > most:
+                return most + 1
+        return row[-1]
+
+    got = {}
+    for r in label.fuzzy_topk(df, vocab, limit=1000).collect():
+        got.setdefault(r["id"], set()).add(r["pos"])
+    for k, text in rnd.sample(texts, 12):
+        want = {i for i, t in enumerate(terms) if abs(len(t) - len(text)) <= 0.14 * max(len(t), len(text)) and (1 - distance(text, t, int(0.14 * max(len(t), len(text)))) / max(len(t), len(text))) * 100 >= 86}
+        assert got.get(k, set()) == want, (text, [terms[i] for i in want])
+    t = df.select(F.col("text").alias("_id"), F.col("text").alias("_t"), F.length("text").alias("m")).distinct()
+    v = vocab.select("system", "pos", "term", F.length("term").alias("n"))
+    # 630 candidates a text of 50,000 terms over 60 syllables, where nearly every pair shares a bigram.
+    assert label.prefix_candidates(t, v, 14).count() / 200 < 0.02 * len(terms)
