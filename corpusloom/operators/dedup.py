@@ -467,3 +467,62 @@ class BandIndex:
             added.write.partitionBy("batch").bucketBy(self.table_buckets, "bucket").sortBy("bucket").mode("append").saveAsTable(self.table)
         keys = reps.select(F.col("n"), F.col("ord").alias("_o")).join(kept.withColumnRenamed("ord", "n"), "n").select(F.col("_o").alias("ord"))
         return _keep_rows(df, cut_lineage(keys), order_col, text_col)
+
+
+def dropped_records(df: DataFrame, order_col: str = "id", text_col: str = "text", threshold: float = K.DEDUP_THRESHOLD,
+                    num_perm: int = K.DEDUP_NUM_PERM, bands: int | None = None, rows: int | None = None, n: int = K.DEDUP_SHINGLE) -> DataFrame:
+    """(key, kept_key, jaccard), one row per record that first-wins drops.
+
+    kept_key: the least kept record that shares a band with it (with the first
+    record of its signature, where it has the signature of an earlier one); jaccard: the exact similarity of
+    their sets of ``n``-character shingles (two texts without any: 1).  Texts meet per
+    kept record: its text comes first and those of its partners stream past it, so a
+    hub costs memory for one text; its partners are spread over ``SALTS`` tasks.
+    Records equal in key and text are one record; records without text are never dropped.
+    """
+    bands, rows = _params(threshold, num_perm, bands, rows)
+    sig = cut_lineage(minhash_buckets(_nonempty_processed(df, order_col, text_col), "ord", "proc", num_perm, bands, rows).dropDuplicates(["ord"]))
+    least = sig.groupBy("sigkey").agg(F.min("ord").alias("ord"), F.any_value("buckets").alias("buckets"), F.count(F.lit(1)).alias("size"))
+    reps = cut_lineage(least.repartitionByRange("ord").sortWithinPartitions("ord").select(F.monotonically_increasing_id().alias("n"), "ord", "sigkey", "buckets", "size"))
+    mem = cut_lineage(_memberships(reps))
+    status = first_wins_status(mem)
+    kept, gone = (status.filter(F.col("st") == st).select("ord") for st in (KEPT, DROPPED))
+    sizes = mem.join(gone, "ord", "left_semi").groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    lowest = cut_lineage(mem.join(kept, "ord", "left_semi").groupBy("bucket").agg(F.min("ord").alias("kept")).join(sizes, "bucket"))
+    by_rep = join_hot(cut_lineage(mem.join(gone, "ord", "left_semi")), lowest, ["bucket"], "size").groupBy("ord").agg(F.min("kept").alias("kept"))
+    by_rep = by_rep.unionByName(kept.select("ord", F.col("ord").alias("kept"))).withColumnRenamed("ord", "n")
+    of_sig = cut_lineage(reps.select("n", "sigkey", "size").join(by_rep, "n").select("n", "sigkey", "size", "kept"))
+    pairs = join_hot(sig.select("ord", "sigkey"), of_sig, ["sigkey"], "size").join(reps.select(F.col("n").alias("kept"), F.col("ord").alias("kept_ord")), "kept")
+    pairs = cut_lineage(pairs.where(F.col("ord") != F.col("kept_ord")).select("ord", "kept", "kept_ord", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int").alias("s")))
+    texts = _nonempty_processed(df, order_col, text_col).dropDuplicates(["ord"])
+    first = pairs.select("kept", "kept_ord", "s").distinct()
+    routes = first.select("kept", "s", F.lit(0).alias("role"), F.col("kept_ord").alias("ord")).unionByName(pairs.select("kept", "s", F.lit(1).alias("role"), "ord"))
+    met = routes.join(texts, "ord").repartition("kept", "s").sortWithinPartitions("kept", "s", "role").select("kept", "role", "ord", "proc")
+    types = met.schema
+    schema = T.StructType([types["ord"], types["kept"], T.StructField("jaccard", T.DoubleType())])
+
+    def shingles(t: str) -> set:
+        return {t[i:i + n] for i in range(len(t) - n + 1)}
+
+    def run(batches):
+        import pyarrow as pa
+
+        who, own = None, set()
+        for rb in batches:
+            at, score = [], []
+            for i, (k, role, t) in enumerate(zip(rb.column("kept").to_pylist(), rb.column("role").to_pylist(), rb.column("proc").to_pylist())):
+                if role == 0:
+                    who, own = k, shingles(t)
+                    continue
+                if who != k:
+                    raise RuntimeError("a record met no kept text")
+                other = shingles(t)
+                union = len(own | other)
+                at.append(i)
+                score.append(len(own & other) / union if union else 1.0)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([rb.column("ord").take(take), rb.column("kept").take(take), pa.array(score, pa.float64())], ["ord", "kept", "jaccard"])
+
+    ship_code()
+    scored = met.mapInArrow(run, schema)
+    return scored.join(reps.select(F.col("n").alias("kept"), F.col("ord.key").alias("kept_key")), "kept").select(F.col("ord.key").alias(order_col), "kept_key", "jaccard")

@@ -154,6 +154,12 @@ def q_dedup_first_wins(spark, sf):
     return dedup.dedup_first_wins(_docs(spark, sf), order_col="doc_id").select("doc_id")
 
 
+@register("dedup_dropped")
+def q_dedup_dropped(spark, sf):
+    out = dedup.dropped_records(_docs(spark, sf), order_col="doc_id")
+    return out.select("doc_id", "kept_key", F.round("jaccard", 9).alias("jaccard"))
+
+
 @register("dedup_incremental")
 def q_dedup_incremental(spark, sf):
     """Three batches in key order against one growing band table keep what one run keeps."""

@@ -261,3 +261,23 @@ def test_a_large_vocabulary_gives_few_candidates(spark):
     v = vocab.select("system", "pos", "term", F.length("term").alias("n"))
     # 630 candidates a text of 50,000 terms over 60 syllables, where nearly every pair shares a bigram.
     assert label.prefix_candidates(t, v, 14).count() / 200 < 0.02 * len(terms)
+
+
+# --- dropped records with what they are like
+
+def test_dropped_records_name_a_kept_one_and_their_similarity(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(9001, "abc"), (9002, "xyz"), (9003, ""), (9004, None), (9005, docs.first()["text"])], docs.schema)
+    docs = docs.unionByName(extra)
+    kept = {r["doc_id"] for r in dedup.dedup_first_wins(docs, "doc_id").collect()}
+    rows = dedup.dropped_records(docs, "doc_id").collect()
+    all_ids = [r["doc_id"] for r in docs.collect()]
+    assert sorted(r["doc_id"] for r in rows) == sorted(set(all_ids) - kept) and len(rows) > 5
+    proc = {r["doc_id"]: r["p"] for r in docs.select("doc_id", dedup.default_process("text").alias("p")).collect()}
+    buckets = {r["doc_id"]: set(r["b"]) for r in dedup.lsh_memberships(docs, "doc_id", collapse=False).groupBy(F.col("ord.key").alias("doc_id")).agg(F.collect_set(F.hex("bucket")).alias("b")).collect()}
+    cut = lambda t: {t[i:i + 5] for i in range(len(t) - 4)}
+    for r in rows:
+        a, b = cut(proc[r["doc_id"]]), cut(proc[r["kept_key"]])
+        assert r["kept_key"] == min(k for k in kept if k in buckets and k < r["doc_id"] and buckets[k] & buckets[r["doc_id"]])
+        assert abs(r["jaccard"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+    assert dedup.dropped_records(docs.limit(0), "doc_id").collect() == []
