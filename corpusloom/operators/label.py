@@ -8,13 +8,15 @@
   L - 1 - 2d bigrams (with multiplicity).  For c = 86 that bound is >= 1 for
   every L >= 2, so every qualifying pair shares a bigram (length-1 strings
   must be equal).  Only the rarest 2d + 1 bigrams of each side are joined
-  (``prefix_candidates``), so large vocabularies give few candidates.
+  (``qgrams.prefix_candidates``), so large vocabularies give few candidates.
 * ``link_phrases``: whole documents -> 1..n-word n-grams -> broadcast hash
   join with the vocabulary -> codes per document.  Linear in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import default_process, nonempty
 from ..session import broadcast_if_small, ship_code
+from .qgrams import prefix_candidates
+from .wratio import LEAST_CUTOFF, score_pairs, wratio, wratio_candidates
 
 VOCAB_SCHEMA = "system string, pos int, term string, codes array<string>"
 
@@ -61,50 +65,13 @@ def vocab_from_rows(spark: SparkSession, rows: list[tuple[str, str, list[str]]])
     return spark.createDataFrame(data, VOCAB_SCHEMA)
 
 
-def _bigrams(c: Column) -> Column:
-    """Multiset of bigrams of a (short) string as an array."""
-    n = F.length(c)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, 2))) \
-        .otherwise(F.array().cast(T.ArrayType(T.StringType())))
-
-
-def prefix_candidates(t: DataFrame, v: DataFrame, keep: int) -> DataFrame:
-    """Pairs of texts (_id, _t, m) and terms (system, pos, term, n) that can be within ``keep`` per cent of the longer length.
-
-    Prefix filter on bigrams: an edit touches two bigrams of a string at most, so of any 2d + 1 of them one comes
-    through d edits, no more than d places off.  With one order over all bigrams that holds between
-    the first 2d + 1 of both strings, equal ones at the end of them included (d of the own length: what a
-    longer partner allows beyond is asked of the partner).  The
-    order is by how many bigrams of the terms are equal: only the rarest ones are joined, and bigrams that no term
-    has take places without meeting anyone.  Lengths are compared before a pair is made.
-    """
-    vg = v.select("system", "pos", "term", "n", F.posexplode(_bigrams(F.col("term"))).alias("p", "g"))
-    rare = broadcast_if_small(vg.groupBy("g").agg(F.count(F.lit(1)).alias("f")))
-
-    def first(rows: DataFrame, of: list[str], size: str) -> DataFrame:
-        """The rarest bigrams of each string, as many as the longest string it may meet allows edits for."""
-        longest = F.floor(F.col(size) * 100 / (100 - keep))
-        edits = F.floor(longest * keep / 100)
-        all_ = rows.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("f", "g", "p"))).alias("o"))
-        last = F.element_at("o", F.least(2 * edits + 1, F.size("o")).cast("int"))
-        taken = F.filter("o", lambda x: F.struct(x["f"], x["g"]) <= F.struct(last["f"], last["g"]))
-        return all_.select(*of, F.explode(taken).alias("x")).select(*of, F.col("x.f").alias("f"), F.col("x.g").alias("g"), F.col("x.p").alias("p"))
-
-    vp = first(vg.join(rare, "g"), ["system", "pos", "term", "n"], "n").select("system", "pos", "term", "n", "g", F.col("p").alias("q"))
-    tg = t.select("_id", "_t", "m", F.posexplode(_bigrams(F.col("_t"))).alias("p", "g")).join(rare, "g", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    tp = first(tg, ["_id", "_t", "m"], "m").where("f > 0").drop("f")
-    longer = F.greatest("m", "n")
-    near = (longer * (100 - keep) <= F.least("m", "n") * 100) & (F.abs(F.col("p") - F.col("q")) <= F.floor(longer * keep / 100))
-    return tp.join(broadcast_if_small(vp), "g").filter(near).drop("g", "p", "q").distinct()
-
-
 def sorted_tokens(c) -> Column:
     """The processed words of a text in sorted order, single-spaced."""
     return F.array_join(F.array_sort(F.filter(F.split(default_process(c), " "), lambda w: F.length(w) > 0)), " ")
 
 
 def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
-               limit: int = K.FUZZY_LIMIT, cutoff: int = K.FUZZY_CUTOFF, scorer: str = "ratio") -> DataFrame:
+               limit: int = K.FUZZY_LIMIT, cutoff: int = K.FUZZY_CUTOFF, scorer: str | Callable[[str, str], float] = "ratio") -> DataFrame:
     """(id, system, pos, term, score, rank) for the best terms per text.
 
     score = 100 * (1 - lev / max(len)); kept when score >= cutoff; case sensitive.
@@ -112,11 +79,21 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     processed words in sorted order, so reordered words still match.
     The bigram filter is exact from a cutoff of 67 on (see module doc); a lower
     one is refused rather than answered with hits missing.
+
+    "wratio" is the weighted score of ``operators.wratio`` (whole strings, words in any order, words of
+    one side inside the other, and the shorter inside the longer), exact from a cutoff of 86 on.  A function
+    (text, term) -> score is asked about all pairs that "wratio" looks at for this cutoff: it is
+    answered whole if it is nowhere at the cutoff where the weighted score is below it.
+
+    Null and empty texts and terms have no row; a repeated id has the answers of each of its texts.
     """
+    weighted = scorer == "wratio" or callable(scorer)
+    if weighted and cutoff < LEAST_CUTOFF:
+        raise ValueError(f"fuzzy_topk needs a cutoff of {LEAST_CUTOFF} or more for this scorer: below it parts of words in any order can qualify")
     if cutoff < 67:
         raise ValueError("fuzzy_topk needs a cutoff of 67 or more: below it terms without a common bigram can qualify")
     keep = 100 - cutoff
-    if scorer not in ("ratio", "token_sort"):
+    if not weighted and scorer not in ("ratio", "token_sort"):
         raise ValueError(f"unknown scorer {scorer!r}")
     form = sorted_tokens if scorer == "token_sort" else F.col
     # A position that repeats in a vocabulary counts once, with its least term.
@@ -125,23 +102,32 @@ def fuzzy_topk(texts: DataFrame, vocab: DataFrame, id_col: str = "id", text_col:
     names = v.select("system", "pos", "_term")
     v = v.select("system", "pos", "term", F.length("term").alias("n"))
     maxlen = v.agg(F.max("n")).collect()[0][0] or 0
+    longest = 8 * maxlen if weighted else 100 * maxlen // (100 - keep)
     # Texts too long for any term go before anything is shuffled; the rest is compared once, whoever holds it.
     rows = texts.filter(nonempty(text_col)).select(F.col(id_col).alias("_row"), form(text_col).alias("_text"))
-    rows = rows.filter(nonempty("_text") & (F.length("_text") * (100 - keep) <= F.lit(100 * maxlen)))
+    rows = rows.filter(nonempty("_text") & (F.length("_text") <= F.lit(longest)))
     t = rows.select(F.col("_text").alias("_id")).distinct().select("_id", F.col("_id").alias("_t"), F.length("_id").alias("m"))
-    cand = prefix_candidates(t, v, keep)
+    if weighted:
+        pairs = wratio_candidates(t, v, cutoff).join(broadcast_if_small(v.select("system", "pos", "term")), ["system", "pos"])
+        scored = score_pairs(pairs, wratio if scorer == "wratio" else scorer).filter(F.col("score") >= cutoff)
+    else:
+        scored = _levenshtein_scores(t, v, cutoff)
+    w = Window.partitionBy("_id", "system").orderBy(F.col("score").desc(), F.col("pos").asc())
+    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).drop("term")
+    named = best.join(broadcast_if_small(names), ["system", "pos"])
+    return rows.join(named, F.col("_text") == F.col("_id")).select(
+        F.col("_row").alias(id_col), "system", "pos", F.col("_term").alias("term"), "score", "rank")
+
+
+def _levenshtein_scores(t: DataFrame, v: DataFrame, cutoff: int) -> DataFrame:
+    cand = prefix_candidates(t, v, 100 - cutoff)
     ones = t.filter(F.col("m") == 1).join(broadcast_if_small(v.filter(F.col("n") == 1)),
                                           F.col("_t") == F.col("term"))
     ones = ones.select("_id", "_t", "m", "system", "pos", "term", "n")
     cand = cand.unionByName(ones)
     L = F.greatest("m", "n")
     scored = cand.withColumn("d", F.levenshtein("_t", "term")).filter((L - F.col("d")) * 100 >= L * cutoff)
-    scored = scored.withColumn("score", (L - F.col("d")) * 100.0 / L)
-    w = Window.partitionBy("_id", "system").orderBy(F.col("score").desc(), F.col("pos").asc())
-    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit).drop("term")
-    named = best.join(broadcast_if_small(names), ["system", "pos"])
-    return rows.join(named, F.col("_text") == F.col("_id")).select(
-        F.col("_row").alias(id_col), "system", "pos", F.col("_term").alias("term"), "score", "rank")
+    return scored.withColumn("score", (L - F.col("d")) * 100.0 / L)
 
 
 def map_codes(texts: DataFrame, vocab: DataFrame, system: str, id_col: str = "id", text_col: str = "text",

@@ -1021,6 +1021,14 @@ def q_fuzzy_token_sort(spark, sf):
     return h.select("id", "system", "pos", "term", F.round("score", 6).alias("score"), "rank")
 
 
+@register("fuzzy_wratio")
+def q_fuzzy_wratio(spark, sf):
+    """Part names against the vocabulary by the weighted ratio: words in any order, terms inside names."""
+    v = label.vocab_from_rows(spark, FUZZY_VOCAB)
+    h = label.fuzzy_topk(_part_texts(spark, sf), v, scorer="wratio")
+    return h.select("id", "system", "pos", "term", F.round("score", 6).alias("score"), "rank")
+
+
 def _passage_table(spark, sf):
     return retrieve.build_retrieval_table(clean.unify(documents_records(spark, sf)))
 
