@@ -1001,6 +1001,8 @@ SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS id, 'text' AS modality, 'summarize'
        source, {license_('source')} AS license, 'train' AS split
 FROM documents
 """
+for _name in ("landed_pages", "stream_landed_pages"):
+    Q[_name] = "SELECT doc_id, 'ok' AS status, md5(text) AS text_md5, source FROM documents"
 Q["stream_first_wins"] = """
 WITH RECURSIVE e AS (
   SELECT user_id, event_type, event_id, value, ts FROM events WHERE ts IS NOT NULL

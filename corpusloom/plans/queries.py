@@ -19,6 +19,7 @@ from .. import streaming as W
 from ..functions import default_process, mint_id, normalize_answer, normalize_text, strip_ws
 from ..operators import clean, dedup, evalqa, flatten, label, language, numerics, retrieve, roles, split, vectors, vocab
 from ..operators import interactions as ddi
+from ..sources import pages
 from .fixtures import (BASKET_RULES, FUZZY_VOCAB, PHRASE_VOCAB, basket_items, benchmark_records,
                        conversation_records, documents_records, label_payloads, landed_responses, load,
                        png_folder, props_with_controls, pubmed_pages, qa_turns, scratch_dir, spl_payloads, trial_payloads)
@@ -837,6 +838,35 @@ def q_stream_ingest(spark, sf):
     return clean.flat_records(out)
 
 
+def _landed_pages(spark, sf):
+    """Documents landed as pages: one line for 20 neighbouring ids, records in a nested list."""
+    base = scratch_dir(spark, "pages")
+    docs = load(spark, sf, "documents").select("doc_id", F.struct("doc_id", "source", "text").alias("r"))
+    page = docs.groupBy(F.floor(F.col("doc_id") / 20).alias("page")).agg(F.array_sort(F.collect_list("r")).alias("list"))
+    S.write_jsonl(page.select("page", F.struct("list").alias("result")), f"{base}/landing")
+    return base, {"items": "result.list", "id": "doc_id", "text": "text"}
+
+
+def _page_rows(rows):
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "status", F.md5("text").alias("text_md5"), F.get_json_object("body", "$.source").alias("source"))
+
+
+@register("landed_pages")
+def q_landed_pages(spark, sf):
+    base, options = _landed_pages(spark, sf)
+    return _page_rows(spark.read.format(pages.register(spark)).options(**options).load(f"{base}/landing"))
+
+
+@register("stream_landed_pages")
+def q_stream_landed_pages(spark, sf):
+    base, options = _landed_pages(spark, sf)
+    rows = spark.readStream.format(pages.register(spark)).options(**options, settleSeconds=0).load(f"{base}/landing")
+    q = (rows.writeStream.foreachBatch(W._batch_sink(f"{base}/out")).option("checkpointLocation", f"{base}/ckpt")
+             .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _page_rows(spark.read.parquet(f"{base}/out"))
+
+
 @register("stream_dedup")
 def q_stream_dedup(spark, sf):
     base = scratch_dir(spark, "dedup")
