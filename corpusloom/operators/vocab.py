@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import nonempty
 from ..functions.text import WS_CLASS_JAVA
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_code
 
 # Split a string into code points: a boundary after every char that is not a
 # high surrogate (Java regexes work on UTF-16 units).
@@ -73,53 +73,119 @@ def _adjacent(sy: Column) -> Column:
     return F.arrays_zip(F.slice(sy, 1, n), F.slice(sy, 2, n))
 
 
-def _rewrite(state: DataFrame, per_word) -> DataFrame:
-    """(sy, f): every word's symbols replaced by the symbol lists that ``per_word`` gives; lists of one symbol are left out."""
+def _rewrite(state: DataFrame, per_batch) -> DataFrame:
+    """(sy, f): every word's symbols replaced by the symbol lists that ``per_batch`` gives; lists of one symbol are left out.
+
+    ``per_batch`` gets the symbols of a batch of words as numbers, the number of the word of each, and the
+    strings; it returns symbols, numbers of the new lists (ascending), the word of each list, and the strings.
+    """
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            sy, f = [], []
-            for word, n in zip(batch.column("sy").to_pylist(), batch.column("f").to_pylist(), strict=True):
-                for part in per_word(word):
-                    if len(part) > 1:
-                        sy.append(part), f.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(sy, pa.list_(pa.string())), pa.array(f, pa.int64())], ["sy", "f"])
-
+            sizes = pc.list_value_length(batch.column("sy")).to_numpy(zero_copy_only=False)
+            coded = batch.column("sy").flatten().dictionary_encode()
+            codes, of_list, of_word, names = per_batch(
+                coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), coded.dictionary)
+            length = np.bincount(of_list, minlength=len(of_word))
+            used = length > 1
+            offsets = np.concatenate(([0], np.cumsum(length[used])))
+            sy = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), names.take(pa.array(codes[used[of_list]])))
+            yield pa.RecordBatch.from_arrays([sy, batch.column("f").take(pa.array(of_word[used]))], ["sy", "f"])
+
+    ship_code()
     return state.mapInArrow(run, "sy array<string>, f long")
 
 
-def _cut_at_closed(opened: frozenset):
-    """A word as its runs of adjacent pairs in ``opened``."""
-    def cut(word):
-        runs = [[word[0]]]
-        for a, b in zip(word, word[1:], strict=False):
-            if (a, b) in opened:
-                runs[-1].append(b)
-            else:
-                runs.append([b])
-        return runs
+def _numbered(symbols: list[str], names):
+    """For the strings ``names`` of a batch: their numbers where ``symbols`` come first, and all strings by number."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    known = pc.index_in(names, value_set=pa.array(symbols, pa.string())).to_numpy(zero_copy_only=False)
+    number = np.where(np.isnan(known.astype(float)), len(symbols) + np.arange(len(names)), known).astype(np.int64)
+    return number, pa.concat_arrays([pa.array(symbols, pa.string()), names])
+
+
+def _pair_table(pairs: list[tuple[str, str]], more: list[str]):
+    """(distinct symbols of the pairs and ``more``, sorted pair numbers, place in ``pairs`` of each); a pair is left << 31 | right."""
+    import numpy as np
+
+    place = {x: i for i, x in enumerate(dict.fromkeys([*(x for p in pairs for x in p), *more]))}
+    keys = np.array([place[a] << 31 | place[b] for a, b in pairs], np.int64)
+    order = np.argsort(keys)
+    return place, keys[order], order
+
+
+def _places(codes, of_word, keys, order, none: int):
+    """Per symbol, the place of the pair that it makes with the next one of its word (``none``: no such pair)."""
+    import numpy as np
+
+    out = np.full(len(codes), none, np.int64)
+    if len(codes) > 1 and len(keys):
+        pair = codes[:-1] << 31 | codes[1:]
+        at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        hit = (keys[at] == pair) & (of_word[:-1] == of_word[1:])
+        out[:-1][hit] = order[at[hit]]
+    return out
+
+
+def _cut_at_closed(opened: list[tuple[str, str]]):
+    """Words as their runs of adjacent pairs in ``opened``."""
+    place, keys, order = _pair_table(opened, [])
+    symbols = list(place)
+
+    def cut(codes, of_word, names):
+        import numpy as np
+
+        number, names = _numbered(symbols, names)
+        codes = number[codes]
+        ends = _places(codes, of_word, keys, order, len(keys)) == len(keys)
+        of_list = np.cumsum(ends) - ends
+        return codes, of_list, of_word[ends], names
 
     return cut
 
 
-def _merge_in_order(rank: dict):
-    """A word after the merges of ``rank``, lowest first, each from left to right."""
-    def merge(word):
-        while len(word) > 1:
-            best = min(zip(word, word[1:], strict=False), key=lambda p: rank.get(p, len(rank)))
-            if best not in rank:
+def _merge_in_order(merges: list[tuple[str, str]]):
+    """Words after ``merges``, the first ones first, each from left to right."""
+    place, keys, order = _pair_table(merges, [a + b for a, b in merges])
+    symbols = list(place)
+    made = [place[a + b] for a, b in merges]
+
+    def merge(codes, of_word, names):
+        import numpy as np
+
+        words = int(of_word[-1]) + 1 if len(of_word) else 0
+        number, names = _numbered(symbols, names)
+        codes, result, none = number[codes], np.array(made, np.int64), len(merges)
+        done: list[tuple] = []
+        word = of_word
+        while len(codes):
+            rank = _places(codes, word, keys, order, none)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(word)))
+            over = best == none
+            done.append((codes[over], word[over]))
+            codes, word, rank, best = codes[~over], word[~over], rank[~over], best[~over]
+            if not len(codes):
                 break
-            out, i = [], 0
-            while i < len(word):
-                if i + 1 < len(word) and (word[i], word[i + 1]) == best:
-                    out.append(word[i] + word[i + 1])
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            word = out
-        return [word]
+            # Of a run of one symbol every other place is merged, from the left.
+            hit = rank == best
+            at = np.arange(len(hit))
+            run_start = np.maximum.accumulate(np.where(hit & ~np.concatenate(([False], hit[:-1])), at, 0))
+            hit &= (at - run_start) % 2 == 0
+            codes = np.where(hit, result[np.minimum(rank, none - 1)], codes)
+            gone = np.concatenate(([False], hit[:-1]))
+            codes, word = codes[~gone], word[~gone]
+        if not done:
+            return codes, of_word, np.arange(words), names
+        codes, of_word = (np.concatenate(x) for x in zip(*done, strict=True))
+        back = np.argsort(of_word, kind="stable")
+        return codes[back], of_word[back], np.arange(words), names
 
     return merge
 
@@ -202,13 +268,18 @@ def bpe_merges(words: DataFrame, k: int = K.VOCAB_SIZE, word_col: str = "word",
     A pass counts all pairs, takes t from the ``top_pairs`` most frequent ones,
     learns those rounds on the driver from at most ``max_symbols`` symbols of
     distinct pieces, and applies them to the words.  With more pieces t is
-    raised; where ties leave no such t, the pass makes one round.
+    raised, and the pieces fall apart further (a pair closed at t is closed at
+    every higher t, so the words need not be cut again); where ties leave no
+    such t, the pass makes one round.
+
+    The words after a pass and the pieces are kept while they are read, so each
+    is made once; every ``checkpoint_every`` passes cut the lineage.
     """
     spark = words.sparkSession
     state = words.groupBy(F.col(word_col).alias("w")).agg(F.sum(freq_col).cast("long").alias("f"))
     state = cut_lineage(state.select(chars("w").alias("sy"), "f").filter(F.size("sy") > 1))
     merges: list[tuple[str, str, int]] = []
-    passes = 0
+    passes, kept = 0, None
     while len(merges) < k:
         pairs = state.select(F.explode(_adjacent(F.col("sy"))).alias("p"), "f")
         cnt = pairs.groupBy(F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b")).agg(F.sum("f").alias("c"))
@@ -216,25 +287,36 @@ def bpe_merges(words: DataFrame, k: int = K.VOCAB_SIZE, word_col: str = "word",
         if not top:
             break
         learned, whole = [(top[0]["a"], top[0]["b"], int(top[0]["c"]))], False
-        size = top_pairs
+        size, uncut, held = top_pairs, state, []
         while size:
             whole = len(top) <= size
             opened = top if whole else [r for r in top[:size] if r["c"] > top[size]["c"]]
             if opened:
-                cut = _cut_at_closed(frozenset((r["a"], r["b"]) for r in opened))
-                pieces = cut_lineage(_rewrite(state, cut).groupBy("sy").agg(F.sum("f").alias("f")))
+                cut = _cut_at_closed([(r["a"], r["b"]) for r in opened])
+                pieces = uncut = _rewrite(uncut, cut).groupBy("sy").agg(F.sum("f").cast("long").alias("f")).persist()
+                held.append(pieces)
                 if (pieces.agg(F.sum(F.size("sy"))).first()[0] or 0) <= max_symbols:
                     rows = [(r["sy"], r["f"]) for r in pieces.collect()]
                     learned = _learn(rows, 1 if whole else int(opened[-1]["c"]), k - len(merges))
                     break
             size, whole = size // 4, False
+        for pieces in held:
+            pieces.unpersist()
         merges += learned
         if whole or len(merges) >= k:
             break
-        state = _rewrite(state, _merge_in_order({(a, b): r for r, (a, b, _) in enumerate(learned)}))
+        merged = _rewrite(state, _merge_in_order([(a, b) for a, b, _ in learned]))
         passes += 1
         if passes % checkpoint_every == 0:
-            state = cut_lineage(state)
+            merged = cut_lineage(merged)
+        else:
+            merged = merged.persist()
+            merged.count()
+        if kept is not None:
+            kept.unpersist()
+        state, kept = merged, None if passes % checkpoint_every == 0 else merged
+    if kept is not None:
+        kept.unpersist()
     return spark.createDataFrame([(r, *m) for r, m in enumerate(merges, 1)], "rank long, left string, right string, count long")
 
 

@@ -113,6 +113,23 @@ def merges_one_by_one(words, k):
     return out
 
 
+def test_bpe_trials_read_the_pieces_of_the_trial_before(spark, monkeypatch):
+    """A pass cuts the words once; with too many pieces, it is the pieces that are cut further."""
+    read, rewrite = [], vocab._rewrite
+
+    def noted(state, per_batch):
+        out = rewrite(state, per_batch)
+        if "cut" in per_batch.__name__:
+            read.append(state)
+        return out
+
+    monkeypatch.setattr(vocab, "_rewrite", noted)
+    words = spark.createDataFrame([("abababab", 9), ("aaaaa", 7), ("abcabd", 5), ("xyzzy", 3), ("🙂🙂a", 2)], "word string, n long")
+    got = [(r["left"], r["right"], r["count"]) for r in vocab.bpe_merges(words, 1, top_pairs=64, max_symbols=4).orderBy("rank").collect()]
+    assert got == [("a", "b", 46)]
+    assert len(read) > 1 and len({id(x) for x in read}) == len(read)
+
+
 def test_bpe_passes_equal_one_merge_at_a_time(spark):
     rnd = random.Random(5)
     words = sorted({"".join(rnd.choice("aaabcdé😀") for _ in range(rnd.randint(1, 9))) for _ in range(150)})
