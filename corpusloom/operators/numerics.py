@@ -10,28 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import HOT_SHARE, broadcast_if_small, cut_lineage
+
 EPS = 1e-6
 
 
 def _join_groups(df: DataFrame, per_group: DataFrame, keys: list[str], wide: int = 1_000_000) -> DataFrame:
     """Rows with the values of their group; a null key is a group like any other.
 
-    Groups are few against rows: broadcast when their checked size allows.  Otherwise rows of a group are
-    dealt over ``GROUP_SALTS`` tasks, so that one group may hold any share of the rows.
+    Groups are few against rows: broadcast when their number allows.  Otherwise groups that hold more than
+    1/``HOT_SHARE`` of all rows, which are fewer than ``HOT_SHARE``, are broadcast and their rows stay where they
+    are; all others are joined by a shuffle in which a row and a group move once.
     """
+    per_group = cut_lineage(per_group)          # counted, then joined
     right = per_group.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in per_group.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     drop = [f"_g_{k}" for k in keys]
-    if per_group.limit(wide + 1).count() <= wide:
-        return df.join(F.broadcast(right), same).drop(*drop)
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(GROUP_SALTS)).cast("int")
-    right = right.withColumn("_s_", F.explode(F.sequence(F.lit(0), F.lit(GROUP_SALTS - 1))))
-    return df.withColumn("_s", salt).join(right, same & (F.col("_s") == F.col("_s_"))).drop(*drop, "_s", "_s_")
 
+    def same(left: str, other: str):
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(f"{left}{k}").eqNullSafe(F.col(f"{other}{k}"))
+        return cond
 
-GROUP_SALTS = 16
+    if per_group.count() <= wide:
+        return df.join(F.broadcast(right), same("", "_g_")).drop(*drop)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = cut_lineage(sizes.where(F.col("_rows") > df.count() // HOT_SHARE + 1).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    names = F.broadcast(hot)
+    of_hot = F.broadcast(right.join(names, same("_g_", "_h_"), "left_semi"))
+    rest = df.join(names, same("", "_h_"), "left_anti").join(right, same("", "_g_"))
+    return df.join(of_hot, same("", "_g_")).unionByName(rest).drop(*drop)
 
 
 def center_slice(vox: DataFrame, keys=("subject", "modality"), z: str = "z") -> DataFrame:
@@ -52,8 +60,6 @@ def exact_percentiles(df: DataFrame, keys, v: str, probs) -> DataFrame:
     the needed ranks are kept.  The ranked table is checkpointed so the
     sampled range bounds and ids stay fixed.  Returns keys + p0, p1, ...
     """
-    from ..session import broadcast_if_small, cut_lineage
-
     keys = list(keys)
     s = (df.select(*keys, F.col(v).cast("double").alias("_v"))
            .repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")

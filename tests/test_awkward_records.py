@@ -90,6 +90,18 @@ def test_volumes_with_null_keys_keep_their_rows(spark):
     assert sorted(r["v"] for r in numerics.center_slice(vox).collect()) == [2.0, 3.0, 9.0]
 
 
+def test_rows_meet_many_groups_without_copies_of_the_groups(spark):
+    rows = [("hot", i % 9) for i in range(3000)] + [(None if i % 50 == 0 else f"s{i % 700}", i % 5) for i in range(2100)]
+    df = spark.createDataFrame(rows, "subject string, z int")
+    tops = df.groupBy("subject").agg(F.max("z").alias("top"))
+    want = {}
+    for s, z in rows:
+        want[s] = max(z, want.get(s, 0))
+    joined = numerics._join_groups(df, tops, ["subject"], wide=0)
+    assert sorted((r["subject"] or "", r["z"], r["top"]) for r in joined.collect()) == sorted((s or "", z, want[s]) for s, z in rows)
+    assert "Generate" not in joined._jdf.queryExecution().toString()
+
+
 def test_fuzzy_answers_every_row_and_each_term_once(spark):
     texts = spark.createDataFrame([(1, "aspirin"), (1, "ibuprofen"), (None, "aspirin"), (2, "x" * 5000)], "id long, text string")
     vocab = spark.createDataFrame([("s", 0, "aspirin", ["A"]), ("s", 0, "aspirin", ["A"]), ("s", 1, "ibuprofen", ["B"])], label.VOCAB_SCHEMA)
