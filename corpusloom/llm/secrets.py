@@ -2,10 +2,8 @@
 
 The patterns give the base spans.  The field tags tokens as secret begin (B),
 inside (I) or outside (O) from their shape, their neighbours and features of
-the whole text, decoded by Viterbi.  A chain is a run of lines that have a cue
-(a key word with a separator, a quoted value, an odd token, a key block), with
-all their tokens; length and digits are features.  Lines without any cue hold
-no secret, so chains end there.
+the whole text, decoded by Viterbi.  A chain is all tokens of a text; length
+and digits are features, and no line or token is left out.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -46,10 +45,6 @@ HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|cred|private|access|si
 # Runs are bounded and never given back, so that no text makes a search quadratic; nothing crosses a line.
 KEYED = re.compile(r"(phrase|pass|pwd|secret|token|key|auth|bearer|cred|private|access|sign)\w{0,32}+[\"']?[^\S\n]{0,4}(?:[:=]|is\b|(?<=[^\S\n])(?=\S{0,200}\d)|[\"'])", re.ASCII | re.IGNORECASE)
 DIGITS = re.compile(r"[0-9]+")
-TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-TOKEN_REST = re.compile(r"[A-Za-z0-9+/_.=\-]{0,%d}" % MIN_VALUE)
-LONG = re.compile(r"(?<![A-Za-z+/_=\-])[A-Za-z+/_=\-]{16}|[a-z][A-Z][a-z]{0,200}+[A-Z]|[:=][^\S\n]?[\"']|-----BEGIN")
-KEY_STEMS = ("phrase", "pass", "pwd", "secret", "token", "key", "auth", "bearer", "cred", "private", "access", "sign")
 LAST_WORD = re.compile(r"([A-Za-z_]{1,16})[^A-Za-z_]{0,6}$")
 
 
@@ -72,94 +67,20 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else text.replace("\u0130", "i").lower()
 
 
-def _line(text: str, at: int) -> tuple[int, int]:
-    end = text.find("\n", at)
-    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
-
-
-def _odd(text: str, s: int, e: int) -> bool:
-    """Whether the digits text[s:e] stand in a run of token characters of ``MIN_VALUE`` or more."""
-    before = text[max(0, s - MIN_VALUE):s]
-    return e - s + len(before) - len(before.rstrip(TOKEN_CHARS)) + len(TOKEN_REST.match(text, e).group()) >= MIN_VALUE
-
-
-def cued_lines(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring lines (start, end) that have a cue; a line of one token joins the run beside it.
-
-    Every search goes on behind a line once it has a cue, so lines are looked at a fixed number of times.
-    """
-    cues: dict[int, int] = {}
-    at = 0
-    while m := LONG.search(text, at):
-        start, end = _line(text, m.start())
-        cues[start], at = end, end + 1
-    at = 0
-    while m := DIGITS.search(text, at):
-        at = m.end()
-        if _odd(text, m.start(), at):
-            start, end = _line(text, at - 1)
-            cues[start], at = end, end + 1
-    low = _lower(text)
-    looked: set[int] = set()
-    for stem in KEY_STEMS:
-        at = low.find(stem)
-        while at >= 0:
-            start, end = _line(text, at)
-            if start not in cues and start not in looked:
-                looked.add(start)
-                if KEYED.search(text, start, end):
-                    cues[start] = end
-            at = low.find(stem, end)
-    if not cues:
-        return []
-    at = text.find("-----BEGIN")
-    while at >= 0:
-        stop = text.find("-----END", at)
-        start = at
-        while start <= (len(text) if stop < 0 else stop):
-            start, end = _line(text, start)
-            cues[start], start = end, end + 1
-        at = text.find("-----BEGIN", start) if stop >= 0 else -1
-    for start in sorted(cues):
-        nxt = cues[start] + 1
-        while nxt <= len(text) and nxt not in cues and _one_token(text, *_line(text, nxt)):
-            cues[nxt] = _line(text, nxt)[1]
-            nxt = cues[nxt] + 1
-    for start in sorted(cues, reverse=True):
-        while start and (before := text.rfind("\n", 0, start - 1) + 1) not in cues and _one_token(text, before, start - 1):
-            cues[before] = start - 1
-            start = before
-    runs: list[list[tuple[int, int]]] = []
-    for line in sorted(cues.items()):
-        if runs and line[0] == runs[-1][-1][1] + 1:
-            runs[-1].append(line)
-        else:
-            runs.append([line])
-    return runs
-
-
-def _one_token(text: str, start: int, end: int) -> bool:
-    return len(text[start:end].split(None, 2)) == 1
-
-
 Chain = tuple[tuple[int, int], list[tuple[int, int]]]
 
 
 def chains(text: str) -> list[Chain]:
-    """(run of lines with a cue, its tokens); outer dots, dashes and the like are trimmed."""
-    out: list[Chain] = []
-    for run in cued_lines(text):
-        chain = []
-        for m in TOKEN.finditer(text, run[0][0], run[-1][1]):
+    """(the text's range, all its tokens), if it has any; outer dots, dashes and the like are trimmed."""
+    chain = []
+    for m in TOKEN.finditer(text):
+        s, e = m.span()
+        if text[s] in ".-=_/+" or text[e - 1] in ".-_/":
             t = m.group()
-            s, e = m.span()
-            if t[0] in ".-=_/+" or t[-1] in ".-_/":
-                s, e = s + len(t) - len(t.lstrip(".-=_/+")), e - len(t) + len(t.rstrip(".-_/"))
-            if s < e:
-                chain.append((s, e))
-        if chain:
-            out.append(((run[0][0], run[-1][1]), chain))
-    return out
+            s, e = s + len(t) - len(t.lstrip(".-=_/+")), e - len(t) + len(t.rstrip(".-_/"))
+        if s < e:
+            chain.append((s, e))
+    return [((0, len(text)), chain)] if chain else []
 
 
 def odd_tokens(text: str, found: list[Chain]) -> int:
@@ -199,24 +120,83 @@ def shape_features(t: str) -> tuple[str, ...]:
     )
 
 
+def plain_word(t: str) -> tuple | None:
+    """What the shape of a word of ASCII letters, small but for the first, depends on: equal for words of equal features."""
+    small = t if t.islower() else t[:1].lower() + t[1:]
+    if not (t.isascii() and t.isalpha() and small.islower()) or len(t) > 64:
+        return None
+    return small is t, len(t), tuple(sorted(map(t.count, set(t)))), not small.strip("abcdef"), small if HINT.search(small) else ""
+
+
+def _length_and_plain(shape: tuple[str, ...]) -> tuple[str, str]:
+    return shape[1], shape[13]
+
+
 #: What stands around a token, as few values; ``context_features`` names them.  A key of a few thousand values in any corpus, so what it leads to is kept.
 Context = tuple[bool, bool, str, bool, bool, bool, str, bool, bool, bool]
 
 
-def context_features(key: Context, shape: tuple[str, ...]) -> tuple[str, ...]:
+def context_features(key: Context, length: str, plain: str) -> tuple[str, ...]:
     url, hint, sep, left, right, line, kind, quoted, ends, names = key
-    plain = shape[13]
     return (
         f"url={url}", f"hint={hint}", f"sep={sep}", f"quoted={left}{right}", f"line={line}",
-        f"hint={hint}sep={sep}", f"hint={hint}sep={sep}{plain}", f"keyed={kind}{plain}", f"inquotes={quoted}{kind}", f"phrase={kind == 'phrase'}{quoted}{shape[1]}",
+        f"hint={hint}sep={sep}", f"hint={hint}sep={sep}{plain}", f"keyed={kind}{plain}", f"inquotes={quoted}{kind}", f"phrase={kind == 'phrase'}{quoted}{length}",
         f"ends={ends}", f"hint={hint}sep={sep[-1:]}ends={ends}", f"key={names}",
     )
 
 
-def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]]) -> Iterator[Context]:
-    """The context of each token of a chain: neighbouring words and signs, and the last key word before it on its line."""
-    keyed = list(KEYED.finditer(text, *run))
-    at = 0
+@lru_cache(100_000)
+def _gap(last: str) -> str:
+    return "".join(c for c in last if not (c.isascii() and c.isalnum())).strip()
+
+
+Cues = tuple[list[re.Match], list[tuple[int, int]]]
+
+
+def cues(text: str, run: tuple[int, int]) -> Cues:
+    """Key words with what follows them, and the places of words that hint at a secret."""
+    return list(KEYED.finditer(text, *run)), [m.span() for m in HINT.finditer(_lower(text), max(0, run[0] - 24), run[1])]
+
+
+#: The context of a token between words of ASCII letters and digits, with no cue near it; most tokens of prose.
+IN_PROSE: Context = (False, False, "", False, False, False, "", False, False, False)
+_SIGNS = np.zeros(128, np.uint8)
+_SIGNS[[c for c in range(127) if chr(c).isalnum()]] = 1
+_SIGNS[ord(" ")] = 2
+_SIGNS[[ord(c) for c in ",.;"]] = 3
+
+
+def in_prose(text: str, chain: list[tuple[int, int]], found: Cues) -> np.ndarray:
+    """Which tokens certainly have the context ``IN_PROSE``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sign = np.zeros(len(codes) + 8, np.uint8)
+    sign[4:-4] = _SIGNS[np.minimum(codes, 127)]
+    at = np.array(chain, np.int64)
+    first = at[:, 0]
+    s, e = first + 4, at[:, 1] + 4
+    out = (sign[s - 1] == 2) & ~np.isin(codes[first], (ord("w"), ord("W")))
+    for k in (2, 3, 4):
+        out &= (sign[s - k] == 1) | (sign[s - k] == 2)
+    out &= (sign[e] == 2) & (sign[e + 1] == 1) | (sign[e] == 3) & (sign[e + 1] == 2) & (sign[e + 2] == 1)
+    # How many cues reach each token: those that begin to, less those that no longer do.
+    near = np.zeros(len(first) + 1, np.int64)
+    if found[1]:
+        a, b = np.array(found[1]).T
+        np.add.at(near, np.searchsorted(first, a, "right"), 1)
+        np.add.at(near, np.searchsorted(first, b + 24), -1)
+    if found[0]:
+        a, b = np.array([m.span() for m in found[0]]).T
+        begin = np.searchsorted(first, b)
+        np.add.at(near, begin, 1)
+        np.add.at(near, np.maximum(begin, np.searchsorted(first, a + 64, "right")), -1)
+    out &= np.cumsum(near[:-1]) == 0
+    return out
+
+
+def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]], found: Cues | None = None) -> Iterator[Context]:
+    """The context of tokens of a chain: neighbouring words and signs, and the last key word before it on its line."""
+    keyed, hints = found or cues(text, run)
+    at = near = 0
     for s, e in chain:
         while at < len(keyed) and keyed[at].end() <= s:
             at += 1
@@ -224,9 +204,11 @@ def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]]) -> I
         if m is not None and (s - m.start() > 64 or "\n" in text[m.end():s]):
             m = None
         before, after = text[max(0, s - 24):s], text[e:e + 4]
-        word = LAST_WORD.search(before)
-        gap = "".join(c for c in before[-4:] if not (c.isascii() and c.isalnum())).strip()
-        url = after[:1] == "@" or before[-1:] == "@" or "://" in before[-4:] or after[:3] == "://" or text[s:s + 4].lower() == "www."
+        while near < len(hints) and hints[near][1] <= s - 24:
+            near += 1
+        word = LAST_WORD.search(before) if near < len(hints) and hints[near][0] < s else None
+        gap = _gap(before[-4:])
+        url = after[:1] == "@" or before[-1:] == "@" or "://" in before[-4:] or after[:3] == "://" or text[s] in "wW" and text[s:s + 4].lower() == "www."
         kind, quoted = "", False
         if m is not None:
             kind = m.group(1).lower()
@@ -234,8 +216,10 @@ def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]]) -> I
             quote = between.strip()[:1] if between else text[s - 1:s].strip()
             if quote == "'" or quote == '"':
                 quoted = quote not in between[between.find(quote) + 1:]
-        end = text.find("\n", e, e + 48)
-        rest = text[e:e + 48 if end < 0 else end].strip(" \t\r\"',;")
+        rest = after[1:2] if after[:1] == " " and after[1:2].isalnum() else ""
+        if not rest:
+            end = text.find("\n", e, e + 48)
+            rest = text[e:e + 48 if end < 0 else end].strip(" \t\r\"',;")
         yield (
             url, word is not None and HINT.search(word.group(1).lower()) is not None, gap[-2:], before[-1:] in ('"', "'"), after[:1] in ('"', "'"), "\n" in before[-2:] or not before,
             kind, quoted, not rest, not gap and after[:1] in ("=", ":") or after[:2] in (" =", " :"))
@@ -247,53 +231,94 @@ class Crf:
     def __init__(self, features: dict[str, int], emit: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.ndarray):
         self.features, self.emit, self.trans, self.start, self.stop = features, emit, trans, start, stop
 
-        #: Sums of weights by token and by context, kept while the text's worker lives (bounded, see ``scores``).
-        self.shapes: dict[str, tuple[tuple[str, ...], float, float]] = {}
+        #: Sums of weights by token (with what its context needs, and those in prose) and by context, kept while the text's worker lives (bounded).
+        self.shapes: dict[str, tuple[str, str, float, float, float, float]] = {}
         self.around: dict[tuple, tuple[float, float]] = {}
+        #: The same for plain words, which many share (see ``plain_word``).
+        self.plain: dict[tuple, tuple[str, str, float, float, float, float]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shapes": {}, "around": {}}
+        return self.__dict__ | {"shapes": {}, "around": {}, "plain": {}}
 
     def weight(self, names: tuple[str, ...]) -> tuple[float, float]:
         ids = [self.features[f] for f in names if f in self.features]
         b, i = self.emit[ids].sum(axis=0).tolist() if ids else (0.0, 0.0)
         return b, i
 
+    def beside(self, key: Context, length: str, plain: str) -> tuple[float, float]:
+        full = (key, length, plain)
+        known = self.around.get(full)
+        if known is None:
+            if len(self.around) > 100_000:
+                self.around.clear()
+            known = self.around[full] = self.weight(context_features(key, length, plain))
+        return known
+
+    def token(self, t: str) -> tuple[str, str, float, float, float, float]:
+        """Length and plain feature, weights of the token, and with those of ``IN_PROSE``."""
+        known = self.shapes.get(t)
+        if known is None:
+            if len(self.shapes) > 200_000:
+                self.shapes.clear()
+            alike = plain_word(t)
+            known = None if alike is None else self.plain.get(alike)
+            if known is None:
+                names = shape_features(t)
+                about = _length_and_plain(names)
+                (b, i), (b_prose, i_prose) = self.weight(names), self.beside(IN_PROSE, *about)
+                known = (*about, b, i, b + b_prose, i + i_prose)
+                if alike is not None:
+                    if len(self.plain) > 100_000:
+                        self.plain.clear()
+                    self.plain[alike] = known
+            if len(t) <= 64:
+                self.shapes[t] = known
+        return known
+
     def scores(self, text: str, run: tuple[int, int], chain: list[tuple[int, int]], file: tuple[float, float]) -> np.ndarray:
         """(tokens, 3) emission scores: what the token, its surroundings and the text weigh."""
+        found = cues(text, run)
+        known = [self.token(text[s:e]) for s, e in chain]
         out = np.zeros((len(chain), 3))
-        if len(self.shapes) > 100_000:
-            self.shapes.clear()
-        if len(self.around) > 100_000:
-            self.around.clear()
-        b, i = [], []
-        for (s, e), key in zip(chain, contexts(text, run, chain)):
-            t = text[s:e]
-            known = self.shapes.get(t)
-            if known is None:
-                names = shape_features(t)
-                known = (names, *self.weight(names))
-                if e - s <= 64:
-                    self.shapes[t] = known
-            full = (key, known[0][1], known[0][13])
-            beside = self.around.get(full)
-            if beside is None:
-                beside = self.around[full] = self.weight(context_features(key, known[0]))
-            b.append(known[1] + beside[0] + file[0])
-            i.append(known[2] + beside[1] + file[1])
-        out[:, 0], out[:, 1] = b, i
+        out[:, 0], out[:, 1] = [k[4] for k in known], [k[5] for k in known]
+        others = np.flatnonzero(~in_prose(text, chain, found)).tolist()
+        for at, key in zip(others, contexts(text, run, [chain[at] for at in others], found)):
+            length, plain, b, i = known[at][:4]
+            b_beside, i_beside = self.beside(key, length, plain)
+            out[at, :2] = b + b_beside, i + i_beside
+        out[:, :2] += file
         return out
 
     def viterbi(self, emission: np.ndarray) -> list[int]:
-        best, back = self.start + emission[0], []
-        for row in emission[1:]:
-            step = best[:, None] + self.trans
-            back.append(step.argmax(axis=0))
-            best = step.max(axis=0) + row
-        state = int((best + self.stop).argmax())
+        """The best path; of equal ones that of the lesser states, from the last token on."""
+        (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = self.trans.tolist()
+        rows = iter(emission.tolist())
+        b, i, o = (x + y for x, y in zip(self.start.tolist(), next(rows)))
+        back: list[tuple[int, int, int]] = []
+        for eb, ei, eo in rows:
+            to_b, from_b = b + bb, B
+            if i + ib > to_b:
+                to_b, from_b = i + ib, I
+            if o + ob > to_b:
+                to_b, from_b = o + ob, O
+            to_i, from_i = b + bi, B
+            if i + ii > to_i:
+                to_i, from_i = i + ii, I
+            if o + oi > to_i:
+                to_i, from_i = o + oi, O
+            to_o, from_o = b + bo, B
+            if i + io > to_o:
+                to_o, from_o = i + io, I
+            if o + oo > to_o:
+                to_o, from_o = o + oo, O
+            b, i, o = to_b + eb, to_i + ei, to_o + eo
+            back.append((from_b, from_i, from_o))
+        stop = self.stop.tolist()
+        last = (b + stop[B], i + stop[I], o + stop[O])
+        state = last.index(max(last))
         path = [state]
         for pointers in reversed(back):
-            state = int(pointers[state])
+            state = pointers[state]
             path.append(state)
         return path[::-1]
 
@@ -383,7 +408,7 @@ def label_chains(text: str, secret_ranges: list[tuple[int, int]], longest: int =
         before: set[int] = set()
         for (s, e), key in zip(chain, contexts(text, run, chain)):
             shape = shape_features(text[s:e])
-            sets += [shape, context_features(key, shape), file]
+            sets += [shape, context_features(key, *_length_and_plain(shape)), file]
             hit = set()
             for k in range(int(np.searchsorted(reach, s, side="right")), len(secret_ranges)):
                 if secret_ranges[k][0] >= e:
