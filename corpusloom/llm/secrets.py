@@ -14,7 +14,6 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -145,7 +144,6 @@ def context_features(key: Context, length: str, plain: str) -> tuple[str, ...]:
     )
 
 
-@lru_cache(100_000)
 def _gap(last: str) -> str:
     return "".join(c for c in last if not (c.isascii() and c.isalnum())).strip()
 
@@ -196,6 +194,7 @@ def in_prose(text: str, chain: list[tuple[int, int]], found: Cues) -> np.ndarray
 def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]], found: Cues | None = None) -> Iterator[Context]:
     """The context of tokens of a chain: neighbouring words and signs, and the last key word before it on its line."""
     keyed, hints = found or cues(text, run)
+    gaps: dict[str, str] = {}
     at = near = 0
     for s, e in chain:
         while at < len(keyed) and keyed[at].end() <= s:
@@ -207,7 +206,9 @@ def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]], foun
         while near < len(hints) and hints[near][1] <= s - 24:
             near += 1
         word = LAST_WORD.search(before) if near < len(hints) and hints[near][0] < s else None
-        gap = _gap(before[-4:])
+        gap = gaps.get(before[-4:])
+        if gap is None:
+            gap = gaps[before[-4:]] = _gap(before[-4:])
         url = after[:1] == "@" or before[-1:] == "@" or "://" in before[-4:] or after[:3] == "://" or text[s] in "wW" and text[s:s + 4].lower() == "www."
         kind, quoted = "", False
         if m is not None:
