@@ -39,7 +39,6 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % MIN_HEX)
-TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+(?:={1,2}(?![A-Za-z0-9+/_.=\-]))?")
 HINT = re.compile(r"pass|pwd|secret|token|key|auth|bearer|cred|private|access|sign", re.ASCII)
 # Runs are bounded and never given back, so that no text makes a search quadratic; nothing crosses a line.
 KEYED = re.compile(r"(phrase|pass|pwd|secret|token|key|auth|bearer|cred|private|access|sign)\w{0,32}+[\"']?[^\S\n]{0,4}(?:[:=]|is\b|(?<=[^\S\n])(?=\S{0,200}\d)|[\"'])", re.ASCII | re.IGNORECASE)
@@ -69,22 +68,53 @@ def _lower(text: str) -> str:
 Chain = tuple[tuple[int, int], list[tuple[int, int]]]
 
 
+def _signs(chars: str) -> np.ndarray:
+    table = np.zeros(128, bool)
+    table[[ord(c) for c in chars]] = True
+    return table
+
+
+_IN_TOKEN = _signs("+/_.-" + "".join(chr(c) for c in range(127) if chr(c).isalnum()))
+_TRIMMED, _TRIMMED_AFTER, _EQUALS = _signs(".-=_/+"), _signs(".-_/"), _signs("=")
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def token_places(text: str, codes: np.ndarray) -> np.ndarray:
+    """(tokens, 2) starts and ends: runs of ``[A-Za-z0-9+/_.-]`` with one or two ``=`` that end there; outer dots, dashes and the like are trimmed."""
+    sign = np.minimum(codes, 127)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = _IN_TOKEN[sign]
+    at = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+    follows = np.append(sign, 0)[at[:, 1]]
+    for k in np.flatnonzero(_EQUALS[follows]).tolist():
+        e = int(at[k, 1])
+        e += 2 if text[e:e + 2] == "==" else 1
+        if e == len(text) or not (inside[e + 1] or text[e] == "="):
+            at[k, 1] = e
+    odd = np.flatnonzero(_TRIMMED[sign[at[:, 0]]] | _TRIMMED_AFTER[sign[at[:, 1] - 1]])
+    for k in odd.tolist():
+        s, e = at[k].tolist()
+        t = text[s:e]
+        at[k] = s + len(t) - len(t.lstrip(".-=_/+")), e - len(t) + len(t.rstrip(".-_/"))
+    return at[at[:, 0] < at[:, 1]] if len(odd) else at
+
+
 def chains(text: str) -> list[Chain]:
-    """(the text's range, all its tokens), if it has any; outer dots, dashes and the like are trimmed."""
-    chain = []
-    for m in TOKEN.finditer(text):
-        s, e = m.span()
-        if text[s] in ".-=_/+" or text[e - 1] in ".-_/":
-            t = m.group()
-            s, e = s + len(t) - len(t.lstrip(".-=_/+")), e - len(t) + len(t.rstrip(".-_/"))
-        if s < e:
-            chain.append((s, e))
+    """(the text's range, all its tokens), if it has any."""
+    chain = [(s, e) for s, e in token_places(text, code_points(text)).tolist()]
     return [((0, len(text)), chain)] if chain else []
 
 
 def odd_tokens(text: str, found: list[Chain]) -> int:
     """Number of long tokens with a digit."""
-    return sum(e - s >= 12 and DIGITS.search(text, s, e) is not None for _, chain in found for s, e in chain)
+    return sum(_odd(text, chain) for _, chain in found)
+
+
+def _odd(text: str, chain: list[tuple[int, int]]) -> int:
+    return sum(e - s >= 12 and DIGITS.search(text, s, e) is not None for s, e in chain)
 
 
 def _bucket(n: int, edges: tuple[int, ...]) -> int:
@@ -153,7 +183,9 @@ Cues = tuple[list[re.Match], list[tuple[int, int]]]
 
 def cues(text: str, run: tuple[int, int]) -> Cues:
     """Key words with what follows them, and the places of words that hint at a secret."""
-    return list(KEYED.finditer(text, *run)), [m.span() for m in HINT.finditer(_lower(text), max(0, run[0] - 24), run[1])]
+    hints = [m.span() for m in HINT.finditer(_lower(text), max(0, run[0] - 24), run[1])]
+    # A key word is a hint, or holds one ("phrase" alone does not).
+    return list(KEYED.finditer(text, *run)) if hints or "phrase" in text.lower() else [], hints
 
 
 #: The context of a token between words of ASCII letters and digits, with no cue near it; most tokens of prose.
@@ -164,20 +196,10 @@ _SIGNS[ord(" ")] = 2
 _SIGNS[[ord(c) for c in ",.;"]] = 3
 
 
-def in_prose(text: str, chain: list[tuple[int, int]], found: Cues) -> np.ndarray:
-    """Which tokens certainly have the context ``IN_PROSE``."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sign = np.zeros(len(codes) + 8, np.uint8)
-    sign[4:-4] = _SIGNS[np.minimum(codes, 127)]
-    at = np.array(chain, np.int64)
-    first = at[:, 0]
-    s, e = first + 4, at[:, 1] + 4
-    out = (sign[s - 1] == 2) & ~np.isin(codes[first], (ord("w"), ord("W")))
-    for k in (2, 3, 4):
-        out &= (sign[s - k] == 1) | (sign[s - k] == 2)
-    out &= (sign[e] == 2) & (sign[e + 1] == 1) | (sign[e] == 3) & (sign[e + 1] == 2) & (sign[e + 2] == 1)
-    # How many cues reach each token: those that begin to, less those that no longer do.
+def near_cues(first: np.ndarray, found: Cues) -> np.ndarray:
+    """How many cues reach each token, by the tokens' starts."""
     near = np.zeros(len(first) + 1, np.int64)
+    # Those that begin to, less those that no longer do.
     if found[1]:
         a, b = np.array(found[1]).T
         np.add.at(near, np.searchsorted(first, a, "right"), 1)
@@ -187,8 +209,33 @@ def in_prose(text: str, chain: list[tuple[int, int]], found: Cues) -> np.ndarray
         begin = np.searchsorted(first, b)
         np.add.at(near, begin, 1)
         np.add.at(near, np.maximum(begin, np.searchsorted(first, a + 64, "right")), -1)
-    out &= np.cumsum(near[:-1]) == 0
-    return out
+    return np.cumsum(near[:-1])
+
+
+def in_prose(text: str, chain: list[tuple[int, int]] | np.ndarray, found: Cues, codes: np.ndarray | None = None, near: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens certainly have the context ``IN_PROSE``."""
+    codes = code_points(text) if codes is None else codes
+    sign = np.zeros(len(codes) + 8, np.uint8)
+    sign[4:-4] = _SIGNS[np.minimum(codes, 127)]
+    at = np.asarray(chain, np.int64)
+    first = at[:, 0]
+    s, e = first + 4, at[:, 1] + 4
+    out = (sign[s - 1] == 2) & (codes[first] != ord("w")) & (codes[first] != ord("W"))
+    for k in (2, 3, 4):
+        out &= (sign[s - k] == 1) | (sign[s - k] == 2)
+    out &= (sign[e] == 2) & (sign[e + 1] == 1) | (sign[e] == 3) & (sign[e + 1] == 2) & (sign[e + 2] == 1)
+    return out & ((near_cues(first, found) if near is None else near) == 0)
+
+
+_AFTER_LINE = _signs(" \t\r\"',;")
+
+
+def at_line_end(chain: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which tokens have nothing but blanks, quotes and commas after them on their line (of 48 code points at most)."""
+    e = chain[:, 1]
+    other = np.append(np.flatnonzero(~_AFTER_LINE[np.minimum(codes, 127)]), len(codes))
+    then = other[np.searchsorted(other, e)]
+    return (then >= e + 48) | (np.append(codes, 10)[then] == 10)
 
 
 def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]], found: Cues | None = None) -> Iterator[Context]:
@@ -226,20 +273,25 @@ def contexts(text: str, run: tuple[int, int], chain: list[tuple[int, int]], foun
             kind, quoted, not rest, not gap and after[:1] in ("=", ":") or after[:2] in (" =", " :"))
 
 
+#: Of a token: length and plain feature, weights for B and I, the larger of them in prose, the most they can be without a cue (within a line, at its end).
+Known = tuple[str, str, float, float, float, float, float]
+
+
 class Crf:
     """Linear chain over B, I, O; the weights of O emissions are zero."""
 
     def __init__(self, features: dict[str, int], emit: np.ndarray, trans: np.ndarray, start: np.ndarray, stop: np.ndarray):
         self.features, self.emit, self.trans, self.start, self.stop = features, emit, trans, start, stop
 
-        #: Sums of weights by token (with what its context needs, and those in prose) and by context, kept while the text's worker lives (bounded).
-        self.shapes: dict[str, tuple[str, str, float, float, float, float]] = {}
+        #: Sums of weights by token (see ``token``) and by context, kept while the text's worker lives (bounded).
+        self.shapes: dict[str, Known] = {}
         self.around: dict[tuple, tuple[float, float]] = {}
         #: The same for plain words, which many share (see ``plain_word``).
-        self.plain: dict[tuple, tuple[str, str, float, float, float, float]] = {}
+        self.plain: dict[tuple, Known] = {}
+        self.calm: dict[tuple[str, str], np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shapes": {}, "around": {}, "plain": {}}
+        return self.__dict__ | {"shapes": {}, "around": {}, "plain": {}, "calm": {}}
 
     def weight(self, names: tuple[str, ...]) -> tuple[float, float]:
         ids = [self.features[f] for f in names if f in self.features]
@@ -255,8 +307,32 @@ class Crf:
             known = self.around[full] = self.weight(context_features(key, length, plain))
         return known
 
-    def token(self, t: str) -> tuple[str, str, float, float, float, float]:
-        """Length and plain feature, weights of the token, and with those of ``IN_PROSE``."""
+    def most_without_cue(self, length: str, plain: str) -> np.ndarray:
+        """The most that a context without a cue can weigh for B and for I, within a line and at its end: but for the signs before and the end, its parts do not depend on each other."""
+        known = self.calm.get((length, plain))
+        if known is not None:
+            return known
+
+        def w(name: str) -> np.ndarray:
+            k = self.features.get(name)
+            return np.zeros(2) if k is None else self.emit[k]
+
+        def most(*names: str) -> np.ndarray:
+            return np.max([w(n) for n in names], axis=0)
+
+        signs = {re.match("[^A-Za-z0-9]*", f[f.index("sep=") + 4:]).group() for f in self.features if f.startswith(("sep=", "hint=Falsesep="))} | {""}
+        ends = []
+        for end in (False, True):
+            last = {c: w(f"hint=Falsesep={c}ends={end}") for c in {s[-1:] for s in signs}}
+            seen = [w(f"sep={s}") + w(f"hint=Falsesep={s}") + w(f"hint=Falsesep={s}{plain}") + last[s[-1:]] for s in signs]
+            ends.append(w(f"ends={end}") + np.max([*seen, *last.values(), np.zeros(2)], axis=0))
+        known = self.calm[length, plain] = (
+            w("hint=False") + w(f"keyed={plain}") + w("inquotes=False") + w(f"phrase=FalseFalse{length}") + most("url=False", "url=True")
+            + most(*[f"quoted={a}{b}" for a in (False, True) for b in (False, True)]) + most("line=False", "line=True") + most("key=False", "key=True") + np.array(ends))
+        return known
+
+    def token(self, t: str) -> Known:
+        """Length and plain feature, weights of the token, the larger of them in ``IN_PROSE``, and the most they can be without a cue near it, within a line and at its end."""
         known = self.shapes.get(t)
         if known is None:
             if len(self.shapes) > 200_000:
@@ -267,7 +343,8 @@ class Crf:
                 names = shape_features(t)
                 about = _length_and_plain(names)
                 (b, i), (b_prose, i_prose) = self.weight(names), self.beside(IN_PROSE, *about)
-                known = (*about, b, i, b + b_prose, i + i_prose)
+                most = [max(b + b_most, i + i_most) for b_most, i_most in self.most_without_cue(*about).tolist()]
+                known = (*about, b, i, max(b + b_prose, i + i_prose), *most)
                 if alike is not None:
                     if len(self.plain) > 100_000:
                         self.plain.clear()
@@ -276,25 +353,63 @@ class Crf:
                 self.shapes[t] = known
         return known
 
-    def scores(self, text: str, run: tuple[int, int], chain: list[tuple[int, int]], file: tuple[float, float]) -> np.ndarray:
-        """(tokens, 3) emission scores: what the token, its surroundings and the text weigh."""
+    def may_be_secret(self, gain: np.ndarray) -> np.ndarray:
+        """Which tokens the best path may tag B or I, if their emissions for these are at most ``gain`` (for O they are zero).
+
+        A run of B and I in the best path weighs no less than O in its place.  Its tokens, the steps into, within and out
+        of it at their most weigh no less than that, so every token of it lies in a stretch whose sum reaches a limit.
+        """
+        stay = self.trans[O, O]
+        step = self.trans[:O, :O].max() - stay
+        enter = max(self.trans[O, :O].max() - stay, self.start[:O].max() - self.start[O])
+        leave = max(self.trans[:O, O].max() - stay, self.stop[:O].max() - self.stop[O])
+        total = np.cumsum(gain + step)
+        before = np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
+        after = np.maximum.accumulate(total[::-1])[::-1]
+        return after - before >= step - enter - leave - 1e-6
+
+    def tag(self, text: str, run: tuple[int, int], chain: np.ndarray, codes: np.ndarray, file: tuple[float, float]) -> list[tuple[int, int]]:
+        """(number, state) of the tokens that the best path tags B or I.
+
+        The path is that of all tokens.  Those that cannot be B or I whatever their context is (see ``may_be_secret``) are O; what lies between them is decoded.
+        """
         found = cues(text, run)
-        known = [self.token(text[s:e]) for s, e in chain]
-        out = np.zeros((len(chain), 3))
-        out[:, 0], out[:, 1] = [k[4] for k in known], [k[5] for k in known]
-        others = np.flatnonzero(~in_prose(text, chain, found)).tolist()
-        for at, key in zip(others, contexts(text, run, [chain[at] for at in others], found)):
-            length, plain, b, i = known[at][:4]
-            b_beside, i_beside = self.beside(key, length, plain)
-            out[at, :2] = b + b_beside, i + i_beside
-        out[:, :2] += file
+        near = near_cues(chain[:, 0], found)
+        prose = in_prose(text, chain, found, codes, near)
+        tokens = [text[s:e] for s, e in chain.tolist()]
+        known = list(map(self.shapes.get, tokens))
+        if None in known:
+            known = [k or self.token(t) for k, t in zip(known, tokens)]
+        _, _, _, _, quiet, within, at_end = zip(*known)
+        gain = np.where(prose, quiet, np.where(at_line_end(chain, codes), at_end, within)) + max(file)
+        emission: dict[int, tuple[float, float]] = {}
+
+        def weigh(numbers: list[int]) -> None:
+            numbers = [k for k in numbers if k not in emission]
+            for k, key in zip(numbers, contexts(text, run, chain[numbers].tolist(), found)):
+                length, plain, b, i = known[k][:4]
+                b_beside, i_beside = self.beside(key, length, plain)
+                emission[k] = b + b_beside + file[0], i + i_beside + file[1]
+                gain[k] = max(emission[k])
+
+        weigh(np.flatnonzero(near).tolist())
+        weigh(np.flatnonzero(self.may_be_secret(gain)).tolist())
+        left = np.flatnonzero(self.may_be_secret(gain))
+        weigh(left.tolist())
+        out: list[tuple[int, int]] = []
+        for part in np.split(left, np.flatnonzero(np.diff(left) > 1) + 1) if len(left) else ():
+            first, last = int(part[0]), int(part[-1])
+            path = self.viterbi(
+                np.array([(*emission[k], 0.0) for k in range(first, last + 1)]), self.trans[O] if first else None, self.trans[:, O] if last + 1 < len(chain) else None)
+            out += [(first + k, state) for k, state in enumerate(path) if state != O]
         return out
 
-    def viterbi(self, emission: np.ndarray) -> list[int]:
-        """The best path; of equal ones that of the lesser states, from the last token on."""
+    def viterbi(self, emission: np.ndarray, start: np.ndarray | None = None, stop: np.ndarray | None = None) -> list[int]:
+        """The best path; of equal ones that of the lesser states, from the last token on.  ``start`` and ``stop`` weigh its ends, if they are not those of a text."""
+        start, stop = self.start if start is None else start, self.stop if stop is None else stop
         (bb, bi, bo), (ib, ii, io), (ob, oi, oo) = self.trans.tolist()
         rows = iter(emission.tolist())
-        b, i, o = (x + y for x, y in zip(self.start.tolist(), next(rows)))
+        b, i, o = (x + y for x, y in zip(start.tolist(), next(rows)))
         back: list[tuple[int, int, int]] = []
         for eb, ei, eo in rows:
             to_b, from_b = b + bb, B
@@ -314,8 +429,8 @@ class Crf:
                 to_o, from_o = o + oo, O
             b, i, o = to_b + eb, to_i + ei, to_o + eo
             back.append((from_b, from_i, from_o))
-        stop = self.stop.tolist()
-        last = (b + stop[B], i + stop[I], o + stop[O])
+        ends = stop.tolist()
+        last = (b + ends[B], i + ends[I], o + ends[O])
         state = last.index(max(last))
         path = [state]
         for pointers in reversed(back):
@@ -336,6 +451,49 @@ PIECE = 48  # tokens of a training piece
 Piece = tuple[list[tuple[str, ...]], list[int]]
 
 
+BLOCK = 2000  # training pieces that are weighed at a time
+
+
+class _Block:
+    """Training pieces, the longest first, token by token over all that are long enough: row first[t] + k is token t of piece k."""
+
+    def __init__(self, pieces: list[tuple[np.ndarray, np.ndarray]]):
+        lengths = np.array([len(y) for _, y in pieces])
+        steps = int(lengths.max())
+        live = [int((lengths > t).sum()) for t in range(steps)] + [0]
+        piece, place = np.concatenate([np.flatnonzero(lengths > t) for t in range(steps)]), np.repeat(np.arange(steps), live[:-1])
+        row = (np.cumsum(lengths) - lengths)[piece] + place
+        self.piece, self.live = piece, live
+        self.sets = np.concatenate([x for x, _ in pieces])[row].astype(np.int32)
+        self.gold = np.concatenate([y for _, y in pieces])[row]
+        first = np.concatenate(([0], np.cumsum(live)))
+        self.part = [slice(first[t], first[t + 1]) for t in range(steps)]
+        self.head = [slice(first[t], first[t] + live[t + 1]) for t in range(steps)]  # those that go on after t
+        self.last = np.array([first[length - 1] + k for k, length in enumerate(lengths)])
+        self.steps_seen = np.zeros((3, 3))
+        for t in range(1, steps):
+            np.add.at(self.steps_seen, (self.gold[self.head[t - 1]], self.gold[self.part[t]]), 1.0)
+
+    def differences(self, of_set: np.ndarray, tr: np.ndarray, st: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is labelled less what is expected: of each token, and sums of steps, first and last tokens."""
+        part, head, n = self.part, self.head, len(self.piece)
+        score, alpha, beta = np.zeros((n, 3)), np.zeros((n, 3)), np.tile(stop, (n, 1))
+        for c in (B, I):
+            score[:, c] = of_set[c][self.sets].sum(axis=1)
+        alpha[part[0]] = st + score[part[0]]
+        for t in range(1, len(part)):
+            alpha[part[t]] = _logsumexp(alpha[head[t - 1]][:, :, None] + tr[None], 1) + score[part[t]]
+        for t in range(len(part) - 2, -1, -1):
+            beta[head[t]] = _logsumexp(tr[None] + (score[part[t + 1]] + beta[part[t + 1]])[:, None, :], 2)
+        log_z = _logsumexp(alpha[self.last] + stop, 1)
+        diff = -np.exp(alpha + beta - log_z[self.piece][:, None])
+        diff[np.arange(n), self.gold] += 1.0
+        steps = self.steps_seen.copy()
+        for t in range(1, len(part)):
+            steps -= np.exp(alpha[head[t - 1]][:, :, None] + tr[None] + (score[part[t]] + beta[part[t]])[:, None, :] - log_z[:self.live[t], None, None]).sum(axis=0)
+        return diff, steps, diff[part[0]].sum(axis=0), diff[self.last].sum(axis=0)
+
+
 def fit(pieces: list[tuple[np.ndarray, np.ndarray]], sets: list[tuple[str, ...]], rounds: int = 120, rate: float = 0.15, l2: float = 2e-3) -> Crf:
     """Maximum likelihood by full-batch Adam on forward-backward expectations (deterministic).
 
@@ -344,47 +502,24 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray]], sets: list[tuple[str, ...]]
     features = {f: k for k, f in enumerate(sorted({f for names in sets for f in names}))}
     in_set = np.repeat(np.arange(len(sets)), [len(names) for names in sets])
     feature = np.array([features[f] for names in sets for f in names], np.int64)
-    # The longest pieces first, then token by token over all pieces that are long enough: row first[t] + k is token t of piece k.
     pieces = sorted(pieces, key=lambda x: -len(x[1]))
-    lengths = np.array([len(y) for _, y in pieces])
-    n, steps = len(pieces), int(lengths.max())
-    live = [int((lengths > t).sum()) for t in range(steps)] + [0]
-    at = np.concatenate([np.flatnonzero(lengths > t) * steps + t for t in range(steps)])
-    row = np.cumsum(lengths) - lengths
-    row = row[at // steps] + at % steps
-    token_sets = np.concatenate([x for x, _ in pieces])[row]
-    gold = np.concatenate([y for _, y in pieces])[row]
-    first = np.concatenate(([0], np.cumsum(live)))
-    part = [slice(first[t], first[t + 1]) for t in range(steps)]
-    head = [slice(first[t], first[t] + live[t + 1]) for t in range(steps)]  # those that go on after t
-    last = np.array([first[length - 1] + k for k, length in enumerate(lengths)])
-    target, steps_seen = np.eye(3)[gold], np.zeros((3, 3))
-    for t in range(1, steps):
-        np.add.at(steps_seen, (gold[head[t - 1]], gold[part[t]]), 1.0)
+    n, blocks = len(pieces), [_Block(pieces[k:k + BLOCK]) for k in range(0, len(pieces), BLOCK)]
     emit, trans, start, stop = np.zeros((len(features), 2)), np.zeros((3, 3)), np.zeros(3), np.zeros(3)
     moments = [[np.zeros_like(w), np.zeros_like(w)] for w in (emit, trans, start, stop)]
     for step in range(1, rounds + 1):
         tr, st = trans.copy(), start.copy()
         tr[O, I] = st[I] = FORBIDDEN
-        score, alpha, beta = np.zeros((len(at), 3)), np.zeros((len(at), 3)), np.tile(stop, (len(at), 1))
-        for c in (B, I):
-            of_set = np.bincount(in_set, emit[feature, c], len(sets))
-            score[:, c] = of_set[token_sets].sum(axis=1)
-        alpha[part[0]] = st + score[part[0]]
-        for t in range(1, steps):
-            alpha[part[t]] = _logsumexp(alpha[head[t - 1]][:, :, None] + tr[None], 1) + score[part[t]]
-        for t in range(steps - 2, -1, -1):
-            beta[head[t]] = _logsumexp(tr[None] + (score[part[t + 1]] + beta[part[t + 1]])[:, None, :], 2)
-        log_z = _logsumexp(alpha[last] + stop, 1)
-        diff = target - np.exp(alpha + beta - log_z[at // steps][:, None])
-        g_emit = np.zeros_like(emit)
-        for c in (B, I):
-            of_set = np.bincount(token_sets.ravel(), np.repeat(diff[:, c], token_sets.shape[1]), len(sets))
-            g_emit[:, c] = np.bincount(feature, of_set[in_set], len(features))
-        g_trans = steps_seen.copy()
-        for t in range(1, steps):
-            g_trans -= np.exp(alpha[head[t - 1]][:, :, None] + tr[None] + (score[part[t]] + beta[part[t]])[:, None, :] - log_z[:live[t], None, None]).sum(axis=0)
-        grads = (g_emit / n - l2 * emit, g_trans / n - l2 * trans, diff[part[0]].sum(axis=0) / n - l2 * start, diff[last].sum(axis=0) / n - l2 * stop)
+        of_set = np.stack([np.bincount(in_set, emit[feature, c], len(sets)) for c in (B, I)])
+        diff_set, g_trans, g_start, g_stop = np.zeros((2, len(sets))), np.zeros((3, 3)), np.zeros(3), np.zeros(3)
+        for block in blocks:
+            of_tokens, of_steps, of_first, of_last = block.differences(of_set, tr, st, stop)
+            for c in (B, I):
+                diff_set[c] += np.bincount(block.sets.ravel(), np.repeat(of_tokens[:, c], block.sets.shape[1]), len(sets))
+            g_trans += of_steps
+            g_start += of_first
+            g_stop += of_last
+        g_emit = np.stack([np.bincount(feature, diff_set[c][in_set], len(features)) for c in (B, I)], axis=1)
+        grads = (g_emit / n - l2 * emit, g_trans / n - l2 * trans, g_start / n - l2 * start, g_stop / n - l2 * stop)
         for (m, v), w, g in zip(moments, (emit, trans, start, stop), grads, strict=True):
             m[...] = 0.9 * m + 0.1 * g
             v[...] = 0.99 * v + 0.01 * g * g
@@ -393,12 +528,13 @@ def fit(pieces: list[tuple[np.ndarray, np.ndarray]], sets: list[tuple[str, ...]]
     return Crf(features, emit, trans, start, stop)
 
 
-def label_chains(text: str, secret_ranges: list[tuple[int, int]], longest: int = PIECE) -> list[Piece]:
+def label_chains(text: str, secret_ranges: list[tuple[int, int]], longest: int = PIECE, shapes: dict[str, tuple[str, ...]] | None = None) -> list[Piece]:
     """Training pieces of one text: per token its feature sets (token, surroundings, text), and labels.
 
     A token that overlaps a known secret is B, or I right after one of the same secret.  Chains of more than ``longest`` tokens are cut.
+    ``shapes`` keeps the features of tokens from text to text.
     """
-    found = chains(text)
+    found, shapes = chains(text), {} if shapes is None else shapes
     file = file_features(text, odd_tokens(text, found))
     secret_ranges = sorted(secret_ranges)
     reach = np.maximum.accumulate([b for _, b in secret_ranges]) if secret_ranges else []
@@ -408,7 +544,12 @@ def label_chains(text: str, secret_ranges: list[tuple[int, int]], longest: int =
         labels: list[int] = []
         before: set[int] = set()
         for (s, e), key in zip(chain, contexts(text, run, chain)):
-            shape = shape_features(text[s:e])
+            token = text[s:e]
+            shape = shapes.get(token)
+            if shape is None:
+                if len(shapes) > 100_000:
+                    shapes.clear()
+                shape = shapes[token] = shape_features(token)
             sets += [shape, context_features(key, *_length_and_plain(shape)), file]
             hit = set()
             for k in range(int(np.searchsorted(reach, s, side="right")), len(secret_ranges)):
@@ -514,16 +655,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
         seen: set[int] = set()
+        shapes: dict[str, tuple[str, ...]] = {}
+        numbers: dict[tuple[str, ...], int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 drawn, own = [], number(text)
-                for k, (sets, labels) in enumerate(label_chains(text, _secret_ranges(text))):
+                for k, (sets, labels) in enumerate(label_chains(text, _secret_ranges(text), shapes=shapes)):
                     drawn.append((all(y == O for y in labels), number(f"{own} {k}"), sets, labels))
                 drawn.sort(key=lambda x: x[:2])
                 new: dict[int, tuple[str, ...]] = {}
                 out: dict[str, list] = {"plain": [], "draw": [], "sets": [], "labels": [], "set": [], "names": []}
                 for plain, order, sets, labels in drawn[:pieces_of_text]:
-                    ids = [number("\n".join(names)) for names in sets]
+                    if len(numbers) > 100_000:
+                        numbers.clear()
+                    ids = [numbers[names] if names in numbers else numbers.setdefault(names, number("\n".join(names))) for names in sets]
                     new |= {i: names for i, names in zip(ids, sets) if i not in seen}
                     for c, v in zip(out, (plain, order, ids, bytes(labels), None, None)):
                         out[c].append(v)
@@ -539,13 +684,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     sample = materialise(draw.mapInArrow(cut, "plain boolean, draw long, sets array<long>, labels binary, `set` long, names array<string>"), "secret-sample")
     pieces = sample.where("`set` is null")
     chosen = pieces.where("not plain").orderBy("draw", "labels").limit(secret_pieces).unionByName(pieces.where("plain").orderBy("draw", "labels").limit(plain_pieces))
-    taken = [(r["sets"], r["labels"]) for r in chosen.orderBy("plain", "draw", "labels").select("plain", "draw", "sets", "labels").collect()]
+    taken = chosen.orderBy("plain", "draw", "labels").select("sets", "labels").toArrow()
     wanted = chosen.select(F.explode("sets").alias("set")).distinct()
     named = {r["set"]: tuple(r["names"]) for r in sample.where("`set` is not null").select("set", "names").dropDuplicates(["set"]).join(wanted, "set", "left_semi").collect()}
 
-    place: dict[tuple[str, ...], int] = {}
-    where = {i: place.setdefault(names, len(place)) for i, names in sorted(named.items())}
-    examples = [(np.array([where[i] for i in ids], np.int64).reshape(-1, 3), np.frombuffer(labels, np.uint8).astype(np.int64)) for ids, labels in taken]
+    ids = np.array(sorted(named), np.int64)
+    place = {named[i]: k for k, i in enumerate(ids.tolist())}
+    examples = []
+    for batch in taken.to_batches():
+        # Places of the sets in one array; lists are slices of it.
+        sets = batch.column("sets")
+        places, ends = np.searchsorted(ids, sets.flatten().to_numpy(zero_copy_only=False)).reshape(-1, 3), np.cumsum([len(labels) for labels in batch.column("labels").to_pylist()])
+        for labels, end in zip(batch.column("labels").to_pylist(), ends.tolist()):
+            examples.append((places[end - len(labels):end], np.frombuffer(labels, np.uint8).astype(np.int64)))
+    del taken, named
     for text, ranges in seed_texts():
         for sets, labels in label_chains(text, ranges):
             examples.append((np.array([place.setdefault(names, len(place)) for names in sets], np.int64).reshape(-1, 3), np.array(labels)))
@@ -573,25 +725,24 @@ def outside(text: str, s: int, e: int, base: list[tuple[int, int, int]], reach:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Crf) -> list[tuple[int, int, int]]:
     """Spans that the field adds outside the base spans; after a token that a base span touches a new one begins."""
-    chain_list = chains(text)
-    if not chain_list:
+    codes = code_points(text)
+    chain = token_places(text, codes)
+    if not len(chain):
         return []
     reach = list(accumulate((e for _, _, e in base), max))
-    file = model.weight(file_features(text, odd_tokens(text, chain_list)))
+    file = model.weight(file_features(text, _odd(text, chain[chain[:, 1] - chain[:, 0] >= 12].tolist())))
     out: list[tuple[int, int]] = []
-    for run, chain in chain_list:
-        path = model.viterbi(model.scores(text, run, chain, file))
-        free = False  # whether the token before is secret and untouched by base spans
-        for state, (s, e) in zip(path, chain, strict=True):
-            # A span goes on if no base span lies between its last token and this one.
-            if state == I and free and outside(text, out[-1][1], e, base, reach) == [(out[-1][1], e)]:
-                out[-1] = (out[-1][0], e)
-            elif state != O:
-                parts = outside(text, s, e, base, reach)
-                free = parts == [(s, e)]
-                out += parts
-            else:
-                free = False
+    free, next_one = False, -1  # whether the token before is secret and untouched by base spans; its follower
+    for k, state in model.tag(text, (0, len(text)), chain, codes, file):
+        s, e = chain[k].tolist()
+        # A span goes on if no base span lies between its last token and this one.
+        if state == I and free and k == next_one and outside(text, out[-1][1], e, base, reach) == [(out[-1][1], e)]:
+            out[-1] = (out[-1][0], e)
+        else:
+            parts = outside(text, s, e, base, reach)
+            free = parts == [(s, e)]
+            out += parts
+        next_one = k + 1
     return [(s, 3, e) for s, e in out]
 
 

@@ -435,3 +435,27 @@ def test_plain_words_that_count_as_alike_have_equal_features():
 def test_redact_keeps_a_column_named_like_its_own(spark, field):
     docs = spark.createDataFrame([(1, "password=abcdef", 7)], "doc_id long, text string, n_spans int")
     assert tuple(secrets.redact(docs, field, count_col=None).first()) == (1, "[SECRET]", 7)
+
+
+def test_only_tokens_that_may_be_secret_are_weighed_one_by_one(field, monkeypatch):
+    prose = "Water, wind; and *some* more (than that).\nLong lines, short lines; nothing hidden.\n" * 60
+    texts = [prose, prose + "db_pass = Tr0ub4dorX9z\n" + prose, *[t for t, _ in secrets.seed_texts(400, 5)]]
+    weighed, contexts = [], secrets.contexts
+
+    def counted(text, run, chain, found=None):
+        weighed.append(len(chain))
+        return contexts(text, run, chain, found)
+
+    for text in texts:
+        [(run, chain)] = secrets.chains(text)
+        file = field.weight(secrets.file_features(text, secrets.odd_tokens(text, [(run, chain)])))
+        emission = np.zeros((len(chain), 3))
+        for k, ((s, e), key) in enumerate(zip(chain, contexts(text, run, chain), strict=True)):
+            shape = secrets.shape_features(text[s:e])
+            emission[k, :2] = np.add(np.add(field.weight(shape), field.weight(secrets.context_features(key, shape[1], shape[13]))), file)
+        want = [(k, state) for k, state in enumerate(field.viterbi(emission)) if state != secrets.O]
+        monkeypatch.setattr(secrets, "contexts", counted)
+        weighed.clear()
+        assert field.tag(text, run, np.array(chain), secrets.code_points(text), file) == want
+        monkeypatch.undo()
+        assert len(text) < 1000 or sum(weighed) < len(chain) // 4
