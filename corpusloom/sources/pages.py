@@ -45,6 +45,7 @@ from ..session import ship_code
 
 SCHEMA = "file string, at long, item int, status string, id string, text string, body string"
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4")
+BATCH_CHARS = 4 << 20
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
@@ -84,10 +85,10 @@ class LandedPages(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return PageReader(self)
+        return PageReader(self) if schema is None else PageBatchReader(self)  # Spark names a schema; without one rows are tuples
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return PageStreamReader(self)
+        return PageStreamReader(self) if schema is None else PageBatchStreamReader(self)
 
     def records(self, page: Any) -> Iterator[tuple[Any, Any, Any]]:
         """(id, text, body) of each record of a page."""
@@ -160,6 +161,22 @@ class LandedPages(DataSource):
                     yield name, at, k, "ok", i, t, b
 
 
+    def batches(self, part: PageRanges) -> Iterator[Any]:
+        """The rows as Arrow batches of about ``BATCH_CHARS`` of text (one row at least): a task holds one of them, however long texts are."""
+        import pyarrow as pa
+
+        types = pa.schema([("file", pa.string()), ("at", pa.int64()), ("item", pa.int32()), *[(c, pa.string()) for c in ("status", "id", "text", "body")]])
+        rows, size = [], 0
+        for row in self.rows(part):
+            rows.append(row)
+            size += 100 + len(row[5] or "") + len(row[6] or "")
+            if size >= BATCH_CHARS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), types)], schema=types)
+
+
 class PageReader(DataSourceReader):
     def __init__(self, source: LandedPages):
         self.source = source
@@ -191,6 +208,18 @@ class PageStreamReader(DataSourceStreamReader):
         return self.source.rows(partition)
 
 
+class PageBatchReader(PageReader):
+    """What Spark gets: the same rows as Arrow batches."""
+
+    def read(self, partition: PageRanges) -> Iterator[Any]:
+        return self.source.batches(partition)
+
+
+class PageBatchStreamReader(PageStreamReader):
+    def read(self, partition: PageRanges) -> Iterator[Any]:
+        return self.source.batches(partition)
+
+
 def register(spark: SparkSession, source: type[LandedPages] = LandedPages) -> str:
     """Make a source known to the session (its code and that of its module go to the tasks); its format name."""
     from pyspark import cloudpickle

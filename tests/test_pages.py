@@ -111,3 +111,13 @@ def test_offsets_name_the_same_files(tmp_path):
     assert rows(reader.initialOffset(), one) == [("1", "t")] and rows(one, two) == [("2", None)] and rows(two, two) == []
     young = pages.LandedPages({"path": str(tmp_path), "settleSeconds": "1e10"}).streamReader(None)
     assert young.latestOffset() == young.initialOffset()
+
+
+def test_a_task_holds_a_few_megabytes_of_rows(tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(json.dumps({"id": i, "text": chr(97 + i % 26) * 500_000}) + "\n" for i in range(40)) + "no page\n")
+    source = pages.LandedPages({"path": str(tmp_path)})
+    for reader in (source.reader(source.schema()), source.streamReader(source.schema())):
+        found = [batch for part in source.tasks(source.files()) for batch in reader.read(part)]
+        assert sum(batch.num_rows for batch in found) == 41
+        assert max(batch.nbytes for batch in found) < 8 << 20
+        assert [r["id"] for batch in found for r in batch.to_pylist()] == [*map(str, range(40)), None]
