@@ -63,13 +63,17 @@ def shingle_hashes(text: str, n: int = K.DEDUP_SHINGLE) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     cp = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
     m = len(cp) - n + 1
-    h = cp[:m].copy()
+    h = cp[n - 1:].copy()
     for j in range(1, n):
-        h *= SHINGLE_BASE
-        h += cp[j:j + m]                      # < 2^32 * 2^20 + 2^21: fits int64
-        h = (h & MERSENNE_P) + (h >> 31)      # congruent mod p, < 2^32
-    h %= MERSENNE_P                           # canonical residue
-    return np.unique(h)
+        h += cp[n - 1 - j:n - 1 - j + m] * pow(SHINGLE_BASE, j, MERSENNE_P)   # < 2^21 * 2^31 each
+        if j % 256 == 0:
+            h %= MERSENNE_P                   # 256 terms: < 2^60, fits int64
+    h = ((h & MERSENNE_P) + (h >> 31)).astype(np.uint32)      # congruent mod p, < 2p
+    np.minimum(h, h - np.uint32(MERSENNE_P), out=h)           # canonical residue: h < p wraps to a larger value
+    h.sort()
+    new = np.ones(m, dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new].astype(np.int64)
 
 
 def signature(text: str, num_perm: int = K.DEDUP_NUM_PERM, n: int = K.DEDUP_SHINGLE, params=None) -> np.ndarray:
@@ -81,27 +85,32 @@ def signature(text: str, num_perm: int = K.DEDUP_NUM_PERM, n: int = K.DEDUP_SHIN
     return _min_multiply_shift(h, a, b)
 
 
-def _min_multiply_shift(h: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """min over h of ((a_k*h + b_k) mod 2^64) >> 32 for every slot k (wrapping uint64 math,
-    cache-sized blocks, in-place ops)."""
+def _min_multiply_shift(h: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 2048, slots: int = 32) -> np.ndarray:
+    """min over h of ((a_k*h + b_k) mod 2^64) >> 32 for every slot k (wrapping uint64 math, in-place ops).
+
+    A block is ``slots`` slots by ``chunk`` hashes, so inner loops are long and stay in the cache.
+    The shift keeps the order and is done once, on the minima.
+    """
     hu = h.astype(np.uint64)
-    out = np.full(a.size, np.uint64(EMPTY_SLOT), dtype=np.uint64)
-    buf = np.empty((chunk, a.size), dtype=np.uint64)
-    shift = np.uint64(32)
+    out = np.full(a.size, np.uint64(2 ** 64 - 1), dtype=np.uint64)
+    a, b = a[:, None], b[:, None]
     for s in range(0, hu.size, chunk):
-        x = buf[:min(chunk, hu.size - s)]
-        np.multiply(hu[s:s + chunk, None], a, out=x)
-        np.add(x, b, out=x)
-        np.right_shift(x, shift, out=x)
-        np.minimum(out, x.min(axis=0), out=out)
-    return out.astype(np.int64)
+        part = hu[s:s + chunk]
+        buf = np.empty((slots, part.size), dtype=np.uint64)
+        for k in range(0, a.size, slots):
+            x = buf[:a.size - k]
+            np.multiply(part, a[k:k + slots], out=x)
+            np.add(x, b[k:k + slots], out=x)
+            np.minimum(out[k:k + slots], x.min(axis=1), out=out[k:k + slots])
+    return (out >> np.uint64(32)).astype(np.int64)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> list[bytes]:
     """One 16-byte key per band: md5 of 'band:v1,v2,...' (collisions negligible)."""
     keys = []
+    slots = [str(v) for v in sig.tolist()]
     for bi in range(bands):
-        vals = ",".join(str(int(v)) for v in sig[bi * rows:(bi + 1) * rows])
+        vals = ",".join(slots[bi * rows:(bi + 1) * rows])
         keys.append(hashlib.md5(f"{bi}:{vals}".encode()).digest())
     return keys
 
