@@ -72,10 +72,11 @@ def stream_dedup(stream: DataFrame, key_cols: list[str], ts_col: str, delay: str
     return s.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key_cols)
 
 
-def stateful_first_wins(stream: DataFrame, key_cols: list[str], ts_col: str, order_col: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
+def stateful_first_wins(stream: DataFrame, key_cols: list[str], ts_col: str, order_col: str, window: str = "1 hour", late: str = "1 hour",
+                        groups: int = 512) -> DataFrame:
     """Of the copies of a key within ``window`` of the first one, the row of the least order key stays, whichever arrives first.
 
-    Arbitrary state per key with event-time timers.  A key's first row (by event time) opens an
+    Arbitrary state with event-time timers.  A key's first row (by event time) opens an
     episode of length ``window``; all its rows before the end belong to it, and the
     next row opens another.  Rows may come out of order by ``late``: they wait in the state until the watermark
     has passed them, are then taken in the order of their event times, and the winner
@@ -85,7 +86,9 @@ def stateful_first_wins(stream: DataFrame, key_cols: list[str], ts_col: str, ord
 
     Null keys are keys; rows without an event time are dropped; null order keys come last; ties go to the
     earlier event time, then to the lesser row as JSON text.  The state of a key holds one row per event time that waits
-    (the least of its order key) and the winner so far.  Append mode; columns are those of the input.
+    (the least of its order key) and the winner so far.  A call of the stateful function costs far more than a row, so
+    keys share their state and timer in ``groups`` groups by hash (more for streams whose waiting rows are very many; the number
+    must stay the same for a checkpoint).  Append mode; columns are those of the input.
     """
     spark = stream.sparkSession
     span = spark.sql(f"select cast(interval {window} as interval day to second) x").first()[0]
@@ -98,50 +101,65 @@ def stateful_first_wins(stream: DataFrame, key_cols: list[str], ts_col: str, ord
     key = F.to_json(F.struct(*[F.col(c) for c in key_cols]), {"ignoreNullFields": "false"})
     time = F.col(ts_col).cast("timestamp")
     rows = stream.select(time.alias("_time"), key.alias("_key"), F.unix_micros(time).alias("_us"), F.col(order_col).cast(order_type).alias("_order"), body.alias("_row"))
-    rows = rows.where("_time is not null").withWatermark("_time", late)
+    rows = rows.where("_time is not null").withWatermark("_time", late).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)).cast("int"))
     none = {"string": "", "long": 0, "double": 0.0}[order_type]
 
     def decide(_, batches, state):
         import pandas as pd
+        import pyarrow as pa
 
-        # A rank compares as (order key is null, order key, event time, row).
-        end, best, waiting = None, None, {}
+        # A rank compares as (order key is null, order key, event time, row).  By key: ranks that wait, by event time, and (end, best rank).
+        waiting, open_ = {}, {}
         if state.exists:
-            end, rank, *lists = state.get
-            best = None if rank is None else (rank[0], rank[1], rank[2], rank[3])
-            waiting = {us: (n, o, us, r) for us, n, o, r in zip(*lists)}
+            for key, end, *rank in zip(*(c.to_pylist() for c in pa.ipc.open_stream(state.get[0]).read_all().columns)):
+                rank = tuple(rank)
+                if end is None:
+                    waiting.setdefault(key, {})[rank[2]] = rank
+                else:
+                    open_[key] = (end, rank)
         for pdf in batches:
-            for us, order, row in zip(pdf["_us"].tolist(), pdf["_order"].astype(object).where(pdf["_order"].notna(), None).tolist(), pdf["_row"].tolist()):
+            orders = pdf["_order"].astype(object).where(pdf["_order"].notna(), None).tolist()
+            for key, us, order, row in zip(pdf["_key"].tolist(), pdf["_us"].tolist(), orders, pdf["_row"].tolist()):
                 rank = (order is None, none if order is None else order, us, row)
-                if us not in waiting or rank < waiting[us]:
-                    waiting[us] = rank
+                own = waiting.setdefault(key, {})
+                if us not in own or rank < own[us]:
+                    own[us] = rank
         passed = state.getCurrentWatermarkMs() * 1000
-        out = []
-        for us in sorted(u for u in waiting if u < passed):
-            if end is not None and us >= end:
+        out, left, at = [], [], None
+        for key in waiting.keys() | open_.keys():
+            end, best = open_.get(key, (None, None))
+            own = waiting.get(key, {})
+            for us in sorted(own):
+                if us >= passed:
+                    left.append((key, None, *own[us]))
+                    at = us + 1 if at is None else min(at, us + 1)
+                    continue
+                if end is not None and us >= end:
+                    out.append(best[3])
+                    end, best = None, None
+                if end is None:
+                    end, best = us + span_us, own[us]
+                else:
+                    best = min(best, own[us])
+            if end is not None and end <= passed:
                 out.append(best[3])
-                end, best = None, None
-            if end is None:
-                end, best = us + span_us, waiting[us]
-            else:
-                best = min(best, waiting[us])
-            del waiting[us]
-        if end is not None and end <= passed:
-            out.append(best[3])
-            end, best = None, None
-        if end is None and not waiting:
+            elif end is not None:
+                left.append((key, end, *best))
+                at = end if at is None else min(at, end)
+        if not left:
             state.remove()
         else:
-            times = sorted(waiting)
-            state.update((end, best, times, *[[waiting[u][k] for u in times] for k in (0, 1, 3)]))
-            # The timer goes off when the next row or the end of the episode is passed.
-            at = min([u + 1 for u in times] + ([end] if end is not None else []))
+            types = (pa.string(), pa.int64(), pa.bool_(), {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[order_type], pa.int64(), pa.string())
+            table = pa.table([pa.array(c, t) for c, t in zip(zip(*left), types)], names=["key", "end", "none", "order", "us", "row"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+                writer.write_table(table)
+            state.update((sink.getvalue().to_pybytes(),))
+            # The timer goes off when the next row or the end of an episode is passed.
             state.setTimeoutTimestamp(max(-(-at // 1000), passed // 1000 + 1))
         yield pd.DataFrame({"_row": out}, dtype=object)
 
-    rank_type = f"struct<n:boolean,o:{order_type},t:long,r:string>"
-    kept = rows.groupBy("_key").applyInPandasWithState(
-        decide, "_row string", f"end long, best {rank_type}, times array<long>, nulls array<boolean>, orders array<{order_type}>, waiting array<string>", "append", "EventTimeTimeout")
+    kept = rows.groupBy("_group").applyInPandasWithState(decide, "_row string", "state binary", "append", "EventTimeTimeout")
     return kept.select(F.from_json("_row", schema).alias("r")).select("r.*")
 
 

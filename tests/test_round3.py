@@ -1,11 +1,15 @@
 """Round 3: the same results with less work."""
 
+import json
+import os
 import random
 import time
 
 import numpy as np
 
+from corpusloom import streaming as W
 from corpusloom.operators import dedup
+from corpusloom.session import ship_code
 
 
 def plain_signature(text, params, n=5, chunk=256):
@@ -47,3 +51,20 @@ def test_minhash_is_the_same_and_takes_less_time():
         return min(best)
 
     assert seconds(lambda t: dedup.signature(t, 128, 5, params)) < 0.85 * seconds(lambda t: plain_signature(t, params))
+
+
+def test_keys_of_a_first_wins_stream_share_state_and_calls(spark, tmp_path):
+    at = "2024-01-01T{:02d}:{:02d}:00Z".format
+    files = [[(f"k{i}", at(0, i % 50), i, copy) for i in range(900) for copy in (i % 7, i % 5)], [("z", at(9, 0), 0, 0)], [("z", at(20, 0), 1, 0)]]
+    os.mkdir(tmp_path / "in")
+    for i, rows in enumerate(files):
+        (tmp_path / "in" / f"{i}.json").write_text("".join(json.dumps(dict(zip(("k", "ts", "m", "n"), r))) + "\n" for r in rows))
+        os.utime(tmp_path / "in" / f"{i}.json", (1000 + i, 1000 + i))
+    ship_code()
+    stream = spark.readStream.schema("k string, ts timestamp, m long, n long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = (W.stateful_first_wins(stream, ["k"], "ts", "n").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    assert q.awaitTermination(280)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 512
+    got = sorted((r["k"], r["m"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted([(f"k{i}", i, min(i % 7, i % 5)) for i in range(900)] + [("z", 0, 0)])
