@@ -26,10 +26,10 @@ MAX_BROADCAST_QUERY_VALUES = 8_000_000    # ~64 MB of float64 per broadcast quer
 
 
 # --------------------------------------------------------------------------- R01 encoder
-def _embed(df: DataFrame, text, embed: Callable[[], Callable[[list[str]], np.ndarray]], batch: int) -> DataFrame:
+def _embed(df: DataFrame, text, embed: Callable[[], Callable[[list[str]], np.ndarray]], batch: int, unit: bool = False) -> DataFrame:
     """All rows and columns of ``df`` plus ``embedding`` of the text expression: row-local, Arrow batches, no shuffle.
 
-    ``embed`` is called once per task and returns texts -> (n, d) array.
+    ``embed`` is called once per task and returns texts -> (n, d) array.  ``unit``: vectors as ``l2_normalize`` gives them, to the last bit.
     """
     src = df.withColumn("_t", F.coalesce(text, F.lit("")))
     keep = df.columns
@@ -43,6 +43,9 @@ def _embed(df: DataFrame, text, embed: Callable[[], Callable[[list[str]], np.nda
             for at in range(0, rb.num_rows, batch):
                 part = rb.slice(at, batch)
                 vecs = np.asarray(encode(part.column("_t").to_pylist()), dtype=np.float64)
+                if unit and vecs.ndim > 1:
+                    norm = np.sqrt(np.cumsum(vecs * vecs, axis=1)[:, -1:])        # summed in order
+                    vecs = np.divide(vecs, norm, out=vecs.copy(), where=~(norm <= 0))
                 flat = pa.array(vecs.reshape(-1), pa.float64())
                 ends = pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * (vecs.shape[1] if vecs.ndim > 1 else 0), pa.int32())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(ends, flat)], [*keep, "embedding"])
@@ -92,12 +95,12 @@ def encode_text(df: DataFrame, text_col: str = "text", id_col: str = "id",
     return _encoded(rows, F.col("_src"), encoder, batch, dim).drop("_src")
 
 
-def _encoded(rows: DataFrame, text: Column, encoder, batch: int, dim: int) -> DataFrame:
+def _encoded(rows: DataFrame, text: Column, encoder, batch: int, dim: int, unit: bool = False) -> DataFrame:
     from ..functions import default_process
 
     if encoder is None:
-        return _embed(rows, default_process(text), lambda: hashing_encoder(dim), batch)
-    return _embed(rows, text, lambda: encoder, batch)
+        return _embed(rows, default_process(text), lambda: hashing_encoder(dim), batch, unit)
+    return _embed(rows, text, lambda: encoder, batch, unit)
 
 
 # --------------------------------------------------------------------------- R02
@@ -122,7 +125,7 @@ def mean_vector(df: DataFrame, key: str, vec_col: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- R03
 def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str = "id",
-             vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding") -> DataFrame:
+             vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding", carry: list[str] | None = None) -> DataFrame:
     """Exact inner-product top-k per query row -> (query_id, rank, id, score).
 
     Fewer than k hits when the index is smaller than k; ties go to the lower id, null ids last.
@@ -132,6 +135,8 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str
     above it the queries are hashed into blocks that each fit.  Blocks are
     answered one after the other, each answer written to the checkpoint folder
     and its broadcast released, so the driver holds one block at a time.
+    ``carry``: columns of the index that come along with each hit (rows of one id must be equal in them); each task
+    holds them for its own top k only.
     """
     qid_type = queries.schema[qid_col].dataType
     q = queries.where(F.col(qvec_col).isNotNull()).select(qid_col, qvec_col).persist()      # sized, then collected: computed once
@@ -140,7 +145,7 @@ def knn_topk(index: DataFrame, queries: DataFrame, k: int = K.TOP_K, id_col: str
     parts = []
     for b in range(nblocks):
         blk = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64(qid_col, qvec_col), F.lit(nblocks)) == b)
-        part, shared = _knn_broadcast(index, blk.collect(), qid_type, k, id_col, vec_col, qid_col)
+        part, shared = _knn_broadcast(index, blk.collect(), qid_type, k, id_col, vec_col, qid_col, carry or [])
         if nblocks > 1:
             part = cut_lineage(part)
             shared.unpersist()
@@ -215,13 +220,15 @@ def _answer_schema(qid_col: str, qid_type, id_col: str, id_type) -> T.StructType
     return T.StructType([T.StructField("_qn", T.LongType()), T.StructField(qid_col, qid_type), T.StructField(id_col, id_type), T.StructField("score", T.DoubleType())])
 
 
-def _best(found: DataFrame, k: int, qid_col: str, id_col: str) -> DataFrame:
+def _best(found: DataFrame, k: int, qid_col: str, id_col: str, carry: list[str] | tuple = ()) -> DataFrame:
     """The k best of each query row's answers from all tasks."""
     w = Window.partitionBy("_qn").orderBy(F.col("score").desc(), F.col(id_col).asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(qid_col, "rank", id_col, "score")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select(qid_col, "rank", id_col, "score", *carry)
 
 
-def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_col: str, qid_col: str):
+def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_col: str, qid_col: str, carry: list[str]):
+    import pyarrow as pa
+
     spark = index.sparkSession
     id_type = index.schema[id_col].dataType
     qids = [r[0] for r in qrows]
@@ -233,16 +240,46 @@ def _knn_broadcast(index: DataFrame, qrows, qid_type, k: int, id_col: str, vec_c
         if not len(ids_q):
             return
         top = TopK(qm, k)
+        held: list = []                                        # what the ids in the top k carry, by id
         step = max(1, 8_000_000 // len(ids_q))                 # bound the (queries x rows) score block
         for batch in batches:
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                top.add(part.column(0).to_pylist(), _vectors(part.column(1)))
-        yield _answers(top, ids_q, list(range(len(ids_q))), id_type, qid_type, qid_col, id_col)
+                ids = part.column(0).to_pylist()
+                top.add(ids, _vectors(part.column(1)))
+                if carry:
+                    held = _held(top, held, ids, part)
+        answers = _answers(top, ids_q, list(range(len(ids_q))), id_type, qid_type, qid_col, id_col)
+        if carry and len(answers):
+            rows = pa.Table.from_batches([b for _, b in held])
+            place = {x: i for i, x in enumerate(x for ids, _ in held for x in ids)}
+            rows = rows.take(pa.array([place[x] for ids in top.ids for x in ids], pa.int64())).combine_chunks()
+            answers = pa.RecordBatch.from_arrays([*answers.columns, *(c.chunk(0) for c in rows.columns)], names=[*answers.schema.names, *carry])
+        elif carry:
+            return
+        yield answers
 
     ship_code()
-    local = index.where(F.col(vec_col).isNotNull()).select(id_col, vec_col).mapInArrow(run, _answer_schema(qid_col, qid_type, id_col, id_type))
-    return _best(local, k, qid_col, id_col), bq
+    schema = T.StructType([*_answer_schema(qid_col, qid_type, id_col, id_type), *(index.schema[c] for c in carry)])
+    local = index.where(F.col(vec_col).isNotNull()).select(id_col, vec_col, *carry).mapInArrow(run, schema)
+    return _best(local, k, qid_col, id_col, carry), bq
+
+
+def _held(top: TopK, held: list, ids: list, part) -> list:
+    """(ids, rows of the carried columns) of every id now in a top k: those held before and those new in ``part``."""
+    import pyarrow as pa
+
+    now = {x for found in top.ids for x in found}
+    out = []
+    for own, rows in [*held, (ids, part.select(part.schema.names[2:]))]:
+        at = []
+        for i, x in enumerate(own):
+            if x in now:
+                now.discard(x)
+                at.append(i)
+        if at:
+            out.append(([own[i] for i in at], rows.take(pa.array(at, pa.int64()))))
+    return out
 
 
 def passages(df: DataFrame, text_col: str, max_chars: int) -> DataFrame:
@@ -269,7 +306,7 @@ def build_retrieval_table(records: DataFrame, encoder: Callable[[list[str]], np.
         F.coalesce(src, F.lit(K.DEFAULT_SOURCE)).alias("source"),
         F.coalesce(lic, F.lit(K.DEFAULT_LICENSE)).alias("license"))
     cut = passages(base, "text", max_chars).select("id", "passage_no", "text", "source", "license")
-    return _encoded(cut, F.col("text"), encoder, K.ENCODE_BATCH, dim).withColumn("embedding", l2_normalize("embedding"))
+    return _encoded(cut, F.col("text"), encoder, K.ENCODE_BATCH, dim, unit=True)
 
 
 # --------------------------------------------------------------------------- R04-R08
@@ -350,6 +387,9 @@ def answer_batch(requests: DataFrame, hits: DataFrame, ddi: DataFrame | None = N
 
 
 # --------------------------------------------------------------------------- text search end to end
+CARRIED_HITS = 10_000      # up to so many hits, each task sends the rows of its own hits along with them
+
+
 def search(table: DataFrame, queries: DataFrame, k: int = K.TOP_K, encoder: Callable[[list[str]], np.ndarray] | None = None,
            qid_col: str = "query_id", query_col: str = "query") -> DataFrame:
     """Query texts -> encode -> exact top-k over a stored retrieval table -> hits with metadata.
@@ -363,10 +403,15 @@ def search(table: DataFrame, queries: DataFrame, k: int = K.TOP_K, encoder: Call
     # A key that says what the row holds, led by id and passage for ties: rows with one key are equal, whatever ids repeat.
     what = F.md5(F.to_json(F.struct("id", "passage_no", "text", "source", "license")))
     keyed = table.withColumn("_key", F.concat_ws("#", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lpad(F.col("passage_no").cast("string"), 9, "0"), what))
+    columns = ["id", "passage_no", "text", "source", "license"]
+    out = [F.col("_q").alias(qid_col), "rank", "score", *columns]
+    if vecs.count() * k <= CARRIED_HITS:
+        # Few hits bring their rows along: the table, which may be encoded as it is read, is read once.
+        return cut_lineage(knn_topk(keyed, vecs, k, id_col="_key", qid_col="_n", carry=columns).join(vecs.select("_n", "_q"), "_n").select(*out))
     hits = cut_lineage(knn_topk(keyed, vecs, k, id_col="_key", qid_col="_n").join(vecs.select("_n", "_q"), "_n"))
     # Only what was hit is gathered; of equal rows one is enough for each hit.
     found = keyed.drop("embedding").join(broadcast_if_small(hits), "_key").dropDuplicates(["_n", "rank"])
-    return found.select(F.col("_q").alias(qid_col), "rank", "score", "id", "passage_no", "text", "source", "license")
+    return cut_lineage(found.select(*out))
 
 
 def answer_requests(requests: DataFrame, table: DataFrame, predictor: Callable[[list[str]], list[str]], rules=None,

@@ -6,9 +6,10 @@ import random
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusloom import streaming as W
-from corpusloom.operators import dedup
+from corpusloom.operators import clean, dedup, retrieve
 from corpusloom.session import ship_code
 
 
@@ -68,3 +69,36 @@ def test_keys_of_a_first_wins_stream_share_state_and_calls(spark, tmp_path):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 512
     got = sorted((r["k"], r["m"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted([(f"k{i}", i, min(i % 7, i % 5)) for i in range(900)] + [("z", 0, 0)])
+
+
+def test_search_encodes_its_table_once(spark, monkeypatch, tmp_path):
+    texts = [(f"p{i % 37}", f"word{i % 41} and word{i % 7} of part {i}") for i in range(120)] + [("p1", "same row")] * 3
+    marks = str(tmp_path)
+
+    def encoder(batch):
+        import uuid
+
+        if "query word1" not in batch:
+            open(f"{marks}/{uuid.uuid4().hex}-{len(batch)}", "w").close()
+        out = np.zeros((len(batch), 8))
+        for row, t in zip(out, batch):
+            for w in t.split():
+                row[sum(w.encode()) % 8] += 1.5
+        return out
+
+    table = retrieve.build_retrieval_table(clean.unify(spark.createDataFrame(texts, "id string, text string")), encoder=encoder)
+    queries = spark.createDataFrame([(1, "query word1"), (None, "same row"), (1, "query word1")], "query_id long, query string").coalesce(1)
+    requests = queries.withColumns({"role": F.lit("patient"), "drugs": F.lit(None).cast("string")})
+    answers = retrieve.answer_requests(requests, table, lambda prompts: [p.split("Evidence:", 1)[1] for p in prompts], encoder=encoder, k=4).collect()
+    assert sum(int(f.rsplit("-", 1)[1]) for f in os.listdir(marks)) == len(texts)
+
+    def hits():
+        return sorted(tuple(map(str, r)) for r in retrieve.search(table, queries, k=4, encoder=encoder).collect())
+
+    carried = hits()
+    assert len(carried) == 12 and len(answers) == 3
+    monkeypatch.setattr(retrieve, "CARRIED_HITS", 0)
+    assert hits() == carried
+    # The vectors are those of l2_normalize, to the last bit.
+    plain = retrieve.encode_text(table.select("id", "text"), encoder=encoder).select(retrieve.l2_normalize("embedding").alias("e"))
+    assert sorted(r[0] for r in plain.collect()) == sorted(r["embedding"] for r in table.collect())
