@@ -44,16 +44,18 @@ def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
     parsed = parse_json_tolerant(raw, "raw", RECORD_V2)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()              # read twice below; a lost block is parsed again
-        good = batch.filter(F.col("parse_status") != "failed").select(F.col("parsed_text").alias("_json"), "parsed.*")
         known = F.array(*[F.lit(f.name) for f in RECORD_V2.fields])
         options = {"allowUnquotedControlChars": "true"}
         extra = F.map_filter(F.from_json("_json", "map<string,string>", options), lambda k, v: ~F.array_contains(known, k))
-        recs = clean.unify(good.withColumn("extra", extra), strict_presence=True, raw_col="_json").drop("_json")
-        _batch_sink(out)(recs, batch_id)
+        failed = F.col("parse_status") == "failed"
+        rows = batch.select(F.when(failed, F.col("raw")).alias("_failed"), failed.alias("_bad"), F.col("parsed_text").alias("_json"), "parsed.*")
+        rows = clean.unify(rows.withColumn("extra", extra), strict_presence=True, raw_col="_json").drop("_json")
+        # Read twice below, so kept: one copy of each text, a lost block is parsed again.
+        rows = rows.persist()
+        _batch_sink(out)(rows.where(~F.col("_bad")).drop("_bad", "_failed"), batch_id)
         if quarantine:
-            _batch_sink(quarantine)(batch.filter(F.col("parse_status") == "failed").select("raw"), batch_id)
-        batch.unpersist()
+            _batch_sink(quarantine)(rows.where("_bad").select(F.col("_failed").alias("raw")), batch_id)
+        rows.unpersist()
 
     w = parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -102,3 +102,24 @@ def test_search_encodes_its_table_once(spark, monkeypatch, tmp_path):
     # The vectors are those of l2_normalize, to the last bit.
     plain = retrieve.encode_text(table.select("id", "text"), encoder=encoder).select(retrieve.l2_normalize("embedding").alias("e"))
     assert sorted(r[0] for r in plain.collect()) == sorted(r["embedding"] for r in table.collect())
+
+
+def test_ingest_keeps_one_copy_of_a_text(spark, tmp_path, monkeypatch):
+    os.mkdir(tmp_path / "in")
+    lines = [json.dumps({"id": str(i), "text": f"{i} " + "lorem ipsum " * 300}) for i in range(40)] + ['{"id": "bad", "text": "cut']
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines) + "\n")
+    frame, held = type(spark.range(0)), []
+    persist = frame.persist
+
+    def sized(self, *a, **b):
+        held.append(self.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0])
+        return persist(self, *a, **b)
+
+    monkeypatch.setattr(frame, "persist", sized)
+    q = W.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), str(tmp_path / "bad"))
+    assert q.awaitTermination(200)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert "_bad" not in out.columns and "_failed" not in out.columns
+    assert sorted(r["id"] for r in out.collect()) == sorted(str(i) for i in range(40))
+    assert [r["raw"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [lines[-1]]
+    assert len(held) == 1 and held[0] < 1.5 * sum(map(len, lines))
